@@ -18,14 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import checkpoint_dir, documents
+from foliolens.llm.common import documents, stored
 
 OPEN, BODY, CLOSE = "<|turn|>", "<|text|>", "</s>"
 ASSISTANT = "assistant"
 # Control strings: ours, and those of other common templates, so that no text can pass for markup in either.
 _CONTROL = r"(<|\[|<<)(\|[a-z_]+\|>|/?s>|/?INST\]|/?SYS>>)"
-#: Joins between two cuts of the lineage.
-ROUNDS_PER_CUT = 3
 
 
 def escape(text: Column) -> Column:
@@ -44,11 +42,6 @@ def linear_tree(rows: DataFrame) -> DataFrame:
     return rows.withColumn("node", node).select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.length("text").cast("double").alias("score"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables of jumps over 1, 2, 4 ... replies, and each message's depth and summed score.
 
@@ -56,7 +49,7 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """
     known = nodes.select(F.col("conv_id").alias("k"), F.col("node").alias("n"))
     first = nodes.select("conv_id", "node", "parent", "score").join(known, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("parent") == F.col("n")), "left")
-    state = _cut(first.select("conv_id", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")))
+    state = stored(first.select("conv_id", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "jumps")
     tables, done = [], []
     while True:
         done.append(state.where("up IS NULL").select("conv_id", "node", "total", "depth"))
@@ -70,11 +63,11 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             over = over.unionByName(d.withColumn("up", F.lit(None).cast("long")))
         over = over.select(F.col("conv_id").alias("k"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
         joined = live.join(over, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("up") == F.col("n")))
-        state = _cut(joined.select("conv_id", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")))
+        state = stored(joined.select("conv_id", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")), "jumps")
     totals = done[0]
     for d in done[1:]:
         totals = totals.unionByName(d)
-    return tables, totals
+    return tables, stored(totals, "depths")
 
 
 def ranked_leaves(nodes: DataFrame, totals: DataFrame, branches: int) -> DataFrame:
@@ -87,14 +80,13 @@ def ranked_leaves(nodes: DataFrame, totals: DataFrame, branches: int) -> DataFra
 
 def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """conv_id, branch, depth, role, text of every message on the chosen root-to-leaf paths."""
+    nodes = stored(nodes, "nodes")
     tables, totals = jumps(nodes)
-    on = ranked_leaves(nodes, totals, branches).select("conv_id", "branch", "node")
-    for k, table in enumerate(reversed(tables)):
+    on = stored(ranked_leaves(nodes, totals, branches).select("conv_id", "branch", "node"), "paths")
+    for table in reversed(tables):
         t = table.select(F.col("conv_id").alias("k"), F.col("node").alias("n"), "up")
         back = on.join(t, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("node") == F.col("n"))).select("conv_id", "branch", F.col("up").alias("node"))
-        on = on.unionByName(back)
-        if k % ROUNDS_PER_CUT == ROUNDS_PER_CUT - 1:
-            on = _cut(on)
+        on = stored(on.unionByName(back), "paths")
     at = totals.select(F.col("conv_id").alias("k"), F.col("node").alias("n"), "depth")
     on = on.join(at, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("node") == F.col("n"))).select("conv_id", "branch", "node", "depth")
     said = nodes.select(F.col("conv_id").alias("k"), F.col("node").alias("n"), "role", "text")
