@@ -130,6 +130,19 @@ def simhash_groups(docs: DataFrame, words: int = 3, differ: int = 2) -> DataFram
     return prints.join(labelled(prints, differ), "fp").select("doc_id", "fp", "component_id")
 
 
+def with_fingerprint(docs: DataFrame, words: int, name: str) -> DataFrame:
+    """docs, all columns, with their fingerprint."""
+    small_batches(docs.sparkSession)
+    where = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([majority(shingle_hashes(x, words)) for x in bytes_of(batch.column(where))], dtype=np.uint64)
+        return batch.append_column(name, pa.array(fps.view(np.int64)))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(per_batch(run), f"{kinds}, `{name}` long")
+
+
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(documents(spark, sf_dir))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
