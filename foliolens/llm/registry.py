@@ -10,6 +10,7 @@ from foliolens.llm.sharding import op1_feistel_sharding
 from foliolens.llm.simhash import op6_simhash_pigeonring
 from foliolens.llm.syncmers import op2_closed_syncmers
 from foliolens.llm.token_files import op3_token_files
+from foliolens.llm.unigram import op9_trie_token_counts, op10_sampled_pieces
 
 _ALL = (
     op1_feistel_sharding,
@@ -20,6 +21,8 @@ _ALL = (
     op6_simhash_pigeonring,
     op7_quality_cascade,
     op8_best_fit_packing,
+    op9_trie_token_counts,
+    op10_sampled_pieces,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op5_chat_formatting": OP5_SQL, "op7_quality_cascade": OP7_SQL}

@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliolens.llm.common import bytes_of, documents, id_text, per_batch, rows_to_batch, small_batches, stored
@@ -143,6 +143,15 @@ def with_fingerprint(docs: DataFrame, words: int, name: str) -> DataFrame:
     return docs.mapInArrow(per_batch(run), f"{kinds}, `{name}` long")
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, differ: int = 2) -> DataFrame:
+    """docs, all columns, with one row of each group: the one of the smallest doc_id, then of the smallest text hash."""
+    marked = with_fingerprint(docs, words, "__fp")
+    labels = labelled(marked.select("doc_id", F.col("__fp").alias("fp")), differ).select(F.col("fp").alias("__l"), "component_id")
+    kept = marked.join(labels, F.col("__fp") == F.col("__l")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = Window.partitionBy("component_id").orderBy(F.xxhash64("text"))
+    return kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*docs.columns)
+
+
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(documents(spark, sf_dir))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
