@@ -137,8 +137,8 @@ def securities_master(spark: SparkSession, sf: str) -> DataFrame:
     return h.join(i, "issuer_id", "full").select("issuer_id", "n_holders", "sector", "cap_group", found.alias("found"))
 
 
-_SHARE = f"share AS (SELECT investor_id, period, count(*) FILTER (country IN ('UNITED STATES', 'CANADA', 'BRAZIL', 'PERU', 'ARGENTINA')) / count(country) AS pct FROM top LEFT JOIN iss USING (issuer_id) GROUP BY ALL)"
-HOME = ("UNITED STATES", "CANADA", "BRAZIL", "PERU", "ARGENTINA")
+_SHARE = f"share AS (SELECT investor_id, period, count(*) FILTER (country IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4', 'NATION_5')) / count(country) AS pct FROM top LEFT JOIN iss USING (issuer_id) GROUP BY ALL)"
+HOME = tuple(f"NATION_{i}" for i in range(1, 6))
 
 
 def home_share(spark: SparkSession, sf: str) -> DataFrame:
