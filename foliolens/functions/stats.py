@@ -85,7 +85,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Spearman's rho for each group with a Fisher interval: n, rho, low, high; null below ten pairs."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     ranked = ok.withColumn("__rx", average_rank(x, by)).withColumn("__ry", average_rank(y, by))
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("rho")).withColumn("rho", F.when(F.col("n") >= 10, F.col("rho")))
+    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("__rx", "__ry").alias("__c"), (F.stddev_pop("__rx") * F.stddev_pop("__ry")).alias("__s"))
+    out = out.withColumn("rho", F.when(F.col("n") >= 10, F.try_divide(F.col("__c"), F.col("__s"))))
     z, se = F.atanh("rho"), F.sqrt(F.try_divide(F.lit(1.06), F.col("n") - 3))
     return out.select(*by, "n", "rho", F.tanh(z - 1.96 * se).alias("low"), F.tanh(z + 1.96 * se).alias("high"))
 

@@ -1,4 +1,4 @@
-"""Table schemas, and the guards that stages run before they trust a frame."""
+"""Table schemas (as DDL), and the guards that stages run before they trust a frame."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HOLDINGS = T.StructType.fromDDL("investor_id string, investor_type string, quarter_end date, issuer_id string, adj_mv double")
-SEQUENCES = T.StructType.fromDDL("quarter_end date, investor_id string, investor_type string, chunk_id int, tokens array<string>, weights array<double>, n_tokens int, n_assets_full int")
-VECTORS = T.StructType.fromDDL("investor_id string, investor_type string, quarter_end date, embedding array<double>")
+HOLDINGS = "investor_id string, investor_type string, quarter_end date, issuer_id string, adj_mv double"
+SEQUENCES = "quarter_end date, investor_id string, investor_type string, chunk_id int, tokens array<string>, weights array<double>, n_tokens int, n_assets_full int"
+VECTORS = "investor_id string, investor_type string, quarter_end date, embedding array<double>"
 
 
 class GateError(ValueError):
