@@ -123,7 +123,7 @@ def cascade(sample: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[Rule]:
 
 def sampled(docs: DataFrame, size: int = SAMPLE) -> list[bytes]:
     """A bounded sample: the first rows that any few tasks meet. It decides the order of work only, never a result."""
-    return [bytes(r[0]) for r in docs.select(F.substring(F.coalesce("text", F.lit("")), 1, 20_000).cast("binary")).limit(size).collect()]
+    return [bytes(r[0]) for r in docs.select(F.coalesce("text", F.lit("")).cast("binary")).limit(size).collect()]
 
 
 def passes(t: Text, order: list[Rule]) -> bool:
