@@ -60,22 +60,22 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", blocks: int = 64) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", block_rows: int = 4096) -> DataFrame:
     """Exact k nearest by cosine of unit vectors, self left out: (query, neighbour, cos, nth).
 
-    A stated query set against all rows: base stays in its partitions; queries come block by block as matrices
-    to each, which keeps its best k for each query, so that k rows for each query and partition are shuffled.
+    A stated query set against all rows: base stays in its partitions; queries come to it as matrices of about
+    block_rows rows, whatever their number, and each task keeps its best k for each query, so that k rows for
+    each query and partition are shuffled.
     """
     import numpy as np
     import pandas as pd
 
     n = queries.count()
     rows = queries.select(F.col(key).alias("q"), F.col(vec).cast("array<double>").alias("v"))
-    per = max(1, -(-n // blocks))
-    out = None
+    blocks, out = max(1, -(-n // block_rows)), None
     ordered = rows.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)))
-    for b in range(blocks if n > 2000 else 1):
-        part = (ordered.where(F.col("b") == b) if n > 2000 else ordered).select("q", "v").toPandas()  # about n / blocks queries, each of d numbers
+    for b in range(blocks):
+        part = ordered.where(F.col("b") == b).select("q", "v").toPandas()  # about block_rows queries of d numbers
         if part.empty:
             continue
         ids, m = part["q"].to_numpy(), np.stack(part["v"].to_numpy())
