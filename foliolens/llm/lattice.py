@@ -1,8 +1,8 @@
 """A trie over pre-tokens whose nodes hold the unigram forward scores of their prefixes.
 
 The forward score of a prefix depends on the prefix alone, so pre-tokens that begin alike share it: each node
-is computed once, from the nodes up to MAX_PIECE characters above it. `Trie` keeps, for each node, the best
-score and its number of pieces, and, on request, all ways to end there with their probabilities, which is what
+is computed once, from the nodes at most a piece's length above it. `Trie` keeps, for each node, the best score
+and its number of pieces, or the forward score and all ways to end there with their probabilities, which is what
 backward sampling needs.
 
 Pieces and texts are compared with plain blanks: a piece's mark U+2581 stands for a blank, and a U+2581 in a
@@ -52,6 +52,8 @@ class Pieces:
         for b, k in enumerate(self.byte_ids):
             self.spelled[k] = bytes([b])
         self.longest = max(map(len, self.table))
+        #: What pieces end with: no piece ends at a place if none ends with the characters before it.
+        self.tails = {piece[k:] for piece in self.table for k in range(len(piece))}
 
     def bytes_of(self, ids: Iterable[int]) -> bytes:
         spelled = self.spelled
@@ -67,41 +69,39 @@ class Trie:
     def __init__(self, pieces: Pieces, ways: bool):
         self.pieces, self.ways = pieces, ways
         self.child: dict[int, int] = {}
-        self.best, self.count = array("d", [0.0]), array("l", [0])
         self.end: dict[str, int] = {}
-        if ways:
+        if not ways:
+            self.best, self.count = array("d", [0.0]), array("l", [0])
+        else:
             self.total, self.first = array("d", [0.0]), array("l", [0, 0])
             self.upto, self.before, self.piece = array("d"), array("l"), array("l")
             self.copied: tuple = ((),)
 
     def __len__(self) -> int:
-        return len(self.best)
+        return len(self.total if self.ways else self.best)
 
     def add(self, unit: str) -> int:
         """The node of a pre-token; only prefixes not met before are computed."""
         node, path = 0, [0]
-        child, table, longest = self.child, self.pieces.table, self.pieces.longest
+        child, table, tails, ways = self.child, self.pieces.table, self.pieces.tails, self.ways
         for e, ch in enumerate(unit, 1):
             code = ord(ch)
             at = child.get(node << 21 | code)
             if at is None:
-                best, count, options = -math.inf, 0, []
-                for s in range(max(0, e - longest), e):
-                    if (p := table.get(unit[s:e])) is not None:
-                        k = path[s]
-                        options.append((p[1], k, p[0]))
-                        if (score := self.best[k] + p[1]) > best:
-                            best, count = score, self.count[k] + 1
+                options, s = [], e - 1
+                while s >= 0 and (piece := unit[s:e]) in tails:
+                    if piece in table:
+                        k, p = table[piece]
+                        options.append((p, path[s], k, 1))
+                    s -= 1
                 if ch not in table:
                     n = len(ch.encode("utf-8", "surrogatepass"))
-                    options.append((BYTE * n, node, -1 - code))
-                    if (score := self.best[node] + BYTE * n) > best:
-                        best, count = score, self.count[node] + n
-                at = child[node << 21 | code] = len(self.best)
-                self.best.append(best)
-                self.count.append(count)
-                if self.ways:
+                    options.append((BYTE * n, node, -1 - code, n))
+                at = child[node << 21 | code] = len(self)
+                if ways:
                     self._ways(options)
+                else:
+                    self._best(options)
             node = at
             path.append(node)
         self.end[unit] = node
@@ -113,18 +113,35 @@ class Trie:
             self.copied = tuple(np.array(a) for a in (self.first, self.upto, self.before, self.piece))
         return self.copied
 
-    def _ways(self, options: list[tuple[float, int, int]]) -> None:
-        scores = [self.total[k] + p for p, k, _ in options]
-        top = max(scores)
-        shares = [math.exp(s - top) for s in scores]
-        whole, run = sum(shares), 0.0
-        self.total.append(top + math.log(whole))
-        for share, (_, k, piece) in zip(shares, options, strict=True):
-            run += share
-            self.upto.append(run / whole)
+    def _best(self, options: list[tuple[float, int, int, int]]) -> None:
+        """Enter a node with its best score and the number of pieces; of equal scores the longest last piece."""
+        best, count = -math.inf, 0
+        for p, k, _, n in options:
+            if (score := self.best[k] + p) >= best:
+                best, count = score, self.count[k] + n
+        self.best.append(best)
+        self.count.append(count)
+
+    def _ways(self, options: list[tuple[float, int, int, int]]) -> None:
+        """Enter a node with its forward score and all ways into it."""
+        if len(options) == 1:
+            p, k, piece, _ = options[0]
+            self.total.append(self.total[k] + p)
+            self.upto.append(1.0)
             self.before.append(k)
             self.piece.append(piece)
-        self.upto[-1] = 1.0
+        else:
+            scores = [self.total[k] + p for p, k, _, _ in options]
+            top = max(scores)
+            shares = [math.exp(s - top) for s in scores]
+            whole, run = sum(shares), 0.0
+            self.total.append(top + math.log(whole))
+            for share in shares:
+                run += share
+                self.upto.append(run / whole)
+            self.upto[-1] = 1.0
+            self.before.extend([k for _, k, _, _ in options])
+            self.piece.extend([piece for _, _, piece, _ in options])
         self.first.append(len(self.upto))
 
 
