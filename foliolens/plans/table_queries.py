@@ -115,3 +115,39 @@ def scalar_rules(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "part").select(
         F.col("p_partkey").alias("issuer_id"), S.truthy(flag).alias("active"), F.coalesce(F.when(s % 3 == 0, F.col("p_brand")), F.when(s % 5 == 0, F.col("p_type")), F.lit("none")).alias("pick"), F.least(F.greatest(s / 50.0, F.lit(0.0001)), F.lit(0.9999)).alias("clipped")
     )
+
+
+_CAND = "l AS (SELECT p_partkey AS listing, p_partkey % 200 AS issuer, p_type LIKE 'E%' AS equity, p_size % 2 = 0 AS covered FROM part)"
+
+
+@query(f"WITH {_CAND}, f AS (SELECT *, max(covered::INT) OVER (PARTITION BY issuer) AS any_covered, max(equity::INT) OVER (PARTITION BY issuer) AS any_equity FROM l) SELECT listing, issuer FROM f WHERE equity OR any_covered = 0 OR any_equity = 0")
+def candidate_listings(spark: SparkSession, sf: str) -> DataFrame:
+    """Equity listings, and all listings of issuers without a covered one or without an equity one."""
+    p = A.table(spark, sf, "part").select(F.col("p_partkey").alias("listing"), (F.col("p_partkey") % 200).alias("issuer"), F.col("p_type").startswith("E").alias("equity"), (F.col("p_size") % 2 == 0).alias("covered"))
+    flags = p.groupBy("issuer").agg(F.max("covered").alias("any_covered"), F.max("equity").alias("any_equity"))
+    return p.join(flags, "issuer").where(F.col("equity") | ~F.col("any_covered") | ~F.col("any_equity")).select("listing", "issuer")
+
+
+@query(
+    f"""WITH {POS}, t AS (SELECT investor_id, period, n_assets_full AS n, CASE WHEN n_assets_full <= 62 THEN n_assets_full ELSE ceil(n_assets_full / ceil(n_assets_full / 62.0)) END::INT AS f FROM pos WHERE rank = 1)
+SELECT investor_id, period, least(n, 62)::INT AS paper, f AS first_chunk, ceil(n / f)::INT AS n_chunks, n::INT AS whole FROM t"""
+)
+def coverage_variants(spark: SparkSession, sf: str) -> DataFrame:
+    from foliolens.operators import encoder as E
+    from foliolens.operators import holdings as H
+
+    book = H.joined_books(H.sequences(A.positions(spark, sf), A.KEYS), A.KEYS)
+    t = E.real_tokens(F.col("tokens"))
+    size = lambda v: F.size(F.get(E.covered(t, v), F.lit(0)))
+    return book.select(*A.KEYS, size("paper").alias("paper"), size("first-chunk").alias("first_chunk"), F.size(E.covered(t, "all-chunks")).alias("n_chunks"), size("full-sequence").alias("whole"))
+
+
+@query()
+def word2vec_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Token vectors trained on the sequences, one row for each issuer."""
+    from foliolens.functions.vectors import norm
+    from foliolens.operators import encoder as E
+    from foliolens.operators import holdings as H
+
+    vectors = E.Word2VecEncoder().vectors(H.sequences(A.positions(spark, sf), A.KEYS))
+    return vectors.select("issuer_id", F.size("vec").alias("d"), norm(F.col("vec")).alias("length"))

@@ -234,3 +234,29 @@ def test_event_windows(spark, tmp_path):
     q = incremental.event_counts(spark.readStream.schema(schema).parquet(f"{tmp_path}/e")).writeStream.outputMode("complete").format("memory").queryName("ev").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("ev").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{tmp_path}/e").count()
+
+
+def test_encoders_and_coverage(spark):
+    from foliolens.operators import encoder as E
+
+    seq = spark.createDataFrame([(["[CLS]", *[str(k) for k in range(100)]],)] * 3, "tokens array<string>")
+    t = E.real_tokens(F.col("tokens"))
+    got = seq.select(*[F.transform(E.covered(t, c), F.size).alias(c.replace("-", "_")) for c in ("paper", "first-chunk", "all-chunks", "full-sequence")]).first()
+    assert tuple(got) == ([62], [50], [50, 50], [100])
+    v = E.Word2VecEncoder(d=8).vectors(seq)
+    assert v.count() == 100 and v.select(F.size("vec")).first()[0] == 8
+    table = E.TableEncoder(spark.createDataFrame([("1", [1.0]), ("x", [2.0])], "issuer_id string, vec array<double>"))
+    assert [r.issuer_id for r in table.vectors(seq).collect()] == ["1"]
+    assert [r.k for r in E.relabelled(spark.createDataFrame([(0,), (1,)], "k int"), "k", [1, 0]).collect()] == [1, 0]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from foliolens import cli
+
+    rows = [(f"i{i}", datetime.date(2020, 3, 31), str(s), 1.0 + s) for i in range(4) for s in range(5)]
+    spark.createDataFrame(rows, "investor_id string, quarter_end date, issuer_id string, adj_mv double").write.parquet(f"{tmp_path}/h")
+    args = ["build", f"{tmp_path}/h", f"{tmp_path}/p", "--min-issuers", "2", "--min-investors", "2"]
+    assert cli.main([*args, "--dry-run"]) == 0 and not (tmp_path / "p").exists()
+    assert cli.main(args) == 0 and cli.main(["preflight", f"{tmp_path}/p"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/p").count() == 4 and "2020-03-31" in capsys.readouterr().out
+    assert cli.main(["preflight", f"{tmp_path}/h"]) == 1
