@@ -75,10 +75,27 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
+NO_ID = -(2**63)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """k1, k2: a key without nulls, in whose order equal doc_ids are told apart by their texts."""
     none = F.col("doc_id").isNull()
-    return id_text(docs).select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("k1"), F.xxhash64("text", none).alias("k2"))
+    return id_text(docs).select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), F.xxhash64("text", none).alias("k2"))
+
+
+def doc_id_of(k1: Column, k2: Column, text: Column) -> Column:
+    """The doc_id of a key: null where the second part says that there was none."""
+    return F.when((k1 != NO_ID) | (k2 != F.xxhash64(text, F.lit(True))), k1)
+
+
+def packed(print_: Column) -> Column:
+    """32-bit hashes as 32-bit integers, in the same order, for the way between tasks."""
+    return F.transform(print_, lambda x: (x - 2**31).cast("int"))
+
+
+def unpacked(print_: Column) -> Column:
+    return F.transform(print_, lambda x: x.cast("long") + 2**31)
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
@@ -102,11 +119,14 @@ def next_keys(keys: DataFrame) -> DataFrame:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     links = next_keys(rows.select("doc_id", "k1", "k2", F.char_length("text").alias("n_chars")).distinct())
-    texts = rows.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
-    tails = texts.join(links, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).select("p1", "p2", "half", F.substring("text", F.lit(1), F.col("half")).alias("tail"), sketch(F.col("text")).alias("next_print"))
+    # Both uses of texts keep the same columns, so that the texts are shuffled once.
+    texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times")).where("times > 0")
+    tails = texts.join(links, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).select("p1", "p2", "half", F.substring("text", F.lit(1), F.col("half")).alias("tail"), packed(sketch(F.col("text"))).alias("next_print"))
     both = texts.join(tails, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")))
     edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - F.col("half")), "tail")
-    prints = both.select("doc_id", "times", F.char_length("text").cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("print"), "next_print")
+    prints = both.select(
+        doc_id_of(F.col("k1"), F.col("k2"), F.col("text")).alias("doc_id"), "times", F.char_length("text").cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("print"), unpacked(F.col("next_print")).alias("next_print")
+    )
     prints = prints.select("doc_id", "times", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "print", sketch(F.col("edited")).alias("edited_print"), "next_print")
     out = prints.select(
         "doc_id",
