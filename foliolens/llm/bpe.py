@@ -29,7 +29,7 @@ TOGETHER = 1_000_000
 class StretchEncoder:
     """encode_all(texts) -> ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, memo: int = 700_000, longest: int = 40):
+    def __init__(self, path: str, memo: int = 800_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,7 +69,7 @@ class StretchEncoder:
         if self.missed > 3 * self.memo:
             self.known, self.missed = {}, 0
         if len(self.known) < self.memo:
-            self.known.update((w, b) for w, b in found.items() if len(w) <= self.longest)
+            self.known.update((w, b) for words in (found, out) for w, b in words.items() if len(w) <= self.longest)
         return out
 
     def _plain(self, texts: list[str]) -> list[bytes | None]:
