@@ -440,6 +440,19 @@ def test_near_dedup_hard_inputs(hard, empty):
     assert neardup.drop_near_duplicates(empty).count() == 0
 
 
+def kept_of(spark, rows):
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    return {r.doc_id for r in neardup.drop_near_duplicates(df).collect()}
+
+
+def test_near_dedup_of_repeated_lines(spark):
+    rng, rows = np.random.default_rng(9), []
+    for k in range(40):
+        words, line = ([f"w{w}" for w in rng.integers(0, 30_000, n)] for n in (104, 10))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + line * 8))]
+    assert kept_of(spark, rows) == set(similarity_groups(rows).values()) == {2 * k for k in range(40)}
+
+
 # Quality
 
 
