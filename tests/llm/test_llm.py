@@ -453,6 +453,29 @@ def test_near_dedup_of_repeated_lines(spark):
     assert kept_of(spark, rows) == set(similarity_groups(rows).values()) == {2 * k for k in range(40)}
 
 
+def edges_by(spark, texts, keys):
+    """Near pairs of texts, numbered, if all of them have these stripe keys only."""
+    marks = []
+    for d, t in enumerate(texts):
+        distinct = np.unique(simhash.shingle_hashes(t.encode(), 5))
+        fp = np.array([simhash.majority(distinct)], dtype=np.uint64).view(np.int64)[0]
+        marks.append((d, d, int(fp), len(distinct), keys))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame(marks, "k1 long, class long, fp long, n long, keys array<long>")
+    return neardup.edges(df, marks, df.select(F.col("doc_id").alias("class"), *neardup._keys()), 5, 0.8)
+
+
+def test_near_dedup_of_a_drifting_group(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "HUBS", 2)
+    words, texts = [f"w{k}" for k in range(400)], []
+    for k in range(60):  # each copy is near to the few before and after it only
+        words[6 * k : 6 * k + 6] = [f"e{k}"] * 6
+        texts.append(" ".join(words))
+    got = {r.node: r.root for r in graph.components(edges_by(spark, texts, [7, 8])).collect()}
+    assert got == dict.fromkeys(range(60), 0)
+
+
 # Quality
 
 
