@@ -476,6 +476,26 @@ def test_near_dedup_of_a_drifting_group(spark, monkeypatch):
     assert got == dict.fromkeys(range(60), 0)
 
 
+@pytest.mark.parametrize("small", [2, 64])
+def test_near_dedup_by_one_key(spark, monkeypatch, small):
+    """Near pairs whose only equal stripe is one that many classes have."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    rng, texts = np.random.default_rng(8), []
+    for _ in range(6):
+        words = [f"w{w}" for w in rng.integers(0, 3000, 120)]
+        texts += [" ".join(words), " ".join([*words[:-1], "edit"])]
+    assert {(r.u, r.v) for r in edges_by(spark, texts, [7]).collect()} == {(2 * k, 2 * k + 1) for k in range(6)}
+
+
+def test_parity_bounds_the_difference_of_sets():
+    rng = np.random.default_rng(10)
+    for n in (5, 80, 3000):
+        a, b = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(2))
+        b = np.concatenate([a[: n // 2], b[n // 2 :]])
+        apart = sum((int(x) ^ int(y)).bit_count() for x, y in zip(neardup.parity(a).view(np.uint64), neardup.parity(b).view(np.uint64), strict=True))
+        assert not (neardup.parity(a) != neardup.parity(a[::-1])).any() and 0 < apart <= len(np.setxor1d(a, b))
+
+
 # Quality
 
 
