@@ -2,7 +2,8 @@
 
 Three kinds are sought: assignments, access keys and long hexadecimal runs. The text is the first entry of a
 worklist. Each entry is scanned, then unwrapped: percent escapes, Unicode escapes and character references
-make a new text each; each base64 run that holds text, or compressed text, makes one. New entries are scanned
+make a new text each; each base64 run makes one of what it holds, unpacked if that is compressed. Bytes that are
+no text are kept and scanned along with the rest. New entries are scanned
 in turn, until nothing is left to unwrap. A digest of content and place keeps an entry from being worked twice,
 and a content that occurs among its own wrappers ends that branch. Every character knows the span of the
 original text that it came from, so a finding in any layer is reported as a span of the document.
@@ -102,11 +103,8 @@ def _substituted(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join([*parts, layer.text[at:]]), np.concatenate([*low, a]), np.concatenate([*high, b]), layer.within)
 
 
-def _percent(s: str) -> str | None:
-    try:
-        return bytes.fromhex(s.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _percent(s: str) -> str:
+    return bytes.fromhex(s.replace("%", "")).decode("utf-8", "surrogateescape")
 
 
 def _escape(s: str) -> str | None:
@@ -117,12 +115,13 @@ def _escape(s: str) -> str | None:
             return chr(int(s[3:-1], 16))
         if s[:2] == "\\x":
             return chr(int(s[2:], 16))
-        return bytes.fromhex(s.replace("\\u", "")).decode("utf-16-be")
+        return bytes.fromhex(s.replace("\\u", "")).decode("utf-16-be", "surrogatepass")
     except (ValueError, OverflowError):
         return None
 
 
 def _text(data: bytes) -> str | None:
+    """data as clean UTF-8, or None."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
@@ -130,6 +129,22 @@ def _text(data: bytes) -> str | None:
     return None if not text or _BINARY.search(text) else text
 
 
+def _read(data: bytes) -> tuple[str, np.ndarray]:
+    """data as text, whatever it holds, and the bytes of each character: UTF-16 where zeros alternate, else UTF-8 with odd bytes kept."""
+    even = len(data) & ~1
+    for code, zeros in (("utf-16-le", data[1:even:2]), ("utf-16-be", data[0:even:2])):
+        if 4 * zeros.count(0) > len(zeros):
+            try:
+                text = data[:even].decode(code, "surrogatepass")
+            except UnicodeDecodeError:
+                continue
+            return text, np.fromiter((4 if c > "\uffff" else 2 for c in text), dtype=np.int64, count=len(text))
+    text = data.decode("utf-8", "surrogateescape")
+    if len(text) == len(data):
+        return text, np.ones(len(text), dtype=np.int64)
+    return text, np.fromiter((len(c.encode("utf-8", "surrogateescape")) for c in text), dtype=np.int64, count=len(text))
+
+
 def _inflated(data: bytes) -> tuple[list[bytes], bool] | None:
     """The windows of what data holds compressed, and whether it goes on; None if it isn't compressed."""
     if data[:2] == b"\x1f\x8b":
@@ -164,18 +179,17 @@ def _unpacked(layer: Layer, cut: list[int]) -> Iterator[Layer]:
             if len(run) % 4 == 1 or plus and "_" not in run and "-" not in run:
                 continue
             data = (base64.urlsafe_b64decode if plus else base64.b64decode)(run + "=" * (-len(run) % 4))
-            text = _text(data)
-            if text is not None:
-                size = np.fromiter((len(c.encode()) for c in text), dtype=np.int64, count=len(text)) if len(text) < len(data) else np.ones(len(text), dtype=np.int64)
+            windows = None if _text(data) else _inflated(data)
+            if windows is None:
+                text, size = _read(data)
                 ends = np.cumsum(size)
                 lo, hi = layer.bounds(m.start(), m.start() + len(run))
                 yield Layer(text, lo[(ends - size) * 4 // 3], hi[np.minimum(-(-ends * 4 // 3), len(run)) - 1], layer.within)
-            elif (windows := _inflated(data)) is not None:
+            else:
                 cut[0] += windows[1]
                 lo, hi = layer.origin(m.start(), m.end())
-                for w in windows[0]:
-                    if (text := _text(w.decode("utf-8", "ignore").encode())) is not None:
-                        yield Layer(text, np.full(len(text), lo), np.full(len(text), hi), layer.within)
+                for text in (_read(w)[0] for w in windows[0]):
+                    yield Layer(text, np.full(len(text), lo), np.full(len(text), hi), layer.within)
 
 
 def find(text: str) -> tuple[list[Span], list[Span], int, int]:

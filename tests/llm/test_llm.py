@@ -268,6 +268,22 @@ def test_secrets_are_found_in_layers(wrapped, name):
     assert "hunter2" not in secrets.redacted(text) and secrets.redacted(text).startswith("é before ") and secrets.redacted(text).endswith(" after")
 
 
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        b64(f"set {SECRET} now".encode("utf-16-le")),
+        b64(f"set {SECRET} now".encode("utf-16-be")),
+        b64(b"name\0\0\0 \x1b[31m" + SECRET.encode()),
+        b64(f"café {SECRET} ".encode("latin-1")),
+        b64(gzip.compress(b"dir/\0\0\0ustar\xff " + SECRET.encode())),
+        "".join(f"%{b:02x}" for b in b"\xe9 " + SECRET.encode()),
+        "".join(f"\\u{ord(c):04x}" for c in f"\ud800 {SECRET}"),
+    ],
+)
+def test_secrets_among_bytes_that_are_no_text(wrapped):
+    assert "assign" in secrets.written(secrets.find(f"before {wrapped} after")[1])
+
+
 def test_spans_map_exactly():
     text = "x %70assword=abc%64ef ok"
     assert secrets.written(secrets.find(text)[1]) == "assign:2:21" and not secrets.scan("pass")
