@@ -8,8 +8,9 @@ in turn, until nothing is left to unwrap. A digest of content and place keeps an
 and a content that occurs among its own wrappers ends that branch. Every character knows the span of the
 original text that it came from, so a finding in any layer is reported as a span of the document.
 
-Compressed layers are unwrapped in windows of WINDOW bytes, which overlap; a layer is read up to MOST bytes, and
-`n_cut` counts the layers that go on beyond.
+Compressed layers are read to their end, all members of them, in windows of WINDOW bytes which overlap; a window
+ends before an encoded run that goes on. Bytes after the last member, or from where a member is damaged, are
+scanned as they are. `n_cut` counts layers that are not read to their end: it is zero.
 
 Defined cases: a null text is an empty one; an empty text has no span; repeated rows get a row each; other
 columns are ignored (`redact` passes them on); an empty table gives no rows.
@@ -21,6 +22,7 @@ import base64
 import bz2
 import hashlib
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -41,7 +43,10 @@ _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
 _URLSAFE = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
 _BINARY = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
-WINDOW, OVERLAP, MOST = 4 << 20, 64 << 10, 256 << 20
+#: Bytes of a window, of the overlap of two, and taken in and given out by a decompressor at once.
+WINDOW, OVERLAP, STEP = 4 << 20, 64 << 10, 64 << 10
+#: Characters of which runs of encoded text consist.
+_ENCODED = (string.ascii_letters + string.digits + "+/_=%\\&#;{}\r\n-").encode()
 
 Span = tuple[int, int, int]  # start, kind's number, end: sorts as the contract lists
 
@@ -145,33 +150,100 @@ def _read(data: bytes) -> tuple[str, np.ndarray]:
     return text, np.fromiter((len(c.encode("utf-8", "surrogateescape")) for c in text), dtype=np.int64, count=len(text))
 
 
-def _inflated(data: bytes) -> tuple[list[bytes], bool] | None:
-    """The windows of what data holds compressed, and whether it goes on; None if it isn't compressed."""
+def _stream(data: bytes):
+    """A decompressor for what data begins with, or None."""
     if data[:2] == b"\x1f\x8b":
-        stream = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] == 0x78 and int.from_bytes(data[:2], "big") % 31 == 0:
-        stream = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        stream = bz2.BZ2Decompressor()
-    else:
-        return None
-    windows, kept, size = [], b"", 0
-    try:
-        rest = data
-        while not stream.eof and size < MOST:
-            new = stream.decompress(rest, WINDOW)
-            rest = getattr(stream, "unconsumed_tail", b"")
-            if not new:
+        return zlib.decompressobj(31)
+    if len(data) > 2 and data[0] == 0x78 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    return bz2.BZ2Decompressor() if data[:3] == b"BZh" else None
+
+
+def _steps(stream, data: bytes, step: int, rest: list[bytes]) -> Iterator[bytes]:
+    """What one member gives, at most step bytes at once; rest gets the bytes after it."""
+    at, tail = 0, b""
+    while not stream.eof:
+        feed = tail
+        if not tail and getattr(stream, "needs_input", True):
+            feed = data[at : at + STEP]
+            at += len(feed)
+        new = stream.decompress(feed, step)
+        tail = getattr(stream, "unconsumed_tail", b"")
+        if new:
+            yield new
+        elif not feed and not stream.eof:
+            break
+    rest.append(stream.unused_data + data[at:] if stream.eof else b"")
+
+
+def _members(data: bytes) -> Iterator[bytes]:
+    """What the members of data give, and the bytes that are in none."""
+    while (stream := _stream(data)) is not None:
+        size, rest = 0, []
+        try:
+            for new in _steps(stream, data, STEP, rest):
+                size += len(new)
+                yield new
+        except (zlib.error, OSError, EOFError):
+            # A damaged member: the step that failed is done again byte by byte, for what comes out before the damage.
+            try:
+                done = 0
+                for new in _again(data, size):
+                    done += len(new)
+                    yield new
+            except (zlib.error, OSError, EOFError):
+                pass
+            if not size + done:
                 break
-            size += len(new)
-            windows.append(kept + new)
-            kept = new[-OVERLAP:]
-    except (zlib.error, OSError, EOFError):
-        pass  # a damaged stream: what came out before is kept
-    return (windows, not stream.eof and size >= MOST) if windows else None
+            yield b"\n"
+            break
+        data = rest[0]
+    if data:
+        yield data
+
+
+def _again(data: bytes, size: int) -> Iterator[bytes]:
+    """What a member gives after its first size bytes, byte by byte."""
+    stream, at, tail = _stream(data), 0, b""
+    while not stream.eof:
+        feed = tail
+        if not tail and getattr(stream, "needs_input", True):
+            feed = data[at : at + 1]
+            at += 1
+        new = stream.decompress(feed, min(size, STEP) or 1)
+        tail = getattr(stream, "unconsumed_tail", b"")
+        if size:
+            size -= len(new)
+        elif new:
+            yield new
+        if not new and not feed and at > len(data):
+            break
+
+
+def _inflated(data: bytes) -> Iterator[bytes] | None:
+    """The windows of what data holds compressed; None if it isn't compressed."""
+    parts = _members(data)
+    first = next(parts, None) if _stream(data) is not None else None
+    return None if first is None or first is data else _windows(first, parts)
+
+
+def _windows(first: bytes, parts: Iterator[bytes]) -> Iterator[bytes]:
+    """Windows of the joined parts: each begins OVERLAP before the end of the last, and ends before a run that goes on."""
+    held, most = bytearray(first), WINDOW
+    for part in parts:
+        held += part
+        if len(held) >= most:
+            end = len(held.rstrip(_ENCODED))
+            if end <= len(held) - most // 2:  # a run of half a window: more is needed to see its end
+                most *= 2
+                continue
+            yield bytes(held[:end])
+            del held[: max(0, end - OVERLAP)]
+            most = WINDOW + len(held)
+    yield bytes(held)
 
 
-def _unpacked(layer: Layer, cut: list[int]) -> Iterator[Layer]:
+def _unpacked(layer: Layer) -> Iterator[Layer]:
     """What the base64 runs of layer hold."""
     for pattern, plus in ((_BASE64, False), (_URLSAFE, True)):
         for m in pattern.finditer(layer.text):
@@ -186,34 +258,41 @@ def _unpacked(layer: Layer, cut: list[int]) -> Iterator[Layer]:
                 lo, hi = layer.bounds(m.start(), m.start() + len(run))
                 yield Layer(text, lo[(ends - size) * 4 // 3], hi[np.minimum(-(-ends * 4 // 3), len(run)) - 1], layer.within)
             else:
-                cut[0] += windows[1]
                 lo, hi = layer.origin(m.start(), m.end())
-                for text in (_read(w)[0] for w in windows[0]):
-                    yield Layer(text, np.full(len(text), lo), np.full(len(text), hi), layer.within)
+                for text in (_read(w)[0] for w in windows):
+                    yield Layer(text, np.broadcast_to(lo, len(text)), np.broadcast_to(hi, len(text)), layer.within)
+
+
+def _inner(layer: Layer) -> Iterator[Layer]:
+    """What layer unwraps to, one at a time, so that a long layer is not held whole."""
+    if "%" in layer.text and (x := _substituted(layer, _PERCENT, _percent)):
+        yield x
+    if ("\\" in layer.text or "&#" in layer.text) and (x := _substituted(layer, _UNICODE, _escape)):
+        yield x
+    yield from _unpacked(layer)
 
 
 def find(text: str) -> tuple[list[Span], list[Span], int, int]:
-    """Base spans, all spans, layers read, layers cut."""
+    """Base spans, all spans, layers read, layers cut (none)."""
     base = scan(text)
-    spans, cut, read, seen = set(base), [0], 0, set()
-    work = [Layer(text)]
+    spans, read, seen = set(base), 0, set()
+    first = Layer(text)
+    work = [(first.key(), first.within, _inner(first))]
     while work:
-        layer = work.pop()
-        read += 1
-        if layer.low is not None:
-            spans.update((a, k, b) for s, k, e in scan(layer.text) for a, b in [layer.origin(s, e)])
-        inner = [x for x in (("%" in layer.text and _substituted(layer, _PERCENT, _percent)), (("\\" in layer.text or "&#" in layer.text) and _substituted(layer, _UNICODE, _escape)), *_unpacked(layer, cut)) if x]
-        if not inner:
+        own, within, inner = work[-1]
+        layer = next(inner, None)
+        if layer is None:
+            work.pop()
             continue
-        own = layer.key()
-        for x in inner:
-            key = x.key()
-            if key == own or key in layer.within or (key, x.place()) in seen:
-                continue
-            seen.add((key, x.place()))
-            x.within = layer.within | {own}
-            work.append(x)
-    return base, sorted(spans), read - 1, cut[0]
+        key = layer.key()
+        if key == own or key in within or (key, layer.place()) in seen:
+            continue
+        seen.add((key, layer.place()))
+        layer.within = within | {own}
+        read += 1
+        spans.update((a, k, b) for s, k, e in scan(layer.text) for a, b in [layer.origin(s, e)])
+        work.append((key, layer.within, _inner(layer)))
+    return base, sorted(spans), read, 0
 
 
 def written(spans: list[Span]) -> str:

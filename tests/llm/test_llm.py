@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and hard inputs."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import math
@@ -284,6 +285,28 @@ def test_secrets_among_bytes_that_are_no_text(wrapped):
     assert "assign" in secrets.written(secrets.find(f"before {wrapped} after")[1])
 
 
+def noise(n):
+    return np.random.default_rng(11).bytes(n)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress])
+def test_compressed_layers_are_read_to_their_end(monkeypatch, pack):
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 12)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 6)
+
+    def found(data):
+        return "assign" in secrets.written(secrets.find(f"before {b64(data)} after")[1])
+
+    secret = f" {SECRET} ".encode()
+    assert found(pack(b"one ") + pack(b"two ") + pack(secret))  # members
+    assert found(pack(b"one ") + secret)  # bytes after the last
+    nested = b64(secret + noise(9000) + secret.replace(b"2", b"3")).encode()
+    assert found(pack(b"word " * 1000 + nested + b" word" * 3000))  # an inner run over many windows
+    spoiled = bytearray(pack(secret + noise(1 << 20)))
+    spoiled[-20_000] ^= 255
+    assert found(bytes(spoiled)) and found(pack(secret + noise(1 << 20))[:-20_000])
+
+
 def test_spans_map_exactly():
     text = "x %70assword=abc%64ef ok"
     assert secrets.written(secrets.find(text)[1]) == "assign:2:21" and not secrets.scan("pass")
