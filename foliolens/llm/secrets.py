@@ -2,7 +2,8 @@
 
 Three kinds are sought: assignments, access keys and long hexadecimal runs. The text is the first entry of a
 worklist. Each entry is scanned, then unwrapped: percent escapes, Unicode escapes and character references
-make a new text each; each base64 run makes one of what it holds, unpacked if that is compressed. Bytes that are
+make a new text each; each base64 run, wrapped at line ends or not, makes one of what it holds, unpacked if that is
+compressed; a run that is no clean text makes one for each of the four places where a blob may begin. Bytes that are
 no text are kept and scanned along with the rest. New entries are scanned
 in turn, until nothing is left to unwrap. A digest of content and place keeps an entry from being worked twice,
 and a content that occurs among its own wrappers ends that branch. Every character knows the span of the
@@ -40,8 +41,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
-_URLSAFE = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
+#: Runs, and runs wrapped at line ends.
+_BASE64 = (re.compile(r"[A-Za-z0-9+/]{16,}"), re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}+(?:\r?\n[A-Za-z0-9+/]++)+"))
+_URLSAFE = (re.compile(r"[A-Za-z0-9_-]{16,}"), re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+(?:\r?\n[A-Za-z0-9_-]++)+"))
+#: Where compressed data may begin in a run: gzip and bzip2 anywhere, zlib after a separator.
+_HEADS = re.compile(r"H4sI|Qlpo|(?<![A-Za-z0-9])e[A-Za-z0-9]")
 _BINARY = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
 #: Bytes of a window, of the overlap of two, and taken in and given out by a decompressor at once.
 WINDOW, OVERLAP, STEP = 4 << 20, 64 << 10, 64 << 10
@@ -243,24 +247,52 @@ def _windows(first: bytes, parts: Iterator[bytes]) -> Iterator[bytes]:
     yield bytes(held)
 
 
+def _decoded(layer: Layer, run: str, at: np.ndarray, plus: bool) -> Iterator[Layer]:
+    """What a base64 run holds, whose characters are at these places of layer. What comes before the blob may have
+    joined the run: unless it decodes to clean text, all four alignments are read, and what may begin compressed data."""
+    decode = base64.urlsafe_b64decode if plus else base64.b64decode
+
+    def data_from(k: int) -> bytes:
+        part = run[k:]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        return decode(part + "=" * (-len(part) % 4))
+
+    def laid(data: bytes, k: int) -> Layer:
+        text, size = _read(data)
+        ends = np.cumsum(size)
+        first, last = at[k + (ends - size) * 4 // 3], at[np.minimum(k - (-ends * 4 // 3), len(run)) - 1]
+        if layer.low is None:
+            return Layer(text, first, last + 1, layer.within)
+        return Layer(text, layer.low[first], layer.high[last], layer.within)
+
+    whole = data_from(0)
+    if _text(whole):
+        yield laid(whole, 0)
+        return
+    for k in sorted({0, *(m.start() for m in _HEADS.finditer(run))}):
+        if _stream(decode(run[k : k + 4])) is not None and (windows := _inflated(data_from(k))) is not None:
+            lo, hi = layer.origin(int(at[k]), int(at[-1]) + 1)
+            for text in (_read(w)[0] for w in windows):
+                yield Layer(text, np.broadcast_to(lo, len(text)), np.broadcast_to(hi, len(text)), layer.within)
+            if not k:
+                return
+    for k in range(4):
+        yield laid(data_from(k) if k else whole, k)
+
+
 def _unpacked(layer: Layer) -> Iterator[Layer]:
-    """What the base64 runs of layer hold."""
-    for pattern, plus in ((_BASE64, False), (_URLSAFE, True)):
-        for m in pattern.finditer(layer.text):
-            run = m[0].rstrip("=")
-            if len(run) % 4 == 1 or plus and "_" not in run and "-" not in run:
-                continue
-            data = (base64.urlsafe_b64decode if plus else base64.b64decode)(run + "=" * (-len(run) % 4))
-            windows = None if _text(data) else _inflated(data)
-            if windows is None:
-                text, size = _read(data)
-                ends = np.cumsum(size)
-                lo, hi = layer.bounds(m.start(), m.start() + len(run))
-                yield Layer(text, lo[(ends - size) * 4 // 3], hi[np.minimum(-(-ends * 4 // 3), len(run)) - 1], layer.within)
-            else:
-                lo, hi = layer.origin(m.start(), m.end())
-                for text in (_read(w)[0] for w in windows):
-                    yield Layer(text, np.broadcast_to(lo, len(text)), np.broadcast_to(hi, len(text)), layer.within)
+    """What the base64 runs of layer hold, each line of a wrapped one by itself too."""
+    for patterns, plus in ((_BASE64, False), (_URLSAFE, True)):
+        for pattern in patterns:
+            for m in pattern.finditer(layer.text):
+                run = m[0]
+                if plus and "_" not in run and "-" not in run:
+                    continue
+                at = np.arange(m.start(), m.end())
+                if pattern is patterns[1]:
+                    at = at[[c not in "\r\n" for c in run]]
+                    run = run.replace("\r", "").replace("\n", "")
+                yield from _decoded(layer, run, at, plus)
 
 
 def _inner(layer: Layer) -> Iterator[Layer]:

@@ -307,6 +307,27 @@ def test_compressed_layers_are_read_to_their_end(monkeypatch, pack):
     assert found(bytes(spoiled)) and found(pack(secret + noise(1 << 20))[:-20_000])
 
 
+MIME = base64.encodebytes(b"f" * 50 + f" {SECRET} ".encode()).decode()
+
+
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        MIME,
+        MIME.replace("\n", "\r\n"),
+        base64.encodebytes(gzip.compress(noise(300) + SECRET.encode())).decode(),
+        base64.encodebytes(zlib.compress(noise(300) + SECRET.encode())).decode(),
+        *(f"https://example.org/{'d' * k}/{b64(SECRET.encode())}" for k in range(1, 5)),
+        *(f"https://example.org/{'d' * k}/{b64(pack(SECRET.encode()))}" for k in range(1, 5) for pack in (gzip.compress, zlib.compress, bz2.compress)),
+        "eyJhbGciOiJIUzI1NiJ9" + b64(SECRET.encode())[:-1] + "x",
+    ],
+)
+def test_secrets_in_wrapped_and_joined_base64(wrapped):
+    text = f"before {wrapped} after"
+    spans = [(s, e) for s, k, e in secrets.find(text)[1] if k == 0]
+    assert spans and all(7 <= s < e <= 7 + len(wrapped) for s, e in spans)
+
+
 def test_spans_map_exactly():
     text = "x %70assword=abc%64ef ok"
     assert secrets.written(secrets.find(text)[1]) == "assign:2:21" and not secrets.scan("pass")
