@@ -10,16 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; a batch of long texts then stays at a few MB.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch, whichever is reached first: a batch holds a few MB, or one longer text.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of its own only where the setting is absent, as in tests."""
+    """The shared folder of the session; a folder of its own only in local mode, as in tests, where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a shared folder")
         path = "file://" + tempfile.mkdtemp(prefix="foliolens-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -38,9 +40,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of very long texts fits a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the rows and bytes of an Arrow batch, so that very long texts fit a Python worker."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        held = str(spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliolens.llm.bpe import encoder
-from foliolens.llm.common import documents, id_text, per_batch, rows_to_batch, small_batches, stored, texts_of
-from foliolens.llm.token_files import id_lists
+from foliolens.llm.bpe import id_lists
+from foliolens.llm.common import documents, id_text, per_batch, rows_to_batch, small_batches, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -39,8 +38,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batch: pa.RecordBatch, tokenizer_path: str, end_id: int, capacity: int) -> pa.RecordBatch:
-    lengths, ids = id_lists(encoder(tokenizer_path).encode_all(texts_of(batch.column("text"))), end_id)
-    data, at, rows = memoryview(ids).cast("B"), 0, []
+    lengths, ids = id_lists(tokenizer_path, batch.column("text"), end_id)
+    data, at, rows = memoryview(np.ascontiguousarray(ids)).cast("B"), 0, []
     for doc, n in zip(batch.column("doc_id").to_pylist(), lengths.tolist(), strict=True):
         rows += [(doc, k, s, m, zlib.crc32(data[4 * (at + s) : 4 * (at + s + m)])) for k, (s, m) in enumerate(cut(n, capacity))]
         at += n

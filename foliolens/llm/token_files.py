@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliolens.llm.bpe import encoder
-from foliolens.llm.common import documents, id_text, per_batch, rows_to_batch, shared_path, small_batches, texts_of
+from foliolens.llm.bpe import id_lists
+from foliolens.llm.common import documents, id_text, per_batch, rows_to_batch, shared_path, small_batches
 
 FILE_SCHEMA = "doc_id long, block int, row long, block_start long, n_tokens long, ids array<int>"
 
@@ -42,21 +42,14 @@ WRITE_OPTIONS = {
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("row", pa.int64()), ("block_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def id_lists(tokens: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths with the end id, and all ids one after another."""
-    end = np.array([end_id], dtype="<u4").tobytes()
-    lengths = np.fromiter((len(b) // 4 + 1 for b in tokens), dtype=np.int64, count=len(tokens))
-    return lengths, np.frombuffer(b"".join(b + end for b in tokens), dtype="<i4")
-
-
 def _encode_blocks(tokenizer_path: str, end_id: int):
     def run(batches):
-        encode, block, row, start = encoder(tokenizer_path).encode_all, TaskContext.get().partitionId(), 0, 0
+        block, row, start = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            lengths, ids = id_lists(encode(texts_of(batch.column("text"))), end_id)
+            lengths, ids = id_lists(tokenizer_path, batch.column("text"), end_id)
             ends = np.cumsum(lengths)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), type=pa.int32()), pa.array(ids, type=pa.int32()))
             yield rows_to_batch(_SCHEMA, [batch.column("doc_id"), np.full(n, block, dtype=np.int32), np.arange(row, row + n), start + ends - lengths, lengths, lists])

@@ -171,7 +171,7 @@ def test_stretches_encode_like_whole_texts(path, texts):
             assert got == array("I", tok.encode(t, add_special_tokens=False).ids).tobytes(), t[:80]
 
 
-@given(st.text(alphabet="aB é.,!?'\n\t 　\x1ć漢1<|>", max_size=40))
+@given(st.text(alphabet="aBİ\u0958 é.,!?'\n\t 　\x1ć漢1<|>", max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_stretches_encode_any_text(t):
     for path in (WORD, BYTE):
