@@ -2,10 +2,11 @@
 
 A document longer than the capacity is cut into full pieces, the remainder first. Only the histogram of
 piece lengths (at most `capacity` numbers) reaches the driver. There the configuration program, whose
-columns are the multisets of lengths that fit into one sequence, is solved by multiplicative weights:
-each length has a weight that falls as its demand gets covered, and a knapsack dynamic program prices the
-best column under the present weights. Counts are rounded down, and what is left over is placed by best fit
-on the histogram. Each piece finds its place by its rank among the pieces of its length.
+columns are the multisets of lengths that fit into one sequence, is solved fractionally by multiplicative
+weights (`solve`): each length has a weight that falls as its demand gets covered, and a knapsack dynamic program
+prices the best column under the present weights; the weights also give a lower bound of any layout. Counts are
+rounded down, and what is left over is placed by best fit on the histogram. Each piece finds its place by its rank
+among the pieces of its length.
 
 Defined cases: a null text is an empty one, whose piece holds the end id only; repeated rows stay and each
 gets a place; ties of rank fall to the piece's own numbers; other columns are ignored; an empty table gives
@@ -14,6 +15,7 @@ no rows.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 
@@ -27,8 +29,8 @@ from foliolens.llm.common import documents, id_text, per_batch, rows_to_batch, s
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-#: Groups into which the pieces of one length are dealt, so that no length is ranked in one task.
-SALTS = 64
+#: Groups into which the pieces of one length are dealt, so that no length is ranked in one task; full pieces, any number of them, into FULL times as many.
+SALTS, FULL = 64, 64
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -51,72 +53,102 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     return id_text(docs).mapInArrow(per_batch(_pieces, tokenizer_path, end_id, capacity), PIECES)
 
 
-def price(weights: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of the largest total weight that fits, by an unbounded knapsack program.
-
-    weights[n] is the weight of length n, minus infinity where there is none. Among equal columns the one
-    with the longest lengths wins, so that short pieces stay to fill gaps.
-    """
-    best, last, down = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64), weights[:0:-1]
+def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """The multiset of lengths (ascending) of the largest total weight that fits, as counts, and that weight: an
+    unbounded knapsack program."""
+    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        v = best[:c] + down[capacity - c :]  # v[j]: a piece of c - j after the best of room j
-        j = int(v.argmax())
-        if v[j] > best[c - 1] + 1e-12:
-            best[c], last[c] = v[j], c - j
-        else:
-            best[c] = best[c - 1]
-    column: dict[int, int] = defaultdict(int)
-    c = capacity
+        best[c] = best[c - 1]
+        if fit[c]:
+            v = best[c - lengths[: fit[c]]] + weights[: fit[c]]
+            j = int(v.argmax())
+            if v[j] > best[c] + 1e-12:
+                best[c], last[c] = v[j], j + 1
+    counts, c = np.zeros(len(lengths)), capacity
     while c > 0:
-        column[int(last[c])] += last[c] > 0
-        c -= int(last[c]) or 1
-    column.pop(0, None)
-    return dict(column)
-
-
-def solve(demand: dict[int, int], capacity: int, rounds: int = 800, rate: float = 0.3, share: float = 0.5, fill: float = 0.998) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """Columns with their whole counts, and the demand left over, by multiplicative weights.
-
-    Weights start at the lengths' shares of the capacity, the best dual values if no room is lost. Each
-    round prices a column, takes a share of what its scarcest length still allows, and lowers the weights
-    of its lengths by a power of the share of their demand thus covered. It ends when the best column
-    no longer fills its sequence.
+        if last[c]:
+            counts[last[c] - 1] += 1
+        c -= int(lengths[last[c] - 1]) if last[c] else 1
+    return counts, float(best[capacity])
+
+
+def solve(demand: dict[int, int], capacity: int, start: list[tuple[dict[int, int], int]], rounds: int = 500, steps: int = 40_000, rates: tuple[float, float] = (0.3, 0.05)) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The configuration program, fractionally: lengths, columns (a row of counts each), how often each is used,
+    and a lower bound of the optimum.
+
+    Multiplicative weights: x begins as the columns of `start`, with a twentieth of the demand. A length's weight begins
+    at its share of the capacity and falls by a power of the share of its demand that a step covers. Each round prices
+    the best column by the knapsack program, then takes steps with columns whose weight is near to its: a step uses a
+    column so often that it covers the scarcest of its lengths once. x over the least covered length's cover is a
+    solution of the program; weights over the priced column's weight are one of the dual, whose value bounds every
+    solution from below.
     """
-    left = {n: k for n, k in demand.items() if k > 0}
-    weights = np.full(capacity + 1, -np.inf)
-    for n in left:
-        weights[n] = n / capacity * (1 + 1e-3 * n / capacity)
-    taken: dict[tuple, int] = defaultdict(int)
-    for _ in range(rounds):
-        if not left:
-            break
-        column = price(weights, capacity)
-        if sum(n * k for n, k in column.items()) < fill * capacity:
+    lengths = np.array(sorted(n for n, k in demand.items() if k > 0), dtype=np.int64)
+    need = np.array([demand[n] for n in lengths.tolist()], dtype=float)
+    place = {n: i for i, n in enumerate(lengths.tolist())}
+    columns, x = np.zeros((len(start) + rounds, len(lengths))), np.zeros(len(start) + rounds)
+    for i, (column, k) in enumerate(start):
+        x[i] = k / 20
+        for n, c in column.items():
+            columns[i, place[n]] = c
+    known = {columns[i].tobytes(): i for i in range(len(start))}
+    cover, weights = x @ columns / need, lengths / capacity
+    best, chosen, low, taken = 20 * float(x.sum()), 20 * x, 0.0, 0
+    for r in range(rounds):
+        rate = rates[0] * (rates[1] / rates[0]) ** (r / rounds)
+        column, top = price(lengths, weights, capacity)
+        low = max(low, float(weights @ need) / top)
+        if best <= low * (1 + 1e-4) or taken >= steps:
             break
-        most = min(left[n] // k for n, k in column.items())
-        if not most:  # a length that this column wants more often than it is left: best fit places it
-            n = min(column, key=lambda n: left[n] / column[n])
-            del left[n]
-            weights[n] = -np.inf
-            continue
-        count = max(1, int(most * share))
-        taken[tuple(sorted(column.items()))] += count
-        for n, k in column.items():
-            weights[n] *= float(np.exp(-rate * k * count / demand[n]))
-            left[n] -= k * count
-            if not left[n]:
-                del left[n]
-                weights[n] = -np.inf
-    rest = dict(demand)
-    for column, count in taken.items():
-        for n, k in column:
-            rest[n] -= k * count
-    return [(dict(c), k) for c, k in taken.items()], {n: k for n, k in rest.items() if k > 0}
-
-
-def best_fit(rest: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit, longest first, over counts of equal bins: {room: {contents: bins}}."""
+        columns[known.setdefault(column.tobytes(), len(known))] = column
+        used = columns[: len(known)]
+        value = used @ weights
+        for _ in range(1000):
+            i = int(value.argmax())
+            if value[i] < top * (1 - rate / 2):
+                break
+            parts = np.flatnonzero(used[i])
+            each = used[i, parts]
+            amount = float((need[parts] / each).min())
+            x[i] += amount
+            cover[parts] += each * amount / need[parts]
+            fallen = weights[parts] * np.exp(-rate * each * amount / need[parts])
+            value -= used[:, parts] @ (weights[parts] - fallen)
+            weights[parts] = fallen
+            taken += 1
+        weights /= weights.max()
+        if (total := float(x.sum() / cover.min())) < best:
+            best, chosen = total, x / cover.min()
+    return lengths, columns[: len(known)], chosen[: len(known)], low
+
+
+def rounded(demand: dict[int, int], capacity: int, lengths: np.ndarray, columns: np.ndarray, x: np.ndarray, least: float) -> list[tuple[dict[int, int], int]]:
+    """Whole counts for a fractional solution: x rounded down, most used columns first; where a length has run out,
+    what is left of a column is taken as long as it fills `least` of a sequence. Best fit places the rest, in these
+    sequences' gaps too."""
+    left = np.array([demand[n] for n in lengths.tolist()], dtype=np.int64)
+    out = []
+    for i in np.argsort(-x, kind="stable"):
+        parts, todo = np.flatnonzero(columns[i]), int(x[i])
+        each = columns[i, parts].astype(np.int64)
+        while todo > 0:
+            held = np.minimum(each, left[parts])
+            some = held > 0
+            if not some.any() or held @ lengths[parts] < least * capacity:
+                break
+            times = min(todo, int((left[parts][some] // held[some]).min()))
+            out.append(({int(lengths[p]): int(k) for p, k in zip(parts[some], held[some], strict=True)}, times))
+            left[parts] -= held * times
+            todo -= times
+    return best_fit({int(n): int(k) for n, k in zip(lengths, left, strict=True) if k}, capacity, out)
+
+
+def best_fit(rest: dict[int, int], capacity: int, begun: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest first, over counts of equal bins, into bins begun already too: {room: {contents: bins}}."""
     bins: dict[int, dict[tuple, int]] = defaultdict(lambda: defaultdict(int))
+    for column, k in begun:
+        bins[capacity - sum(n * c for n, c in column.items())][tuple(sorted(column.items()))] += k
     for n in sorted(rest, reverse=True):
         todo = rest[n]
         while todo:
@@ -132,16 +164,27 @@ def best_fit(rest: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
             put = min(todo, count)
             if count > put:
                 bins[room][held] += count - put
-            bins[room - n][((*held[:-1], (n, held[-1][1] + 1)) if held[-1][0] == n else (*held, (n, 1)))] += put
+            more = dict(held)
+            more[n] = more.get(n, 0) + 1
+            bins[room - n][tuple(sorted(more.items()))] += put
             todo -= put
     return [(dict(held), k) for groups in bins.values() for held, k in groups.items()]
 
 
-def layout(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Columns and counts that hold the demand exactly."""
+def layout(demand: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Columns and counts that hold the demand exactly, and a lower bound of the sequences of any layout.
+
+    Of the fractional solution's roundings the one of fewest sequences is taken; if none has fewer than the columns
+    with which the program began, those stand, as they are a solution of it too.
+    """
     full, parts = demand.get(capacity, 0), {n: k for n, k in demand.items() if n < capacity and k}
-    columns, rest = solve(parts, capacity) if parts else ([], {})
-    return [({capacity: 1}, full)] * (full > 0) + columns + best_fit(rest, capacity)
+    whole = [({capacity: 1}, full)] * (full > 0)
+    if not parts:
+        return whole, full
+    start = best_fit(parts, capacity)
+    lengths, columns, x, low = solve(parts, capacity, start)
+    found = min([start, *(rounded(parts, capacity, lengths, columns, x, least) for least in (0.0, 0.9, 0.99))], key=lambda f: sum(k for _, k in f))
+    return whole + found, full + math.ceil(low - 1e-6)
 
 
 def intervals(columns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
@@ -159,38 +202,40 @@ def intervals(columns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray
     return {"key": (a[:, 0] << 44) + a[:, 1], "first": a[:, 1], "base": a[:, 2], "each": a[:, 3], "offset": a[:, 4]}
 
 
-_PLACED = pa.schema([*_PIECES, pa.field("sequence_id", pa.int64()), pa.field("offset", pa.int64())])
+_PLACED = pa.schema([*_PIECES, pa.field("sequence_id", pa.int64()), pa.field("offset", pa.int64()), pa.field("least_sequences", pa.int64())])
 
 
-def _place(batch: pa.RecordBatch, plan: dict[str, np.ndarray]) -> pa.RecordBatch:
+def _place(batch: pa.RecordBatch, plan: dict[str, np.ndarray], least: int) -> pa.RecordBatch:
     n, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
     k = np.searchsorted(plan["key"], (n << 44) + rank, side="right") - 1
     nth, each = rank - plan["first"][k], plan["each"][k]
-    return rows_to_batch(_PLACED, [*(batch.column(f.name) for f in _PIECES), plan["base"][k] + nth // each, plan["offset"][k] + nth % each * n])
+    return rows_to_batch(_PLACED, [*(batch.column(f.name) for f in _PIECES), plan["base"][k] + nth // each, plan["offset"][k] + nth % each * n, np.full(len(n), least)])
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, salts: int = SALTS) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and in all rows the bound
+    least_sequences, below which no layout of these pieces can get."""
     pieces = stored(token_pieces(docs, tokenizer_path, end_id, capacity), "pieces")
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    groups = pieces.groupBy("length", "salt").count().collect()  # at most capacity x salts rows
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.when(F.col("length") == capacity, salts * FULL).otherwise(salts)).cast("int"))
+    groups = pieces.groupBy("length", "salt").count().collect()  # at most (capacity + FULL) x salts rows
     demand: dict[int, int] = defaultdict(int)
     before = {}
     for r in sorted(groups, key=lambda r: (r["length"], r["salt"])):
         before[r["length"], r["salt"]] = demand[r["length"]]
         demand[r["length"]] += r["count"]
     keys = sorted(before)
-    table = {"key": np.array([n * salts + s for n, s in keys], dtype=np.int64), "before": np.array([before[k] for k in keys], dtype=np.int64)}
-    plan = intervals(layout(dict(demand), capacity))
+    table = {"key": np.array([n * salts * FULL + s for n, s in keys], dtype=np.int64), "before": np.array([before[k] for k in keys], dtype=np.int64)}
+    columns, least = layout(dict(demand), capacity)
+    plan = intervals(columns)
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start"))
     ranked = pieces.withColumn("nth", (nth - 1).cast("long"))
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key = batch.column("length").to_numpy() * salts + batch.column("salt").to_numpy()
+        key = batch.column("length").to_numpy() * salts * FULL + batch.column("salt").to_numpy()
         rank = table["before"][np.searchsorted(table["key"], key)] + batch.column("nth").to_numpy()
-        return _place(batch.append_column("rank", pa.array(rank)), plan)
+        return _place(batch.append_column("rank", pa.array(rank)), plan, least)
 
-    return ranked.mapInArrow(per_batch(place), PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(per_batch(place), PIECES + ", sequence_id long, offset long, least_sequences long")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

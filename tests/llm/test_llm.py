@@ -617,28 +617,67 @@ def test_op8(spark, texts):
     assert used <= 1.03 * least + 2
 
 
+def bins_of(columns):
+    return sum(k for _, k in columns)
+
+
 @given(st.dictionaries(st.integers(1, 63), st.integers(0, 40), max_size=12))
 @settings(max_examples=60, deadline=None)
 def test_layout_holds_the_demand(demand):
-    columns = packing.layout(demand, 64)
+    columns, least = packing.layout(demand, 64)
     held = Counter()
     for column, count in columns:
         assert sum(n * k for n, k in column.items()) <= 64
         for n, k in column.items():
             held[n] += k * count
     assert held == Counter({n: k for n, k in demand.items() if k})
+    assert math.ceil(sum(n * k for n, k in demand.items()) / 64) <= least <= bins_of(columns) <= bins_of(packing.best_fit({n: k for n, k in demand.items() if k}, 64))
+
+
+def fewest_bins(pieces, capacity, rooms=()):
+    """Every assignment of a few pieces, longest first."""
+    if not pieces:
+        return len(rooms)
+    n, best = pieces[0], fewest_bins(pieces[1:], capacity, (*rooms, capacity - pieces[0]))
+    for room in {r for r in rooms if r >= n}:
+        k = rooms.index(room)
+        best = min(best, fewest_bins(pieces[1:], capacity, (*rooms[:k], room - n, *rooms[k + 1 :])))
+    return best
+
+
+@given(st.lists(st.integers(1, 19), min_size=1, max_size=7))
+@settings(max_examples=60, deadline=None)
+def test_bound_and_layout_around_the_optimum(pieces):
+    columns, least = packing.layout(dict(Counter(pieces)), 20)
+    best = fewest_bins(sorted(pieces, reverse=True), 20)
+    assert least <= best <= bins_of(columns) <= best + 1
+
+
+@pytest.mark.parametrize(
+    ("demand", "most", "bound"),
+    [  # the optima of the first two can be worked out by hand
+        ({513: 20_000, 300: 40_000, 211: 20_000}, 26_667, 26_660),
+        ({518: 6000, 271: 6000, 263: 6000, 239: 12_000}, 9010, 8990),
+        ({130: 3000, 250: 3000, 333: 4000, 512: 2000, 611: 2500}, 5050, 4980),
+        ({n: 500 + 97 * n % 2000 for n in range(203, 500, 10)}, 0, 0),
+    ],
+)
+def test_program_beats_best_fit(demand, most, bound):
+    columns, least = packing.layout(demand, 1024)
+    assert bound <= least <= bins_of(columns) <= (most or bins_of(packing.best_fit(demand, 1024)))
+    if not most:
+        assert bins_of(columns) <= 1.02 * least
 
 
 def test_pricing_finds_the_best_column():
     rng = np.random.default_rng(7)
-    w = np.full(31, -np.inf)
-    for n in (3, 7, 8, 11, 19):
-        w[n] = rng.random()
-    column = packing.price(w, 30)
+    lengths = np.array([3, 7, 8, 11, 19])
+    w = rng.random(5)
+    column, value = packing.price(lengths, w, 30)
     best = {0: 0.0}
     for c in range(1, 31):
-        best[c] = max([best[c - 1], *(best[c - n] + w[n] for n in (3, 7, 8, 11, 19) if n <= c)])
-    assert abs(sum(w[n] * k for n, k in column.items()) - best[30]) < 1e-9 and sum(n * k for n, k in column.items()) <= 30
+        best[c] = max([best[c - 1], *(best[c - n] + x for n, x in zip(lengths.tolist(), w.tolist(), strict=True) if n <= c)])
+    assert abs(column @ w - best[30]) < 1e-9 and abs(value - best[30]) < 1e-9 and column @ lengths <= 30
 
 
 def test_packing_hard_inputs(hard, empty):
