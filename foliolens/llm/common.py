@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch, whichever is reached first: a batch holds a few MB, or one longer text.
@@ -56,6 +56,29 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def free_name(name: str, columns: Iterable[str]) -> str:
+    """name, with underscores behind it as long as a column is called so (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Copies of one row that one task writes in a row.
+BLOCK = 10_000
+
+
+def block_numbers(times: Column) -> Column:
+    """0, 1, ... for the blocks of at most BLOCK copies."""
+    return F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / BLOCK).cast("long"))
+
+
+def numbers_in_block(block: Column, times: Column) -> Column:
+    """The copies' numbers in a block, from 0 on over all blocks."""
+    first = block * BLOCK
+    return F.sequence(first, F.least(first + BLOCK, times) - 1)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 

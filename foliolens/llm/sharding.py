@@ -6,11 +6,12 @@ row number r goes to shard p(r) mod shards, slot p(r) div shards. So the shuffle
 every row's place can be computed from its number, a place's row number from the inverse, and shard
 sizes differ by one row at most (the law `rows`).
 
-Equal rows are counted before they are numbered, so a third of all rows may be one row. The driver gets
-one number for each bucket.
+Equal rows are counted before they are numbered, and written in blocks by many tasks, so a third of all rows
+may be one row. The driver gets one number for each bucket.
 
-Defined cases: nulls in any column are values like others; repeated rows get places of their own; an
-empty table gives no rows; other columns than those asked for are ignored.
+Defined cases: nulls in any column are values like others; empty and very long texts count by size and checksum
+alone, as no text is shuffled; repeated rows get places of their own, ties of hash fall to the values; an empty table
+gives no rows; other columns than those asked for are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import documents, per_batch, small_batches
+from foliolens.llm.common import BLOCK, block_numbers, documents, free_name, numbers_in_block, per_batch, small_batches
 
 BUCKETS = 4096
 
@@ -65,26 +66,32 @@ class Feistel:
         return self._walk(places, True)
 
 
-def numbered(df: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
-    """df with a global row number `row_number`, and the number of rows."""
+def numbered(df: DataFrame, buckets: int = BUCKETS, name: str = "row_number") -> tuple[DataFrame, int]:
+    """df with a global row number, and the number of rows."""
     columns = df.columns
-    digest = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-    counted = df.select(F.pmod(digest, F.lit(buckets)).cast("int").alias("__bucket"), digest.alias("__digest"), *[F.col(f"`{c}`") for c in columns])
-    counted = counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("__count"))
-    sizes = dict(counted.groupBy("__bucket").agg(F.sum("__count")).collect())
+    bucket, digest, count, start, before, block = (free_name(c, columns) for c in ("bucket", "digest", "count", "start", "before", "block"))
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    counted = df.select(F.pmod(hashed, F.lit(buckets)).cast("int").alias(bucket), hashed.alias(digest), *[F.col(f"`{c}`") for c in columns])
+    counted = counted.groupBy(*[F.col(f"`{c}`") for c in counted.columns]).agg(F.count(F.lit(1)).alias(count))
+    sizes = {r[0]: r[1:] for r in counted.groupBy(bucket).agg(F.sum(count), F.max(count)).collect()}
     starts, n = [], 0
     for b in range(buckets):
         starts.append(n)
-        n += sizes.get(b, 0)
-    before = F.sum("__count").over(Window.partitionBy("__bucket").orderBy("__digest", *[F.col(f"`{c}`") for c in columns]).rowsBetween(Window.unboundedPreceding, -1))
-    first = df.sparkSession.createDataFrame([(b, s) for b, s in enumerate(starts)], "__bucket int, __start long")
-    placed = counted.withColumn("__before", F.coalesce(before, F.lit(0))).join(F.broadcast(first), "__bucket")
-    low = F.col("__start") + F.col("__before")
-    return placed.select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(low, low + F.col("__count") - 1)).alias("row_number")), n
+        n += sizes.get(b, (0,))[0]
+    so_far = F.sum(count).over(Window.partitionBy(bucket).orderBy(digest, *[F.col(f"`{c}`") for c in columns]).rowsBetween(Window.unboundedPreceding, -1))
+    first = df.sparkSession.createDataFrame([(b, s) for b, s in enumerate(starts)], f"`{bucket}` int, `{start}` long")
+    placed = counted.withColumn(before, F.coalesce(so_far, F.lit(0))).join(F.broadcast(first), bucket).withColumn(block, F.explode(block_numbers(F.col(count))))
+    if max((most for _, most in sizes.values()), default=0) > BLOCK:  # the copies of one row are written by many tasks
+        placed = placed.repartition(digest, block)
+    nth = F.transform(numbers_in_block(F.col(block), F.col(count)), lambda k: F.col(start) + F.col(before) + k)
+    return placed.select(*[F.col(f"`{c}`") for c in columns], F.explode(nth).alias(name)), n
 
 
 def assign_shards(df: DataFrame, shards: int = 24, seed: int = 17) -> DataFrame:
-    """df (its columns must be comparable) with row_number, shard and slot."""
+    """df (its columns must be comparable) with row_number, shard and slot; own columns of these names get an underscore behind them."""
+    for c in ("row_number", "shard", "slot"):
+        if c in df.columns:
+            df = df.withColumnRenamed(c, free_name(c, df.columns))
     rows, n = numbered(df)
     permutation = Feistel(n, seed)
 
