@@ -1,16 +1,18 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A text is a sequence of words (runs between blanks, cut after 24 characters; a Han or kana character is a
-word of its own). A window of K words is an anchor if the least hash among its inner runs of S words lies at
-its first or last run. Whether a window is an anchor depends on its own words alone, so the same passage gives
-the same anchors in any text, and `anchors` with their positions align two texts. The fingerprint is the
-M smallest 32-bit hashes of the distinct anchors; the likeness of two fingerprints is the share of the M
-smallest of their union that both hold, an estimate of the anchors' Jaccard resemblance.
+A text is a sequence of words: runs between blanks, where a character of a script that is written without blanks
+(Han, kana, Thai, Lao, Khmer, Burmese) is a word of its own. A window of K words is an anchor if the least hash among
+its inner runs of S words lies at its first or last run. Whether a window is an anchor depends on its own words alone,
+so the same passage gives the same anchors in any text, and anchors with their positions align two texts. The
+fingerprint holds the 32-bit hashes of all anchors in the order of the text; the likeness of two fingerprints is the
+share of their distinct anchors that both hold. `in_place_edited` counts the distinct anchors that stand at the same
+position in a text and its edited one.
 
 Defined cases: a null text is an empty one, with an empty fingerprint; two empty fingerprints are alike (1.0),
-an empty and another are not (0.0); a text without any anchor has one, its whole word sequence; rows of equal
-doc_id follow one another by the hash of their texts; repeated rows have one place in that order and get a row
-each; a null doc_id comes first; a single document is its own next one; other columns are ignored.
+an empty and another are not (0.0); a text without any anchor has one, its whole word sequence; a text is one value
+of a row, however long, and is shuffled once; rows of equal doc_id follow one another by the hash of their texts;
+repeated rows have one place in that order and get a row each; a null doc_id comes first; a single document is its own
+next one; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import documents, id_text, stored
+from foliolens.llm.common import BLOCK, block_numbers, documents, id_text, numbers_in_block, stored
 
-K, S, M = 5, 2, 128
-_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
-WORD = rf"[{_ALONE}]|[^\x20\x09-\x0D{_ALONE}]{{1,24}}"
+K, S = 5, 2
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[{_ALONE}]|[^\x20\x09-\x0D{_ALONE}]+"
+_LOW = 0xFFFFFFFF
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -60,15 +63,19 @@ def anchors(text: Column) -> Column:
     return let(words, of)
 
 
-def sketch(text: Column, m: int = M) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors(text), lambda a: a["hash"]))), 1, m)
+def placed(text: Column) -> Column:
+    """The anchors of a text in their order, each as one long: position times 2^32 plus hash."""
+    return F.transform(anchors(text), lambda a: F.shiftleft(a["pos"].cast("long"), 32).bitwiseOR(a["hash"]))
 
 
-def likeness(a: Column, b: Column, m: int = M) -> Column:
-    def share(both: Column) -> Column:
-        return F.size(F.array_intersect(F.array_intersect(a, b), both)) / F.size(both)
+def hashes(placed_anchors: Column) -> Column:
+    return F.transform(placed_anchors, lambda x: x.bitwiseAND(F.lit(_LOW)))
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(let(F.slice(F.sort_array(F.array_union(a, b)), 1, m), share))
+
+def likeness(a: Column, b: Column) -> Column:
+    """The share of the distinct anchors of both that either holds."""
+    both = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(both)
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -101,33 +108,34 @@ def unpacked(print_: Column) -> Column:
 def next_keys(keys: DataFrame) -> DataFrame:
     """(k1, k2, half, p1, p2): document k comes next after document p, half of whose characters are half.
 
-    Ranges of ids are laid out once and stored; each range is ordered by itself, and its last row gets the
-    first of the next range from a table with a row for each range.
+    keys: distinct (doc_id, k1, k2, n_chars) laid out in ranges of ids. Each range is ordered by itself, and its last
+    row gets the first of the next range from a table with a row for each range.
     """
     order = ["doc_id", "k2"]
-    ranged = keys.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
-    ranged = stored(ranged, "ranges")
     here = F.struct("doc_id", "k2", "k1")
-    firsts = ranged.groupBy("range").agg(F.min(here).alias("first"))
+    firsts = keys.groupBy("range").agg(F.min(here).alias("first"))
     over = Window.orderBy("range")
     firsts = firsts.select("range", F.coalesce(F.lead("first").over(over), F.first("first").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("then"))
     follow = F.lead(here).over(Window.partitionBy("range").orderBy(*order))
-    rows = ranged.withColumn("next", follow).join(F.broadcast(firsts), "range").withColumn("next", F.coalesce("next", "then"))
+    rows = keys.withColumn("next", follow).join(F.broadcast(firsts), "range").withColumn("next", F.coalesce("next", "then"))
     return stored(rows.select(F.col("next.k1").alias("n1"), F.col("next.k2").alias("n2"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), F.col("k1").alias("p1"), F.col("k2").alias("p2")), "next")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
-    links = next_keys(rows.select("doc_id", "k1", "k2", F.char_length("text").alias("n_chars")).distinct())
+    keys = rows.groupBy("doc_id", "k1", "k2", F.char_length("text").alias("n_chars")).agg(F.count(F.lit(1)).alias("times"))
+    keys = stored(keys.repartitionByRange("doc_id", "k2").withColumn("range", F.spark_partition_id()), "ranges")
+    links = next_keys(keys)
     # Both uses of texts keep the same columns, so that the texts are shuffled once.
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times")).where("times > 0")
-    tails = texts.join(links, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).select("p1", "p2", "half", F.substring("text", F.lit(1), F.col("half")).alias("tail"), packed(sketch(F.col("text"))).alias("next_print"))
+    tails = texts.join(links, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).select("p1", "p2", "half", F.substring("text", F.lit(1), F.col("half")).alias("tail"), packed(F.array_distinct(hashes(placed(F.col("text"))))).alias("next_print"))
     both = texts.join(tails, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")))
     edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - F.col("half")), "tail")
     prints = both.select(
-        doc_id_of(F.col("k1"), F.col("k2"), F.col("text")).alias("doc_id"), "times", F.char_length("text").cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("print"), unpacked(F.col("next_print")).alias("next_print")
+        doc_id_of(F.col("k1"), F.col("k2"), F.col("text")).alias("doc_id"), "times", F.char_length("text").cast("long").alias("n_chars"), edited.alias("edited"), placed(F.col("text")).alias("at"), unpacked(F.col("next_print")).alias("next_print")
     )
-    prints = prints.select("doc_id", "times", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "print", sketch(F.col("edited")).alias("edited_print"), "next_print")
+    prints = prints.select("doc_id", "times", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "at", placed(F.col("edited")).alias("edited_at"), "next_print")
+    prints = prints.withColumns({"print": hashes(F.col("at")), "edited_print": hashes(F.col("edited_at"))})
     out = prints.select(
         "doc_id",
         "times",
@@ -137,8 +145,12 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         as_text(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
         likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+        F.size(F.array_intersect("at", "edited_at")).cast("long").alias("in_place_edited"),
     )
-    return out.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("time", "times")
+    out = out.withColumn("block", F.explode(block_numbers(F.col("times"))))
+    if (keys.agg(F.max("times")).first()[0] or 0) > BLOCK:  # the copies of one row are written by many tasks
+        out = out.repartition("fingerprint", "block")
+    return out.withColumn("time", F.explode(numbers_in_block(F.col("block"), F.col("times")))).drop("time", "times", "block")
 
 
 def op2_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
