@@ -8,9 +8,11 @@ out. Each path becomes one conversation (`format_paths`): a turn is marked by co
 escape them with a backslash, so that `parse` reads the turns back exactly. The loss mask is a list of
 spans (code points of the formatted text) over the assistants' texts.
 
-Defined cases: a null text or role is empty; a null conv_id is a conversation like others; turns of equal
-number stand in order of role and text; repeated rows stay as turns of their own; a message whose parent
-is missing is a root; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text or role is empty; a null score counts 0; a null conv_id is a conversation like others;
+turns of equal number stand in order of role and text; repeated rows stay as turns of their own; a message whose parent
+is missing is a root, and so is the smallest message of a cycle of parents; of several rows with one message id the
+least counts (`distinct_messages`); branches of equal score rank by their leaf; a conversation is one row of the
+output, so it must fit a row (2 GB); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,32 +44,58 @@ def linear_tree(rows: DataFrame) -> DataFrame:
     return rows.withColumn("node", node).select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.length("text").cast("double").alias("score"))
 
 
-def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables of jumps over 1, 2, 4 ... replies, and each message's depth and summed score.
+def _at(left: DataFrame, right: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """left joined with right (k, n, ...) on conv_id = k and column = n."""
+    return left.join(right, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col(column) == F.col("n")), how)
 
-    A message that has reached its root leaves the joins, so the later ones hold deep trees only.
+
+def _cycle_roots(stuck: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(k, n): the smallest message of each cycle. stuck: messages that reach no root however far they jump; the
+    places where they end are on cycles."""
+    low = stuck.select("conv_id", F.col("up").alias("node"), F.col("up").alias("low")).distinct()
+    for table in tables:
+        known = low.select(F.col("conv_id").alias("k"), F.col("node").alias("n"), F.col("low").alias("low2"))
+        step = table.select(F.col("conv_id").alias("k"), F.col("node").alias("n"), F.col("up"))
+        low = _at(_at(low, step, "node").drop("k", "n"), known, "up")
+        low = stored(low.select("conv_id", "node", F.least("low", "low2").alias("low")), "cycles")
+    return low.select(F.col("conv_id").alias("k"), F.col("low").alias("n")).distinct()
+
+
+def jumps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """nodes without cycles, tables of jumps over 1, 2, 4 ... replies, and each message's depth and summed score.
+
+    A tree leaves the joins when all of its messages have reached their root, so the later ones hold deep trees only.
     """
     known = nodes.select(F.col("conv_id").alias("k"), F.col("node").alias("n"))
-    first = nodes.select("conv_id", "node", "parent", "score").join(known, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("parent") == F.col("n")), "left")
-    state = stored(first.select("conv_id", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "jumps")
+    first = _at(nodes.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), known, "parent", "left")
+    state = stored(first.select("conv_id", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("fresh")), "jumps")
+    largest = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     tables, done = [], []
     while True:
-        done.append(state.where("up IS NULL").select("conv_id", "node", "total", "depth"))
-        live = state.where("up IS NOT NULL")
+        done.append(state.where("up IS NULL AND fresh").select("conv_id", "node", "total", "depth"))
+        live = state.where("up IS NOT NULL").drop("fresh")
         if not live.limit(1).count():
             break
+        if 1 << len(tables) >= largest:  # farther than any path: these run in circles
+            cut = stored(_cycle_roots(live, tables), "cycles")
+            opened = _at(nodes, cut, "node", "left").withColumn("parent", F.when(F.col("n").isNull(), F.col("parent")))
+            return jumps(stored(opened.select(*nodes.columns), "nodes"))
         tables.append(live.select("conv_id", "node", "up"))
-        # A jump may end at a message that is still live or at one that reached its root in any earlier round.
-        over = live.select("conv_id", "node", "up", "total", "depth")
-        for d in done:
-            over = over.unionByName(d.withColumn("up", F.lit(None).cast("long")))
-        over = over.select(F.col("conv_id").alias("k"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        joined = live.join(over, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("up") == F.col("n")))
-        state = stored(joined.select("conv_id", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")), "jumps")
+        over = state.select(F.col("conv_id").alias("k"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        joined = _at(live, over, "up").select("conv_id", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"), F.lit(True).alias("fresh"))
+        trees = live.select(F.col("conv_id").alias("k")).distinct()
+        ended = state.where("up IS NULL").join(trees, F.col("conv_id").eqNullSafe(F.col("k")), "left_semi").withColumn("fresh", F.lit(False))
+        state = stored(joined.unionByName(ended), "jumps")
     totals = done[0]
     for d in done[1:]:
         totals = totals.unionByName(d)
-    return tables, stored(totals, "depths")
+    return nodes, tables, stored(totals, "depths")
+
+
+def distinct_messages(nodes: DataFrame) -> DataFrame:
+    """One row of each (conv_id, node): the least by parent, role, text and score."""
+    least = nodes.groupBy("conv_id", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
+    return least.select("conv_id", "node", "m.parent", "m.role", "m.text", "m.score")
 
 
 def ranked_leaves(nodes: DataFrame, totals: DataFrame, branches: int) -> DataFrame:
@@ -78,10 +106,10 @@ def ranked_leaves(nodes: DataFrame, totals: DataFrame, branches: int) -> DataFra
     return leaves.withColumn("branch", rank).where(F.col("branch") <= branches).select("conv_id", "branch", F.col("node").alias("leaf"), "node", "depth")
 
 
-def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
-    """conv_id, branch, depth, role, text of every message on the chosen root-to-leaf paths."""
-    nodes = stored(nodes, "nodes")
-    tables, totals = jumps(nodes)
+def paths(nodes: DataFrame, branches: int = 1, unique: bool = False) -> DataFrame:
+    """conv_id, branch, depth, role, text of every message on the chosen root-to-leaf paths; unique: no message id occurs twice."""
+    nodes = stored(nodes if unique else distinct_messages(nodes), "nodes")
+    nodes, tables, totals = jumps(nodes)
     on = stored(ranked_leaves(nodes, totals, branches).select("conv_id", "branch", "node"), "paths")
     for table in reversed(tables):
         t = table.select(F.col("conv_id").alias("k"), F.col("node").alias("n"), "up")
@@ -97,18 +125,13 @@ def format_paths(rows: DataFrame) -> DataFrame:
     """One conversation for each path: formatted text and loss spans (start, end)."""
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(BODY))
     body = escape(F.col("text"))
-    turn = F.struct("depth", F.concat(head, body, F.lit(CLOSE)).alias("s"), F.length(head).alias("lead"), F.length(body).alias("n"), (F.col("role") == ASSISTANT).alias("learn"))
-    turns = rows.groupBy("conv_id", "branch").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    tail = len(CLOSE)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def add(acc: Column, t: Column) -> Column:
-        start = acc["at"] + t["lead"]
-        span = F.array(F.struct(start.alias("start"), (start + t["n"]).alias("end")))
-        spans = F.when(t["learn"], F.concat(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct((start + t["n"] + tail).alias("at"), spans.alias("spans"))
-
-    spans = F.aggregate("turns", zero, add, lambda acc: acc["spans"])
+    turns = rows.select("conv_id", "branch", "depth", F.length(head).alias("lead"), body.alias("body"), head.alias("head"), (F.col("role") == ASSISTANT).alias("learn"))
+    size = F.col("lead") + F.length("body") + len(CLOSE)
+    so_far = F.sum(size).over(Window.partitionBy("conv_id", "branch").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1))
+    turns = turns.withColumn("start", (F.coalesce(so_far, F.lit(0)) + F.col("lead")).cast("int"))
+    turn = F.struct("depth", F.concat("head", "body", F.lit(CLOSE)).alias("s"), "start", (F.col("start") + F.length("body")).alias("end"), "learn")
+    turns = turns.groupBy("conv_id", "branch").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["learn"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
     return turns.select("conv_id", "branch", F.array_join(F.transform("turns", lambda t: t["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -142,7 +165,7 @@ def digest(formatted: DataFrame) -> DataFrame:
 
 
 def format_conversations(rows: DataFrame, branches: int = 1) -> DataFrame:
-    return format_paths(paths(linear_tree(rows), branches))
+    return format_paths(paths(linear_tree(rows), branches, unique=True))
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
