@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
 A rule is a measure of the text and a bound. On a bounded sample of documents the cost of each measure
-and each rule's share of rejections are estimated; rules are then tried in order of rejections per cost,
-and a document that fails one is not measured further. The verdict does not depend on the order, since a
+and each rule's rejections among what earlier rules let pass are estimated; rules are then tried in order of
+rejections per cost, and a document that fails one is not measured further. The verdict does not depend on the order, since a
 document is kept if it passes every rule.
 
 Defined cases: a null text has no words and fails the least-words rule; texts of any length are read
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from foliolens.llm.common import bytes_of, documents, id_text, per_batch, rows_to_batch, small_batches
 
-#: Documents on which costs and selectivities are estimated.
-SAMPLE = 500
+#: Documents on which costs and selectivities are estimated, and their longest in bytes: 64 MB at most.
+SAMPLE, LONGEST = 500, 1 << 17
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -110,20 +110,50 @@ RULES = (
 )
 
 
+class Timed(Text):
+    """As Text; says how long each measure took, without those that it needs itself."""
+
+    def __init__(self, data: bytes):
+        super().__init__(data)
+        self.seconds, self.inner = {}, 0.0
+
+    def get(self, name: str):
+        if name not in self.taken:
+            before, self.inner, began = self.inner, 0.0, time.perf_counter()
+            self.taken[name] = MEASURES[name](self)
+            whole = time.perf_counter() - began
+            self.seconds[name] = whole - self.inner
+            self.inner = before + whole
+        return self.taken[name]
+
+
 def cascade(sample: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[Rule]:
-    """The rules by rejections per second on the sample; a rule's cost is that of the measures it needs alone."""
-    rank = []
-    for k, rule in enumerate(rules):
-        began, hits = time.perf_counter(), 0
-        for data in sample:
-            hits += rule.rejects(Text(data))
-        rank.append((-hits / max(time.perf_counter() - began, 1e-9), k))
-    return [rules[k] for _, k in sorted(rank)] if sample else list(rules)
-
-
-def sampled(docs: DataFrame, size: int = SAMPLE) -> list[bytes]:
-    """A bounded sample: the first rows that any few tasks meet. It decides the order of work only, never a result."""
-    return [bytes(r[0]) for r in docs.select(F.coalesce("text", F.lit("")).cast("binary")).limit(size).collect()]
+    """The rules, each next one that with the most rejections per second among the documents that the ones before
+    have let pass; a measure costs only the first rule that needs it. Ties and rules without rejections by cost."""
+    costs, hits = [], []
+    for rule in rules:
+        timed = [Timed(data) for data in sample]
+        hits.append([rule.rejects(t) for t in timed])
+        costs.append([t.seconds for t in timed])
+    order, left, alive = [], list(range(len(rules))), list(range(len(sample)))
+    taken: set[str] = set()
+    while left and sample:
+        rank = []
+        for k in left:
+            cost = 1e-9 + sum(s for i in alive for name, s in costs[k][i].items() if name not in taken)
+            rank.append((-sum(hits[k][i] for i in alive) / cost, cost, k))
+        k = min(rank)[2]
+        order.append(rules[k])
+        left.remove(k)
+        taken |= {name for each in costs[k] for name in each}
+        alive = [i for i in alive if not hits[k][i]]
+    return order if sample else list(rules)
+
+
+def sampled(docs: DataFrame, size: int = SAMPLE, longest: int = LONGEST) -> list[bytes]:
+    """A bounded sample: the first rows of at most `longest` bytes that any few tasks meet. It decides the order of work only, never a result."""
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    return [bytes(r[0]) for r in docs.select(data.alias("data")).where(F.length("data") <= longest).limit(size).collect()]
 
 
 def passes(t: Text, order: list[Rule]) -> bool:
