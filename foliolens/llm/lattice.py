@@ -182,3 +182,59 @@ def sample_paths(trie: Trie, ends: np.ndarray, keys: np.ndarray) -> tuple[np.nda
     for k, (w, p) in enumerate(taken):
         out[last[w] - k] = p
     return out, n
+
+
+def _ways_into(pieces: Pieces, unit: str, e: int) -> list[tuple[float, int, int, int]]:
+    """The ways to end at place e: log-probability, where the piece begins, its code, its number of pieces. As in `Trie.add`."""
+    options, s, table, tails = [], e - 1, pieces.table, pieces.tails
+    while s >= 0 and (piece := unit[s:e]) in tails:
+        if piece in table:
+            k, p = table[piece]
+            options.append((p, s, k, 1))
+        s -= 1
+    if (ch := unit[e - 1]) not in table:
+        n = len(ch.encode("utf-8", "surrogatepass"))
+        options.append((BYTE * n, e - 1, -1 - ord(ch), n))
+    return options
+
+
+def long_count(pieces: Pieces, unit: str) -> int:
+    """The number of pieces of a pre-token's best segmentation, without a trie: only the last few places are kept."""
+    width = pieces.longest + 1
+    best, count = [0.0] * width, [0] * width
+    for e in range(1, len(unit) + 1):
+        top, m = -math.inf, 0
+        for p, s, _, n in _ways_into(pieces, unit, e):
+            if (score := best[s % width] + p) >= top:
+                top, m = score, count[s % width] + n
+        best[e % width], count[e % width] = top, m
+    return count[len(unit) % width]
+
+
+def long_sample(pieces: Pieces, unit: str, key: np.uint64) -> np.ndarray:
+    """What `sample_paths` draws for a pre-token, without a trie: the forward scores are kept, the ways into the
+    places that are drawn are found anew."""
+    total = array("d", [0.0])
+    for e in range(1, len(unit) + 1):
+        scores = [total[s] + p for p, s, _, _ in _ways_into(pieces, unit, e)]
+        top = max(scores)
+        total.append(scores[0] if len(scores) == 1 else top + math.log(sum([math.exp(x - top) for x in scores])))
+    codes, e, draws = array("q"), len(unit), np.empty(0)
+    while e:
+        if not len(codes) % 4096:
+            with np.errstate(over="ignore"):
+                steps = np.arange(len(codes) + 1, len(codes) + 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                draws = (mixed(key + steps) >> np.uint64(11)).astype(np.float64) / 2.0**53
+        u, options = draws[len(codes) % 4096], _ways_into(pieces, unit, e)
+        scores = [total[s] + p for p, s, _, _ in options]
+        top = max(scores)
+        shares = [math.exp(x - top) for x in scores]
+        whole, run, k = sum(shares), 0.0, 0
+        while k < len(options) - 1:
+            run += shares[k]
+            if run / whole > u:
+                break
+            k += 1
+        _, e, code, _ = options[k]
+        codes.append(code)
+    return np.array(codes, dtype=np.int64)[::-1]

@@ -10,22 +10,25 @@ alike wherever and whenever it is read. `decode` gives the text back without los
 
 Defined cases: a null text is an empty one without tokens; texts are read whole, blanks and line ends included;
 a null doc_id draws like 0; rows of equal doc_id and text give equal rows; repeated rows stay; other columns are
-ignored; an empty table gives no rows. A trie takes no more pre-tokens beyond NODES; rarer ones get a trie for
-their batch alone.
+ignored; an empty table gives no rows; of segmentations with equal scores the one with the longest last piece counts.
+Very long texts are worked on in parts of TOGETHER characters, at pre-tokens. A trie takes no more pre-tokens beyond
+NODES; rarer ones get a trie for their part alone. Pre-tokens over LONG characters, which share nothing, go without a
+trie, by the same scores and draws.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from foliolens.llm.common import documents, id_text, per_batch, rows_to_batch, small_batches, texts_of
-from foliolens.llm.lattice import Pieces, Trie, mixed, sample_paths, units
+from foliolens.llm.lattice import UNIT, Pieces, Trie, long_count, long_sample, mixed, sample_paths, units
 
-NODES = 1_000_000
+NODES, LONG = 1_000_000, 4096
 #: Characters of texts that are worked on together.
 TOGETHER = 1_000_000
 
@@ -41,25 +44,44 @@ def _held(path: str, ways: bool) -> tuple[Pieces, Trie]:
     return _HELD[path], _HELD[path, ways]
 
 
-def _together(texts: list[str]):
+def _unit_lists(text: str) -> Iterator[list[str]]:
+    """The pre-tokens of a text, in lists of TOGETHER characters or so."""
+    if len(text) <= TOGETHER:
+        yield units(text)
+        return
+    some, chars = [], 0
+    for m in UNIT.finditer(" " + text):
+        some.append(m[0])
+        chars += len(m[0])
+        if chars >= TOGETHER:
+            yield some
+            some, chars = [], 0
+    yield some
+
+
+def _parts(texts: list[str]) -> Iterator[list[tuple[int, int, list[str]]]]:
+    """What is worked on together: a text's number, the place of the first of these pre-tokens in it, and the pre-tokens."""
     part, chars = [], 0
-    for t in texts:
-        if part and chars + len(t) > TOGETHER:
-            yield part
-            part, chars = [], 0
-        part.append(t)
-        chars += len(t)
+    for k, text in enumerate(texts):
+        place = 0
+        for some in _unit_lists(text):
+            if part and chars + min(len(text), TOGETHER) > TOGETHER:
+                yield part
+                part, chars = [], 0
+            part.append((k, place, some))
+            chars += min(len(text), TOGETHER)
+            place += len(some)
     if part:
         yield part
 
 
 def _entered(trie: Trie, split: list[list[str]]) -> Trie | None:
     """Enter new pre-tokens into the held trie, or, once that is full, into one for this part."""
-    new = sorted({u for s in split for u in s if u not in trie.end})
-    own = Trie(trie.pieces, trie.ways) if new and len(trie) >= NODES else None
-    add = (own or trie).add
-    for u in new:
-        add(u)
+    own = None
+    for u in sorted({u for s in split for u in s if len(u) <= LONG and u not in trie.end}):
+        if own is None and len(trie) >= NODES:
+            own = Trie(trie.pieces, trie.ways)
+        (own or trie).add(u)
     return own
 
 
@@ -67,9 +89,10 @@ def _counts(trie: Trie, split: list[list[str]]) -> list[int]:
     """Terminal counts summed for each list of pre-tokens."""
     own = _entered(trie, split)
     end, count = trie.end, trie.count
-    if own is None:
+    rare = {u: own.count[k] for u, k in own.end.items()} if own is not None else {}
+    rare |= {u: long_count(trie.pieces, u) for u in {u for s in split for u in s if len(u) > LONG}}
+    if not rare:
         return [sum([count[end[u]] for u in s]) for s in split]
-    rare = {u: own.count[k] for u, k in own.end.items()}
     return [sum([rare[u] if u in rare else count[end[u]] for u in s]) for s in split]
 
 
@@ -78,11 +101,11 @@ _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_pretokens", pa.int64()), ("n_to
 
 def _count(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
     _, trie = _held(path, False)
-    n_units, n_tokens = [], []
-    for part in _together(texts_of(batch.column("text"))):
-        split = [units(t) for t in part]
-        n_units += map(len, split)
-        n_tokens += _counts(trie, split)
+    n_units, n_tokens = [0] * batch.num_rows, [0] * batch.num_rows
+    for part in _parts(texts_of(batch.column("text"))):
+        for (k, _, some), n in zip(part, _counts(trie, [some for _, _, some in part]), strict=True):
+            n_units[k] += len(some)
+            n_tokens[k] += n
     return rows_to_batch(_COUNTS, [batch.column("doc_id"), n_units, n_tokens])
 
 
@@ -102,11 +125,16 @@ def _drawn(trie: Trie, own: Trie | None, all_units: list[str], keys: np.ndarray)
     """Piece codes of all pre-tokens in order, and their number for each."""
     get = trie.end.get
     ends = np.array([get(u, -1) for u in all_units], dtype=np.int64)
-    if own is None:
+    if (ends >= 0).all():
         return sample_paths(trie, ends, keys)
-    rare = np.flatnonzero(ends < 0)
-    known = np.flatnonzero(ends >= 0)
-    parts = [(known, *sample_paths(trie, ends[known], keys[known])), (rare, *sample_paths(own, np.array([own.end[all_units[k]] for k in rare], dtype=np.int64), keys[rare]))]
+    size = np.array([len(u) for u in all_units], dtype=np.int64)
+    known, rare, long = np.flatnonzero(ends >= 0), np.flatnonzero((ends < 0) & (size <= LONG)), np.flatnonzero(size > LONG)
+    parts = [(known, *sample_paths(trie, ends[known], keys[known]))]
+    if len(rare):
+        parts.append((rare, *sample_paths(own, np.array([own.end[all_units[k]] for k in rare], dtype=np.int64), keys[rare])))
+    for k in long:
+        codes = long_sample(trie.pieces, all_units[k], keys[k])
+        parts.append((np.array([k]), codes, np.array([len(codes)])))
     n = np.zeros(len(ends), dtype=np.int64)
     for which, _, m in parts:
         n[which] = m
@@ -117,16 +145,16 @@ def _drawn(trie: Trie, own: Trie | None, all_units: list[str], keys: np.ndarray)
     return codes, n
 
 
-def encode_texts(pieces: Pieces, trie: Trie, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
-    """Sampled ids of each text."""
-    split = [units(t) for t in texts]
+def _part_ids(pieces: Pieces, trie: Trie, part: list[tuple[int, int, list[str]]], keys: np.ndarray) -> list[np.ndarray]:
+    """Sampled ids of each list of pre-tokens of a part; keys: of each text."""
+    split = [some for _, _, some in part]
     own = _entered(trie, split)
     sizes = np.array([len(s) for s in split], dtype=np.int64)
-    place = np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else np.empty(0, dtype=np.int64)
+    place = np.concatenate([np.arange(at, at + len(s)) for _, at, s in part])
     with np.errstate(over="ignore"):
-        unit_keys = mixed(np.repeat(keys, sizes) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        unit_keys = mixed(np.repeat(keys[[k for k, _, _ in part]], sizes) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
     codes, n = _drawn(trie, own, [u for s in split for u in s], unit_keys)
-    owner = np.repeat(np.repeat(np.arange(len(texts)), sizes), n)
+    owner = np.repeat(np.repeat(np.arange(len(part)), sizes), n)
     odd = np.flatnonzero(codes < 0)
     if len(odd):  # characters without a piece: their UTF-8 bytes
         spelled = {c: [pieces.byte_ids[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")] for c in set(codes[odd].tolist())}
@@ -136,8 +164,16 @@ def encode_texts(pieces: Pieces, trie: Trie, texts: list[str], keys: np.ndarray)
         codes, owner = np.repeat(codes, wide), np.repeat(owner, wide)
         for p, c in zip(at.tolist(), codes[at].tolist(), strict=True):
             codes[p : p + len(spelled[c])] = spelled[c]
-    ends_of = np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1] if len(texts) else []
-    return np.split(codes, ends_of)
+    return np.split(codes, np.cumsum(np.bincount(owner, minlength=len(part)))[:-1])
+
+
+def encode_texts(pieces: Pieces, trie: Trie, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
+    """Sampled ids of each text."""
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for part in _parts(texts):
+        for (k, _, _), ids in zip(part, _part_ids(pieces, trie, part, keys), strict=True):
+            found[k].append(ids.astype(np.int32))
+    return [x[0] if len(x) == 1 else np.concatenate(x) for x in found]
 
 
 def decode(pieces: Pieces, ids) -> str:
@@ -145,19 +181,17 @@ def decode(pieces: Pieces, ids) -> str:
     return pieces.bytes_of(ids)[1:].decode("utf-8", "surrogatepass")
 
 
-def _sample_lists(batch: pa.RecordBatch, path: str, seed: int):
+def _sample_lists(batch: pa.RecordBatch, path: str, seed: int) -> Iterator[tuple[str, np.ndarray]]:
     pieces, trie = _held(path, True)
-    keys, texts, k = row_keys(batch.column("doc_id").to_pylist(), seed), texts_of(batch.column("text")), 0
-    for part in _together(texts):
-        yield from zip(part, encode_texts(pieces, trie, part, keys[k : k + len(part)]), strict=True)
-        k += len(part)
+    texts = texts_of(batch.column("text"))
+    return zip(texts, encode_texts(pieces, trie, texts, row_keys(batch.column("doc_id").to_pylist(), seed)), strict=True)
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 def _encode(batch: pa.RecordBatch, path: str, seed: int) -> pa.RecordBatch:
-    return rows_to_batch(_IDS, [batch.column("doc_id"), [ids.astype(np.int32) for _, ids in _sample_lists(batch, path, seed)]])
+    return rows_to_batch(_IDS, [batch.column("doc_id"), [ids for _, ids in _sample_lists(batch, path, seed)]])
 
 
 def sample_encode(docs: DataFrame, model_path: str, seed: int = 17) -> DataFrame:
