@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -95,10 +96,14 @@ def test_op1(spark, texts):
     assert again == {(r.doc_id, r.shard, r.slot) for r in rows}
 
 
-def test_sharding_hard_inputs(spark, hard, empty, tmp_path):
+def test_sharding_hard_inputs(spark, monkeypatch, hard, empty, tmp_path):
     check_shards(sharding.assign_shards(sharding.digests(clashing(hard))).collect(), len(HARD))
     assert sharding.assign_shards(sharding.digests(empty)).count() == 0
+    named = spark.createDataFrame([(1, 2, "x", 3, 4)], "row_number int, shard int, bucket string, count int, digest int")
+    assert sharding.assign_shards(named).first().asDict() == {"row_number_": 1, "shard_": 2, "bucket": "x", "count": 3, "digest": 4, "row_number": 0, "shard": 0, "slot": 0}
     same = spark.createDataFrame([(1, "x")] * 500, "doc_id long, text string")
+    monkeypatch.setattr(common, "BLOCK", 7)
+    monkeypatch.setattr(sharding, "BLOCK", 7)
     check_shards(sharding.assign_shards(same).collect(), 500)
     path = f"file://{tmp_path}/shards"
     sharding.write_shards(same, path, 4, rows_per_file=50)
@@ -130,31 +135,69 @@ def check_op2(rows, texts):
         assert 0 <= by[d].near_edited <= 1 and 0 <= by[d].near_next <= 1
 
 
-def likeness(a, b, m=syncmers.M):
-    a, b = ({x[k : k + 8] for k in range(0, len(x), 8)} for x in (a, b))
-    both = sorted(a | b)[:m]
-    return (len([x for x in both if x in a and x in b]) / len(both)) if a and b else float(not a and not b)
+def brute_anchors(text):
+    """(position, hash) of the anchors of a text, window by window."""
+
+    def chain(values, digest=42):
+        for v in values:
+            digest = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), digest)
+        return digest
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    alone = "[\u3040-\u30ff\u4e00-\u9fff\u0e00-\u0e7f]"
+    words = [w for run in re.findall(r"[^\x20\x09-\x0D]+", text) for w in re.findall(f"{alone}|(?:(?!{alone}).)+", run, re.DOTALL)]
+    h, out = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words], []
+    for i in range(len(h) - syncmers.K + 1):
+        window = h[i : i + syncmers.K]
+        inner = [signed(chain(window[j : j + syncmers.S])) for j in range(syncmers.K - syncmers.S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, chain(window) & 0xFFFFFFFF))
+    return out or ([(0, xxhash.xxh64_intdigest(" ".join(words).encode(), 42) & 0xFFFFFFFF)] if words else [])
+
+
+def brute_likeness(a, b):
+    a, b = {h for _, h in a}, {h for _, h in b}
+    return len(a & b) / len(a | b) if a and b else float(not a and not b)
+
+
+def check_prints(rows, texts):
+    """Whole fingerprints and likenesses against brute force; texts by doc_id."""
+    by = {r.doc_id: r for r in rows}
+    for (d, t), n in zip(texts, next_texts(texts), strict=True):
+        half, r = len(t) // 2, by[d]
+        a, e, x = brute_anchors(t), brute_anchors(t[: len(t) - half] + n[:half]), brute_anchors(n)
+        assert r.fingerprint == "".join(f"{h:08x}" for _, h in a) and r.edited_fingerprint == "".join(f"{h:08x}" for _, h in e)
+        assert abs(r.near_edited - brute_likeness(a, e)) < 1e-12 and abs(r.near_next - brute_likeness(a, x)) < 1e-12
+        assert r.in_place_edited == len(set(a) & set(e))
 
 
 def test_op2(spark, texts):
     rows = QUERIES["op2_closed_syncmers"](spark, SF).collect()
     check_op2(rows, texts)
-    by, prints = dict(texts), defaultdict(set)
-    for r in rows:
-        prints[by[r.doc_id]].add(r.fingerprint)
-        assert abs(r.near_edited - likeness(r.fingerprint, r.edited_fingerprint)) < 1e-12
-    assert all(len(p) == 1 for p in prints.values())
-    order = [r.doc_id for r in sorted(rows, key=lambda r: r.doc_id)]
-    fp = {r.doc_id: r.fingerprint for r in rows}
-    for r in rows:
-        assert abs(r.near_next - likeness(fp[r.doc_id], fp[order[(order.index(r.doc_id) + 1) % len(order)]])) < 1e-12
+    check_prints(rows, texts)
 
 
-def test_syncmers_hard_inputs(spark, hard, empty):
+def test_syncmers_of_long_and_unspaced_texts(spark):
+    rng = np.random.default_rng(3)
+    texts = [(1, "".join(chr(0x0E01 + k) for k in rng.integers(0, 40, 300))), (2, "漢字" * 50 + "かな交じり文" * 9), (3, "x" * 2_000_000), (4, "word " * 400_000), (5, ""), (6, "a b c d")]
+    texts.append((7, texts[0][1][:100] + "ก" + texts[0][1][100:]))
+    rows = syncmers.fingerprint_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    check_prints(rows, texts)
+    by = {r.doc_id: {r.fingerprint[k : k + 8] for k in range(0, len(r.fingerprint), 8)} for r in rows}
+    assert len(by[1] & by[7]) >= 0.9 * len(by[1])  # an inserted character changes the anchors around it only
+
+
+def test_syncmers_hard_inputs(spark, monkeypatch, hard, empty):
     rows = syncmers.fingerprint_documents(clashing(hard)).collect()
     assert Counter(r.doc_id for r in rows) == Counter(d for d, _ in HARD)
     assert len({r.fingerprint for r in rows if r.doc_id in (5, 12) and r.n_chars == 3}) == 2
     assert syncmers.fingerprint_documents(empty).count() == 0
+    monkeypatch.setattr(syncmers, "BLOCK", 2)
+    monkeypatch.setattr(common, "BLOCK", 2)
+    same = spark.createDataFrame([(7, "abcd efgh")] * 5, "doc_id long, text string")
+    assert syncmers.fingerprint_documents(same).count() == 5
     one = syncmers.fingerprint_documents(spark.createDataFrame([(7, "abcd efgh")], "doc_id long, text string")).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcd abcd").hexdigest() and one.near_next == 1.0
 
@@ -389,6 +432,19 @@ def test_reply_tree_paths(spark):
     assert {k: [t for _, t in sorted(v)] for k, v in got.items()} == {(c, b + 1): [f"m{x}" for x in path(n)] for c in (1, None) for b, n in enumerate(ranked)}
 
 
+def test_chat_cycles_and_repeated_messages(spark):
+    schema = "conv_id long, node long, parent long, role string, text string, score double"
+    parents = {1: 2, 2: 3, 3: 1, 4: 3, 5: 4, 6: 7, 7: 7, 8: 9, 9: 8, 10: None, 11: 10}
+    rows = [(1, n, p, "user", f"m{n}", None if n % 2 else 1.0) for n, p in parents.items()]
+    rows += [(1, 11, 10, "user", "z", 5.0), (1, 5, 4, "user", "m5", None), (2, 1, 1, "user", "m1", 0.0)]
+    got = defaultdict(list)
+    for r in chat.paths(spark.createDataFrame(rows, schema), 100).collect():
+        got[r.conv_id, r.branch].append((r.depth, int(r.text[1:])))
+    # the smallest message of each cycle is its root: 1 of 1-2-3, 7 of itself, 8 of 8-9
+    assert sorted([t for _, t in sorted(v)] for (c, _), v in got.items() if c == 1) == [[1, 3, 2], [1, 3, 4, 5], [7, 6], [8, 9], [10, 11]]
+    assert got[2, 1] == [(1, 1)]
+
+
 def test_chat_deep_and_empty(spark):
     deep = spark.createDataFrame([(1, k, "user", str(k)) for k in range(150)] + [(2, 0, "user", "a"), (2, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r.n_turns for r in chat.digest(chat.format_conversations(deep)).collect()}
@@ -519,10 +575,14 @@ def edges_by(spark, texts, keys):
     for d, t in enumerate(texts):
         distinct = np.unique(simhash.shingle_hashes(t.encode(), 5))
         fp = np.array([simhash.majority(distinct)], dtype=np.uint64).view(np.int64)[0]
-        marks.append((d, d, int(fp), len(distinct), keys))
+        marks.append((d, int(fp), len(distinct), keys, neardup.parity(distinct).tolist()))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    marks = spark.createDataFrame(marks, "k1 long, class long, fp long, n long, keys array<long>")
-    return neardup.edges(df, marks, df.select(F.col("doc_id").alias("class"), *neardup._keys()), 5, 0.8)
+    marks = spark.createDataFrame(marks, "class long, fp long, n long, keys array<long>, parity array<long>")
+    classes = marks.join(df.select(F.col("doc_id").alias("class"), *neardup._keys()), "class")
+    found, roots = neardup.linked(df, classes, 5, 0.8)
+    links = {(min(r.u, r.v), max(r.u, r.v)) for r in found.collect()}
+    assert {r["class"]: r.root for r in roots.collect()} == {r.node: r.root for r in graph.components(found).collect()}
+    return links
 
 
 def test_near_dedup_of_a_drifting_group(spark, monkeypatch):
@@ -532,8 +592,9 @@ def test_near_dedup_of_a_drifting_group(spark, monkeypatch):
     for k in range(60):  # each copy is near to the few before and after it only
         words[6 * k : 6 * k + 6] = [f"e{k}"] * 6
         texts.append(" ".join(words))
-    got = {r.node: r.root for r in graph.components(edges_by(spark, texts, [7, 8])).collect()}
-    assert got == dict.fromkeys(range(60), 0)
+    links = edges_by(spark, texts, [7, 8])
+    roots = brute_components({k: k for k in range(60)}, lambda a, b: (min(a, b), max(a, b)) in links)
+    assert roots == dict.fromkeys(range(60), 0)
 
 
 @pytest.mark.parametrize("small", [2, 64])
@@ -544,7 +605,7 @@ def test_near_dedup_by_one_key(spark, monkeypatch, small):
     for _ in range(6):
         words = [f"w{w}" for w in rng.integers(0, 3000, 120)]
         texts += [" ".join(words), " ".join([*words[:-1], "edit"])]
-    assert {(r.u, r.v) for r in edges_by(spark, texts, [7]).collect()} == {(2 * k, 2 * k + 1) for k in range(6)}
+    assert edges_by(spark, texts, [7]) == {(2 * k, 2 * k + 1) for k in range(6)}
 
 
 def test_parity_bounds_the_difference_of_sets():
@@ -568,6 +629,21 @@ def test_cascade_order_does_not_change_verdicts(texts):
     assert quality.cascade([]) == list(quality.RULES)
 
 
+def test_cascade_takes_conditional_rejections_per_cost():
+    """A rule that rejects what others have rejected before comes last, however much it rejects alone."""
+
+    def slow(t):
+        return [t.get("n_words") for _ in range(20_000)] and t.get("n_words") < 60
+
+    quality.MEASURES["slow"] = slow
+    try:
+        rules = (quality.Rule("same", lambda t: t.get("slow")), quality.Rule("few", lambda t: t.get("n_words") < 60), quality.Rule("marks", lambda t: t.get("n_symbols") > 0))
+        sample = [b"a " * 10] * 20 + [b"b " * 100] * 20 + [b"# " * 100] * 5
+        assert [r.name for r in quality.cascade(sample, rules)] in (["few", "marks", "same"], ["marks", "few", "same"])
+    finally:
+        del quality.MEASURES["slow"]
+
+
 def test_quality_hard_inputs(hard, empty):
     rows = {(r.doc_id, r.n_words, r.kept) for r in quality.report(clashing(hard)).collect()}
     assert (1, 0, False) in rows and (6, 1, False) in rows
@@ -730,9 +806,24 @@ def test_full_tries_change_nothing(monkeypatch, pieces, texts):
     keys = unigram.row_keys(list(range(len(some))), 3)
     rare = unigram.encode_texts(pieces, lattice.Trie(pieces, True), some, keys)
     one = [unigram.encode_texts(pieces, lattice.Trie(pieces, True), [t], keys[k : k + 1])[0] for k, t in enumerate(some)]
+    monkeypatch.setattr(unigram, "LONG", 4)
+    monkeypatch.setattr(unigram, "TOGETHER", 100)
+    assert [unigram._count(pa.RecordBatch.from_pydict({"doc_id": [1], "text": [t]}), PIECES).column("n_tokens")[0].as_py() for t in some if len(t) < 3000] == want
+    long = unigram.encode_texts(pieces, lattice.Trie(pieces, True), some, keys)
+    monkeypatch.setattr(unigram, "LONG", 4096)
+    monkeypatch.setattr(unigram, "TOGETHER", 1_000_000)
     monkeypatch.setattr(unigram, "NODES", 10**9)
     full = unigram.encode_texts(pieces, lattice.Trie(pieces, True), some, keys)
-    assert all((a == b).all() and (a == c).all() for a, b, c in zip(rare, full, one, strict=True))
+    assert all(a.tolist() == b.tolist() == c.tolist() == d.tolist() for a, b, c, d in zip(rare, full, one, long, strict=True))
+
+
+def test_long_pretokens_stay_out_of_the_trie(pieces):
+    text = "no" * 300_000 + " and " + "xyz漢" * 100_000
+    trie = lattice.Trie(pieces, True)
+    ids = unigram.encode_texts(pieces, trie, [text], unigram.row_keys([5], 3))[0]
+    assert unigram.decode(pieces, ids.tolist()) == text and len(trie) < 100
+    counts = lattice.Trie(pieces, False)
+    assert unigram._counts(counts, [lattice.units(text)])[0] > 100_000 and len(counts) < 100
 
 
 def test_op10(spark, texts):
