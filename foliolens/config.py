@@ -9,6 +9,7 @@ from dataclasses import dataclass
 class BuildConfig:
     filer_window_days: int = 7
     fund_window_days: int = 5
+    filer_types: tuple[str, ...] = ("HF",)
     fund_types: tuple[str, ...] = ("OEF", "ETF", "CEF", "VAR")
     min_issuers: int = 20
     min_investors: int = 20

@@ -59,6 +59,17 @@ def quarter_ends(start: Column, end: Column) -> Column:
     return F.transform(starts, lambda d: F.last_day(F.add_months(d, 2)))
 
 
+def quarter_end_of(label: Column) -> Column:
+    """The last day of a quarter written as YYYY-Qn; null for anything else."""
+    year, quarter = F.regexp_extract(label, r"^(\d{4})-Q([1-4])$", 1), F.regexp_extract(label, r"^(\d{4})-Q([1-4])$", 2)
+    return F.when(year != "", F.last_day(F.make_date(year.try_cast("int"), quarter.try_cast("int") * 3, F.lit(1))))
+
+
+def quarter_label(d: Column) -> Column:
+    """YYYY-Qn of a date."""
+    return F.concat(F.year(d).cast("string"), F.lit("-Q"), F.quarter(d).cast("string"))
+
+
 def is_quarter_end(d: Column) -> Column:
     return F.date_format(d, "MM-dd").isin("03-31", "06-30", "09-30", "12-31")
 

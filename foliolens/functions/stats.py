@@ -10,24 +10,80 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(x: str, by: list[str]) -> Column:
-    """Rank within by, equal values sharing the mean of their ranks."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2.0
+def _same(left: DataFrame, by: list[str], prefix: str) -> Column:
+    """Equality of group columns with those of a table that has them under a prefix; nulls are a group."""
+    out = F.lit(True)
+    for c in by:
+        out = out & left[c].eqNullSafe(F.col(prefix + c))
+    return out
+
 
+def numbered(df: DataFrame, by: list[str], order: list, out: str, weight: Column | None = None) -> DataFrame:
+    """df with the sum of the weights before each row in its group: without weights, row numbers from 0 on.
 
-def global_average_rank(df: DataFrame, x: str, out: str) -> DataFrame:
-    """df with the rank of x over all rows. Ranks come from counts of distinct values, whose running sum is taken range by range."""
-    ends = df.groupBy(x).agg(F.count(F.lit(1)).alias("__n")).repartitionByRange(x).withColumn("__part", F.spark_partition_id())
+    No group is a task of its own: rows are laid out in ranges of group and order, stored, counted range by range, and
+    numbered inside the ranges. The ties of `order` must be few, as equal rows stay together.
+    """
     from foliolens.sources.durable import stored
 
-    ends = stored(ends, "ranks")
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ends.groupBy("__part").agg(F.sum("__n").alias("__t")).select("__part", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__before"))
-    inside = F.coalesce(F.sum("__n").over(Window.partitionBy("__part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = ends.withColumn("__inside", inside).join(F.broadcast(parts), "__part")
-    ranks = ranks.select(F.col(x).alias("__x"), (F.col("__before") + F.col("__inside") + (F.col("__n") + 1) / 2.0).alias(out))
-    return df.join(ranks, df[x] == F.col("__x")).drop("__x")
+    weight = F.lit(1) if weight is None else weight
+    rows = stored(df.withColumn("__w", weight).repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy(*by, "__part").agg(F.sum("__w").alias("__s"))  # a row for each range and group in it
+    before = F.sum("__s").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*[F.col(c).alias(f"__g_{c}") for c in by], F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum("__w").over(Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("__inside", inside)
+    rows = rows.join(starts, _same(rows, by, "__g_") & (F.col("__part") == F.col("__p")))
+    return rows.withColumn(out, F.col("__before") + F.col("__inside")).drop("__w", "__part", "__p", "__before", "__inside", *[f"__g_{c}" for c in by])
+
+
+def row_numbers(df: DataFrame, by: list[str], order: list, out: str) -> DataFrame:
+    """df with row numbers from 1 on within each group."""
+    return numbered(df, by, order, out).withColumn(out, F.col(out) + 1)
+
+
+def counted_values(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """by, x, n, before: each distinct value of a group, how often it occurs, and how many rows are smaller. NaN and null are left out."""
+    ok = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
+    return numbered(ok.groupBy(*by, x).agg(F.count(F.lit(1)).alias("n")), by, [x], "before", F.col("n"))
+
+
+def average_ranks(df: DataFrame, x: str, out: str, by: list[str] = ()) -> DataFrame:
+    """df with the rank of x within its group, equal values sharing the mean of their ranks; rows without x are left out."""
+    by = list(by)
+    ranks = counted_values(df, by, x)
+    ranks = ranks.select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col(x).alias("__x"), (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))
+    return df.join(ranks, _same(df, by, "__r_") & (df[x] == F.col("__x"))).drop("__x", *[f"__r_{c}" for c in by])
+
+
+def quantiles(df: DataFrame, x: str, probs: list[float], by: list[str] = (), out: str = "q") -> DataFrame:
+    """by and an array with x's quantiles (linear interpolation between order statistics) of each group.
+
+    From counts of distinct values, so that no task holds a group's values; two of them are picked for each quantile.
+    """
+    by = list(by)
+    values = counted_values(df, by, x)
+    size = values.groupBy(*by).agg(F.sum("n").alias("__n")).select(*[F.col(c).alias(f"__q_{c}") for c in by], "__n")
+    values = values.join(F.broadcast(size) if not by else size, _same(values, by, "__q_"))
+    at = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p, i: F.struct(i.alias("i"), F.floor((F.col("__n") - 1) * p).alias("lo"), F.ceil((F.col("__n") - 1) * p).alias("hi"), ((F.col("__n") - 1) * p - F.floor((F.col("__n") - 1) * p)).alias("part")))
+    here = lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n"))
+    hits = values.withColumn("__h", F.explode(F.filter(at, lambda h: here(h["lo"]) | here(h["hi"]))))
+    low, high = (F.max(F.when(here(F.col(f"__h.{c}")), F.col(x))) for c in ("lo", "hi"))
+    picked = hits.groupBy(*by, "__h.i").agg(low.alias("lo"), high.alias("hi"), F.max("__h.part").alias("part"))
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
+    grouped = picked.groupBy(*(by or [F.lit(0).alias("__one")]))  # no rows of an empty table, grouped or not
+    return grouped.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]).alias(out)).select(*by, out)
+
+
+def clipped_logit(p: Column, least: float = 1e-4) -> Column:
+    """The log-odds of a probability kept away from 0 and 1."""
+    q = F.least(F.greatest(p, F.lit(least)), F.lit(1 - least))
+    return F.log(q / (1 - q))
+
+
+def half_even(x: Column, digits: int = 0) -> Column:
+    """Rounding of ties to the even digit, as R does; F.round takes them away from zero."""
+    return F.bround(x, digits)
 
 
 def weighted_median(df: DataFrame, keys: list[str], x: str, w: str) -> DataFrame:
@@ -52,7 +108,7 @@ def cramers_v(df: DataFrame, x: str, y: str, least: int = 50) -> DataFrame:
 
 def rank_eps_sq(df: DataFrame, x: str, group: str, least: int = 50) -> DataFrame:
     """Share of the variance of ranks of x that lies between groups, as one row (n, eps_sq)."""
-    ok = global_average_rank(df.where(F.col(x).isNotNull() & F.col(group).isNotNull()).select(F.col(x).alias("x"), F.col(group).alias("g")), "x", "rank")
+    ok = average_ranks(df.where(F.col(x).isNotNull() & F.col(group).isNotNull()).select(F.col(x).alias("x"), F.col(group).alias("g")), "x", "rank")
     by = ok.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("rank").alias("s"), F.sum(F.col("rank") * F.col("rank")).alias("q"))
     a = by.agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("groups"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("k")).alias("b"))
     mean = F.col("s") * F.col("s") / F.col("n")
@@ -84,7 +140,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Spearman's rho for each group with a Fisher interval: n, rho, low, high; null below ten pairs."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    ranked = ok.withColumn("__rx", average_rank(x, by)).withColumn("__ry", average_rank(y, by))
+    ranked = average_ranks(average_ranks(ok.select(*by, x, y), x, "__rx", by), y, "__ry", by)
     out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("__rx", "__ry").alias("__c"), (F.stddev_pop("__rx") * F.stddev_pop("__ry")).alias("__s"))
     out = out.withColumn("rho", F.when(F.col("n") >= 10, F.try_divide(F.col("__c"), F.col("__s"))))
     z, se = F.atanh("rho"), F.sqrt(F.try_divide(F.lit(1.06), F.col("n") - 3))
@@ -93,8 +149,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 def quantile_breaks(df: DataFrame, x: str, bins: int = 10) -> list[float]:
     """Unique break points of a quantile cut (linear interpolation)."""
-    q = df.agg(F.percentile(x, [i / bins for i in range(bins + 1)])).first()[0]
-    return sorted(set(q or []))
+    found = quantiles(df, x, [i / bins for i in range(bins + 1)]).first()
+    return sorted(set(found[0] if found else []))
 
 
 def cut(x: Column, breaks: list[float]) -> Column:
@@ -151,6 +207,17 @@ def chi_square(table: np.ndarray) -> tuple[float, int, float]:
     return stat, df, chi2_sf(stat, df) if df else 1.0
 
 
+def rand_index(table: np.ndarray) -> float:
+    """Adjusted Rand index of a small contingency table."""
+    two = lambda n: float((n * (n - 1) / 2).sum())
+    t = np.asarray(table, dtype=float)
+    ra, rb, rc, n = two(t.sum(axis=1)), two(t.sum(axis=0)), two(t), float(t.sum())
+    if n < 2:
+        return 1.0
+    expected, most = ra * rb / (n * (n - 1) / 2), (ra + rb) / 2
+    return 1.0 if most == expected else (rc - expected) / (most - expected)
+
+
 def hungarian(gain: np.ndarray) -> list[int]:
     """Column for each row of a square matrix so that the total gain is largest (shortest augmenting paths)."""
     cost = -np.asarray(gain, dtype=float)

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliolens.functions.stats import quantiles, row_numbers
 from foliolens.functions.vectors import dot
 
 STAYER = 0.85
@@ -31,13 +32,14 @@ def anchors(overlap: DataFrame, rule: str, year: str, key: str, stratum: str | N
     if rule == "all":
         return overlap
     if rule == "stable_thr":
-        n = overlap.groupBy(year).agg(F.sum(is_stayer(F.col("wt_overlap")).cast("int")).alias("__ok"))
+        few = overlap.groupBy(year).agg(F.sum(is_stayer(F.col("wt_overlap")).cast("int")).alias("__ok")).where(F.col("__ok") < least).select(year)
+        enough = overlap.join(F.broadcast(few), year, "left_anti").where(is_stayer(F.col("wt_overlap")))
+        # each task keeps its own best `least` rows of a year before they meet
         nth = F.row_number().over(Window.partitionBy(year).orderBy(F.col("wt_overlap").desc(), key))
-        rows = overlap.join(F.broadcast(n), year).withColumn("__nth", nth)
-        keep = F.when(F.col("__ok") >= least, is_stayer(F.col("wt_overlap"))).otherwise(F.col("__nth") <= least)
-        return rows.where(keep).drop("__ok", "__nth")
-    q = overlap.groupBy(year, stratum).agg(F.percentile("wt_overlap", 0.75).alias("__q"))
-    return overlap.join(q, [year, stratum]).where(F.col("wt_overlap") >= F.col("__q")).drop("__q")
+        fallback = overlap.join(F.broadcast(few), year, "left_semi").withColumn("__nth", nth).where(F.col("__nth") <= least).drop("__nth")
+        return enough.unionByName(fallback)
+    q = quantiles(overlap, "wt_overlap", [0.75], [year, stratum], "__q")
+    return overlap.join(q, [year, stratum]).where(F.col("wt_overlap") >= F.get("__q", F.lit(0))).drop("__q")
 
 
 def gram(pairs: DataFrame, a: str, b: str, by: list[str]) -> dict[tuple, np.ndarray]:
@@ -74,6 +76,24 @@ def procrustes(m: np.ndarray) -> np.ndarray:
     return r
 
 
+def shuffled_pairs(pairs: DataFrame, by: str, key: str, times: int) -> DataFrame:
+    """by, seed, a, b: pairs (by, key, a, b) with each group's b dealt anew at random, `times` times: the null of no correspondence."""
+    a = row_numbers(pairs.select(by, key, "a"), [by], [key], "n")
+    b = pairs.select(F.col(by).alias("other"), F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("seed"))
+    b = row_numbers(b.withColumn("h", F.xxhash64("k", "seed")), ["other", "seed"], ["h", "k"], "m").select("other", "k", "seed", "m")
+    b = b.join(pairs.select(F.col(by).alias("__g"), F.col(key).alias("__id"), "b"), (F.col("other") == F.col("__g")) & (F.col("k") == F.col("__id"))).select("other", "seed", "m", "b")
+    return a.join(b, (F.col(by) == F.col("other")) & (F.col("n") == F.col("m"))).select(by, "seed", "a", "b")
+
+
+def noise_floor(a: DataFrame, b: DataFrame, key: str) -> tuple[np.ndarray, DataFrame]:
+    """Two embeddings (key, vector) of the same holdings by models of different seeds: the rotation of b onto a, for
+    which every shared key is an anchor, and key, displacement that is left."""
+    both = a.select(key, F.col("embedding").alias("y")).join(b.select(key, F.col("embedding").alias("x")), key).withColumn("all", F.lit(0))
+    r = procrustes(next(iter(gram(both, "x", "y", []).values())))
+    moved = rotated(both, "x", {0: r}, "all", "turned")
+    return r, moved.select(key, (1 - dot(F.col("turned"), F.col("y"))).alias("displacement"))
+
+
 def chain(rotations: dict[int, np.ndarray], reference: int, years: list[int]) -> dict[int, np.ndarray]:
     """For each year the matrix into the reference year's space; rotations[y] takes year y to y + 1."""
     d = next(iter(rotations.values())).shape[0]

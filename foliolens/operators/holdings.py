@@ -14,6 +14,20 @@ def in_window(df: DataFrame, date_col: str, quarter_col: str, days: int) -> Data
     return df.where(F.col(date_col).between(F.date_sub(q, days), F.date_add(q, days)))
 
 
+def reported(df: DataFrame, filers: tuple[str, ...], funds: tuple[str, ...], filer_days: int, fund_days: int) -> DataFrame:
+    """Holdings (investor_id, investor_type, quarter_end, issuer_id, mv) from reports that also have a report_date.
+
+    Filers' reports within filer_days of the snapshot are summed; of a fund's reports within fund_days the newest
+    counts for each issuer, of equal dates the larger value. Other types, empty and negative positions are left out.
+    """
+    rows = df.where((F.col("mv") > 0) & F.col("issuer_id").isNotNull())
+    keys = ["investor_id", "investor_type", "quarter_end", "issuer_id"]
+    filed = in_window(rows.where(F.col("investor_type").isin(*filers)), "report_date", "quarter_end", filer_days)
+    fund = in_window(rows.where(F.col("investor_type").isin(*funds)), "report_date", "quarter_end", fund_days)
+    newest = fund.groupBy(*keys).agg(F.max(F.struct("report_date", "mv")).alias("r")).select(*keys, F.col("r.mv").alias("mv"))
+    return filed.groupBy(*keys).agg(F.sum("mv").alias("mv")).unionByName(newest)
+
+
 def aggregate_holdings(df: DataFrame, keys: list[str], value: str = "mv") -> DataFrame:
     """Market value summed for each key; share classes of an issuer come together."""
     return df.where(F.col(value) > 0).groupBy(*keys).agg(F.sum(value).alias(value))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliolens.functions.stats import numbered
 from foliolens.functions.vectors import dot, unit
+from foliolens.sources.durable import shared_dir, stored
 
-D = 64
+#: Dimensions of a vector; pairs of a contrastive batch.
+D, BATCH = 64, 64
 
 
 def summed(vec: Column, weight: Column, d: int = D) -> Column:
@@ -40,7 +45,7 @@ def valid_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:
 def info_nce(pairs: DataFrame, batch: str, key: str, a: str, b: str, scale: float = 20.0) -> DataFrame:
     """Symmetric contrastive loss for each batch: the mean over both directions of -log softmax of the true pair.
 
-    Pairs meet within their batch only; a batch has a set number of pairs.
+    Pairs meet within their batch only, so a batch of BATCH pairs or so (`batched`) makes BATCH rows for each.
     """
     left = pairs.select(batch, F.col(key).alias("i"), F.col(a).alias("u"))
     right = pairs.select(batch, F.col(key).alias("j"), F.col(b).alias("v"))
@@ -50,22 +55,43 @@ def info_nce(pairs: DataFrame, batch: str, key: str, a: str, b: str, scale: floa
     return by_row.unionByName(by_col).groupBy(batch).agg(F.avg(F.col("l") - F.col("t")).alias("loss"), (F.count(F.lit(1)) / 2).cast("long").alias("n"))
 
 
+def batched(df: DataFrame, by: str, key: str, size: int = BATCH) -> DataFrame:
+    """df with `batch`: the rows of each group dealt by the hash of their key into batches of about `size`."""
+    n = df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias("batches"))
+    number = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.join(F.broadcast(n), by).withColumn("batch", number % F.col("batches")).drop("batches")
+
+
+def sampled_pairs(df: DataFrame, key: str, pairs: int = 5_000_000) -> DataFrame:
+    """i, j and both rows' other columns (a_, b_) of a set number of random pairs, with replacement, self-pairs dropped.
+
+    Rows are numbered in ranges by key; the pairs' numbers come from hashes of 0 .. pairs - 1, so the result is as
+    large as asked for, whatever the table.
+    """
+    rows = numbered(df, [], [key], "nth").withColumn("nth", F.col("nth").cast("long"))
+    n = rows.count()
+    draw = lambda c: F.conv(F.substring(F.md5(F.concat(F.lit(c), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % max(n, 1)
+    drawn = df.sparkSession.range(pairs).select(draw("a").alias("i"), draw("b").alias("j")).where("i <> j")
+    side = lambda c: rows.select(*[F.col(x).alias(f"{c}_{x}") for x in rows.columns])
+    return drawn.join(side("a"), F.col("i") == F.col("a_nth")).join(side("b"), F.col("j") == F.col("b_nth"))
+
+
 def hash_split(df: DataFrame, key: str, parts: int = 10, seed: int = 0) -> DataFrame:
     """df with a reproducible `is_train`: nine tenths by the hash of the key."""
     return df.withColumn("is_train", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(parts)) < parts - 1)
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement, the same ones every time."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows without replacement, the same ones every time, in order of their key."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).orderBy(key)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", block_rows: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", block_rows: int = 32_768) -> DataFrame:
     """Exact k nearest by cosine of unit vectors, self left out: (query, neighbour, cos, nth).
 
-    A stated query set against all rows: base stays in its partitions; queries come to it as matrices of about
-    block_rows rows, whatever their number, and each task keeps its best k for each query, so that k rows for
-    each query and partition are shuffled.
+    A stated query set against all rows: base stays in its partitions; queries come to it as broadcast matrices of
+    about block_rows rows, a pass over base for each, and each task keeps its best k for each query, so that k rows
+    for each query and partition are shuffled. Query blocks are stored by number and read once each.
     """
     import numpy as np
     import pandas as pd
@@ -73,14 +99,18 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", ve
     n = queries.count()
     rows = queries.select(F.col(key).alias("q"), F.col(vec).cast("array<double>").alias("v"))
     blocks, out = max(1, -(-n // block_rows)), None
-    ordered = rows.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)))
+    path = f"{shared_dir(queries.sparkSession)}/queries-{uuid.uuid4().hex}"
+    rows.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))).repartition("b").write.partitionBy("b").parquet(path)
+    held = queries.sparkSession.read.parquet(path)
+    base = stored(base.select(F.col(key).alias("n"), F.col(vec).cast("array<double>").alias("v")), "base") if blocks > 1 else base.select(F.col(key).alias("n"), F.col(vec).cast("array<double>").alias("v"))
     for b in range(blocks):
-        part = ordered.where(F.col("b") == b).select("q", "v").toPandas()  # about block_rows queries of d numbers
+        part = held.where(F.col("b") == b).select("q", "v").toPandas()  # about block_rows queries of d numbers, from one folder
         if part.empty:
             continue
-        ids, m = part["q"].to_numpy(), np.stack(part["v"].to_numpy())
+        block = queries.sparkSession.sparkContext.broadcast((part["q"].to_numpy(), np.stack(part["v"].to_numpy())))
 
-        def best(batches, ids=ids, m=m):
+        def best(batches, block=block):
+            ids, m = block.value
             top_s, top_i = np.full((len(ids), 0), -np.inf), np.empty((len(ids), 0), dtype=ids.dtype)
             for pdf in batches:
                 if len(pdf):
@@ -93,7 +123,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", ve
             q = np.repeat(ids, top_s.shape[1])
             yield pd.DataFrame({"query": q, "neighbour": top_i.ravel(), "cos": top_s.ravel()})[lambda d: np.isfinite(d["cos"])]
 
-        found = base.select(F.col(key).alias("n"), F.col(vec).cast("array<double>").alias("v")).mapInPandas(best, "query long, neighbour long, cos double")
+        found = base.mapInPandas(best, "query long, neighbour long, cos double")
         out = found if out is None else out.unionByName(found)
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.round("cos", 12).desc(), "neighbour"))
     return out.withColumn("nth", nth).where(F.col("nth") <= k)

@@ -6,6 +6,7 @@ Vectors stay distributed; a round sends k x d parameters out and brings k sums o
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliolens.config import ClusterConfig
+from foliolens.functions.stats import rand_index
+from foliolens.sources.durable import stored
+
 
 def _matrix(pdf: pd.DataFrame, vec: str) -> np.ndarray:
     return np.stack(pdf[vec].to_numpy()).astype(float)
@@ -33,6 +38,26 @@ def posterior(x: np.ndarray, mu: np.ndarray, rho: np.ndarray, pi: np.ndarray) ->
     return e / s, (m + np.log(s)).ravel()
 
 
+def em_sums(x: np.ndarray, mu: np.ndarray, rho: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """What a round needs of some rows: sums of posterior-weighted Moebius-transformed points, posterior masses, log-likelihood."""
+    post, l = posterior(x, mu, rho, pi)
+    g = mu * rho[:, None]
+    q = post / (1 + rho**2 - 2 * (x @ g.T))
+    return (1 - rho**2)[:, None] * (q.T @ x - q.sum(axis=0)[:, None] * g), post.sum(axis=0), float(l.sum())
+
+
+def em_step(mu: np.ndarray, rho: np.ndarray, s: np.ndarray, w: np.ndarray, n: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """New mu, rho and pi; components below the floor's share are dropped."""
+    d = mu.shape[1]
+    g = mu * rho[:, None]
+    g = g + 0.5 * (1 - rho**2)[:, None] * (d / (d - 1)) * (s / np.maximum(w, 1e-12)[:, None] - g)
+    size = np.linalg.norm(g, axis=1)
+    g *= np.where(size > 0.999, 0.999 / np.maximum(size, 1e-12), 1.0)[:, None]
+    size = np.linalg.norm(g, axis=1)
+    keep = w / n >= floor
+    return (g / np.maximum(size, 1e-12)[:, None])[keep], size[keep], (w / w[keep].sum())[keep]
+
+
 @dataclass
 class Mixture:
     mu: np.ndarray
@@ -100,16 +125,10 @@ def spherical_cauchy_em(df: DataFrame, start: Mixture, vec: str = "embedding", r
 
         def sums(batches, mu=mu, rho=rho, pi=pi, k=k):
             s, w, ll, n = np.zeros((k, d)), np.zeros(k), 0.0, 0
-            g = mu * rho[:, None]
             for pdf in batches:
                 if len(pdf):
-                    x = _matrix(pdf, vec)
-                    post, l = posterior(x, mu, rho, pi)
-                    q = post / (1 + rho**2 - 2 * (x @ g.T))
-                    s += (1 - rho**2)[:, None] * (q.T @ x - q.sum(axis=0)[:, None] * g)
-                    w += post.sum(axis=0)
-                    ll += float(l.sum())
-                    n += len(pdf)
+                    s1, w1, l1 = em_sums(_matrix(pdf, vec), mu, rho, pi)
+                    s, w, ll, n = s + s1, w + w1, ll + l1, n + len(pdf)
             yield pd.DataFrame({"k": range(k), "w": w, "ll": [ll] + [0.0] * (k - 1), "n": [float(n)] + [0.0] * (k - 1), "s": list(s)})
 
         parts = df.select(vec).mapInPandas(sums, "k int, w double, ll double, n double, s array<double>")
@@ -119,14 +138,7 @@ def spherical_cauchy_em(df: DataFrame, start: Mixture, vec: str = "embedding", r
         m.loglik, m.n, m.iterations = ll, n, it + 1
         if len(m.trace) > 1 and abs(m.trace[-1] - m.trace[-2]) < tol * abs(m.trace[-2]):
             break
-        g = mu * rho[:, None]
-        mean = np.array([r["s"] for r in got]) / np.maximum(w, 1e-12)[:, None] - g
-        g = g + 0.5 * (1 - rho**2)[:, None] * (d / (d - 1)) * mean
-        size = np.linalg.norm(g, axis=1)
-        g *= np.where(size > 0.999, 0.999 / np.maximum(size, 1e-12), 1.0)[:, None]
-        size = np.linalg.norm(g, axis=1)
-        keep = w / n >= floor
-        m = Mixture((g / np.maximum(size, 1e-12)[:, None])[keep], size[keep], (w / w[keep].sum())[keep], ll, n, it + 1, m.trace)
+        m = Mixture(*em_step(mu, rho, np.array([r["s"] for r in got]), w, n, floor), ll, n, it + 1, m.trace)
     return m
 
 
@@ -149,8 +161,110 @@ def fit_mixture(df: DataFrame, key: str, k: int, restarts: int = 4, seed: int =
     return best, counts
 
 
+def local_kmeans(x: np.ndarray, centres: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
+    """As spherical_kmeans, for a bounded matrix: centres, labels, mean cosine."""
+    for _ in range(rounds):
+        p = x @ centres.T
+        a = p.argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, a, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        new = np.where(size > 0, sums / np.maximum(size, 1e-300), centres)
+        if np.allclose(new, centres, atol=1e-10):
+            break
+        centres = new
+    p = x @ centres.T
+    return centres, p.argmax(axis=1), float(p.max(axis=1).mean())
+
+
+def local_mixture(x: np.ndarray, k: int, seed: int, floor: float = 0.01, rounds: int = 60, tol: float = 1e-6) -> Mixture | None:
+    """As one start of fit_mixture, for a bounded matrix; None if there are too few rows."""
+    if len(x) < k:
+        return None
+    mu, _, _ = local_kmeans(x, x[np.random.default_rng(seed).choice(len(x), k, replace=False)], 5)
+    m = Mixture(mu, np.full(k, 0.5), np.full(k, 1 / k), n=len(x))
+    for it in range(rounds):
+        s, w, ll = em_sums(x, m.mu, m.rho, m.pi)
+        m.trace.append(ll)
+        m.loglik, m.iterations = ll, it + 1
+        if len(m.trace) > 1 and abs(m.trace[-1] - m.trace[-2]) < tol * abs(m.trace[-2]):
+            break
+        m = Mixture(*em_step(m.mu, m.rho, s, w, len(x), floor), ll, len(x), it + 1, m.trace)
+    return m
+
+
+SCAN = "method string, k int, fit int, criterion double, least_share double, n_ok int, n_collapse int, members array<int>, labels array<int>"
+
+
+def scan_k(sample: DataFrame, key: str, ks: Sequence[int] = range(2, 21), restarts: int = 4, fits: int = 10, share: float = 0.8, least: int = 100, floor: float = 0.01, seed: int = 42, rounds: int = 60, vec: str = "embedding") -> DataFrame:
+    """How the number of components shows on a bounded sample: method (mixture, kmeans), k, criterion (BIC of the best of
+    several starts, mean cosine), smallest share, starts that kept or lost components, and mean and spread of the pairwise
+    adjusted Rand index of fits on subsamples, over the members that two of them share (at least `least`).
+
+    sample: a few thousand rows, the caller's bound; it goes to all executors, and each fit is a task of its own.
+    """
+    spark = sample.sparkSession
+    x = np.array([r[0] for r in sample.orderBy(key).select(vec).collect()], dtype=float)
+    block = spark.sparkContext.broadcast(x)
+    jobs = [(m, int(k), f) for m in ("mixture", "kmeans") for k in ks if k < len(x) for f in range(-1, fits)]
+
+    def one(method: str, k: int, fit: int) -> tuple:
+        x = block.value
+        rng = np.random.default_rng(seed + 7919 * k + fit + 1)
+        members = np.arange(len(x)) if fit < 0 else np.sort(rng.choice(len(x), int(share * len(x)), replace=False))
+        part, best, ok, lost = x[members], None, 0, 0
+        for s in range(restarts if fit < 0 else 1):
+            start = seed + 1000 * k + s + 10**6 * (fit + 1)
+            if method == "kmeans":
+                centres = part[np.random.default_rng(start).choice(len(part), k, replace=False)]
+                _, labels, value = local_kmeans(part, centres)
+                found = (-value, labels, float(np.bincount(labels, minlength=k).min() / len(part)))
+            else:
+                m = local_mixture(part, k, start, floor, rounds)
+                if m.k < k:
+                    lost += 1
+                    if fit < 0:
+                        continue
+                found = (m.bic, posterior(part, m.mu, m.rho, m.pi)[0].argmax(axis=1), float(m.pi.min()))
+            ok += 1
+            best = found if best is None or found[0] < best[0] else best
+        if best is None:
+            return method, k, fit, None, None, ok, lost, None, None
+        return method, k, fit, -best[0] if method == "kmeans" else best[0], best[2], ok, lost, members.tolist() if fit >= 0 else None, best[1].tolist() if fit >= 0 else None
+
+    def run(batches):
+        for pdf in batches:
+            rows = [one(*r) for r in pdf.itertuples(index=False)]
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCAN.split(", ")])
+
+    todo = spark.createDataFrame(jobs, "method string, k int, fit int").repartition(max(1, min(len(jobs), 256)), "method", "k", "fit")
+    done = stored(todo.mapInPandas(run, SCAN), "fits")
+
+    def agree(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts, values = [(np.array(m), np.array(l)) for m, l in zip(pdf["members"], pdf["labels"], strict=True) if m is not None], []
+        for i in range(len(parts)):
+            for j in range(i):
+                both, a, b = np.intersect1d(parts[i][0], parts[j][0], True, True)
+                if len(both) >= least:
+                    table = np.zeros((parts[i][1].max() + 1, parts[j][1].max() + 1))
+                    np.add.at(table, (parts[i][1][a], parts[j][1][b]), 1)
+                    values.append(rand_index(table))
+        mean, sd = (float(np.mean(values)), float(np.std(values, ddof=1)) if len(values) > 1 else None) if values else (None, None)
+        return pd.DataFrame([(pdf["method"].iloc[0], pdf["k"].iloc[0], mean, sd, len(values))], columns=["method", "k", "ari_mean", "ari_sd", "pairs"])
+
+    stable = done.where("fit >= 0").groupBy("method", "k").applyInPandas(agree, "method string, k int, ari_mean double, ari_sd double, pairs int")
+    return done.where("fit < 0").select("method", "k", "criterion", "least_share", "n_ok", "n_collapse").join(stable, ["method", "k"], "left")
+
+
+def fit_clusters(df: DataFrame, key: str, config: ClusterConfig, vec: str = "embedding") -> tuple[Mixture | None, dict]:
+    """The mixture of the settings; a component must hold the larger of a share and of a number of members."""
+    return fit_mixture(df, key, config.k, config.restarts, config.seed, vec, effective_floor(config.min_share, df.count(), config.least_members))
+
+
 def effective_floor(share: float, n: int, least: int = 150) -> float:
-    return max(share, least / n)
+    """The least share of a component: `share`, or that of `least` members where that is more."""
+    return max(share, least / max(n, 1))
 
 
 def assign(df: DataFrame, m: Mixture, keys: list[str], vec: str = "embedding") -> DataFrame:
@@ -176,6 +290,16 @@ def from_psi(psi: np.ndarray, pi: np.ndarray) -> Mixture:
     return Mixture(psi / np.maximum(rho, 1e-12)[:, None], rho, pi)
 
 
+def verified(params: DataFrame, m: Mixture, df: DataFrame, vec: str = "embedding", rows: int = 200) -> Mixture:
+    """The mixture of saved parameters (k, psi, pi), if it gives some rows the posterior that m gives them."""
+    held = params.orderBy("k").collect()
+    read = from_psi(np.array([r["psi"] for r in held]), np.array([r["pi"] for r in held]))
+    x = np.array([r[0] for r in df.select(vec).limit(rows).collect()], dtype=float)
+    if len(x) and np.abs(posterior(x, read.mu, read.rho, read.pi)[0] - posterior(x, m.mu, m.rho, m.pi)[0]).max() > 1e-8:
+        raise ArithmeticError("the saved parameters do not give the fit's posterior")
+    return read
+
+
 def poisson_kernel_fit(df: DataFrame, vec: str = "embedding", rounds: int = 200, tol: float = 1e-8) -> tuple[np.ndarray, float, list[float]]:
     """One component with density (1 - |g|^2) / |x - g|^d, by gradient ascent with step halving and growth by half."""
     d = len(df.select(vec).first()[0])

@@ -11,14 +11,17 @@ from foliolens.functions import vectors as V
 from foliolens.operators import align as AL
 from foliolens.operators import pooling as P
 from foliolens.operators import sphere as SP
+from foliolens.operators.dynamics import label_steps
 from foliolens.plans import adapters as A
 from foliolens.plans.adapters import CORE, INVESTORS, KEYS, LABELS, POS
 from foliolens.plans.registry import query
-from foliolens.sources.durable import cached
+from foliolens.sources.durable import cached, stored
 
-K_FIXED, RHO_FIXED, STAYS = 8, 0.5, 0.25
+K_FIXED, RHO_FIXED, STAYS, PAIRS = 8, 0.5, AL.STAYER, 1_000_000
+#: Permutations of the alignment's null.
+PERMUTED = 20
 
-_TOK = "tok AS (SELECT vec_id::VARCHAR AS issuer_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 200)"
+_TOK = "tok AS (SELECT vec_id::VARCHAR AS issuer_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)"
 _VEC = f"""{POS}, {_TOK}, pv AS (SELECT investor_id, period, i, sum(pw * e) AS s FROM top JOIN tok USING (issuer_id) GROUP BY ALL),
 pu AS (SELECT investor_id, period, i, s / sqrt(sum(s * s) OVER (PARTITION BY investor_id, period)) AS x FROM pv)"""
 _OV = """ov AS (SELECT a.investor_id, a.period AS year, sum(CASE WHEN b.pw IS NULL THEN 0 ELSE least(a.pw, b.pw) END) AS wt_overlap FROM top a JOIN (SELECT DISTINCT investor_id, period FROM top) k ON k.investor_id = a.investor_id AND k.period = a.period + 1
@@ -106,26 +109,29 @@ def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 s AS (SELECT a.vec_id AS q, a.label AS lq, b.vec_id AS n, b.label AS ln, sum(a.x * b.x) AS c FROM v a JOIN v b USING (i) WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
-t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(c, 12) DESC, n) <= 10),
-h AS (SELECT q, lq, avg((lq = ln)::INT) AS share FROM t GROUP BY ALL), base AS (SELECT sum(p * p) AS b FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM embeddings GROUP BY label))
-SELECT lq AS label, count(*) AS n, round(avg(share), 6) AS homogeneity, round(avg(share) / any_value(b), 6) AS lift FROM h, base GROUP BY lq"""
+t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(c, 12) DESC, n) AS nth FROM s),
+h AS (SELECT m, q, lq, avg((lq = ln)::INT) AS share FROM t, (VALUES (10), (50)) v(m) WHERE nth <= m GROUP BY ALL), base AS (SELECT sum(p * p) AS b FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM embeddings GROUP BY label))
+SELECT m, lq AS label, count(*) AS n, round(avg(share), 6) AS homogeneity, round(avg(share) / any_value(b), 6) AS lift FROM h, base GROUP BY m, lq"""
 )
 def knn_homogeneity(spark: SparkSession, sf: str) -> DataFrame:
     e = A.table(spark, sf, "embeddings")
-    found = P.nearest(e.where("vec_id % 20 = 0"), e, 10)
+    found = P.nearest(e.where("vec_id % 20 = 0"), e, 50)
     lab = e.select("vec_id", "label")
     rows = found.join(lab.select(F.col("vec_id").alias("query"), F.col("label").alias("lq")), "query").join(lab.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("ln")), "neighbour")
-    share = rows.groupBy("query", "lq").agg(F.avg((F.col("lq") == F.col("ln")).cast("int")).alias("share"))
+    rows = rows.withColumn("m", F.explode(F.when(F.col("nth") <= 10, F.array(F.lit(10), F.lit(50))).otherwise(F.array(F.lit(50)))))
+    share = rows.groupBy("m", "query", "lq").agg(F.avg((F.col("lq") == F.col("ln")).cast("int")).alias("share"))
     p = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     base = p.agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("b"))
-    out = share.groupBy(F.col("lq").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.avg("share").alias("h")).join(F.broadcast(base), F.lit(True))
-    return out.select("label", "n", F.round("h", 6).alias("homogeneity"), F.round(F.col("h") / F.col("b"), 6).alias("lift"))
+    out = share.groupBy("m", F.col("lq").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.avg("share").alias("h")).join(F.broadcast(base), F.lit(True))
+    return out.select("m", "label", "n", F.round("h", 6).alias("homogeneity"), F.round(F.col("h") / F.col("b"), 6).alias("lift"))
 
 
 @query(
     f"""WITH {POS}, {_TOK}, hv AS (SELECT investor_id, period, rank % 2 AS half, i, sum(w * e) AS s FROM pos JOIN tok USING (issuer_id) WHERE rank <= 124 AND n_assets_full >= 2 GROUP BY ALL),
 hu AS (SELECT *, s / sqrt(sum(s * s) OVER (PARTITION BY investor_id, period, half)) AS x FROM hv),
-sc AS (SELECT a.period, a.investor_id AS p, b.investor_id AS q, exp(20 * sum(a.x * b.x) - 20) AS z FROM hu a JOIN hu b ON a.period = b.period AND a.i = b.i WHERE a.half = 1 AND b.half = 0 GROUP BY ALL),
+bk AS (SELECT period, investor_id, ('0x' || substr(md5(investor_id), 1, 8))::BIGINT % ceil(count(*) OVER (PARTITION BY period) / 64.0)::BIGINT AS batch FROM hu WHERE half = 1 AND i = 1),
+hb AS (SELECT * FROM hu JOIN bk USING (period, investor_id)),
+sc AS (SELECT a.period, a.batch, a.investor_id AS p, b.investor_id AS q, exp(20 * sum(a.x * b.x) - 20) AS z FROM hb a JOIN hb b ON a.period = b.period AND a.batch = b.batch AND a.i = b.i WHERE a.half = 1 AND b.half = 0 GROUP BY ALL),
 l AS (SELECT period, p AS r, ln(sum(z)) - ln(max(z) FILTER (p = q)) AS l FROM sc GROUP BY ALL UNION ALL SELECT period, q, ln(sum(z)) - ln(max(z) FILTER (p = q)) FROM sc GROUP BY period, q)
 SELECT period, round(avg(l), 6) AS loss, (count(*) / 2)::BIGINT AS n FROM l GROUP BY period"""
 )
@@ -133,7 +139,10 @@ def infonce_loss(spark: SparkSession, sf: str) -> DataFrame:
     rows = A.positions(spark, sf).where("rank <= 124 AND n_assets_full >= 2").join(A.token_vectors(spark, sf), "issuer_id").withColumn("half", F.col("rank") % 2)
     h = P.pooled(rows, [*KEYS, "half"], weight="w")
     pairs = h.where("half = 1").select(*KEYS, F.col("embedding").alias("a")).join(h.where("half = 0").select(*KEYS, F.col("embedding").alias("b")), KEYS)
-    return P.info_nce(pairs, "period", "investor_id", "a", "b").select("period", F.round("loss", 6).alias("loss"), "n")
+    pairs = P.batched(pairs, "period", "investor_id").withColumn("batch", F.struct("period", "batch"))
+    each = P.info_nce(pairs, "batch", "investor_id", "a", "b")
+    loss = F.sum(F.col("loss") * F.col("n")) / F.sum("n")
+    return each.groupBy(F.col("batch.period").alias("period")).agg(F.round(loss, 6).alias("loss"), F.sum("n").alias("n"))
 
 
 @query(f"WITH {POS}, {_OV} SELECT investor_id, year, round(wt_overlap, 6) AS wt_overlap FROM ov")
@@ -163,8 +172,8 @@ round(100.0 * count(*) FILTER (wt_overlap >= {STAYS}) / count(*), 4) AS pct_stay
 )
 def stability_by_group(spark: SparkSession, sf: str) -> DataFrame:
     o = overlaps(spark, sf).join(A.investors(spark, sf).select("investor_id", "investor_type"), "investor_id")
-    q = F.percentile("wt_overlap", [0.25, 0.5, 0.75])
-    g = o.groupBy("investor_type").agg(F.count(F.lit(1)).alias("n"), q.alias("q"), F.avg(F.when(F.col("wt_overlap") >= STAYS, 1.0).otherwise(0.0)).alias("s"))
+    q = stats.quantiles(o, "wt_overlap", [0.25, 0.5, 0.75], ["investor_type"])
+    g = o.groupBy("investor_type").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("wt_overlap") >= STAYS, 1.0).otherwise(0.0)).alias("s")).join(q, "investor_type")
     return g.select("investor_type", "n", *[F.round(F.get("q", i), 6).alias(c) for i, c in enumerate(("q1", "med", "q3"))], F.round(100.0 * F.col("s"), 4).alias("pct_stayers"))
 
 
@@ -265,7 +274,8 @@ SELECT bin, count(*) AS n, round(median(disp), 5) AS med_disp, round(avg(turnove
 def turnover_deciles(spark: SparkSession, sf: str) -> DataFrame:
     m = moves(spark, sf)
     bins = m.withColumn("bin", stats.cut(F.col("turnover"), stats.quantile_breaks(m, "turnover")))
-    return bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("disp"), 5).alias("med_disp"), F.round(F.avg("turnover"), 5).alias("mean_turnover"))
+    med = stats.quantiles(bins, "disp", [0.5], ["bin"]).select("bin", F.round(F.get("q", F.lit(0)), 5).alias("med_disp"))
+    return bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("turnover"), 5).alias("mean_turnover")).join(med, "bin")
 
 
 @query(f"WITH {_VEC}, {_MU}, {_LD} SELECT investor_id, period, k::INT AS k, round(l, 4) AS logdens FROM ld")
@@ -280,12 +290,17 @@ def spcauchy_logdens(spark: SparkSession, sf: str) -> DataFrame:
 SELECT investor_id, period, arg_max(k, (round(post, 12), -k))::INT AS label, round(max(post), 5) AS max_post, round(max(l) + ln(sum(exp(d))) - ln({K_FIXED}), 4) AS loglik FROM p GROUP BY ALL"""
 )
 def mixture_posterior_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture_posterior(spark, sf).select(*KEYS, "label", F.round("max_post", 5).alias("max_post"), F.round("loglik", 4).alias("loglik"))
+
+
+def mixture_posterior(spark: SparkSession, sf: str) -> DataFrame:
+    """Label, its posterior and log-likelihood of each yearly vector under the fixed mixture."""
     mu = fixed_centres(spark, sf)
     centres = F.lit([[float(x) for x in row] for row in mu])
     cos = F.transform(centres, lambda c: V.dot(F.col("embedding"), c))
     x = yearly(spark, sf).select(*KEYS, F.transform(cos, lambda c: V.spherical_cauchy_log_density(c, F.lit(RHO_FIXED), 64) - F.log(F.lit(float(K_FIXED)))).alias("l"))
     x = x.withColumn("loglik", V.log_sum_exp(F.col("l")))
-    return x.select(*KEYS, (V.first_argmax(F.col("l")) - 1).alias("label"), F.round(F.exp(F.array_max("l") - F.col("loglik")), 5).alias("max_post"), F.round("loglik", 4).alias("loglik"))
+    return x.select(*KEYS, (V.first_argmax(F.col("l")) - 1).alias("label"), F.exp(F.array_max("l") - F.col("loglik")).alias("max_post"), "loglik")
 
 
 def rotations(spark: SparkSession, sf: str, rule: str = "stable_strat") -> dict[int, np.ndarray]:
@@ -312,30 +327,42 @@ def rotation_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def alignment_null(spark: SparkSession, sf: str) -> DataFrame:
-    """Held-out cosine after alignment, and that of rotations fitted on anchors paired at random."""
+    """Per year: cosine of the fifth of investors held out before anchors were chosen, after alignment (of all, and of
+    those with stable holdings), and its mean over PERMUTED rotations fitted on anchors paired at random."""
     pairs = year_pairs(spark, sf).withColumn("held_out", F.pmod(F.xxhash64("investor_id", F.lit(7)), F.lit(5)) == 0)
-    train = pairs.where("NOT held_out")
-    nth = lambda *by: F.row_number().over(Window.partitionBy("year").orderBy(*by))
-    a = train.select("year", "a", nth("investor_id").alias("n"))
-    b = train.select("year", "b", nth(F.xxhash64("investor_id", F.lit(11)), "investor_id").alias("n"))
+    o = overlaps(spark, sf).join(A.investors(spark, sf).select("investor_id", "investor_type"), "investor_id")
+    pairs = stored(pairs.join(o, ["investor_id", "year"]), "pairs")
+    pool = pairs.where("NOT held_out")
+    kept = AL.anchors(pool.select("investor_id", "year", "investor_type", "wt_overlap"), "stable_strat", "year", "investor_id", "investor_type")
+    train = stored(pool.join(kept.select("investor_id", "year"), ["investor_id", "year"]).select("year", "investor_id", "a", "b"), "anchors")
     real = {int(k[0]): AL.procrustes(m) for k, m in AL.gram(train, "a", "b", ["year"]).items()}
-    null = {int(k[0]): AL.procrustes(m) for k, m in AL.gram(a.join(b, ["year", "n"]), "a", "b", ["year"]).items()}
-    test = AL.rotated(AL.rotated(pairs.where("held_out").select("year", "a", "b"), "a", real, "year", "real"), "a", null, "year", "null")
-    return test.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.avg(V.dot(F.col("real"), F.col("b"))).alias("cos_aligned"), F.avg(V.dot(F.col("null"), F.col("b"))).alias("cos_null"))
+    test = stored(AL.rotated(pairs.where("held_out").select("year", "a", "b", "wt_overlap"), "a", real, "year", "real"), "held-out")
+    # A held-out cosine's mean is tr(R' G) / n with G the sum of a b': one small matrix a year serves all permutations.
+    sums, null = AL.gram(test, "a", "b", ["year"]), {}
+    for (y, _), m in AL.gram(AL.shuffled_pairs(train, "year", "investor_id", PERMUTED), "a", "b", ["year", "seed"]).items():
+        if (y,) in sums:
+            null.setdefault(int(y), []).append(float((AL.procrustes(m) * sums[(y,)]).sum()))
+    rows = spark.createDataFrame([(y, float(np.mean(v)), len(v)) for y, v in null.items()], "year int, null_sum double, permutations int")
+    cos = V.dot(F.col("real"), F.col("b"))
+    g = test.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.avg(cos).alias("cos_aligned"), F.avg(F.when(AL.is_stayer(F.col("wt_overlap")), cos)).alias("cos_stable"))
+    return g.join(F.broadcast(rows), "year").select("year", "n", "cos_aligned", "cos_stable", (F.col("null_sum") / F.col("n")).alias("cos_null"), "permutations")
 
 
 @query()
 def loco_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Each label's own displacement under rotations fitted without it, for the last step."""
-    lab = A.labels(spark, sf)
-    pairs = year_pairs(spark, sf).join(lab, ["investor_id", "year"])
-    year = pairs.agg(F.max("year")).first()[0]
-    pairs = pairs.where(F.col("year") == year)
-    grams = {k[0]: m for k, m in AL.gram(pairs, "a", "b", ["label"]).items()}
-    total = sum(grams.values())
-    without = {k: AL.procrustes(total - m) for k, m in grams.items()}
-    moved = AL.rotated(pairs, "a", without, "label", "turned")
-    return moved.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.median(AL.displacement(moved, "turned", "b")).alias("median_displacement"))
+    """Each label's own median displacement in each step under rotations fitted without it, and under those of all."""
+    pairs = stored(year_pairs(spark, sf).join(A.labels(spark, sf), ["investor_id", "year"]).withColumn("part", F.concat_ws("/", "year", "label")), "labelled-pairs")
+    grams = {k: m for k, m in AL.gram(pairs, "a", "b", ["year", "label"]).items()}
+    total: dict[int, np.ndarray] = {}
+    for (y, _), m in grams.items():
+        total[y] = total.get(y, 0) + m
+    without = {f"{y}/{k}": AL.procrustes(total[y] - m) for (y, k), m in grams.items()}
+    moved = AL.rotated(pairs, "a", without, "part", "left_out")
+    moved = AL.rotated(moved, "a", {y: AL.procrustes(m) for y, m in total.items()}, "year", "turned")
+    d = stored(moved.select("year", "label", AL.displacement(moved, "left_out", "b").alias("own"), AL.displacement(moved, "turned", "b").alias("all")), "displaced")
+    by = ["year", "label"]
+    med = [stats.quantiles(d, c, [0.5], by).select(*by, F.get("q", F.lit(0)).alias(f"median_{c}")) for c in ("own", "all")]
+    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(med[0], by).join(med[1], by)
 
 
 @query()
@@ -349,82 +376,86 @@ def spherical_kmeans(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def spcauchy_em(spark: SparkSession, sf: str) -> DataFrame:
     y = yearly(spark, sf)
-    m, _ = SP.fit_mixture(y, "investor_id", 3, restarts=1, require_k=False, rounds=15)
+    m, _ = SP.fit_mixture(y, "investor_id", 3, restarts=2, require_k=False)
     return SP.assign(y, m, KEYS).select(*KEYS, "label", "max_post", "loglik")
 
 
 @query()
 def choosing_k(spark: SparkSession, sf: str) -> DataFrame:
-    """For each k: BIC, agreement of two subsample fits (adjusted Rand), smallest share."""
-    y = P.sample_rows(yearly(spark, sf).where("period = 1998"), "investor_id", 5000)
-    y = cached(spark, ("choosing", sf), lambda: y)
-    rows = []
-    for k in (2, 3):
-        fits = []
-        for s in (0, 1):
-            part = y.where(F.pmod(F.xxhash64("investor_id", F.lit(s)), F.lit(5)) < 4)
-            m, counts = SP.fit_mixture(part, "investor_id", k, restarts=1, seed=s, require_k=False, rounds=8)
-            fits.append((m, counts))
-        both = SP.assign(y, fits[0][0], ["investor_id"]).select("investor_id", F.col("label").alias("a")).join(SP.assign(y, fits[1][0], ["investor_id"]).select("investor_id", F.col("label").alias("b")), "investor_id")
-        ari = stats.adjusted_rand(both, "a", "b").first()["ari"]
-        rows.append((k, float(fits[0][0].bic), float(ari), float(fits[0][0].pi.min()), fits[0][1]["n_ok"]))
-    return spark.createDataFrame(rows, "k int, bic double, ari double, least_share double, n_ok int")
+    """For k = 2 to 20 on 5,000 vectors of all years: BIC or mean cosine, and agreement of ten subsample fits."""
+    return SP.scan_k(P.sample_rows(yearly(spark, sf).withColumn("id", F.concat_ws("/", *KEYS)), "id", 5000), "id")
 
 
 @query()
 def one_component_fit(spark: SparkSession, sf: str) -> DataFrame:
-    mu, rho, trace = SP.poisson_kernel_fit(yearly(spark, sf), rounds=12)
+    mu, rho, trace = SP.poisson_kernel_fit(yearly(spark, sf))
     return spark.createDataFrame([(float(rho), float(mu @ mu), trace[-1], len(trace))], "rho double, mu_norm double, loglik double, steps int")
 
 
-@query()
+@query(
+    f"""WITH {CORE}, {_STEPS}, g AS (SELECT year, sum(sw) AS s, count(*) AS n FROM steps GROUP BY year), a AS (SELECT sum(s) / sum(n) AS p, count(*) AS k FROM g)
+SELECT round(sum((s - n * p) ** 2 / (n * p) + (s - n * p) ** 2 / (n * (1 - p))), 6) AS chi2, (any_value(k) - 1)::INT AS df FROM g, a"""
+)
 def homogeneity_test(spark: SparkSession, sf: str) -> DataFrame:
     """Chi-square test that switching is equally frequent in all years."""
     g = steps(spark, sf).groupBy("year").agg(F.sum("sw").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("year").collect()
-    stat, df, p = stats.chi_square(np.array([[r["s"], r["n"] - r["s"]] for r in g]))
-    return spark.createDataFrame([(round(stat, 6), df, round(p, 6))], "chi2 double, df int, p double")
+    stat, df, _ = stats.chi_square(np.array([[r["s"], r["n"] - r["s"]] for r in g]))
+    return spark.createDataFrame([(round(stat, 6), df)], "chi2 double, df int")
 
 
 @query()
 def step_glm(spark: SparkSession, sf: str) -> DataFrame:
-    """Logistic regression of switching on the year and turnover, with the likelihood ratio against no years."""
+    """Logistic regression of switching on the year, the clipped log-odds of the first label's posterior and turnover,
+    with the likelihood ratio against no years."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    d = steps(spark, sf).join(moves(spark, sf).select("investor_id", "year", "turnover"), ["investor_id", "year"])
+    post = mixture_posterior(spark, sf).select("investor_id", F.col("period").alias("year"), "label", "max_post")
+    d = label_steps(post).join(moves(spark, sf).select("investor_id", "year", "turnover"), ["investor_id", "year"])
+    d = d.withColumn("sureness", stats.clipped_logit(F.col("max_post_from")))
     years = [r[0] for r in d.select("year").distinct().orderBy("year").collect()]
     cols = [f"y{y}" for y in years[1:]]
-    d = cached(spark, ("glm", sf), lambda: d.select(F.col("sw").cast("double").alias("y"), "turnover", *[(F.col("year") == y).cast("double").alias(f"y{y}") for y in years[1:]]))
+    d = cached(spark, ("glm", sf), lambda: d.select(F.col("sw").cast("double").alias("y"), "turnover", "sureness", *[(F.col("year") == y).cast("double").alias(f"y{y}") for y in years[1:]]))
 
     def fit(names: list[str]):
         return GeneralizedLinearRegression(family="binomial", labelCol="y", featuresCol="x", maxIter=25).fit(VectorAssembler(inputCols=names, outputCol="x").transform(d))
 
-    full, small = fit([*cols, "turnover"]), fit(["turnover"])
+    controls = ["sureness", "turnover"]
+    full, small = fit([*cols, *controls]), fit(controls)
     lrt = small.summary.deviance - full.summary.deviance
     se = full.summary.coefficientStandardErrors
-    rows = [(n, float(b), float(s), float(b - 1.96 * s), float(b + 1.96 * s), float(lrt), stats.chi2_sf(lrt, len(cols))) for n, b, s in zip([*cols, "turnover"], full.coefficients, se, strict=False)]
+    rows = [(n, float(b), float(s), float(b - 1.96 * s), float(b + 1.96 * s), float(lrt), stats.chi2_sf(lrt, len(cols))) for n, b, s in zip([*cols, *controls], full.coefficients, se, strict=False)]
     return spark.createDataFrame(rows, "term string, estimate double, se double, low double, high double, lrt double, p double")
 
 
 @query()
 def hungarian_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels of one year matched to those of the next by the number of shared investors."""
-    g = steps(spark, sf).where("year = 1997").groupBy("f", "t").agg(F.count(F.lit(1)).alias("n")).collect()
-    k = max(max(r["f"], r["t"]) for r in g) + 1
-    m = np.zeros((k, k))
-    for r in g:
-        m[r["f"], r["t"]] = r["n"]
-    best, total, margin = stats.hungarian_margin(m)
-    return spark.createDataFrame([(i, int(j), float(m[i, j]), total, margin) for i, j in enumerate(best)], "from_label int, to_label int, shared double, total double, margin double")
+    """Labels of each year matched to those of the next by the number of shared investors."""
+    g = steps(spark, sf).groupBy("year", "f", "t").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each year and pair of labels
+    k = max((max(r["f"], r["t"]) for r in g), default=-1) + 1
+    rows = []
+    for y in sorted({r["year"] for r in g}):
+        m = np.zeros((k, k))
+        for r in (r for r in g if r["year"] == y):
+            m[r["f"], r["t"]] = r["n"]
+        best, total, margin = stats.hungarian_margin(m)
+        rows += [(y, i, int(j), float(m[i, j]), total, margin) for i, j in enumerate(best)]
+    return spark.createDataFrame(rows, "year int, from_label int, to_label int, shared double, total double, margin double")
 
 
-@query()
+QUANTILES = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
+
+
+@query(
+    f"""WITH {_VEC}, e AS (SELECT investor_id || '/' || period AS id, list(x ORDER BY i) AS v FROM pu GROUP BY ALL), r AS (SELECT v, row_number() OVER (ORDER BY id) - 1 AS nth FROM e),
+d AS (SELECT ('0x' || substr(md5('a' || p), 1, 8))::BIGINT % (SELECT count(*) FROM r) AS i, ('0x' || substr(md5('b' || p), 1, 8))::BIGINT % (SELECT count(*) FROM r) AS j FROM range({PAIRS}) t(p)),
+c AS (SELECT list_inner_product(a.v, b.v) AS c FROM d JOIN r a ON a.nth = i JOIN r b ON b.nth = j WHERE i <> j)
+SELECT count(*) AS n, round(avg(c), 6) AS mean, round(stddev(c), 6) AS sd, 0.125::DOUBLE AS null_sd, {", ".join(f"round(quantile_cont(c, {q}), 6) AS {n}" for n, q in QUANTILES.items())} FROM c"""
+)
 def cosine_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    """Quantiles of cosines of pairs drawn by hash, against the spread of random directions."""
+    """Quantiles of the cosines of PAIRS pairs drawn by hash, against the spread of random directions."""
     y = yearly(spark, sf).select(F.concat_ws("/", *KEYS).alias("id"), "embedding")
-    n = 1 << 12
-    a = y.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).alias("k"), F.col("id").alias("i"), F.col("embedding").alias("a"))
-    b = y.select(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n)).alias("k"), F.col("id").alias("j"), F.col("embedding").alias("b"))
-    c = a.join(b, "k").where("i <> j").select(V.dot(F.col("a"), F.col("b")).alias("c"))
-    q = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-    return c.agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean"), F.stddev("c").alias("sd"), F.lit(1 / 8.0).alias("null_sd"), F.percentile("c", q).cast("string").alias("quantiles"))
+    c = stored(P.sampled_pairs(y, "id", PAIRS).select(V.dot(F.col("a_embedding"), F.col("b_embedding")).alias("c")), "cosines")
+    q = stats.quantiles(c, "c", list(QUANTILES.values()))
+    m = c.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.stddev("c"), 6).alias("sd"), F.lit(1 / 8.0).alias("null_sd"))
+    return m.join(F.broadcast(q), F.lit(True)).select("n", "mean", "sd", "null_sd", *[F.round(F.get("q", F.lit(k)), 6).alias(c) for k, c in enumerate(QUANTILES)])

@@ -28,12 +28,15 @@ def holdings_latest_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CORE} SELECT investor_id, report_date, count(*) AS n, round(sum(mv), 4) AS mv FROM raw
-WHERE report_date BETWEEN DATE '1996-12-31' - 7 AND DATE '1996-12-31' + 7 AND mv > 0 GROUP BY ALL"""
+    f"""WITH {CORE}, w AS (SELECT *, unnest([last_day(date_trunc('quarter', report_date)::DATE + INTERVAL 2 MONTH)::DATE, date_trunc('quarter', report_date)::DATE - 1]) AS quarter_end FROM raw)
+SELECT investor_id, quarter_end, count(*) AS n, round(sum(mv), 4) AS mv FROM w WHERE report_date BETWEEN quarter_end - 7 AND quarter_end + 7 AND mv > 0 GROUP BY ALL"""
 )
 def report_window(spark: SparkSession, sf: str) -> DataFrame:
-    rows = H.in_window(A.raw(spark, sf).withColumn("q", F.lit("1996-12-31").cast("date")), "report_date", "q", 7).where("mv > 0")
-    return rows.groupBy("investor_id", "report_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mv"), 4).alias("mv"))
+    """Reports about each quarter's end: a date can be near that of its own quarter or of the one before."""
+    start = F.date_trunc("quarter", "report_date").cast("date")
+    ends = F.explode(F.array(F.last_day(F.add_months(start, 2)), F.date_sub(start, 1)))
+    rows = H.in_window(A.raw(spark, sf).withColumn("quarter_end", ends), "report_date", "quarter_end", 7).where("mv > 0")
+    return rows.groupBy("investor_id", "quarter_end").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mv"), 4).alias("mv"))
 
 
 @query(f"WITH {CORE} SELECT investor_id, issuer_id, period, round(mv, 4) AS mv FROM c0")

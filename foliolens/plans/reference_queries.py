@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliolens.functions import stats
+from foliolens.functions.stats import quantiles
 from foliolens.operators import lenses as L
 from foliolens.plans import adapters as A
-from foliolens.plans.adapters import CORE, INVESTORS, ISSUERS, KEYS, LABELS, POS
+from foliolens.plans.adapters import CORE, INVESTORS, ISSUERS, KEYS, LABELS, POS, UNIVERSE
 from foliolens.plans.registry import query
 
 
@@ -30,37 +31,38 @@ def investor_panel_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT *, CASE WHEN p_type LIKE 'A%' THEN 6 WHEN p_type LIKE 'E%' THEN 5 WHEN p_type LIKE 'S%' THEN 3 ELSE 4 END AS r_type, p_size % 2 = 0 AS active FROM part)
-SELECT (p_partkey % 200)::VARCHAR AS issuer_id, p_partkey AS listing, p_retailprice AS market_cap FROM l
-QUALIFY row_number() OVER (PARTITION BY p_partkey % 200 ORDER BY r_type DESC, active DESC, p_retailprice DESC NULLS LAST, p_partkey) = 1"""
+    f"""WITH l AS (SELECT *, p_partkey % {UNIVERSE} AS issuer, CASE WHEN p_type LIKE 'A%' THEN 6 WHEN p_type LIKE 'E%' THEN 5 WHEN p_type LIKE 'S%' THEN 3 ELSE 4 END AS r_type, p_size % 2 = 0 AS active FROM part)
+SELECT issuer::VARCHAR AS issuer_id, p_partkey AS listing, p_retailprice AS market_cap FROM l
+QUALIFY row_number() OVER (PARTITION BY issuer ORDER BY r_type DESC, active DESC, p_retailprice DESC NULLS LAST, p_partkey) = 1"""
 )
 def primary_listing(spark: SparkSession, sf: str) -> DataFrame:
     p = A.table(spark, sf, "part")
     first = F.substring("p_type", 1, 1)
     r_type = F.when(first == "A", 6).when(first == "E", 5).when(first == "S", 3).otherwise(4)
-    w = Window.partitionBy(F.col("p_partkey") % 200).orderBy(r_type.desc(), (F.col("p_size") % 2 == 0).desc(), F.col("p_retailprice").desc_nulls_last(), "p_partkey")
+    issuer = A.issuer_of(spark, sf, "p_partkey")
+    w = Window.partitionBy(issuer).orderBy(r_type.desc(), (F.col("p_size") % 2 == 0).desc(), F.col("p_retailprice").desc_nulls_last(), "p_partkey")
     p = p.withColumn("nth", F.row_number().over(w)).where("nth = 1")
-    return p.select((F.col("p_partkey") % 200).cast("string").alias("issuer_id"), F.col("p_partkey").alias("listing"), F.col("p_retailprice").alias("market_cap"))
+    return p.select(issuer.cast("string").alias("issuer_id"), F.col("p_partkey").alias("listing"), F.col("p_retailprice").alias("market_cap"))
 
 
 @query(
-    """WITH p AS (SELECT (p_partkey % 200)::VARCHAR AS issuer_id, p_partkey, p_retailprice * p_size AS cap, p_size FROM part WHERE p_retailprice > 0 AND p_size > 0)
+    f"""WITH p AS (SELECT (p_partkey % {UNIVERSE})::VARCHAR AS issuer_id, p_partkey, p_retailprice * p_size AS cap, p_size FROM part WHERE p_retailprice > 0 AND p_size > 0)
 SELECT issuer_id, p_partkey AS listing, round(cap, 4) AS market_cap FROM p QUALIFY row_number() OVER (PARTITION BY issuer_id ORDER BY cap DESC, p_partkey) = 1"""
 )
 def market_caps(spark: SparkSession, sf: str) -> DataFrame:
     p = A.table(spark, sf, "part").where((F.col("p_retailprice") > 0) & (F.col("p_size") > 0))
-    p = p.select((F.col("p_partkey") % 200).cast("string").alias("issuer_id"), F.col("p_partkey").alias("listing"), (F.col("p_retailprice") * F.col("p_size")).alias("cap"))
+    p = p.select(A.issuer_of(spark, sf, "p_partkey").cast("string").alias("issuer_id"), F.col("p_partkey").alias("listing"), (F.col("p_retailprice") * F.col("p_size")).alias("cap"))
     w = Window.partitionBy("issuer_id").orderBy(F.col("cap").desc(), "listing")
     return p.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("issuer_id", "listing", F.round("cap", 4).alias("market_cap"))
 
 
 @query(
-    f"""WITH {ISSUERS}, k AS (SELECT range::VARCHAR AS issuer_id FROM range(220))
+    f"""WITH {ISSUERS}, k AS (SELECT (p_partkey - 20)::VARCHAR AS issuer_id FROM part)
 SELECT k.issuer_id, coalesce(CASE WHEN k.issuer_id::INT % 3 <> 0 THEN name END, brand, 'unknown') AS name,
 CASE WHEN k.issuer_id::INT % 3 <> 0 AND name IS NOT NULL THEN 'entity' WHEN brand IS NOT NULL THEN 'listing' END AS name_source FROM k LEFT JOIN iss USING (issuer_id)"""
 )
 def name_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    k = spark.range(220).select(F.col("id").cast("string").alias("issuer_id"))
+    k = A.table(spark, sf, "part").select((F.col("p_partkey") - 20).cast("string").alias("issuer_id"))  # the first have no issuer
     entity = F.when(F.col("issuer_id").cast("int") % 3 != 0, F.col("name"))
     rows = k.join(A.issuers(spark, sf), "issuer_id", "left")
     return rows.select("issuer_id", F.coalesce(entity, "brand", F.lit("unknown")).alias("name"), F.when(entity.isNotNull(), "entity").when(F.col("brand").isNotNull(), "listing").alias("name_source"))
@@ -109,7 +111,9 @@ SELECT count(*) AS n, round(quantile_cont(date_diff('day', last, DATE '2001-12-3
 def price_staleness(spark: SparkSession, sf: str) -> DataFrame:
     last = A.raw(spark, sf).groupBy("issuer_id").agg(F.max("report_date").alias("last"))
     lag = F.datediff(F.lit("2001-12-31").cast("date"), "last")
-    return last.agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile(lag, 0.5), 4).alias("median_days"), F.round(F.percentile(lag, 0.9), 4).alias("p90_days"))
+    days = last.select(lag.alias("days"))
+    n = days.agg(F.count("days").alias("n"))
+    return quantiles(days, "days", [0.5, 0.9]).join(F.broadcast(n), F.lit(True)).select("n", F.round(F.get("q", F.lit(0)), 4).alias("median_days"), F.round(F.get("q", F.lit(1)), 4).alias("p90_days"))
 
 
 @query(

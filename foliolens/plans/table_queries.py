@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliolens.functions import sequences as S
+from foliolens.functions.stats import average_ranks, quantiles
 from foliolens.plans import adapters as A
-from foliolens.plans.adapters import CORE, POS
+from foliolens.plans.adapters import CORE, POS, UNIVERSE
 from foliolens.plans.registry import query
 from foliolens.sources.panel_files import lookup_by_ids
 from foliolens.streaming.incremental import presence
@@ -37,9 +38,7 @@ def quarter_calendar(spark: SparkSession, sf: str) -> DataFrame:
 (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey))::INT AS nth FROM customer QUALIFY nth <= 20"""
 )
 def ranks_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    from foliolens.functions.stats import average_rank
-
-    c = A.table(spark, sf, "customer").withColumn("avg_rank", average_rank("c_acctbal", ["c_mktsegment"]))
+    c = average_ranks(A.table(spark, sf, "customer"), "c_acctbal", "avg_rank", ["c_mktsegment"])
     nth = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.col("c_acctbal").desc(), "c_custkey"))
     return c.withColumn("nth", nth).where("nth <= 20").select("c_mktsegment", "c_custkey", "c_acctbal", F.round("avg_rank", 1).alias("avg_rank"), "nth")
 
@@ -59,7 +58,7 @@ def histogram_50(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT o_orderpriority, (row_number() OVER (ORDER BY median(o_totalprice), o_orderpriority))::INT AS place, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(median(o_totalprice), 4) AS med, round(quantile_cont(o_totalprice, 0.75), 4) AS q3 FROM orders GROUP BY o_orderpriority"""
 )
 def box_plot_data(spark: SparkSession, sf: str) -> DataFrame:
-    g = A.table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", [0.25, 0.5, 0.75]).alias("q"))
+    g = quantiles(A.table(spark, sf, "orders"), "o_totalprice", [0.25, 0.5, 0.75], ["o_orderpriority"])
     place = F.row_number().over(Window.orderBy(F.get("q", 1), "o_orderpriority"))  # a row for each group
     return g.select("o_orderpriority", place.alias("place"), *[F.round(F.get("q", i), 4).alias(c) for i, c in enumerate(("q1", "med", "q3"))])
 
@@ -97,8 +96,8 @@ SELECT investor_id, period, round(w1, 6) AS w1, round(w10, 6) AS w10 FROM q WHER
 )
 def upper_quantile_mask(spark: SparkSession, sf: str) -> DataFrame:
     g = A.positions(spark, sf).groupBy("investor_id", "period").agg(F.max(F.when(F.col("rank") == 1, F.col("w"))).alias("w1"), F.sum(F.when(F.col("rank") <= 10, F.col("w"))).alias("w10"))
-    q = g.groupBy("period").agg(F.percentile("w10", 0.75).alias("q"))
-    return g.join(F.broadcast(q), "period").where("w10 >= q").select("investor_id", "period", F.round("w1", 6).alias("w1"), F.round("w10", 6).alias("w10"))
+    q = quantiles(g, "w10", [0.75], ["period"])
+    return g.join(F.broadcast(q), "period").where("w10 >= q[0]").select("investor_id", "period", F.round("w1", 6).alias("w1"), F.round("w10", 6).alias("w10"))
 
 
 @query(f"WITH {CORE}, y AS (SELECT period, count(DISTINCT investor_id) AS n FROM core GROUP BY ALL) SELECT period, n, (n - lag(n) OVER (ORDER BY period))::BIGINT AS step, sum(n) OVER (ORDER BY period)::BIGINT AS running FROM y")
@@ -117,13 +116,13 @@ def scalar_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_CAND = "l AS (SELECT p_partkey AS listing, p_partkey % 200 AS issuer, p_type LIKE 'E%' AS equity, p_size % 2 = 0 AS covered FROM part)"
+_CAND = f"l AS (SELECT p_partkey AS listing, p_partkey % {UNIVERSE} AS issuer, p_type LIKE 'E%' AS equity, p_size % 2 = 0 AS covered FROM part)"
 
 
 @query(f"WITH {_CAND}, f AS (SELECT *, max(covered::INT) OVER (PARTITION BY issuer) AS any_covered, max(equity::INT) OVER (PARTITION BY issuer) AS any_equity FROM l) SELECT listing, issuer FROM f WHERE equity OR any_covered = 0 OR any_equity = 0")
 def candidate_listings(spark: SparkSession, sf: str) -> DataFrame:
     """Equity listings, and all listings of issuers without a covered one or without an equity one."""
-    p = A.table(spark, sf, "part").select(F.col("p_partkey").alias("listing"), (F.col("p_partkey") % 200).alias("issuer"), F.col("p_type").startswith("E").alias("equity"), (F.col("p_size") % 2 == 0).alias("covered"))
+    p = A.table(spark, sf, "part").select(F.col("p_partkey").alias("listing"), A.issuer_of(spark, sf, "p_partkey").alias("issuer"), F.col("p_type").startswith("E").alias("equity"), (F.col("p_size") % 2 == 0).alias("covered"))
     flags = p.groupBy("issuer").agg(F.max("covered").alias("any_covered"), F.max("equity").alias("any_equity"))
     return p.join(flags, "issuer").where(F.col("equity") | ~F.col("any_covered") | ~F.col("any_equity")).select("listing", "issuer")
 

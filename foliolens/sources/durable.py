@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of its own only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a folder of its own only in local mode, as in tests, where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a shared folder")
         path = "file://" + tempfile.mkdtemp(prefix="foliolens-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -28,12 +31,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 _NAMED: dict[tuple, DataFrame] = {}
 
 
+def input_state(spark: SparkSession, path: str) -> int:
+    """A number for the files of a folder, its subfolders' one level down too: names, sizes and times of change."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return 0
+    found = []
+    for s in files.listStatus(root):
+        inner = files.listStatus(s.getPath()) if s.isDirectory() else [s]
+        found += [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in inner]
+    return zlib.crc32(repr(sorted(found)).encode())
+
+
 def cached(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """A stored table, made once for each application and key."""
-    key = (spark.sparkContext.applicationId, *key)
-    if key not in _NAMED:
-        _NAMED[key] = stored(make(), "-".join(str(k).split("/")[-1] for k in key[1:]))
-    return _NAMED[key]
+    """A stored table, made once for each application, key and state of its input; key: a name, the input's folder, and more."""
+    held = (spark.sparkContext.applicationId, *key, input_state(spark, key[1]))
+    if held not in _NAMED:
+        _NAMED[held] = stored(make(), "-".join(str(k).split("/")[-1] for k in key))
+    return _NAMED[held]
+
+
+def forget() -> None:
+    """Drop all named tables, so that the next use makes them anew."""
+    _NAMED.clear()
 
 
 def exists(spark: SparkSession, path: str) -> bool:

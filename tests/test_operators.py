@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from foliolens import schemas
 from foliolens.functions import sequences as S
-from foliolens.functions import stats
-from foliolens.operators import align, holdings, lenses, pooling, sphere
+from foliolens.functions import stats, vectors
+from foliolens.operators import align, assembly, dynamics, holdings, lenses, pooling, sphere
 from foliolens.sources import durable, panel_files
 from foliolens.streaming import incremental
 
@@ -100,10 +100,39 @@ def test_statistics_below_their_least_size_are_null(spark):
 
 def test_global_ranks_share_ties(spark):
     df = spark.createDataFrame([(float(x),) for x in [3, 1, 2, 2, 5, 1, 1]], "x double")
-    got = sorted((r.x, r.r) for r in stats.global_average_rank(df, "x", "r").collect())
+    got = sorted((r.x, r.r) for r in stats.average_ranks(df, "x", "r").collect())
     assert got == [(1.0, 2.0)] * 3 + [(2.0, 4.5)] * 2 + [(3.0, 6.0), (5.0, 7.0)]
 
 
+def test_numbers_ranks_and_quantiles_of_groups(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, k, float(rng.integers(0, 30)), None if g == "z" else g) for g in ("a", "b", "z") for k in range({"a": 200, "b": 7, "z": 40}[g])]
+    df = spark.createDataFrame(rows, "g string, k int, x double, h string").repartition(7)
+    numbers = stats.row_numbers(df, ["h"], ["x", "k"], "n")
+    for g in ("a", "b", None):
+        mine = sorted((x, k) for _, k, x, h in rows if h == g)
+        assert sorted((r.n, (r.x, r.k)) for r in numbers.collect() if r.h == g) == list(enumerate(mine, 1))
+        values = np.array([x for x, _ in mine])
+        q = next(r.q for r in stats.quantiles(df, "x", [0, 0.1, 0.5, 0.75, 1], ["h"]).collect() if r.h == g)
+        assert np.allclose(q, np.quantile(values, [0, 0.1, 0.5, 0.75, 1]))
+        rank = {r.k: r.r for r in stats.average_ranks(df, "x", "r", ["h"]).collect() if r.h == g}
+        assert all(rank[k] == (values < x).sum() + ((values == x).sum() + 1) / 2 for x, k in mine)
+    assert stats.quantiles(df.limit(0), "x", [0.5]).count() == 0
+    assert [r.q for r in stats.quantiles(df.where("k = 3 AND g = 'b'"), "x", [0.5]).collect()] == [[next(x for g, k, x, _ in rows if (g, k) == ("b", 3))]]
+
+
+def test_logit_and_half_even(spark):
+    df = spark.createDataFrame([(0.0, 0.5), (0.5, 1.5), (1.0, 2.5)], "p double, x double")
+    got = df.select(stats.clipped_logit(F.col("p")).alias("l"), stats.half_even(F.col("x")).alias("r")).collect()
+    edge = math.log(1e-4 / (1 - 1e-4))
+    assert np.allclose([r.l for r in got], [edge, 0, -edge]) and [r.r for r in got] == [0.0, 2.0, 2.0]
+
+
+def test_quarter_labels(spark):
+    df = spark.createDataFrame([("2020-Q1",), ("2021-Q4",), ("2021-Q5",), ("x",), (None,)], "l string")
+    assert [r[0] for r in df.select(S.quarter_end_of(F.col("l"))).collect()] == [datetime.date(2020, 3, 31), datetime.date(2021, 12, 31), None, None, None]
+
+
 def test_weighted_median(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 1.0), ("a", 9.0, 2.0), ("a", 50.0, 0.0), ("a", None, 5.0)], "k string, x double, w double")
     assert stats.weighted_median(df, ["k"], "x", "w").first()["weighted_median"] == 2.0
@@ -194,6 +223,153 @@ def test_durable_tables(spark, tmp_path):
     assert durable.load_model(spark, f"file://{tmp_path}/none", {"k": 4}) is None
 
 
+def test_panel_sink_deals_quarters_and_removes_twins(spark, tmp_path):
+    path, day = f"file://{tmp_path}/panel", datetime.date(2020, 6, 30)
+    stale = spark.createDataFrame([(datetime.date(2020, 7, 1), "old")], "quarter_end date, investor_id string")
+    assert panel_files.write_panel(stale, path) == ["2020-07-01"]
+    df = spark.createDataFrame([(day, f"i{k}") for k in range(200)], "quarter_end date, investor_id string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        assert panel_files.write_panel(df, path) == ["2020-06-30"] and panel_files.write_panel(df, path) == []
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(panel_files.quarter_folders(spark, path)) == ["2020-06-30"] and spark.read.parquet(path).count() == 200
+    assert len(list((tmp_path / "panel" / "quarter_end=2020-06-30").glob("*.parquet"))) > 1
+
+
+def test_lookups_by_id_lists(spark, tmp_path):
+    assert panel_files.id_predicates("id", ["b", None, "a", "it's", "b"], 2, "x > 1") == ["id IN ('a', 'b') AND (x > 1)", "id IN ('it''s') AND (x > 1)"]
+    table, tried, reopened = spark.createDataFrame([(k, k * 2.0) for k in range(20)], "id long, x double"), [], []
+
+    def read(predicates):
+        tried.append(predicates)
+        if len(tried) < 3:
+            raise ConnectionError("lost")
+        return panel_files.union_present([table.where(p) for p in predicates])
+
+    ids = spark.createDataFrame([(3,), (3,), (7,), (99,), (None,)], "id long")
+    got = panel_files.fetch_by_id_lists(read, "id", ids, f"file://{tmp_path}/got", chunk=2, wait=0)
+    assert sorted(r.id for r in got.collect()) == [3, 7] and len(tried) == 3 and tried[0] == ["id IN (3, 7)", "id IN (99)"]
+    assert panel_files.fetch_by_id_lists(read, "id", ids.limit(0), f"file://{tmp_path}/none") is None
+    with pytest.raises(ConnectionError):
+        panel_files.with_retries(lambda: (_ for _ in ()).throw(ConnectionError()), attempts=3, wait=0, reopen=lambda: reopened.append(1))
+    assert len(reopened) == 2
+    assert panel_files.union_present([None, table, None]).count() == 20 and panel_files.union_present([None]) is None
+
+
+def test_reports_become_holdings(spark):
+    q, d = datetime.date(2020, 3, 31), lambda k: datetime.date(2020, 3, 31) + datetime.timedelta(days=k)
+    rows = [("h", "HF", q, d(7), "x", 1.0), ("h", "HF", q, d(-7), "x", 2.0), ("h", "HF", q, d(8), "x", 4.0), ("f", "ETF", q, d(1), "x", 1.0), ("f", "ETF", q, d(5), "x", 3.0), ("f", "ETF", q, d(5), "x", 2.0), ("f", "ETF", q, d(6), "x", 9.0)]
+    rows += [("p", "PF", q, d(0), "x", 1.0), ("f", "ETF", q, d(0), None, 1.0), ("f", "ETF", q, d(0), "y", -1.0)]
+    df = spark.createDataFrame(rows, "investor_id string, investor_type string, quarter_end date, report_date date, issuer_id string, mv double")
+    got = {(r.investor_id, r.issuer_id): r.mv for r in holdings.reported(df, ("HF",), ("ETF",), 7, 5).collect()}
+    assert got == {("h", "x"): 3.0, ("f", "x"): 3.0}
+
+
+def test_caches_follow_their_input(spark, tmp_path):
+    path = f"file://{tmp_path}/in"
+    spark.range(3).write.parquet(path)
+    make = lambda: spark.read.parquet(path)
+    assert durable.cached(spark, ("rows", path), make).count() == 3
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert durable.cached(spark, ("rows", path), make).count() == 5
+
+
+def test_assembly_keeps_rows(spark):
+    base = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, n int")
+    dim = spark.createDataFrame([("a", 7), ("c", 8)], "k string, n int")
+    rows = assembly.assembled(base, {"one": dim, "two": dim}, "k").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([("a", 1, 7, 7), ("b", 2, None, None), (None, 3, None, None)], key=str)
+    with pytest.raises(schemas.GateError):
+        assembly.assembled(base, {"one": dim.unionByName(dim)}, "k")
+    lookup = spark.createDataFrame([("a", 5), ("a", 4)], "k string, x int")
+    assert {(r.k, r.x) for r in assembly.first_match(base, lookup, "k", ["x"]).collect()} == {("a", 4), ("b", None), (None, None)}
+    assert {(r.k, r.x) for r in assembly.all_of(base.select("k"), lookup.where("x = 4"), "k").collect()} == {("a", 4), ("b", None), (None, None)}
+
+
+def test_pairs_batches_and_neighbours(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    pairs = pooling.sampled_pairs(df, "vec_id", 500).select("i", "j", "a_vec_id", "b_vec_id").collect()
+    assert 450 < len(pairs) <= 500 and all(r.i == r.a_vec_id and r.j == r.b_vec_id and r.i != r.j for r in pairs)
+    sizes = [r["count"] for r in pooling.batched(df.withColumn("g", F.lit(1)), "g", "vec_id", 32).groupBy("batch").count().collect()]
+    assert sum(sizes) == 120 and len(sizes) == 4
+    for block in (7, 1000):  # several query blocks, and one
+        got = {}
+        for r in pooling.nearest(df.where("vec_id % 5 = 0"), df, 6, block_rows=block).collect():
+            got.setdefault(r["query"], {})[r["nth"]] = r["neighbour"]
+        cos = x @ x.T
+        np.fill_diagonal(cos, -2)
+        assert {q: [n[k] for k in sorted(n)] for q, n in got.items()} == {q: np.argsort(-cos[q], kind="stable")[:6].tolist() for q in range(0, 120, 5)}
+    split = pooling.hash_split(df, "vec_id").groupBy("is_train").count().collect()
+    assert sum(r["count"] for r in split) == 120 and {r["is_train"] for r in split} == {True, False}
+    odd = spark.createDataFrame([([1.0, 0.0],), ([0.0, 0.0],), ([float("nan"), 1.0],), ([float("inf"), 1.0],), ([None, 1.0],)], "embedding array<double>")
+    assert pooling.valid_vectors(odd).count() == 1
+
+
+def test_wide_and_array_vectors(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],)], "v array<double>")
+    wide = df.select(*vectors.array_to_wide(F.col("v"), 3))
+    assert wide.columns == ["dim_000", "dim_001", "dim_002"] and wide.select(vectors.wide_to_array(wide.columns[::-1])).first()[0] == [1.0, 2.0, 3.0]
+
+
+def test_anchors_fall_back_to_the_most_stable(spark):
+    rows = [(2000, f"i{k}", "s", k / 100) for k in range(100)] + [(2001, f"i{k}", "s", 0.5 + k / 1000) for k in range(100)]
+    df = spark.createDataFrame(rows, "year int, investor_id string, kind string, wt_overlap double")
+    got = {}
+    for r in align.anchors(df, "stable_thr", "year", "investor_id", least=10).collect():
+        got.setdefault(r.year, set()).add(r.investor_id)
+    assert got == {2000: {f"i{k}" for k in range(85, 100)}, 2001: {f"i{k}" for k in range(90, 100)}}
+    assert align.anchors(df, "stable_strat", "year", "investor_id", "kind").groupBy("year").count().where("count = 25").count() == 2
+
+
+def test_noise_floor_of_a_rotated_copy_is_zero(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = np.linalg.qr(rng.normal(size=(5, 5)))[0]
+    a, b = (spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "id long, embedding array<double>") for m in (x, x @ q.T))
+    r, d = align.noise_floor(a, b, "id")
+    assert np.abs(r - q).max() < 1e-9 and d.select(F.max(F.abs("displacement"))).first()[0] < 1e-9
+    pairs = a.select(F.lit(1).alias("g"), "id", F.col("embedding").alias("a")).join(b.select("id", F.col("embedding").alias("b")), "id")
+    dealt = align.shuffled_pairs(pairs, "g", "id", 3).groupBy("seed").agg(F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    assert [(r.a, r.b, r.n) for r in dealt] == [(60, 60, 60)] * 3
+
+
+def test_k_scan_prefers_the_true_number(spark):
+    rng = np.random.default_rng(10)
+    x = np.vstack([_cauchy(rng, 150, np.eye(6)[k], 0.8) for k in range(3)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<double>")
+    rows = {(r.method, r.k): r for r in sphere.scan_k(df, "id", ks=(2, 3, 4), restarts=2, fits=4, rounds=30).collect()}
+    assert len(rows) == 6 and all(r.pairs == 6 for r in rows.values())
+    assert min((r.criterion, k) for (m, k), r in rows.items() if m == "mixture")[1] == 3
+    assert rows["mixture", 3].ari_mean > 0.95 and rows["kmeans", 3].ari_mean > 0.95 and rows["kmeans", 4].ari_mean < rows["kmeans", 3].ari_mean
+    local, fit = sphere.local_mixture(x, 3, 1, rounds=40), sphere.Mixture
+    start = fit(local.mu.copy(), local.rho.copy(), local.pi.copy())
+    assert abs(sphere.spherical_cauchy_em(df, start, rounds=3).loglik - local.loglik) < 1e-3 * abs(local.loglik)
+    assert sphere.effective_floor(0.01, 1000) == 0.15 and sphere.effective_floor(0.01, 10**6) == 0.01
+
+
+def test_refits_of_all_groups_equal_single_fits(spark):
+    rng = np.random.default_rng(12)
+    rows, starts, single = [], {}, {}
+    for g in (1, 2):
+        x = np.vstack([_cauchy(rng, 200, np.eye(5)[0], 0.7), _cauchy(rng, 100, np.eye(5)[g], 0.7)])
+        rows += [(g, k, v.tolist()) for k, v in enumerate(x)]
+        starts[g] = sphere.Mixture(np.stack([np.eye(5)[0], np.eye(5)[g]]), np.full(2, 0.3), np.full(2, 0.5))
+    df = spark.createDataFrame(rows, "g int, id int, embedding array<double>")
+    for g in (1, 2):
+        single[g] = sphere.spherical_cauchy_em(df.where(F.col("g") == g), sphere.Mixture(starts[g].mu.copy(), np.full(2, 0.3), np.full(2, 0.5)), rounds=6)
+    fits = dynamics.refit_by(df, "g", starts, rounds=6, floor=0.0)
+    assert all(np.allclose(fits[g].mu, single[g].mu) and abs(fits[g].loglik - single[g].loglik) < 1e-6 for g in (1, 2))
+    labels = dynamics.assigned_by(df, "g", fits, ["g", "id"])
+    assert labels.count() == 600 and labels.where("label = 0").count() > 300
+    table = dynamics.refit_persistence(fits, fits[1], {1: {(0, 0): 5, (1, 1): 5}, 2: {(0, 0): 5, (1, 1): 5}})
+    assert table[0][:4] == (1, 2, 1.0, pytest.approx(1.0)) and table[0][6] == 1.0
+
+
 def test_panel_files(spark, tmp_path):
     day = datetime.date(2020, 3, 31)
     df = spark.createDataFrame([(day, "a", 1.0)], "quarter_end date, investor_id string, w double")
@@ -260,3 +436,27 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(args) == 0 and cli.main(["preflight", f"{tmp_path}/p"]) == 0
     assert spark.read.parquet(f"{tmp_path}/p").count() == 4 and "2020-03-31" in capsys.readouterr().out
     assert cli.main(["preflight", f"{tmp_path}/h"]) == 1
+    vec = {str(s): np.eye(5)[s].tolist() for s in range(5)}
+    spark.createDataFrame(list(vec.items()), "issuer_id string, vec array<double>").write.parquet(f"{tmp_path}/v")
+    for extra, weights in ((["--pooling", "mean"], np.ones(5)), (["--weight-scheme", "zipf"], 1 / np.arange(5, 0, -1)), (["--coverage", "all-chunks"], np.ones(5)), (["--coverage", "full-sequence"], np.arange(1, 6) / 15)):
+        assert cli.main(["encode", f"{tmp_path}/p", f"{tmp_path}/v", f"{tmp_path}/e", "--d", "5", *extra]) == 0
+        path = capsys.readouterr().out.strip().splitlines()[-1]
+        got = spark.read.parquet(path).collect()
+        assert len(got) == 4 and all(np.allclose(r.embedding, weights / np.linalg.norm(weights)) for r in got)
+
+
+def test_command_line_of_models(spark, tmp_path):
+    from foliolens import cli
+
+    rng = np.random.default_rng(13)
+    x = np.vstack([_cauchy(rng, 120, np.eye(5)[k], 0.8) for k in range(2)])
+    df = spark.createDataFrame([(f"i{k}", v.tolist()) for k, v in enumerate(x)] + [("bad", [0.0] * 5)], "investor_id string, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/v")
+    assert cli.main(["cluster", f"{tmp_path}/v", f"{tmp_path}/c", "--k", "2", "--restarts", "1", "--least-members", "10"]) == 0
+    labels = spark.read.parquet(f"{tmp_path}/c/labels")
+    assert labels.count() == 240 and labels.where("home").count() > 200 and spark.read.parquet(f"{tmp_path}/c/model/params").count() == 2
+    years = labels.select("investor_id", "label", "max_post", F.explode(F.array(F.lit(2000), F.lit(2001), F.lit(2002))).alias("year"))
+    years.write.parquet(f"{tmp_path}/l")
+    assert cli.main(["dynamics", f"{tmp_path}/l", f"{tmp_path}/d"]) == 0
+    assert {(r.year, r.subset, r.switches) for r in spark.read.parquet(f"{tmp_path}/d/rates").collect()} >= {(2000, "all", 0), (2001, "all", 0)}
+    assert {(r.h, r.year0, r.same) for r in spark.read.parquet(f"{tmp_path}/d/persistence").collect()} == {(1, 2000, 1.0), (1, 2001, 1.0), (2, 2000, 1.0)}
