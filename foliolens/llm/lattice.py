@@ -1,9 +1,9 @@
 """A trie over pre-tokens whose nodes hold the unigram forward scores of their prefixes.
 
 The forward score of a prefix depends on the prefix alone, so pre-tokens that begin alike share it: each node
-is computed once, from the nodes at most a piece's length above it. `Trie` keeps, for each node, the best score
-and its number of pieces, or the forward score and all ways to end there with their probabilities, which is what
-backward sampling needs.
+is computed once, from the nodes at most a piece's length above it. `Trie` is built from distinct pre-tokens, one
+level of characters at a time, in numpy; it keeps, for each node, the best score and its number of pieces, or the
+forward score and all ways to end there with their probabilities, which is what backward sampling needs.
 
 Pieces and texts are compared with plain blanks: a piece's mark U+2581 stands for a blank, and a U+2581 in a
 text is a character like others. A character that no piece covers is spelled as its UTF-8 bytes.
@@ -29,6 +29,8 @@ UNIT = re.compile(rf" *[{_LETTERS}]+(?=[{_MARKS}])| +[^ \n]*|[^ \n]+|\n")
 _CROSSES = re.compile(rf"[^ ] |\n.|.\n|[{_LETTERS}][{_MARKS}]")
 #: Log-probability of each byte of a character without a piece.
 BYTE = -20.0
+#: Moves from state to state that are remembered.
+MOVES = 500_000
 
 
 class Pieces:
@@ -54,6 +56,41 @@ class Pieces:
         self.longest = max(map(len, self.table))
         #: What pieces end with: no piece ends at a place if none ends with the characters before it.
         self.tails = {piece[k:] for piece in self.table for k in range(len(piece))}
+        # States of a text read so far: the longest beginning of a piece that it ends with, or a character that begins
+        # none. For each state, how a piece can end there: log-probability, length, code, number of pieces.
+        self.heads = {piece[:k] for piece in self.table for k in range(1, len(piece) + 1)}
+        self.texts, self.numbers, self.moves = [""], {"": 0}, {}
+        self.first, self.p, self.length, self.code, self.n = array("q", [0, 0]), array("d"), array("q"), array("q"), array("q")
+        self.copied: tuple = ((),)
+
+    def move(self, state: int, ch: str) -> int:
+        """The state after one more character."""
+        code = ord(ch)
+        if (known := self.moves.get(state << 21 | code)) is not None:
+            return known
+        text = self.texts[state] + ch
+        while text and text not in self.heads:
+            text = text[1:]
+        name = text or "\0" + ch
+        if (number := self.numbers.get(name)) is None:
+            number = self.numbers[name] = len(self.texts)
+            ways = [(self.table[text[-k:]][1], k, self.table[text[-k:]][0], 1) for k in range(1, len(text) + 1) if text[-k:] in self.table]
+            if ch not in self.table:
+                size = len(ch.encode("utf-8", "surrogatepass"))
+                ways.append((BYTE * size, 1, -1 - code, size))
+            for column, values in zip((self.p, self.length, self.code, self.n), zip(*ways, strict=True), strict=True):
+                column.extend(values)
+            self.first.append(len(self.p))
+            self.texts.append(text)
+        if len(self.moves) < MOVES:
+            self.moves[state << 21 | code] = number
+        return number
+
+    def ways(self) -> tuple[np.ndarray, ...]:
+        """All states' ways as arrays: where a state's begin, and p, length, code, n; copied anew only when states were added."""
+        if len(self.copied[0]) != len(self.first):
+            self.copied = tuple(np.array(x) for x in (self.first, self.p, self.length, self.code, self.n))
+        return self.copied
 
     def bytes_of(self, ids: Iterable[int]) -> bytes:
         spelled = self.spelled
@@ -65,84 +102,102 @@ def units(text: str) -> list[str]:
     return UNIT.findall(" " + text) if text else []
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[k], starts[k] + 1, ... for lengths[k] numbers each, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Trie:
-    def __init__(self, pieces: Pieces, ways: bool):
-        self.pieces, self.ways = pieces, ways
-        self.child: dict[int, int] = {}
-        self.end: dict[str, int] = {}
-        if not ways:
-            self.best, self.count = array("d", [0.0]), array("l", [0])
-        else:
-            self.total, self.first = array("d", [0.0]), array("l", [0, 0])
-            self.upto, self.before, self.piece = array("d"), array("l"), array("l")
-            self.copied: tuple = ((),)
+    """The trie of distinct pre-tokens in ascending order: `end` has the node of each. With ways, or with counts.
 
-    def __len__(self) -> int:
-        return len(self.total if self.ways else self.best)
-
-    def add(self, unit: str) -> int:
-        """The node of a pre-token; only prefixes not met before are computed."""
-        node, path = 0, [0]
-        child, table, tails, ways = self.child, self.pieces.table, self.pieces.tails, self.ways
-        for e, ch in enumerate(unit, 1):
-            code = ord(ch)
-            at = child.get(node << 21 | code)
-            if at is None:
-                options, s = [], e - 1
-                while s >= 0 and (piece := unit[s:e]) in tails:
-                    if piece in table:
-                        k, p = table[piece]
-                        options.append((p, path[s], k, 1))
-                    s -= 1
-                if ch not in table:
-                    n = len(ch.encode("utf-8", "surrogatepass"))
-                    options.append((BYTE * n, node, -1 - code, n))
-                at = child[node << 21 | code] = len(self)
-                if ways:
-                    self._ways(options)
-                else:
-                    self._best(options)
-            node = at
-            path.append(node)
-        self.end[unit] = node
-        return node
-
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        """All ways as arrays; copied anew only when the trie has grown."""
-        if len(self.copied[0]) != len(self.first):
-            self.copied = tuple(np.array(a) for a in (self.first, self.upto, self.before, self.piece))
-        return self.copied
+    Node 0 is the root; a level's nodes follow those of the level above, in order. In a level, pre-tokens with one
+    prefix stand together, since all are in order.
+    """
 
-    def _best(self, options: list[tuple[float, int, int, int]]) -> None:
-        """Enter a node with its best score and the number of pieces; of equal scores the longest last piece."""
-        best, count = -math.inf, 0
-        for p, k, _, n in options:
-            if (score := self.best[k] + p) >= best:
-                best, count = score, self.count[k] + n
-        self.best.append(best)
-        self.count.append(count)
-
-    def _ways(self, options: list[tuple[float, int, int, int]]) -> None:
-        """Enter a node with its forward score and all ways into it."""
-        if len(options) == 1:
-            p, k, piece, _ = options[0]
-            self.total.append(self.total[k] + p)
-            self.upto.append(1.0)
-            self.before.append(k)
-            self.piece.append(piece)
-        else:
-            scores = [self.total[k] + p for p, k, _, _ in options]
-            top = max(scores)
-            shares = [math.exp(s - top) for s in scores]
-            whole, run = sum(shares), 0.0
-            self.total.append(top + math.log(whole))
-            for share in shares:
-                run += share
-                self.upto.append(run / whole)
-            self.upto[-1] = 1.0
-            self.before.extend([k for _, k, _, _ in options])
-            self.piece.extend([piece for _, _, piece, _ in options])
-        self.first.append(len(self.upto))
+    def __init__(self, pieces: Pieces, units: list[str], ways: bool):
+        sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        self.end = np.zeros(len(units), dtype=np.int64)
+        self.parent, self.state = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.total, self.count = np.zeros(1), np.zeros(1, dtype=np.int64)  # forward or best scores; numbers of pieces
+        first, upto, before, piece = [np.zeros(2, dtype=np.int64)], [], [], []
+        live, node, depth, held, used = np.arange(len(units)), np.zeros(len(units), dtype=np.int64), 0, 1, 0
+        while len(live := live[sizes[live] > depth]):
+            ch, above = chars[starts[live] + depth], node[live]
+            fresh = np.ones(len(live), dtype=bool)
+            fresh[1:] = (above[1:] != above[:-1]) | (ch[1:] != ch[:-1])
+            at, parents = np.flatnonzero(fresh), above[fresh]
+            node[live] = held + np.cumsum(fresh) - 1
+            self._grow(held, len(at))
+            self.parent[held : held + len(at)] = parents
+            state = self._states(pieces, self.state[parents], ch[at])
+            self.state[held : held + len(at)] = state
+            starts_of, p, length, code, n = pieces.ways()
+            many = starts_of[state + 1] - starts_of[state]
+            row = spread(starts_of[state], many)
+            owner, begin = np.repeat(np.arange(len(at)), many), np.cumsum(many) - many
+            source = self._ancestors(parents, length[row], owner)
+            scores = self.total[source] + p[row]
+            top = np.maximum.reduceat(scores, begin)
+            if ways:
+                whole, run = self._running(np.exp(scores - top[owner]), begin, many)
+                self.total[held : held + len(at)] = np.where(many == 1, scores[begin], top + np.log(whole))
+                share = run / whole[owner]
+                share[begin + many - 1] = 1.0
+                first.append(used + begin + many)
+                upto.append(share)
+                before.append(source)
+                piece.append(code[row])
+                used += len(row)
+            else:  # of equal scores the longest last piece
+                last = np.maximum.reduceat(np.where(scores == top[owner], np.arange(len(row)), -1), begin)
+                self.total[held : held + len(at)] = top
+                self.count[held : held + len(at)] = self.count[source[last]] + n[row[last]]
+            held, depth = held + len(at), depth + 1
+            done = live[sizes[live] == depth]
+            self.end[done] = node[done]
+        self.held = held
+        if ways:
+            join = lambda parts, kind: np.concatenate([np.empty(0, dtype=kind), *parts])
+            self.ways = join(first, np.int64), join(upto, float), join(before, np.int64), join(piece, np.int64)
+
+    def __len__(self) -> int:
+        return self.held
+
+    def _grow(self, held: int, more: int) -> None:
+        if held + more > len(self.parent):
+            for c in ("parent", "state", "total", "count"):
+                old = getattr(self, c)
+                new = np.zeros(max(2 * held, held + more), dtype=old.dtype)
+                new[:held] = old[:held]
+                setattr(self, c, new)
+
+    @staticmethod
+    def _states(pieces: Pieces, state: np.ndarray, ch: np.ndarray) -> np.ndarray:
+        moves, back = np.unique(state << 21 | ch, return_inverse=True)
+        return np.array([pieces.move(m >> 21, chr(m & 0x1FFFFF)) for m in moves.tolist()], dtype=np.int64)[back]
+
+    def _ancestors(self, parents: np.ndarray, length: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The node `length` characters above each of owner's, whose parents are given."""
+        out = parents[owner]
+        far, steps = np.flatnonzero(length > 1), length
+        while len(far):
+            out[far] = self.parent[out[far]]
+            steps = steps - 1
+            far = far[steps[far] > 1]
+        return out
+
+    @staticmethod
+    def _running(shares: np.ndarray, begin: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and running sums of each node's shares, added up in order, so that they do not depend on other nodes."""
+        run, sums = shares.copy(), shares[begin]
+        for k in range(1, int(many.max())):
+            more = np.flatnonzero(many > k)
+            sums[more] += shares[begin[more] + k]
+            run[begin[more] + k] = sums[more]
+        return sums, run
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -159,7 +214,7 @@ def sample_paths(trie: Trie, ends: np.ndarray, keys: np.ndarray) -> tuple[np.nda
     All pre-tokens step back together; each draws from the ways into its node, u < upto. keys: one 64-bit
     key for each, mixed with the step's number.
     """
-    first, upto, before, piece = trie.arrays()
+    first, upto, before, piece = trie.ways
     who, node, step = np.arange(len(ends)), ends.copy(), 0
     taken = []
     while len(who):
@@ -185,7 +240,7 @@ def sample_paths(trie: Trie, ends: np.ndarray, keys: np.ndarray) -> tuple[np.nda
 
 
 def _ways_into(pieces: Pieces, unit: str, e: int) -> list[tuple[float, int, int, int]]:
-    """The ways to end at place e: log-probability, where the piece begins, its code, its number of pieces. As in `Trie.add`."""
+    """The ways to end at place e: log-probability, where the piece begins, its code, its number of pieces. As `Pieces.ways`."""
     options, s, table, tails = [], e - 1, pieces.table, pieces.tails
     while s >= 0 and (piece := unit[s:e]) in tails:
         if piece in table:
@@ -218,7 +273,10 @@ def long_sample(pieces: Pieces, unit: str, key: np.uint64) -> np.ndarray:
     for e in range(1, len(unit) + 1):
         scores = [total[s] + p for p, s, _, _ in _ways_into(pieces, unit, e)]
         top = max(scores)
-        total.append(scores[0] if len(scores) == 1 else top + math.log(sum([math.exp(x - top) for x in scores])))
+        whole = 0.0
+        for x in scores:  # in order, as in the trie
+            whole += math.exp(x - top)
+        total.append(scores[0] if len(scores) == 1 else top + math.log(whole))
     codes, e, draws = array("q"), len(unit), np.empty(0)
     while e:
         if not len(codes) % 4096:
@@ -229,7 +287,9 @@ def long_sample(pieces: Pieces, unit: str, key: np.uint64) -> np.ndarray:
         scores = [total[s] + p for p, s, _, _ in options]
         top = max(scores)
         shares = [math.exp(x - top) for x in scores]
-        whole, run, k = sum(shares), 0.0, 0
+        whole, run, k = 0.0, 0.0, 0
+        for share in shares:
+            whole += share
         while k < len(options) - 1:
             run += shares[k]
             if run / whole > u:

@@ -1,7 +1,7 @@
 """Token counts and sampled segmentations under a unigram piece model.
 
-`count_tokens` gives the number of pieces of each text's best segmentation. Distinct pre-tokens go into a trie,
-whose nodes hold the forward scores, each computed once for all pre-tokens that share the prefix; terminal
+`count_tokens` gives the number of pieces of each text's best segmentation. The distinct pre-tokens of some texts go
+into a trie, whose nodes hold the forward scores, each computed once for all pre-tokens that share the prefix; terminal
 nodes hold the counts that documents then look up.
 
 `sample_encode` draws a segmentation by forward filtering and backward sampling: the forward scores are those of
@@ -11,9 +11,9 @@ alike wherever and whenever it is read. `decode` gives the text back without los
 Defined cases: a null text is an empty one without tokens; texts are read whole, blanks and line ends included;
 a null doc_id draws like 0; rows of equal doc_id and text give equal rows; repeated rows stay; other columns are
 ignored; an empty table gives no rows; of segmentations with equal scores the one with the longest last piece counts.
-Very long texts are worked on in parts of TOGETHER characters, at pre-tokens. A trie takes no more pre-tokens beyond
-NODES; rarer ones get a trie for their part alone. Pre-tokens over LONG characters, which share nothing, go without a
-trie, by the same scores and draws.
+Texts are worked on together, TOGETHER characters at once, and very long ones in parts, at pre-tokens, so
+that a trie holds no more than that. Pre-tokens over LONG characters, which share nothing, go without a trie, by the
+same scores and draws.
 """
 
 from __future__ import annotations
@@ -26,22 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from foliolens.llm.common import documents, id_text, per_batch, rows_to_batch, small_batches, texts_of
-from foliolens.llm.lattice import UNIT, Pieces, Trie, long_count, long_sample, mixed, sample_paths, units
+from foliolens.llm.lattice import UNIT, Pieces, Trie, long_count, long_sample, mixed, sample_paths, spread, units
 
-NODES, LONG = 1_000_000, 4096
+#: Pre-tokens longer than this go without a trie.
+LONG = 4096
 #: Characters of texts that are worked on together.
-TOGETHER = 1_000_000
+TOGETHER = 2_000_000
 
-_HELD: dict[tuple, object] = {}
+_HELD: dict[str, Pieces] = {}
 
 
-def _held(path: str, ways: bool) -> tuple[Pieces, Trie]:
-    """One vocabulary and one trie for each Python worker."""
+def _pieces(path: str) -> Pieces:
+    """One vocabulary for each Python worker."""
     if path not in _HELD:
         _HELD[path] = Pieces(path)
-    if (path, ways) not in _HELD:
-        _HELD[path, ways] = Trie(_HELD[path], ways)
-    return _HELD[path], _HELD[path, ways]
+    return _HELD[path]
 
 
 def _unit_lists(text: str) -> Iterator[list[str]]:
@@ -75,35 +74,39 @@ def _parts(texts: list[str]) -> Iterator[list[tuple[int, int, list[str]]]]:
         yield part
 
 
-def _entered(trie: Trie, split: list[list[str]]) -> Trie | None:
-    """Enter new pre-tokens into the held trie, or, once that is full, into one for this part."""
-    own = None
-    for u in sorted({u for s in split for u in s if len(u) <= LONG and u not in trie.end}):
-        if own is None and len(trie) >= NODES:
-            own = Trie(trie.pieces, trie.ways)
-        (own or trie).add(u)
-    return own
+def _numbered(split: list[list[str]], pieces: Pieces, ways: bool) -> tuple[np.ndarray, Trie, dict[str, int], list[str]]:
+    """The node of each pre-token, -1 for a long one; the trie; the long ones with their numbers, and all pre-tokens in order."""
+    number: dict[str, int] = {}
+    all_units = [u for s in split for u in s]
+    which = np.fromiter((number.setdefault(u, len(number)) for u in all_units), dtype=np.int64, count=len(all_units))
+    short = sorted(u for u in number if len(u) <= LONG)
+    trie = Trie(pieces, short, ways)
+    node = np.full(len(number), -1, dtype=np.int64)
+    node[[number[u] for u in short]] = trie.end
+    return node[which], trie, {u: k for u, k in number.items() if len(u) > LONG} if len(short) < len(number) else {}, all_units
 
 
-def _counts(trie: Trie, split: list[list[str]]) -> list[int]:
+def _counts(pieces: Pieces, split: list[list[str]]) -> list[int]:
     """Terminal counts summed for each list of pre-tokens."""
-    own = _entered(trie, split)
-    end, count = trie.end, trie.count
-    rare = {u: own.count[k] for u, k in own.end.items()} if own is not None else {}
-    rare |= {u: long_count(trie.pieces, u) for u in {u for s in split for u in s if len(u) > LONG}}
-    if not rare:
-        return [sum([count[end[u]] for u in s]) for s in split]
-    return [sum([rare[u] if u in rare else count[end[u]] for u in s]) for s in split]
+    node, trie, long, all_units = _numbered(split, pieces, False)
+    each = np.where(node >= 0, trie.count[node], 0)
+    if long:
+        found = {u: long_count(pieces, u) for u in long}
+        for k in np.flatnonzero(node < 0).tolist():
+            each[k] = found[all_units[k]]
+    ends = np.cumsum([len(s) for s in split])
+    sums = np.concatenate([[0], np.cumsum(each)])
+    return (sums[ends] - sums[np.concatenate([[0], ends[:-1]])]).tolist()
 
 
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def _count(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
-    _, trie = _held(path, False)
+    pieces = _pieces(path)
     n_units, n_tokens = [0] * batch.num_rows, [0] * batch.num_rows
     for part in _parts(texts_of(batch.column("text"))):
-        for (k, _, some), n in zip(part, _counts(trie, [some for _, _, some in part]), strict=True):
+        for (k, _, some), n in zip(part, _counts(pieces, [some for _, _, some in part]), strict=True):
             n_units[k] += len(some)
             n_tokens[k] += n
     return rows_to_batch(_COUNTS, [batch.column("doc_id"), n_units, n_tokens])
@@ -121,39 +124,34 @@ def row_keys(doc_ids: list[int | None], seed: int) -> np.ndarray:
         return mixed(ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-def _drawn(trie: Trie, own: Trie | None, all_units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _drawn(pieces: Pieces, split: list[list[str]], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece codes of all pre-tokens in order, and their number for each."""
-    get = trie.end.get
-    ends = np.array([get(u, -1) for u in all_units], dtype=np.int64)
-    if (ends >= 0).all():
-        return sample_paths(trie, ends, keys)
-    size = np.array([len(u) for u in all_units], dtype=np.int64)
-    known, rare, long = np.flatnonzero(ends >= 0), np.flatnonzero((ends < 0) & (size <= LONG)), np.flatnonzero(size > LONG)
-    parts = [(known, *sample_paths(trie, ends[known], keys[known]))]
-    if len(rare):
-        parts.append((rare, *sample_paths(own, np.array([own.end[all_units[k]] for k in rare], dtype=np.int64), keys[rare])))
-    for k in long:
-        codes = long_sample(trie.pieces, all_units[k], keys[k])
+    node, trie, long, all_units = _numbered(split, pieces, True)
+    if not long:
+        return sample_paths(trie, node, keys)
+    known = np.flatnonzero(node >= 0)
+    parts = [(known, *sample_paths(trie, node[known], keys[known]))]
+    for k in np.flatnonzero(node < 0):
+        codes = long_sample(pieces, all_units[k], keys[k])
         parts.append((np.array([k]), codes, np.array([len(codes)])))
-    n = np.zeros(len(ends), dtype=np.int64)
+    n = np.zeros(len(node), dtype=np.int64)
     for which, _, m in parts:
         n[which] = m
     first = np.cumsum(n) - n
     codes = np.empty(int(n.sum()), dtype=np.int64)
     for which, c, m in parts:
-        codes[np.repeat(first[which] - (np.cumsum(m) - m), m) + np.arange(len(c))] = c
+        codes[spread(first[which], m)] = c
     return codes, n
 
 
-def _part_ids(pieces: Pieces, trie: Trie, part: list[tuple[int, int, list[str]]], keys: np.ndarray) -> list[np.ndarray]:
+def _part_ids(pieces: Pieces, part: list[tuple[int, int, list[str]]], keys: np.ndarray) -> list[np.ndarray]:
     """Sampled ids of each list of pre-tokens of a part; keys: of each text."""
     split = [some for _, _, some in part]
-    own = _entered(trie, split)
     sizes = np.array([len(s) for s in split], dtype=np.int64)
     place = np.concatenate([np.arange(at, at + len(s)) for _, at, s in part])
     with np.errstate(over="ignore"):
         unit_keys = mixed(np.repeat(keys[[k for k, _, _ in part]], sizes) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    codes, n = _drawn(trie, own, [u for s in split for u in s], unit_keys)
+    codes, n = _drawn(pieces, split, unit_keys)
     owner = np.repeat(np.repeat(np.arange(len(part)), sizes), n)
     odd = np.flatnonzero(codes < 0)
     if len(odd):  # characters without a piece: their UTF-8 bytes
@@ -167,11 +165,11 @@ def _part_ids(pieces: Pieces, trie: Trie, part: list[tuple[int, int, list[str]]]
     return np.split(codes, np.cumsum(np.bincount(owner, minlength=len(part)))[:-1])
 
 
-def encode_texts(pieces: Pieces, trie: Trie, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
+def encode_texts(pieces: Pieces, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
     """Sampled ids of each text."""
     found: list[list[np.ndarray]] = [[] for _ in texts]
     for part in _parts(texts):
-        for (k, _, _), ids in zip(part, _part_ids(pieces, trie, part, keys), strict=True):
+        for (k, _, _), ids in zip(part, _part_ids(pieces, part, keys), strict=True):
             found[k].append(ids.astype(np.int32))
     return [x[0] if len(x) == 1 else np.concatenate(x) for x in found]
 
@@ -182,9 +180,8 @@ def decode(pieces: Pieces, ids) -> str:
 
 
 def _sample_lists(batch: pa.RecordBatch, path: str, seed: int) -> Iterator[tuple[str, np.ndarray]]:
-    pieces, trie = _held(path, True)
     texts = texts_of(batch.column("text"))
-    return zip(texts, encode_texts(pieces, trie, texts, row_keys(batch.column("doc_id").to_pylist(), seed)), strict=True)
+    return zip(texts, encode_texts(_pieces(path), texts, row_keys(batch.column("doc_id").to_pylist(), seed)), strict=True)
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -204,7 +201,7 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text of encoded documents."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pieces, _ = _held(model_path, True)
+        pieces = _pieces(model_path)
         schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
         return rows_to_batch(schema, [batch.column("doc_id"), [decode(pieces, ids) for ids in batch.column("ids").to_pylist()]])
 
@@ -215,7 +212,7 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc
 
 
 def _digest(batch: pa.RecordBatch, path: str, seed: int) -> pa.RecordBatch:
-    pieces, _ = _held(path, True)
+    pieces = _pieces(path)
     rows = []
     for text, ids in _sample_lists(batch, path, seed):
         back = decode(pieces, ids.tolist())

@@ -796,34 +796,40 @@ def test_op9(spark, pieces, texts):
     assert len(got) == len(texts) and {d: got[d] for d, _ in short} == {d: viterbi(pieces, t) for d, t in short}
 
 
-def test_full_tries_change_nothing(monkeypatch, pieces, texts):
+def test_parts_and_long_pretokens_change_nothing(monkeypatch, pieces, texts):
     some = [t for _, t in texts][:40]
     want = [viterbi(pieces, t) for t in some if len(t) < 3000]
-    monkeypatch.setattr(unigram, "NODES", 50)
-    trie = lattice.Trie(pieces, False)
-    got = [unigram._counts(trie, [lattice.units(t)])[0] for t in some if len(t) < 3000]
-    assert got == want
     keys = unigram.row_keys(list(range(len(some))), 3)
-    rare = unigram.encode_texts(pieces, lattice.Trie(pieces, True), some, keys)
-    one = [unigram.encode_texts(pieces, lattice.Trie(pieces, True), [t], keys[k : k + 1])[0] for k, t in enumerate(some)]
-    monkeypatch.setattr(unigram, "LONG", 4)
-    monkeypatch.setattr(unigram, "TOGETHER", 100)
-    assert [unigram._count(pa.RecordBatch.from_pydict({"doc_id": [1], "text": [t]}), PIECES).column("n_tokens")[0].as_py() for t in some if len(t) < 3000] == want
-    long = unigram.encode_texts(pieces, lattice.Trie(pieces, True), some, keys)
-    monkeypatch.setattr(unigram, "LONG", 4096)
-    monkeypatch.setattr(unigram, "TOGETHER", 1_000_000)
-    monkeypatch.setattr(unigram, "NODES", 10**9)
-    full = unigram.encode_texts(pieces, lattice.Trie(pieces, True), some, keys)
-    assert all(a.tolist() == b.tolist() == c.tolist() == d.tolist() for a, b, c, d in zip(rare, full, one, long, strict=True))
+    whole = unigram.encode_texts(pieces, some, keys)
+    one = [unigram.encode_texts(pieces, [t], keys[k : k + 1])[0] for k, t in enumerate(some)]
+
+    def counted():
+        rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(some))), "text": some})
+        return [n for t, n in zip(some, unigram._count(rows, PIECES).column("n_tokens").to_pylist(), strict=True) if len(t) < 3000]
+
+    assert counted() == want and all(a.tolist() == b.tolist() for a, b in zip(whole, one, strict=True))
+    for long, together in ((4096, 100), (4, 1_000_000), (4, 100), (0, 1000)):
+        monkeypatch.setattr(unigram, "LONG", long)
+        monkeypatch.setattr(unigram, "TOGETHER", together)
+        assert counted() == want
+        assert all(a.tolist() == b.tolist() for a, b in zip(whole, unigram.encode_texts(pieces, some, keys), strict=True))
+
+
+def test_trie_shares_prefixes(pieces):
+    units = sorted({u for w in ("then", "there", "the", "other", "漢字", "漢", "x", "é") for u in (w, " " + w)})
+    for ways in (False, True):
+        trie = lattice.Trie(pieces, units, ways)
+        assert len(trie) == 1 + len({u[:k] for u in units for k in range(1, len(u) + 1)})
+    assert lattice.Trie(pieces, units, False).count[trie.end].tolist() == [lattice.long_count(pieces, u) for u in units]
+    assert len(lattice.Trie(pieces, [], True)) == 1
 
 
 def test_long_pretokens_stay_out_of_the_trie(pieces):
     text = "no" * 300_000 + " and " + "xyz漢" * 100_000
-    trie = lattice.Trie(pieces, True)
-    ids = unigram.encode_texts(pieces, trie, [text], unigram.row_keys([5], 3))[0]
-    assert unigram.decode(pieces, ids.tolist()) == text and len(trie) < 100
-    counts = lattice.Trie(pieces, False)
-    assert unigram._counts(counts, [lattice.units(text)])[0] > 100_000 and len(counts) < 100
+    ids = unigram.encode_texts(pieces, [text], unigram.row_keys([5], 3))[0]
+    assert unigram.decode(pieces, ids.tolist()) == text
+    _, trie, long, _ = unigram._numbered([lattice.units(text)], pieces, False)
+    assert len(trie) < 100 and len(long) == 2 and unigram._counts(pieces, [lattice.units(text)])[0] > 100_000
 
 
 def test_op10(spark, texts):
@@ -835,9 +841,9 @@ def test_op10(spark, texts):
 @given(st.text(max_size=40), st.integers(0, 2**60))
 @settings(max_examples=200, deadline=None)
 def test_sampling_is_lossless_and_reproducible(t, row):
-    p, trie = unigram._held(PIECES, True)
+    p = unigram._pieces(PIECES)
     keys = unigram.row_keys([row], 1)
-    a, b = (unigram.encode_texts(p, trie, [t], keys)[0].tolist() for _ in range(2))
+    a, b = (unigram.encode_texts(p, [t], keys)[0].tolist() for _ in range(2))
     assert a == b and unigram.decode(p, a) == t
 
 
@@ -856,7 +862,7 @@ def test_samples_follow_the_model(pieces):
     walk(0, [], 0.0)
     whole = sum(map(math.exp, ways.values()))
     n = 20_000
-    got = Counter(tuple(x.tolist()) for x in unigram.encode_texts(pieces, lattice.Trie(pieces, True), ["then"] * n, unigram.row_keys(list(range(n)), 9)))
+    got = Counter(tuple(x.tolist()) for x in unigram.encode_texts(pieces, ["then"] * n, unigram.row_keys(list(range(n)), 9)))
     for ids, score in ways.items():
         p = math.exp(score) / whole
         assert abs(got[ids] / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-3
