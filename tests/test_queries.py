@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import foliolens.plans.dynamics_queries
 import foliolens.plans.model_queries
 import foliolens.plans.panel_queries
 import foliolens.plans.reference_queries
