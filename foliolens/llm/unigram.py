@@ -19,6 +19,7 @@ same scores and draws.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,9 +77,10 @@ def _parts(texts: list[str]) -> Iterator[list[tuple[int, int, list[str]]]]:
 
 def _numbered(split: list[list[str]], pieces: Pieces, ways: bool) -> tuple[np.ndarray, Trie, dict[str, int], list[str]]:
     """The node of each pre-token, -1 for a long one; the trie; the long ones with their numbers, and all pre-tokens in order."""
-    number: dict[str, int] = {}
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__  # numbers in order of first use
     all_units = [u for s in split for u in s]
-    which = np.fromiter((number.setdefault(u, len(number)) for u in all_units), dtype=np.int64, count=len(all_units))
+    which = np.array([number[u] for u in all_units], dtype=np.int64)
     short = sorted(u for u in number if len(u) <= LONG)
     trie = Trie(pieces, short, ways)
     node = np.full(len(number), -1, dtype=np.int64)
