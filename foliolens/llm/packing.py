@@ -8,7 +8,8 @@ prices the best column under the present weights; the weights also give a lower
 rounded down, and what is left over is placed by best fit on the histogram. Each piece finds its place by its rank
 among the pieces of its length.
 
-Defined cases: a null text is an empty one, whose piece holds the end id only; repeated rows stay and each
+Defined cases: a null text is an empty one, whose piece holds the end id only; a text of any length is encoded whole,
+in parts of a few MB at word gaps, and cut; repeated rows stay and each
 gets a place; ties of rank fall to the piece's own numbers; other columns are ignored; an empty table gives
 no rows.
 """

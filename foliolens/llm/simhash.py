@@ -12,7 +12,8 @@ at most 65 fingerprints share one, so this exact way stays linear however large
 larger buckets are paired).
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; a text of fewer words
-than a shingle is one shingle; repeated rows and equal doc_ids get a row each; null doc_ids never name a
+than a shingle is one shingle; texts are hashed whole, their bits counted in parts; a bit set in exactly half the
+shingles (a tie) is 0; repeated rows and equal doc_ids get a row each; null doc_ids never name a
 component unless all of its rows have none; other columns are ignored; an empty table gives no rows.
 """
 

@@ -6,7 +6,8 @@ numbers (doc_id, places, counts) delta-encoded, in row groups and pages of a set
 so that a reader of a few documents or of the numbers alone touches few pages. `read_token_files` gives
 each document's place in the whole stream from the files alone.
 
-Defined cases: a null text is an empty one; an empty text has the end id only; documents of equal id
+Defined cases: a null text is an empty one; an empty text has the end id only; a text of any length is one row,
+encoded whole in parts of a few MB at word gaps, so only a single unbroken word must fit a worker; documents of equal id
 stand in order of their text's hash; repeated rows stay; other columns are ignored; an empty table gives
 no files' rows; a null id comes first.
 """

@@ -874,3 +874,55 @@ def test_pieces_hard_inputs(hard, empty):
     back = unigram.decode_documents(unigram.sample_encode(hard, PIECES), PIECES).collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(d), t or "") for d, t in HARD)
     assert unigram.round_trip(empty, PIECES).count() == 0
+
+
+# Very long texts
+
+
+@pytest.fixture(scope="module")
+def long_texts():
+    words = " ".join(f"word{k % 9973}" for k in range(500_000))
+    return [(1, words), (2, words + " " + SECRET), (3, "ab" * 400_000), (4, "line one\n" * 200_000), (5, "漢字" * 200_000), (6, "short"), (7, None)]
+
+
+@pytest.fixture(scope="module")
+def long(spark, long_texts):
+    return spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in long_texts], SCHEMA)
+
+
+def test_very_long_texts(spark, long, long_texts, tmp_path):
+    by = {d: t or "" for d, t in long_texts}
+    check_shards(sharding.assign_shards(sharding.digests(long)).collect(), len(by))
+    path = f"file://{tmp_path}/long"
+    token_files.write_token_files(long, path, WORD, 2)
+    check_token_rows(token_files.read_token_files(spark, path).collect(), sorted(by.items()))
+    spans = {r.doc_id: r.spans for r in secrets.scan_documents(long).collect()}
+    assert spans[2].startswith(f"assign:{len(by[2]) - len(SECRET)}:") and spans[1] == ""
+    prints = {r.doc_id: r.fp for r in simhash.simhash_groups(long).collect()}
+    assert len(prints) == len(by) and (prints[1] ^ prints[2]).bit_count() <= 2
+    report = {r.doc_id: r for r in quality.report(long).collect()}
+    assert report[1].n_words == 500_000 and report[4].n_dup_lines == 199_999 and report[5].word_chars == 400_000
+    check_pieces(packing.pack(long, BYTE).collect(), sorted(by.items()))
+    kept = {r.doc_id for r in neardup.drop_near_duplicates(long).collect()}
+    assert kept == {1, 3, 4, 5, 6, 7}
+    assert unigram.count_tokens(long, PIECES).where("n_tokens > 0").count() == 6
+    assert unigram.round_trip(long, PIECES).where("lossless").count() == len(by)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Rows of a few MB come in small batches, whatever their number."""
+    df = spark.range(0, 20, 1, 1).select(F.repeat(F.lit("x"), 3_000_000).alias("text"))
+    common.small_batches(spark)
+    rows = df.mapInArrow(common.per_batch(lambda b: pa.RecordBatch.from_pydict({"n": [b.num_rows]})), "n long").collect()
+    assert sum(r.n for r in rows) == 20 and max(r.n for r in rows) <= 3
+
+
+def test_an_unset_shared_folder_is_an_error(spark, monkeypatch):
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = type("C", (), {"get": staticmethod(lambda k, d=None: d)}), Context
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.checkpoint_dir(Session)
