@@ -32,8 +32,10 @@ MARKS = ".,;:!?"
 _MARKED = rf"([A-Z\p{{Ll}}])[{MARKS}]\z"
 #: A word that ends with white space, of any kind.
 _OPEN_END = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]\z"
+#: Words of one pre-token: letters that stay letters in lower case and composed form.
+_LETTERS = r"\A[A-Z\p{Ll}]+\z"
 #: Bytes of texts that are looked up together.
-TOGETHER = 4 << 20
+TOGETHER = 8 << 20
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -69,7 +71,14 @@ class StretchEncoder:
         # A special token cannot be part of another token, so it parts the words of one call.
         self.stop, self.stop_id = next((t.content, k) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
         self.bare = len(self.whole("\n a")) == len(self.whole("a")) and self.whole("\na") == self.whole("a")  # this vocabulary drops white space
+        self.lower = self.whole("ABC") == self.whole("abc")  # and lower case
         self.marks = [self.whole(m) for m in MARKS]
+        # Letters parted by blanks are one pre-token each, and tokens tell where one ends or the next begins.
+        names = sorted(self.tokenizer.get_vocab().items(), key=lambda item: item[1])
+        size = names[-1][1] + 1
+        self.ends, self.begins = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+        for name, k in names:
+            self.ends[k], self.begins[k] = name.endswith("</w>"), name.startswith("Ġ")
         if any(len(m) != 1 for m in self.marks):
             raise ValueError("a mark is not one token")
         self._forget()
@@ -86,13 +95,35 @@ class StretchEncoder:
         """Numbers of ids, and ids, of words that are encoded by themselves."""
         if not words:
             return np.empty(0, np.int64), np.empty(0, "<i4")
-        if any("<|" in w for w in words):
+        if any("<|" in w for w in words):  # special tokens inside words
             lists = [self.whole(w) for w in words]
             return np.array([len(x) for x in lists], np.int64), np.array([k for x in lists for k in x], "<i4")
         ids = np.array(self.tokenizer.encode_batch_fast([self.stop.join(words)], add_special_tokens=False)[0].ids, dtype="<i4")
         stops = np.flatnonzero(ids == self.stop_id)
         return np.diff(np.concatenate([[-1], stops, [len(ids)]])) - 1, np.delete(ids, stops)
 
+    def _blank_joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As _each, of words of letters only, each behind a blank: in one call, without stops between them."""
+        if not len(words):
+            return np.empty(0, np.int64), np.empty(0, "<i4")
+        listed = words.to_pylist()
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(listed)], add_special_tokens=False)[0].ids, dtype="<i4")
+        if self.bare:
+            edges = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        else:
+            edges = np.concatenate([np.flatnonzero(self.begins[ids]), [len(ids)]])
+        if len(edges) != len(listed) + 1 or edges[0] or edges[-1] != len(ids):  # a vocabulary of another kind
+            return self._each([" " + w for w in listed])
+        return np.diff(edges), ids
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of words that puts those of letters first, and in it their numbers of ids, and ids."""
+        letters = pc.match_substring_regex(words, _LETTERS).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])
+        n, ids = self._blank_joined(words.filter(pa.array(letters)))
+        m, more = self._each([w if self.bare or w[:1] == "\n" else " " + w for w in words.filter(pa.array(~letters)).to_pylist()])
+        return order, np.concatenate([n, m]), np.concatenate([ids, more])
+
     def _places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of distinct words stand in the pool, and their numbers; new words are encoded."""
         at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
@@ -105,16 +136,15 @@ class StretchEncoder:
             if self.missed > 3 * self.memo and len(self.known) >= self.memo:
                 self._forget()
                 return self._places(words)
-            size = pc.binary_length(words).to_numpy()[new]
-            new = np.concatenate([new[size <= self.longest], new[size > self.longest]])
-            kept = min(int((size <= self.longest).sum()), self.memo - len(self.known))
-            found = words.take(pa.array(new))
-            n, ids = self._each([w if self.bare or w[:1] == "\n" else " " + w for w in found.to_pylist()])
-            first = np.cumsum(n) - n
-            starts[new], lengths[new] = self.pool.put(ids, int(n[:kept].sum())) + first, n
-            if kept:
-                self.known = pa.concat_arrays([self.known, found.slice(0, kept)])
-                self.starts, self.lengths = np.concatenate([self.starts, starts[new[:kept]]]), np.concatenate([self.lengths, n[:kept]])
+            order, n, ids = self._encoded(words.take(pa.array(new)))
+            new, first = new[order], np.cumsum(n) - n
+            short = np.flatnonzero(pc.binary_length(words).to_numpy()[new] <= self.longest)[: self.memo - len(self.known)]
+            if len(short):
+                kept = new[short]
+                at = self.pool.put(ids[spread(first[short], n[short])], int(n[short].sum()))
+                self.known = pa.concat_arrays([self.known, words.take(pa.array(kept))])
+                self.starts, self.lengths = np.concatenate([self.starts, at + np.cumsum(n[short]) - n[short]]), np.concatenate([self.lengths, n[short]])
+            starts[new], lengths[new] = self.pool.put(ids, 0) + first, n
         return starts, lengths
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,6 +152,8 @@ class StretchEncoder:
         letter is a token of its own: the word before it is looked up alone."""
         cores = pc.replace_substring_regex(words, _MARKED, r"\1")
         marked = np.flatnonzero(pc.not_equal(pc.binary_length(cores), pc.binary_length(words)).to_numpy(zero_copy_only=False))
+        if self.lower:  # special tokens are told by their case
+            cores = pc.if_else(pc.match_substring(cores, "<"), cores, pc.ascii_lower(cores))
         coded = cores.dictionary_encode()
         starts, lengths = self._places(coded.dictionary)
         which = coded.indices.to_numpy()
