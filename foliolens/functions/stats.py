@@ -43,16 +43,16 @@ def row_numbers(df: DataFrame, by: list[str], order: list, out: str) -> DataFram
 
 
 def counted_values(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """by, x, n, before: each distinct value of a group, how often it occurs, and how many rows are smaller. NaN and null are left out."""
+    """by, x, __times, __smaller: each distinct value of a group, how often it occurs, and how many rows are smaller. NaN and null are left out."""
     ok = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
-    return numbered(ok.groupBy(*by, x).agg(F.count(F.lit(1)).alias("n")), by, [x], "before", F.col("n"))
+    return numbered(ok.groupBy(*by, x).agg(F.count(F.lit(1)).alias("__times")), by, [x], "__smaller", F.col("__times"))
 
 
 def average_ranks(df: DataFrame, x: str, out: str, by: list[str] = ()) -> DataFrame:
     """df with the rank of x within its group, equal values sharing the mean of their ranks; rows without x are left out."""
     by = list(by)
     ranks = counted_values(df, by, x)
-    ranks = ranks.select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col(x).alias("__x"), (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))
+    ranks = ranks.select(*[F.col(c).alias(f"__r_{c}") for c in by], F.col(x).alias("__x"), (F.col("__smaller") + (F.col("__times") + 1) / 2.0).alias(out))
     return df.join(ranks, _same(df, by, "__r_") & (df[x] == F.col("__x"))).drop("__x", *[f"__r_{c}" for c in by])
 
 
@@ -63,10 +63,10 @@ def quantiles(df: DataFrame, x: str, probs: list[float], by: list[str] = (), out
     """
     by = list(by)
     values = counted_values(df, by, x)
-    size = values.groupBy(*by).agg(F.sum("n").alias("__n")).select(*[F.col(c).alias(f"__q_{c}") for c in by], "__n")
+    size = values.groupBy(*by).agg(F.sum("__times").alias("__n")).select(*[F.col(c).alias(f"__q_{c}") for c in by], "__n")
     values = values.join(F.broadcast(size) if not by else size, _same(values, by, "__q_"))
     at = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p, i: F.struct(i.alias("i"), F.floor((F.col("__n") - 1) * p).alias("lo"), F.ceil((F.col("__n") - 1) * p).alias("hi"), ((F.col("__n") - 1) * p - F.floor((F.col("__n") - 1) * p)).alias("part")))
-    here = lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n"))
+    here = lambda k: (k >= F.col("__smaller")) & (k < F.col("__smaller") + F.col("__times"))
     hits = values.withColumn("__h", F.explode(F.filter(at, lambda h: here(h["lo"]) | here(h["hi"]))))
     low, high = (F.max(F.when(here(F.col(f"__h.{c}")), F.col(x))) for c in ("lo", "hi"))
     picked = hits.groupBy(*by, "__h.i").agg(low.alias("lo"), high.alias("hi"), F.max("__h.part").alias("part"))

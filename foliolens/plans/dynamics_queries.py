@@ -202,3 +202,64 @@ def refit_persistence(spark: SparkSession, sf: str) -> DataFrame:
         counts.setdefault(r["period"], {})[r["refit"], r["label"]] = r["count"]
     rows = DY.refit_persistence(fits, reference, counts)
     return spark.createDataFrame(rows, "year int, k int, ari double, least_cosine double, mean_cosine double, margin double, agreement double")
+
+
+@query(
+    f"""WITH {POS}, b AS (SELECT DISTINCT investor_id, period, n_assets_full AS n FROM pos)
+SELECT period, count(*) AS books, round(quantile_cont(n, 0.25), 4) AS q25, round(median(n), 4) AS med, round(quantile_cont(n, 0.75), 4) AS q75, round(avg(n), 4) AS mean FROM b GROUP BY ALL"""
+)
+def ribbon_quartiles(spark: SparkSession, sf: str) -> DataFrame:
+    """A figure's ribbon: quartiles of book sizes over time."""
+    b = A.positions(spark, sf).where("rank = 1").select(*KEYS, F.col("n_assets_full").alias("n"))
+    q = stats.quantiles(b, "n", [0.25, 0.5, 0.75], ["period"])
+    g = b.groupBy("period").agg(F.count(F.lit(1)).alias("books"), F.round(F.avg("n"), 4).alias("mean")).join(q, "period")
+    return g.select("period", "books", *[F.round(F.get("q", F.lit(k)), 4).alias(c) for k, c in enumerate(("q25", "med", "q75"))], "mean")
+
+
+#: Overlaps at which the share of stable investors is counted.
+THRESHOLDS = (0.1, 0.2, 0.3, 0.5, 0.7, 0.85)
+
+
+@query(
+    f"""WITH {POS}, {INVESTORS}, {_OV}, t AS (SELECT unnest([{", ".join(map(str, THRESHOLDS))}])::DOUBLE AS threshold)
+SELECT investor_type, threshold, count(*) AS n, count(*) FILTER (wt_overlap >= threshold) AS stable FROM ov JOIN inv USING (investor_id), t GROUP BY ALL"""
+)
+def stability_at_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    """Investors of each type whose overlap reaches several thresholds, in one pass."""
+    o = M.overlaps(spark, sf).join(A.investors(spark, sf).select("investor_id", "investor_type"), "investor_id")
+    reached = F.array(*[F.struct(F.lit(t).alias("threshold"), F.count(F.when(F.col("wt_overlap") >= t, 1)).alias("stable")) for t in THRESHOLDS])
+    g = o.groupBy("investor_type").agg(F.count(F.lit(1)).alias("n"), reached.alias("r"))
+    return g.select("investor_type", "n", F.explode("r").alias("r")).select("investor_type", "r.threshold", "n", "r.stable")
+
+
+@query(
+    f"""WITH {_FIXED}, l AS (SELECT investor_id, period AS year, max(l) + ln(sum(exp(d))) - ln({K_FIXED}) AS loglik FROM fe GROUP BY ALL)
+SELECT year, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY year), 6) AS share, round(avg(max_post), 5) AS mean_post, round(avg(loglik), 4) AS mean_loglik FROM fx JOIN l USING (investor_id, year) GROUP BY year, label"""
+)
+def fixed_classifier_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Size, mean posterior and mean log-likelihood of each component of the fixed classifier in each year."""
+    x = M.mixture_posterior(spark, sf).withColumnRenamed("period", "year")
+    g = x.groupBy("year", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("max_post"), 5).alias("mean_post"), F.round(F.avg("loglik"), 4).alias("mean_loglik"))
+    total = F.sum("n").over(M.Window.partitionBy("year"))  # a row for each component
+    return g.select("year", "label", "n", F.round(F.col("n") / total, 6).alias("share"), "mean_post", "mean_loglik")
+
+
+@query(
+    f"""WITH {_FIXED}, s AS (SELECT a.year, a.label AS f, b.label AS t FROM fx a JOIN fx b ON a.investor_id = b.investor_id AND b.year = a.year + 1)
+SELECT year, f AS label, count(*) AS n, count(*) FILTER (f = t) AS stayed, round(count(*) FILTER (f = t) / count(*), 6) AS retention FROM s GROUP BY ALL"""
+)
+def retention_by_component(spark: SparkSession, sf: str) -> DataFrame:
+    s = DY.label_steps(fixed_labels(spark, sf))
+    g = s.groupBy("year", F.col("label_from").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("sw") == 0, 1)).alias("stayed"))
+    return g.withColumn("retention", F.round(F.col("stayed") / F.col("n"), 6))
+
+
+@query(
+    f"""WITH {CORE}, p AS (SELECT p_partkey::VARCHAR AS issuer_id FROM part WHERE p_size > 5)
+SELECT issuer_id, count(DISTINCT investor_id) AS n_holders, max(period) AS last_period, round(sum(mv), 0) AS mv FROM core WHERE issuer_id NOT IN (SELECT issuer_id FROM p) GROUP BY ALL"""
+)
+def unresolved_issuers(spark: SparkSession, sf: str) -> DataFrame:
+    """Held issuers that a reference table lacks, with what depends on them."""
+    known = A.table(spark, sf, "part").where("p_size > 5").select(F.col("p_partkey").cast("string").alias("issuer_id"))
+    lost = A.panel(spark, sf).join(known, "issuer_id", "left_anti")
+    return lost.groupBy("issuer_id").agg(F.count_distinct("investor_id").alias("n_holders"), F.max("period").alias("last_period"), F.round(F.sum("mv"), 0).alias("mv"))
