@@ -35,7 +35,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _anchors(words: Column) -> Column:
+def _windows(words: Column) -> Column:
+    """The windows that are anchors, as in `placed`."""
+
     def windows(h: Column) -> Column:
         inner = F.transform(h, lambda x, i: F.xxhash64(*[F.get(h, i + j) for j in range(S)]))
 
@@ -43,7 +45,7 @@ def _anchors(words: Column) -> Column:
             def anchor(x: Column, i: Column) -> Column:
                 runs = [F.get(m, i + j) for j in range(K - S + 1)]
                 closed = (i <= F.size(m) - K) & (F.least(runs[0], runs[-1]) <= F.least(*runs[1:-1]))
-                return F.when(closed, F.struct(i.alias("pos"), F.xxhash64(x, *[F.get(h, i + j) for j in range(1, K)]).bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash")))
+                return F.when(closed, F.shiftleft(i.cast("long"), 32).bitwiseOR(F.xxhash64(x, *[F.get(h, i + j) for j in range(1, K)]).bitwiseAND(F.lit(_LOW))))
 
             return F.filter(F.transform(h, anchor), lambda a: a.isNotNull())
 
@@ -52,20 +54,20 @@ def _anchors(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
-def anchors(text: Column) -> Column:
-    """array of (pos, hash): the anchors of a text by the number of their first word."""
+def placed(text: Column) -> Column:
+    """The anchors of a text in their order, each as one long: the number of its first word times 2^32, plus its hash."""
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
     def of(w: Column) -> Column:
-        whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.array_join(w, " ")).bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash")))
-        return let(_anchors(w), lambda a: F.when((F.size(a) > 0) | (F.size(w) == 0), a).otherwise(whole))
+        whole = F.array(F.xxhash64(F.array_join(w, " ")).bitwiseAND(F.lit(_LOW)))
+        return let(_windows(w), lambda a: F.when((F.size(a) > 0) | (F.size(w) == 0), a).otherwise(whole))
 
     return let(words, of)
 
 
-def placed(text: Column) -> Column:
-    """The anchors of a text in their order, each as one long: position times 2^32 plus hash."""
-    return F.transform(anchors(text), lambda a: F.shiftleft(a["pos"].cast("long"), 32).bitwiseOR(a["hash"]))
+def anchors(text: Column) -> Column:
+    """array of (pos, hash): the anchors of a text by the number of their first word."""
+    return F.transform(placed(text), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("pos"), x.bitwiseAND(F.lit(_LOW)).alias("hash")))
 
 
 def hashes(placed_anchors: Column) -> Column:
@@ -78,8 +80,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(both)
 
 
-def as_text(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+def as_text(placed_anchors: Column) -> Column:
+    """The hashes as eight hexadecimal digits each, one after another."""
+    return F.lower(F.array_join(F.transform(placed_anchors, lambda x: F.substring(F.hex(x.bitwiseAND(F.lit(_LOW)) + F.lit(1 << 32)), 2, 8)), ""))
 
 
 NO_ID = -(2**63)
@@ -141,8 +144,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         "times",
         "n_chars",
         "edited_sha256",
-        as_text(F.col("print")).alias("fingerprint"),
-        as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        as_text(F.col("at")).alias("fingerprint"),
+        as_text(F.col("edited_at")).alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
         likeness(F.col("print"), F.col("next_print")).alias("near_next"),
         F.size(F.array_intersect("at", "edited_at")).cast("long").alias("in_place_edited"),
