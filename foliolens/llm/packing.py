@@ -4,9 +4,9 @@ A document longer than the capacity is cut into full pieces, the remainder first
 piece lengths (at most `capacity` numbers) reaches the driver. There the configuration program, whose
 columns are the multisets of lengths that fit into one sequence, is solved fractionally by multiplicative
 weights (`solve`): each length has a weight that falls as its demand gets covered, and a knapsack dynamic program
-prices the best column under the present weights; the weights also give a lower bound of any layout. Counts are
-rounded down, and what is left over is placed by best fit on the histogram. Each piece finds its place by its rank
-among the pieces of its length.
+prices the best column of each length under the present weights; the weights also give a lower bound of any layout. The solution is
+rounded down to whole columns, and what they leave is solved and rounded again; the last few sequences are placed by best fit
+(`rounded`). Each piece finds its place by its rank among the pieces of its length.
 
 Defined cases: a null text is an empty one, whose piece holds the end id only; a text of any length is encoded whole,
 in parts of a few MB at word gaps, and cut; repeated rows stay and each
@@ -54,95 +54,106 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     return id_text(docs).mapInArrow(per_batch(_pieces, tokenizer_path, end_id, capacity), PIECES)
 
 
-def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """The multiset of lengths (ascending) of the largest total weight that fits, as counts, and that weight: an
-    unbounded knapsack program."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+def price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest total weight that fits into each room from 0 to capacity, by an unbounded knapsack program, and a length of
+    that choice (-1: none beyond that of a smaller room). lengths: falling, so that of equal choices the longest is taken."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fit = np.searchsorted(-lengths, -np.arange(capacity + 1))
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
-        if fit[c]:
-            v = best[c - lengths[: fit[c]]] + weights[: fit[c]]
+        if (k := fit[c]) < len(lengths):
+            v = best[c - lengths[k:]] + weights[k:]
             j = int(v.argmax())
             if v[j] > best[c] + 1e-12:
-                best[c], last[c] = v[j], j + 1
-    counts, c = np.zeros(len(lengths)), capacity
-    while c > 0:
-        if last[c]:
-            counts[last[c] - 1] += 1
-        c -= int(lengths[last[c] - 1]) if last[c] else 1
-    return counts, float(best[capacity])
-
-
-def solve(demand: dict[int, int], capacity: int, start: list[tuple[dict[int, int], int]], rounds: int = 500, steps: int = 40_000, rates: tuple[float, float] = (0.3, 0.05)) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """The configuration program, fractionally: lengths, columns (a row of counts each), how often each is used,
-    and a lower bound of the optimum.
-
-    Multiplicative weights: x begins as the columns of `start`, with a twentieth of the demand. A length's weight begins
-    at its share of the capacity and falls by a power of the share of its demand that a step covers. Each round prices
-    the best column by the knapsack program, then takes steps with columns whose weight is near to its: a step uses a
-    column so often that it covers the scarcest of its lengths once. x over the least covered length's cover is a
-    solution of the program; weights over the priced column's weight are one of the dual, whose value bounds every
-    solution from below.
+                best[c], last[c] = v[j], k + j
+    return best, last
+
+
+def chosen(lengths: np.ndarray, last: np.ndarray, room: int) -> list[int]:
+    """The lengths (their places) that price() found best for a room."""
+    out = []
+    while room > 0:
+        if (j := int(last[room])) < 0:
+            room -= 1
+        else:
+            out.append(j)
+            room -= int(lengths[j])
+    return out
+
+
+#: Of many rounds, only columns of at least this share of the best one's weight are used.
+NEAR = 0.99
+Column = tuple[tuple[int, ...], tuple[int, ...]]  # places of lengths, rising, and how often each is used
+
+
+def solve(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int, rate: float, fade: float = 1.0) -> tuple[dict[Column, float], float]:
+    """The configuration program, fractionally: how often each column is used, and a lower bound of the optimum.
+
+    Multiplicative weights: a length's weight begins at its share of the capacity and falls by a power of the share of its
+    demand that a round covers. Each round prices, by one knapsack program, the best column that holds each length, and
+    uses it so often that it covers the scarcest of its lengths once. x over the mean cover is the average of the rounds; the rate falls by `fade`; weights over the
+    weight of the best column are a solution of the dual program, whose value bounds every layout from below.
     """
-    lengths = np.array(sorted(n for n, k in demand.items() if k > 0), dtype=np.int64)
-    need = np.array([demand[n] for n in lengths.tolist()], dtype=float)
-    place = {n: i for i, n in enumerate(lengths.tolist())}
-    columns, x = np.zeros((len(start) + rounds, len(lengths))), np.zeros(len(start) + rounds)
-    for i, (column, k) in enumerate(start):
-        x[i] = k / 20
-        for n, c in column.items():
-            columns[i, place[n]] = c
-    known = {columns[i].tobytes(): i for i in range(len(start))}
-    cover, weights = x @ columns / need, lengths / capacity
-    best, chosen, low, taken = 20 * float(x.sum()), 20 * x, 0.0, 0
+    share = lengths / capacity
+    log_weights, cover = np.zeros(len(lengths)), np.zeros(len(lengths))
+    x: dict[Column, float] = defaultdict(float)
+    low = 0.0
     for r in range(rounds):
-        rate = rates[0] * (rates[1] / rates[0]) ** (r / rounds)
-        column, top = price(lengths, weights, capacity)
-        low = max(low, float(weights @ need) / top)
-        if best <= low * (1 + 1e-4) or taken >= steps:
-            break
-        columns[known.setdefault(column.tobytes(), len(known))] = column
-        used = columns[: len(known)]
-        value = used @ weights
-        for _ in range(1000):
-            i = int(value.argmax())
-            if value[i] < top * (1 - rate / 2):
-                break
-            parts = np.flatnonzero(used[i])
-            each = used[i, parts]
-            amount = float((need[parts] / each).min())
-            x[i] += amount
-            cover[parts] += each * amount / need[parts]
-            fallen = weights[parts] * np.exp(-rate * each * amount / need[parts])
-            value -= used[:, parts] @ (weights[parts] - fallen)
-            weights[parts] = fallen
-            taken += 1
-        weights /= weights.max()
-        if (total := float(x.sum() / cover.min())) < best:
-            best, chosen = total, x / cover.min()
-    return lengths, columns[: len(known)], chosen[: len(known)], low
-
-
-def rounded(demand: dict[int, int], capacity: int, lengths: np.ndarray, columns: np.ndarray, x: np.ndarray, least: float) -> list[tuple[dict[int, int], int]]:
-    """Whole counts for a fractional solution: x rounded down, most used columns first; where a length has run out,
-    what is left of a column is taken as long as it fills `least` of a sequence. Best fit places the rest, in these
-    sequences' gaps too."""
+        # of columns of one weight those of longer pieces come first: short ones fill the last gaps
+        weights = share * np.exp(log_weights - log_weights.max()) + 1e-7 * share**2
+        best, last = price(lengths, weights, capacity)
+        low = max(low, float(weights @ need) / float(best[capacity]))
+        if fade > 1 and r == rounds // 2:  # by now the weights have settled
+            x.clear()
+            cover[:] = 0
+        covered = np.zeros(len(lengths))
+        for k in range(len(lengths)):
+            if fade > 1 and weights[k] + best[capacity - int(lengths[k])] < NEAR * best[capacity]:
+                continue
+            column = sorted([k, *chosen(lengths, last, capacity - int(lengths[k]))])
+            parts = tuple(dict.fromkeys(column))
+            each = tuple(column.count(p) for p in parts)
+            where, times = np.array(parts), np.array(each)
+            amount = float((need[where] / times).min())
+            x[parts, each] += amount
+            covered[where] += times * amount / need[where]
+        cover += covered
+        log_weights = np.maximum(log_weights - rate * fade ** (-r / rounds) * covered, log_weights.max() - 30)
+    mean = max(float(cover.mean()), 1e-9)
+    return {column: v / mean for column, v in x.items()}, low
+
+
+def rounded(demand: dict[int, int], capacity: int, rounds: int, rate: float, fade: float, last: float) -> tuple[list[tuple[dict[int, int], int]], int, float]:
+    """Whole counts of columns that hold the demand, how many sequences are columns of the program, and its lower bound.
+
+    The fractional solution is rounded down, most used full columns first (after many rounds, with a rate that falls, others too); then,
+    of a solution after few rounds or too small to round, columns of the longest pieces
+    and the fullest of them first, as long as all their pieces are there. What is left is a smaller demand, whose program is solved again, until
+    at most `last` of the sequences remain, or no column's pieces are all there; best fit places the rest, in the gaps of the columns too.
+    """
+    lengths = np.array(sorted((n for n, k in demand.items() if k > 0), reverse=True), dtype=np.int64)
     left = np.array([demand[n] for n in lengths.tolist()], dtype=np.int64)
-    out = []
-    for i in np.argsort(-x, kind="stable"):
-        parts, todo = np.flatnonzero(columns[i]), int(x[i])
-        each = columns[i, parts].astype(np.int64)
-        while todo > 0:
-            held = np.minimum(each, left[parts])
-            some = held > 0
-            if not some.any() or held @ lengths[parts] < least * capacity:
-                break
-            times = min(todo, int((left[parts][some] // held[some]).min()))
-            out.append(({int(lengths[p]): int(k) for p, k in zip(parts[some], held[some], strict=True)}, times))
-            left[parts] -= held * times
-            todo -= times
-    return best_fit({int(n): int(k) for n, k in zip(lengths, left, strict=True) if k}, capacity, out)
+    out: list[tuple[dict[int, int], int]] = []
+    low, all_of_it, before = 0.0, int(lengths @ left), math.inf
+    while max(2 * capacity, last * all_of_it) < (todo := int(lengths @ left)) < before or not low:
+        before = todo
+        live = np.flatnonzero(left)
+        own, rest = lengths[live], left[live].copy()
+        x, bound = solve(own, rest, capacity, rounds, rate, fade)
+        low = low or bound
+        fill = {column: sum(int(own[p]) * e for p, e in zip(*column, strict=True)) for column in x}
+        used = sorted((c for c in x if fill[c] == capacity or fade > 1), key=lambda c: (-x[c], c))
+        whole = [(c, int(x[c])) for c in used]
+        if fade == 1 or sum(k * fill[c] for c, k in whole) < 0.1 * todo:
+            whole += [(c, todo) for c in sorted(x, key=lambda c: (c[0][0], -fill[c], -x[c], c))]
+        for (parts, each), most in whole:
+            where, times = np.array(parts), np.array(each)
+            if count := min(most, int((rest[where] // times).min())):
+                rest[where] -= times * count
+                out.append(({int(own[p]): e for p, e in zip(parts, each, strict=True)}, count))
+        left[live] = rest
+    program = sum(k for _, k in out)
+    return best_fit({int(n): int(k) for n, k in zip(lengths, left, strict=True) if k}, capacity, out), program, low
 
 
 def best_fit(rest: dict[int, int], capacity: int, begun: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
@@ -172,20 +183,32 @@ def best_fit(rest: dict[int, int], capacity: int, begun: list[tuple[dict[int, in
     return [(dict(held), k) for groups in bins.values() for held, k in groups.items()]
 
 
+#: Rounds, rate and its fall, and the share of the sequences that is left to best fit, of one rounding after another; more rounds where few lengths make them cheap.
+TRIES, FEW, MORE = ((2, 0.1, 1.0, 0.0), (4, 0.1, 1.0, 0.2), (3, 0.1, 1.0, 0.0)), 64, ((100, 0.02, 10.0, 0.0),)
+
+
 def layout(demand: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
     """Columns and counts that hold the demand exactly, and a lower bound of the sequences of any layout.
 
-    Of the fractional solution's roundings the one of fewest sequences is taken; if none has fewer than the columns
-    with which the program began, those stand, as they are a solution of it too.
+    The program is rounded by each of TRIES until one needs no more sequences than the bound; the one of fewest
+    sequences is the layout. Only if plain best fit needs fewer than all of them is that taken.
     """
     full, parts = demand.get(capacity, 0), {n: k for n, k in demand.items() if n < capacity and k}
     whole = [({capacity: 1}, full)] * (full > 0)
     if not parts:
         return whole, full
-    start = best_fit(parts, capacity)
-    lengths, columns, x, low = solve(parts, capacity, start)
-    found = min([start, *(rounded(parts, capacity, lengths, columns, x, least) for least in (0.0, 0.9, 0.99))], key=lambda f: sum(k for _, k in f))
-    return whole + found, full + math.ceil(low - 1e-6)
+    least, found, count = -(-sum(n * k for n, k in parts.items()) // capacity), None, math.inf
+    for way in (*TRIES, *(MORE if len(parts) <= FEW else ())):
+        columns, _, low = rounded(parts, capacity, *way)
+        least = max(least, math.ceil(low - 1e-6))
+        if (n := sum(k for _, k in columns)) < count:
+            found, count = columns, n
+        if count <= least:
+            break
+    plain = best_fit(parts, capacity) if count > least else found
+    if sum(k for _, k in plain) < count:
+        found = plain
+    return whole + found, full + least
 
 
 def intervals(columns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:

@@ -745,11 +745,46 @@ def test_program_beats_best_fit(demand, most, bound):
         assert bins_of(columns) <= 1.02 * least
 
 
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01", "sf0.1"])
+def test_layout_of_a_tables_histogram_is_the_programs(table, histogram):
+    """Plain best fit is the yardstick only: the program needs no more, and its columns are what comes out."""
+    demand = histogram(table)
+    columns, least = packing.layout(demand, 1024)
+    plain = packing.best_fit(demand, 1024)
+    assert least <= bins_of(columns) <= bins_of(plain)
+    assert sorted(columns, key=str) != sorted(plain, key=str)
+    tries = [packing.rounded(demand, 1024, *way) for way in packing.TRIES]
+    used = [program for found, program, _ in tries if sorted(found, key=str) == sorted(columns, key=str)]
+    assert used and max(used) >= 0.7 * bins_of(columns)
+    if table == "sf0.1":
+        assert bins_of(columns) <= 1.001 * least
+        many = {n: 1000 * k + n % 7 for n, k in demand.items()}
+        columns, least = packing.layout(many, 1024)
+        assert bins_of(columns) <= 1.0005 * least and bins_of(columns) < bins_of(packing.best_fit(many, 1024))
+
+
+@pytest.fixture(scope="module")
+def histogram():
+    """Lengths of the pieces of a table, full ones apart, by the library alone."""
+    tokenizer = Tokenizer.from_file(BYTE)
+
+    def of(table):
+        rows = duckdb.sql(f"SELECT coalesce(text, '') FROM '/root/testdata/{table}/documents.parquet'").fetchall()
+        sizes = [len(e.ids) + 1 for e in tokenizer.encode_batch([r[0] for r in rows], add_special_tokens=False)]
+        found = Counter(n for size in sizes for _, n in packing.cut(size, 1024))
+        return {n: k for n, k in found.items() if n < 1024}
+
+    return of
+
+
 def test_pricing_finds_the_best_column():
     rng = np.random.default_rng(7)
     lengths = np.array([3, 7, 8, 11, 19])
     w = rng.random(5)
-    column, value = packing.price(lengths, w, 30)
+    order = np.argsort(-lengths)
+    values, last = packing.price(lengths[order], w[order], 30)
+    places = packing.chosen(lengths[order], last, 30)
+    column, value = np.bincount(order[places], minlength=5), values[30]
     best = {0: 0.0}
     for c in range(1, 31):
         best[c] = max([best[c - 1], *(best[c - n] + x for n, x in zip(lengths.tolist(), w.tolist(), strict=True) if n <= c)])
