@@ -585,6 +585,40 @@ def edges_by(spark, texts, keys):
     return links
 
 
+def test_near_dedup_of_a_shared_passage_grows_linearly(spark, monkeypatch):
+    """Otherwise different texts with one passage of 60 words: their stripes are hot, but few pairs are compared in the end."""
+    rng, work, several = np.random.default_rng(4), [], neardup._several
+
+    def recorded(rows):
+        out = several(rows)
+        if "times" not in rows.columns:
+            work.append(out.agg(F.sum(F.when(F.col("root") != F.col("top"), F.col("size")))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(neardup, "_several", recorded)
+    passage = " ".join(f"p{k}" for k in range(60))
+    last = []
+    for many in (500, 2000):
+        rows = [(k, " ".join(f"w{w}" for w in rng.integers(0, 40_000, 120)) + " " + passage) for k in range(many)]
+        rows += [(many + k, f"{rows[k][1]} end") for k in range(20)]  # near copies
+        work.clear()
+        assert kept_of(spark, rows) == set(range(many))
+        assert work[0] > 200 * many  # as stripes they would be quadratic
+        last.append(work[-1])
+    assert last[1] <= 4.5 * max(last[0], 500)
+
+
+def test_near_dedup_of_texts_that_are_mostly_one_passage(spark, monkeypatch):
+    """Texts around the similarity by a passage that all share, without hubs to help."""
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    rng, rows = np.random.default_rng(8), []
+    passage = [f"p{k}" for k in range(90)]
+    for k in range(120):
+        own = [f"w{w}" for w in rng.integers(0, 40_000, int(rng.integers(2, 40)))]
+        rows.append((k, " ".join(own + passage)))
+    assert kept_of(spark, rows) == set(similarity_groups(rows).values())
+
+
 def test_near_dedup_of_a_drifting_group(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 4)
     monkeypatch.setattr(neardup, "HUBS", 2)
