@@ -13,9 +13,9 @@ from foliolens.functions.vectors import dot
 STAYER = 0.85
 
 
-def is_stayer(overlap):
-    """One rule for all uses: overlap of at least 0.85."""
-    return overlap >= STAYER
+def is_stayer(overlap, at: float = STAYER):
+    """One rule for all uses: overlap of at least 0.85, or of another threshold."""
+    return overlap >= at
 
 
 def holdings_overlap(a: DataFrame, b: DataFrame, keys: list[str], item: str = "issuer_id", weight: str = "pw") -> DataFrame:
@@ -27,13 +27,13 @@ def holdings_overlap(a: DataFrame, b: DataFrame, keys: list[str], item: str = "i
     return both.join(shared, keys, "left").select(*keys, F.coalesce("s", F.lit(0.0)).alias("wt_overlap"))
 
 
-def anchors(overlap: DataFrame, rule: str, year: str, key: str, stratum: str | None = None, least: int = 200) -> DataFrame:
+def anchors(overlap: DataFrame, rule: str, year: str, key: str, stratum: str | None = None, least: int = 200, at: float = STAYER) -> DataFrame:
     """Anchor rows of each year: `all`, `stable_thr` (or the least most stable ones where too few pass), `stable_strat` (top quarter of each stratum, ties kept)."""
     if rule == "all":
         return overlap
     if rule == "stable_thr":
-        few = overlap.groupBy(year).agg(F.sum(is_stayer(F.col("wt_overlap")).cast("int")).alias("__ok")).where(F.col("__ok") < least).select(year)
-        enough = overlap.join(F.broadcast(few), year, "left_anti").where(is_stayer(F.col("wt_overlap")))
+        few = overlap.groupBy(year).agg(F.sum(is_stayer(F.col("wt_overlap"), at).cast("int")).alias("__ok")).where(F.col("__ok") < least).select(year)
+        enough = overlap.join(F.broadcast(few), year, "left_anti").where(is_stayer(F.col("wt_overlap"), at))
         # each task keeps its own best `least` rows of a year before they meet
         nth = F.row_number().over(Window.partitionBy(year).orderBy(F.col("wt_overlap").desc(), key))
         fallback = overlap.join(F.broadcast(few), year, "left_semi").withColumn("__nth", nth).where(F.col("__nth") <= least).drop("__nth")

@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolens.config import ClusterConfig
@@ -106,6 +107,81 @@ def spherical_kmeans(df: DataFrame, centres: np.ndarray, vec: str = "embedding",
     return centres, trace
 
 
+def kmeans_by(df: DataFrame, by: str, key: str, k: int, vec: str = "embedding", rounds: int = 50, seed: int = 42, spare: int = 2) -> dict:
+    """Spherical k-means of each group, all groups in one job a round: {group: centres}.
+
+    Starts are rows drawn by hash, and so are `spare * k` more, which take the place of clusters that come out empty. A round
+    counts the rows whose label has changed under the last centres; a group without any, and without an empty cluster, is done. Groups of fewer rows than k get
+    a centre for each row.
+    """
+    kind, d = dict(df.dtypes)[by], None
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(key, F.lit(seed)), key))
+    drawn = df.select(by, key, vec).withColumn("__nth", nth).where(F.col("__nth") <= k * (1 + spare)).orderBy(by, "__nth").collect()  # a few rows of each group
+    pool: dict = {}
+    for r in drawn:
+        pool.setdefault(r[by], []).append(np.array(r[vec], dtype=float))
+    centres = {g: np.array(rows[:k]) for g, rows in pool.items()}
+    reserve = {g: rows[k:] for g, rows in pool.items()}
+    last: dict = {g: None for g in centres}
+    live = set(centres)
+    for _ in range(rounds):
+        if not live:
+            break
+        sent = {g: (centres[g], last[g]) for g in live}
+
+        def sums(batches, sent=sent):
+            total: dict = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = np.asarray(batch.column(vec).flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(batch.num_rows, -1)
+                for g, rows in pd.Series(batch.column(by).to_pandas()).groupby(batch.column(by).to_pandas()).indices.items():
+                    if g not in sent:
+                        continue
+                    now, before = sent[g]
+                    label = (x[rows] @ now.T).argmax(axis=1)
+                    moved = len(rows) if before is None else int((label != (x[rows] @ before.T).argmax(axis=1)).sum())
+                    one = np.eye(len(now))[label]
+                    s0, m0 = total.get(g, (0, 0))
+                    total[g] = s0 + np.hstack([one.sum(axis=0)[:, None], one.T @ x[rows]]), m0 + moved
+            for g, (s, moved) in total.items():
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({"g": [g] * len(s), "k": np.arange(len(s), dtype=np.int32), "moved": [moved] + [0] * (len(s) - 1), "s": list(s)}), preserve_index=False)
+
+        d = d or len(next(iter(centres.values()))[0])
+        parts = df.select(by, vec).mapInArrow(sums, f"g {kind}, k int, moved long, s array<double>")
+        got: dict = {}
+        for r in parts.groupBy("g", "k").agg(F.sum("moved").alias("moved"), F.array(*[F.sum(F.get("s", i)) for i in range(d + 1)]).alias("s")).collect():
+            got.setdefault(r["g"], {})[r["k"]] = (r["moved"], np.array(r["s"]))
+        for g in list(live):
+            empty = any(s[0] == 0 for _, s in got[g].values())
+            if sum(moved for moved, _ in got[g].values()) == 0 and not (empty and reserve[g]):
+                live.remove(g)
+                continue
+            new = np.empty_like(centres[g])
+            for j in range(len(new)):
+                s = got[g][j][1]
+                size = np.linalg.norm(s[1:])
+                new[j] = s[1:] / size if s[0] and size > 0 else (reserve[g].pop(0) if reserve[g] else centres[g][j])
+            last[g], centres[g] = centres[g], new
+    return centres
+
+
+def nearest_centre(df: DataFrame, by: str, centres: dict, keys: list[str], out: str, vec: str = "embedding") -> DataFrame:
+    """keys and the number of the first nearest centre of each row's group."""
+    kinds = dict(df.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(vec).flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(batch.num_rows, -1)
+                label, groups = np.full(len(x), -1, dtype=np.int32), batch.column(by).to_pandas()
+                for g, rows in groups.groupby(groups).indices.items():
+                    label[rows] = (x[rows] @ centres[g].T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(label)], names=[*keys, out])
+
+    return df.select(*dict.fromkeys([*keys, by, vec])).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {out} int")
+
+
 def seed_centres(df: DataFrame, key: str, vec: str, k: int, seed: int) -> np.ndarray:
     rows = df.select(key, vec).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(k).collect()
     return np.array([r[1] for r in rows], dtype=float)

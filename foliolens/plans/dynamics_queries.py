@@ -46,14 +46,14 @@ _WILSON = "(p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) {} 1.96 / (1 + 3.8416 / n)
 FROM fx a JOIN fx b ON a.investor_id = b.investor_id AND b.year = a.year + 1 JOIN ov ON ov.investor_id = a.investor_id AND ov.year = a.year),
 r AS (SELECT year, 'all' AS subset, count(*) AS n, sum(sw)::BIGINT AS switches, avg(sw) AS p FROM s GROUP BY ALL
 UNION ALL SELECT year, 'confident', count(*), sum(sw)::BIGINT, avg(sw) FROM s WHERE pa >= {CONFIG.confident} AND pb >= {CONFIG.confident} GROUP BY year
-UNION ALL SELECT year, 'stayers', count(*), sum(sw)::BIGINT, avg(sw) FROM s WHERE wt_overlap >= {CONFIG.stayer} GROUP BY year),
+UNION ALL SELECT year, 'stayers', count(*), sum(sw)::BIGINT, avg(sw) FROM s WHERE wt_overlap >= {M.STAYS} GROUP BY year),
 c AS (SELECT year, 1 - sum(coalesce(pf * pt, 0)) AS chance FROM (SELECT year, f AS l, count(*) / sum(count(*)) OVER (PARTITION BY year) AS pf FROM s GROUP BY year, f)
 FULL JOIN (SELECT year, t AS l, count(*) / sum(count(*)) OVER (PARTITION BY year) AS pt FROM s GROUP BY year, t) USING (year, l) GROUP BY year)
 SELECT year, subset, n, switches, round(p, 6) AS rate, round({_WILSON.format("-")}, 6) AS low, round({_WILSON.format("+")}, 6) AS high, round(chance, 6) + 0.0 AS chance FROM r JOIN c USING (year)"""
 )
 def fixed_classifier_rates(spark: SparkSession, sf: str) -> DataFrame:
     sure = (F.col("max_post_from") >= CONFIG.confident) & (F.col("max_post_to") >= CONFIG.confident)
-    r = DY.switch_rates(fixed_steps(spark, sf), {"confident": sure, "stayers": F.col("wt_overlap") >= CONFIG.stayer})
+    r = DY.switch_rates(fixed_steps(spark, sf), {"confident": sure, "stayers": F.col("wt_overlap") >= M.STAYS})
     return r.select("year", "subset", "n", "switches", *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")], (F.round("chance", 6) + F.lit(0.0)).alias("chance"))
 
 
@@ -70,7 +70,7 @@ def persistence_by_year(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _POOLED = f"""{_VEC}, {_OV}, {_DISP}, mv2 AS (SELECT investor_id, year, 1 - wt_overlap AS turnover, disp FROM ov JOIN dsp USING (investor_id, year)),
-b AS (SELECT 'all' AS subset, * FROM mv2 UNION ALL SELECT 'movers', * FROM mv2 WHERE turnover > {1 - AL.STAYER}),
+b AS (SELECT 'all' AS subset, * FROM mv2 UNION ALL SELECT 'movers', * FROM mv2 WHERE turnover > {1 - M.STAYS}),
 k AS (SELECT subset, rank() OVER (PARTITION BY subset ORDER BY turnover) + (count(*) OVER (PARTITION BY subset, turnover) - 1) / 2.0 AS a, rank() OVER (PARTITION BY subset ORDER BY disp) + (count(*) OVER (PARTITION BY subset, disp) - 1) / 2.0 AS b FROM b),
 s AS (SELECT subset, count(*) AS n, corr(a, b) AS rho FROM k GROUP BY ALL)"""
 
@@ -78,7 +78,7 @@ s AS (SELECT subset, count(*) AS n, corr(a, b) AS rho FROM k GROUP BY ALL)"""
 @query(f"WITH {_POOLED} SELECT subset, n, round(rho, 4) AS rho, round(tanh(atanh(rho) - 1.96 * sqrt(1.06 / (n - 3))), 4) AS low, round(tanh(atanh(rho) + 1.96 * sqrt(1.06 / (n - 3))), 4) AS high FROM s")
 def spearman_pooled(spark: SparkSession, sf: str) -> DataFrame:
     """Turnover against displacement over all years, for all investors and for movers only."""
-    m = M.moves(spark, sf).withColumn("subset", F.explode(F.when(F.col("turnover") > 1 - AL.STAYER, F.array(F.lit("all"), F.lit("movers"))).otherwise(F.array(F.lit("all")))))
+    m = M.moves(spark, sf).withColumn("subset", F.explode(F.when(F.col("turnover") > 1 - M.STAYS, F.array(F.lit("all"), F.lit("movers"))).otherwise(F.array(F.lit("all")))))
     return stats.spearman(m, "turnover", "disp", ["subset"]).select("subset", "n", *[F.round(c, 4).alias(c) for c in ("rho", "low", "high")])
 
 

