@@ -113,3 +113,38 @@ def refit_persistence(refits: dict, reference: Mixture, counts: dict) -> list[tu
         agree = float(np.mean([centre[i] == member[i] for i in range(m.k)]))
         rows.append((g, m.k, rand_index(members), float(matched.min()), float(matched.mean()), float(margin), agree))
     return rows
+
+
+def matching(gain: np.ndarray) -> list[int]:
+    """For each row its column in the best assignment, of a matrix of no more rows than columns."""
+    wide = np.full((gain.shape[1],) * 2, float(gain.min(initial=0)) - 1)
+    wide[: len(gain)] = gain
+    return hungarian_margin(wide)[0][: len(gain)]
+
+
+def chain_check(refits: dict, reference: Mixture, counts: dict) -> list[tuple]:
+    """Consecutive refits matched on shared members, without any rotation: year, next year, members in common, their adjusted Rand
+    index, the share of the later refit's components whose reference component by members and the earlier refit's
+    centres is the one by their own centres, and the same with the members' matchings composed all along the years.
+
+    counts: {(year, next): {(label, next label): members}}. A step in which a component appears has no matching; the chain
+    begins anew after it.
+    """
+    by_centre = {y: matching(m.mu @ reference.mu.T) if m.k <= reference.k else None for y, m in refits.items()}
+    rows, along, years = [], None, sorted(refits)
+    for y, later in zip(years[:-1], years[1:], strict=True):
+        a, b = refits[y], refits[later]
+        table = np.zeros((a.k, b.k))
+        for (i, j), n in counts.get((y, later), {}).items():
+            table[i, j] = n
+        ari, n = rand_index(table), int(table.sum())
+        if b.k > a.k or by_centre[y] is None or by_centre[later] is None:
+            rows.append((y, later, n, ari, None, None))
+            along = None
+            continue
+        step = matching(table.T)
+        along = [(along or by_centre[y])[i] for i in step]
+        direct = by_centre[later]
+        agree = lambda implied, direct=direct: float(np.mean([i == j for i, j in zip(implied, direct, strict=True)]))
+        rows.append((y, later, n, ari, agree([by_centre[y][i] for i in step]), agree(along)))
+    return rows

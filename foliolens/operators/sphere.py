@@ -218,23 +218,125 @@ def spherical_cauchy_em(df: DataFrame, start: Mixture, vec: str = "embedding", r
     return m
 
 
-def fit_mixture(df: DataFrame, key: str, k: int, restarts: int = 4, seed: int = 42, vec: str = "embedding", floor: float = 0.01, require_k: bool = True, rounds: int = 60) -> tuple[Mixture | None, dict]:
-    """The best of several starts by BIC, among those that keep k components if that is required."""
-    counts, best = {"n_ok": 0, "n_collapse": 0, "n_fail": 0}, None
-    for s in range(restarts):
-        mu = seed_centres(df, key, vec, k, seed + 1000 * k + s)
-        if len(mu) < k:
-            counts["n_fail"] += 1
-            continue
-        mu, _ = spherical_kmeans(df, mu, vec, 5)
-        m = spherical_cauchy_em(df, Mixture(mu, np.full(k, 0.5), np.full(k, 1 / k)), vec, rounds, floor=floor)
+def stacked_sums(x: np.ndarray, mu: np.ndarray, rho: np.ndarray, pi: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """em_sums of several mixtures at once: their components stacked, those of a mixture from one of `starts` to the next. Sums and
+    masses of all components, log-likelihoods of the mixtures."""
+    d, size = x.shape[1], np.diff([*starts, len(mu)])
+    dots = x @ mu.T
+    far = 1 + rho**2 - 2 * rho * dots
+    l = np.log(pi) + (d - 1) * (np.log1p(-(rho**2)) - np.log(far))
+    top = np.maximum.reduceat(l, starts, axis=1)
+    e = np.exp(l - np.repeat(top, size, axis=1))
+    total = np.add.reduceat(e, starts, axis=1)
+    post = e / np.repeat(total, size, axis=1)
+    q = post / far
+    g = mu * rho[:, None]
+    return (1 - rho**2)[:, None] * (q.T @ x - q.sum(axis=0)[:, None] * g), post.sum(axis=0), (top + np.log(total)).sum(axis=0)
+
+
+def stacked_em(df: DataFrame, starts: dict[tuple, Mixture], by: str | None = None, vec: str = "embedding", rounds: int = 60, tol: float = 1e-6, floor: float = 0.0) -> dict[tuple, Mixture]:
+    """Expectation maximisation of many mixtures, one job a round for all of them, whatever their number.
+
+    starts: {(group, ...): mixture}; a mixture sees the rows of its group, or all rows where by is None. A fit that has converged
+    is left out of further rounds. Components below the floor's share are dropped. A task sends back the sums of each component.
+    """
+    fits = {k: Mixture(m.mu, m.rho, m.pi) for k, m in starts.items()}
+    live, d = sorted(fits, key=str), None
+    kind = dict(df.dtypes)[by] if by else "int"
+    rows = df.select(F.lit(0).alias("g"), F.col(vec).alias("v")) if by is None else df.select(F.col(by).alias("g"), F.col(vec).alias("v"))
+    for it in range(rounds):
+        if not live:
+            break
+        sent, order = {}, {}
+        for k in live:
+            order.setdefault(k[0] if by else 0, []).append(k)
+        for g, keys in order.items():
+            at = np.cumsum([0, *(fits[k].k for k in keys[:-1])])
+            sent[g] = (*(np.concatenate([getattr(fits[k], c) for k in keys]) for c in ("mu", "rho", "pi")), at)
+
+        def sums(batches, sent=sent):
+            total: dict = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = np.asarray(batch.column("v").flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(batch.num_rows, -1)
+                groups = batch.column("g").to_pandas()
+                for g, at in groups.groupby(groups).indices.items():
+                    if g in sent:
+                        s, w, ll = stacked_sums(x[at], *sent[g])
+                        s0, w0, l0, n0 = total.get(g, (0, 0, 0, 0))
+                        total[g] = s0 + s, w0 + w, l0 + ll, n0 + len(at)
+            for g, (s, w, ll, n) in total.items():
+                of = np.zeros(len(w))
+                of[sent[g][3]] = ll
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({"g": [g] * len(w), "c": np.arange(len(w), dtype=np.int32), "n": np.full(len(w), n), "s": list(np.hstack([w[:, None], of[:, None], s]))}), preserve_index=False)
+
+        d = d or next(iter(fits.values())).mu.shape[1]
+        parts = rows.mapInArrow(sums, f"g {kind}, c int, n long, s array<double>")
+        got: dict = {}
+        for r in parts.groupBy("g", "c").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", i)) for i in range(d + 2)]).alias("s")).collect():
+            got.setdefault(r["g"], {})[r["c"]] = (r["n"], r["s"])
+        still = []
+        for g, keys in order.items():
+            if g not in got:
+                continue  # a group without rows
+            n, values = got[g][0][0], np.array([got[g][c][1] for c in range(len(got[g]))])
+            for k, at in zip(keys, sent[g][3], strict=True):
+                m, own = fits[k], values[at : at + fits[k].k]
+                m.trace.append(float(own[0, 1]))
+                m.loglik, m.n, m.iterations = m.trace[-1], int(n), it + 1
+                if len(m.trace) > 1 and abs(m.trace[-1] - m.trace[-2]) < tol * abs(m.trace[-2]):
+                    continue
+                fits[k] = Mixture(*em_step(m.mu, m.rho, own[:, 2:], own[:, 0], m.n, floor), m.loglik, m.n, it + 1, m.trace)
+                still.append(k)
+        live = still
+    return fits
+
+
+#: Rows of a group from which starts are drawn.
+POOL = 512
+
+
+def pools(df: DataFrame, key: str, by: str | None = None, vec: str = "embedding", seed: int = 42, size: int = POOL) -> dict:
+    """{group: matrix} of at most `size` rows of each group, drawn by hash."""
+    rows = df.select((F.lit(0) if by is None else F.col(by)).alias("g"), F.col(key).alias("__k"), vec)
+    nth = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("__k", F.lit(seed)), "__k"))  # each task keeps its own first rows
+    out: dict = {}
+    for r in rows.withColumn("__n", nth).where(F.col("__n") <= size).orderBy("g", "__n").collect():
+        out.setdefault(r["g"], []).append(r[vec])
+    return {g: np.array(v, dtype=float) for g, v in out.items()}
+
+
+def fit_many(df: DataFrame, key: str, ks: Sequence[int], restarts: int = 4, seed: int = 42, by: str | None = None, vec: str = "embedding", floor: float = 0.01, rounds: int = 60) -> dict[tuple, Mixture]:
+    """{(group, k, start): mixture} of every group, number of components and start, all of them fitted in the same jobs. A start is drawn
+    from the group's pool, on which a few rounds of k-means settle it."""
+    starts = {}
+    for g, pool in pools(df, key, by, vec, seed).items():
+        for k in ks:
+            for s in range(restarts if k <= len(pool) else 0):
+                mu, _, _ = local_kmeans(pool, pool[np.random.default_rng(seed + 1000 * k + s).choice(len(pool), k, replace=False)], 5)
+                starts[g, k, s] = Mixture(mu, np.full(k, 0.5), np.full(k, 1 / k))
+    return stacked_em(df, starts, by, vec, rounds, floor=floor) if starts else {}
+
+
+def best_of(fits: dict[tuple, Mixture], require_k: bool = True) -> dict[tuple, tuple[Mixture | None, dict]]:
+    """{(group, k): (best mixture by BIC, counts)}, among those that keep k components if that is required."""
+    out: dict = {}
+    for (g, k, _), m in sorted(fits.items(), key=lambda kv: str(kv[0])):
+        best, counts = out.get((g, k), (None, {"n_ok": 0, "n_collapse": 0, "n_fail": 0}))
         if m.k < k and require_k:
             counts["n_collapse"] += 1
-            continue
-        counts["n_ok"] += 1
-        if best is None or m.bic < best.bic:
-            best = m
-    return best, counts
+        else:
+            counts["n_ok"] += 1
+            best = m if best is None or m.bic < best.bic else best
+        out[g, k] = best, counts
+    return out
+
+
+def fit_mixture(df: DataFrame, key: str, k: int, restarts: int = 4, seed: int = 42, vec: str = "embedding", floor: float = 0.01, require_k: bool = True, rounds: int = 60) -> tuple[Mixture | None, dict]:
+    """The best of several starts by BIC, among those that keep k components if that is required; all starts in one job a round."""
+    fits = fit_many(df, key, [k], restarts, seed, None, vec, floor, rounds)
+    return best_of(fits, require_k).get((0, k), (None, {"n_ok": 0, "n_collapse": 0, "n_fail": restarts}))
 
 
 def local_kmeans(x: np.ndarray, centres: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
@@ -269,13 +371,14 @@ def local_mixture(x: np.ndarray, k: int, seed: int, floor: float = 0.01, rounds:
     return m
 
 
-SCAN = "method string, k int, fit int, criterion double, least_share double, n_ok int, n_collapse int, members array<int>, labels array<int>"
+SCAN = "method string, k int, fit int, criterion double, least_share double, rho_median double, n_ok int, n_collapse int, members array<int>, labels array<int>"
 
 
 def scan_k(sample: DataFrame, key: str, ks: Sequence[int] = range(2, 21), restarts: int = 4, fits: int = 10, share: float = 0.8, least: int = 100, floor: float = 0.01, seed: int = 42, rounds: int = 60, vec: str = "embedding") -> DataFrame:
     """How the number of components shows on a bounded sample: method (mixture, kmeans), k, criterion (BIC of the best of
-    several starts, mean cosine), smallest share, starts that kept or lost components, and mean and spread of the pairwise
-    adjusted Rand index of fits on subsamples, over the members that two of them share (at least `least`).
+    several starts, mean cosine), smallest share, median concentration, starts that kept or lost components, mean and spread of the pairwise
+    adjusted Rand index of fits on subsamples, over the members that two of them share (at least `least`), and cross_ari, that of
+    both methods' labels of the whole sample.
 
     sample: a few thousand rows, the caller's bound; it goes to all executors, and each fit is a task of its own.
     """
@@ -294,19 +397,19 @@ def scan_k(sample: DataFrame, key: str, ks: Sequence[int] = range(2, 21), restar
             if method == "kmeans":
                 centres = part[np.random.default_rng(start).choice(len(part), k, replace=False)]
                 _, labels, value = local_kmeans(part, centres)
-                found = (-value, labels, float(np.bincount(labels, minlength=k).min() / len(part)))
+                found = (-value, labels, float(np.bincount(labels, minlength=k).min() / len(part)), None)
             else:
                 m = local_mixture(part, k, start, floor, rounds)
                 if m.k < k:
                     lost += 1
                     if fit < 0:
                         continue
-                found = (m.bic, posterior(part, m.mu, m.rho, m.pi)[0].argmax(axis=1), float(m.pi.min()))
+                found = (m.bic, posterior(part, m.mu, m.rho, m.pi)[0].argmax(axis=1), float(m.pi.min()), float(np.median(m.rho)))
             ok += 1
             best = found if best is None or found[0] < best[0] else best
         if best is None:
-            return method, k, fit, None, None, ok, lost, None, None
-        return method, k, fit, -best[0] if method == "kmeans" else best[0], best[2], ok, lost, members.tolist() if fit >= 0 else None, best[1].tolist() if fit >= 0 else None
+            return method, k, fit, None, None, None, ok, lost, None, None
+        return method, k, fit, -best[0] if method == "kmeans" else best[0], best[2], best[3], ok, lost, members.tolist() if fit >= 0 else None, best[1].tolist()
 
     def run(batches):
         for pdf in batches:
@@ -330,7 +433,43 @@ def scan_k(sample: DataFrame, key: str, ks: Sequence[int] = range(2, 21), restar
         return pd.DataFrame([(pdf["method"].iloc[0], pdf["k"].iloc[0], mean, sd, len(values))], columns=["method", "k", "ari_mean", "ari_sd", "pairs"])
 
     stable = done.where("fit >= 0").groupBy("method", "k").applyInPandas(agree, "method string, k int, ari_mean double, ari_sd double, pairs int")
-    return done.where("fit < 0").select("method", "k", "criterion", "least_share", "n_ok", "n_collapse").join(stable, ["method", "k"], "left")
+    whole = done.where("fit < 0")
+    cross = whole.where("labels IS NOT NULL").groupBy("k").applyInPandas(crossed, "k int, cross_ari double")
+    return whole.select("method", "k", "criterion", "least_share", "rho_median", "n_ok", "n_collapse").join(stable, ["method", "k"], "left").join(cross, "k", "left")
+
+
+def crossed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """k and the adjusted Rand index of the labels that two methods give the same rows; none if one of them has no fit."""
+    labels = [np.array(v) for v in pdf.sort_values("method")["labels"]]
+    if len(labels) != 2:
+        return pd.DataFrame({"k": pd.Series(dtype="int32"), "cross_ari": pd.Series(dtype=float)})
+    table = np.zeros((labels[0].max() + 1, labels[1].max() + 1))
+    np.add.at(table, (labels[0], labels[1]), 1)
+    return pd.DataFrame({"k": [pdf["k"].iloc[0]], "cross_ari": [rand_index(table)]})
+
+
+KMIN = 4
+
+
+def k_summary(scan: DataFrame, n: int, d: int, floor: float = 0.01, kmin: int = KMIN) -> DataFrame:
+    """How to read scan_k, a row for each method: the k >= kmin of the largest stability (coarse splits are stable in any cloud), whether the curve
+    is flat (its range below the fits' median spread), a component's BIC penalty against the median gain and whether BIC falls at
+    every step, and the first k from which the smallest component is within 1.5 times the floor."""
+    table = scan.toPandas().sort_values(["method", "k"])  # a row for each k and method
+    rows = []
+    for method, t in table.groupby("method"):
+        some = t[t["k"] >= kmin]
+        known = some.dropna(subset=["ari_mean"])
+        chosen = int(known.loc[known["ari_mean"].idxmax(), "k"]) if len(known) else None
+        spread = some["ari_sd"].median()
+        flat = bool(known["ari_mean"].max() - known["ari_mean"].min() < spread) if len(known) and spread == spread else None
+        penalty = gain = falls = None
+        steps = np.diff(t["criterion"].dropna())
+        if method == "mixture" and len(steps):
+            penalty, gain, falls = (d + 1) * math.log(n), float(np.median(np.abs(steps))), bool((steps < 0).all())
+        near = some[some["least_share"] < 1.5 * floor]["k"]
+        rows.append((method, chosen, flat, penalty, gain, falls, int(near.min()) if method == "mixture" and len(near) else None))
+    return scan.sparkSession.createDataFrame(rows, "method string, chosen_k int, flat boolean, bic_penalty double, bic_gain double, bic_falls boolean, near_floor_from int")
 
 
 def fit_clusters(df: DataFrame, key: str, config: ClusterConfig, vec: str = "embedding") -> tuple[Mixture | None, dict]:

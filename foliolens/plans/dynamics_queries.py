@@ -187,23 +187,6 @@ def noise_floor(spark: SparkSession, sf: str) -> DataFrame:
     return q.select(F.lit(last).alias("year"), *[F.get("q", F.lit(k)).alias(c) for k, c in enumerate(("q25", "median", "q75", "p90"))])
 
 
-@query()
-def refit_persistence(spark: SparkSession, sf: str) -> DataFrame:
-    """Mixtures fitted anew in each year, matched with the fixed classifier's centres and members."""
-    y = stored(M.yearly(spark, sf), "yearly")
-    mu = M.fixed_centres(spark, sf)
-    reference = SP.from_psi(mu / (mu**2).sum(axis=1, keepdims=True) ** 0.5 * M.RHO_FIXED, M.np.full(K_FIXED, 1 / K_FIXED))
-    years = [r[0] for r in y.select("period").distinct().orderBy("period").collect()]
-    starts = {p: SP.Mixture(reference.mu.copy(), M.np.full(K_FIXED, 0.5), M.np.full(K_FIXED, 1 / K_FIXED)) for p in years}
-    fits = DY.refit_by(y, "period", starts, rounds=20, floor=0.0)
-    both = DY.assigned_by(y, "period", fits, KEYS, out="refit").join(fixed_labels(spark, sf).withColumnRenamed("year", "period"), KEYS)
-    counts: dict = {}
-    for r in both.groupBy("period", "refit", "label").count().collect():  # at most years x k x k rows
-        counts.setdefault(r["period"], {})[r["refit"], r["label"]] = r["count"]
-    rows = DY.refit_persistence(fits, reference, counts)
-    return spark.createDataFrame(rows, "year int, k int, ari double, least_cosine double, mean_cosine double, margin double, agreement double")
-
-
 @query(
     f"""WITH {POS}, b AS (SELECT DISTINCT investor_id, period, n_assets_full AS n FROM pos)
 SELECT period, count(*) AS books, round(quantile_cont(n, 0.25), 4) AS q25, round(median(n), 4) AS med, round(quantile_cont(n, 0.75), 4) AS q75, round(avg(n), 4) AS mean FROM b GROUP BY ALL"""

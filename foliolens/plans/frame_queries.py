@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliolens.functions import stats
 from foliolens.operators import align as AL
+from foliolens.operators import dynamics as DY
 from foliolens.operators import frames as FR
 from foliolens.operators import sphere as SP
 from foliolens.plans import adapters as A
@@ -23,6 +24,8 @@ from foliolens.sources.durable import cached, stored
 
 #: Anchors below which `stable_thr` falls back; strata of the later year's vectors.
 LEAST, STRATA = 20, 4
+#: Components, starts and least share of the free refits.
+REFIT_K, RESTARTS, REFIT_FLOOR = K_FIXED, 4, 0.01
 
 
 def paired(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,6 +181,48 @@ def displacement_by_rule(spark: SparkSession, sf: str) -> DataFrame:
     return moved.select("investor_id", "year", (1 - F.col("wt_overlap")).alias("turnover"), *[f"disp_{r}" for r in FR.RULES])
 
 
+def _aligned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Yearly vectors turned into the middle year's space by `stable_strat`, and the fixed classifier's labels of them."""
+    rotations, _ = ruled(spark, sf)
+    y = M.yearly(spark, sf).withColumnRenamed("period", "year")
+    years = years_of(y, "year")
+    into = AL.chain({t: m for (name, t), m in rotations.items() if name == "stable_strat"}, years[len(years) // 2], years)
+    turned = cached(spark, ("turned", sf), lambda: AL.rotated(y, "embedding", into, "year", "turned").select("investor_id", "year", F.col("turned").alias("embedding")))
+    return turned, FR.labelled_in(turned, "year", ["investor_id", "year"], {"fixed": {t: np.eye(len(m)) for t, m in into.items()}}, fixed_mixture(spark, sf))
+
+
+def _refits(spark: SparkSession, sf: str, turned: DataFrame) -> dict:
+    """{year: the best of RESTARTS free fits}, all years and starts in one job a round."""
+    fits = SP.best_of(SP.fit_many(turned, "investor_id", [REFIT_K], RESTARTS, by="year", floor=REFIT_FLOOR, rounds=30), require_k=False)
+    return {g: m for (g, _), (m, _) in fits.items() if m is not None}
+
+
+@query()
+def refit_persistence(spark: SparkSession, sf: str) -> DataFrame:
+    """Mixtures fitted freely in each year, in the reference year's space, matched with the fixed classifier's centres and members."""
+    turned, fixed = _aligned(spark, sf)
+    fits = _refits(spark, sf, turned)
+    both = DY.assigned_by(turned, "year", fits, ["investor_id", "year"], out="refit").join(fixed.select("investor_id", "year", F.col("label_fixed").alias("label")), ["investor_id", "year"])
+    counts: dict = {}
+    for r in both.groupBy("year", "refit", "label").count().collect():  # at most years x k x k rows
+        counts.setdefault(r["year"], {})[r["refit"], r["label"]] = r["count"]
+    rows = DY.refit_persistence(fits, fixed_mixture(spark, sf), counts)
+    return spark.createDataFrame(rows, "year int, k int, ari double, least_cosine double, mean_cosine double, margin double, agreement double")
+
+
+@query()
+def refit_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Consecutive free refits matched on shared investors, against the matching of their centres with the reference's."""
+    turned, _ = _aligned(spark, sf)
+    fits = _refits(spark, sf, turned)
+    labels = stored(DY.assigned_by(turned, "year", fits, ["investor_id", "year"]), "refit-labels")
+    counts: dict = {}
+    for r in DY.label_steps(labels).groupBy("year", "label_from", "label_to").count().collect():  # at most years x k x k rows
+        counts.setdefault((r["year"], r["year"] + 1), {})[r["label_from"], r["label_to"]] = r["count"]
+    rows = DY.chain_check(fits, fixed_mixture(spark, sf), counts)
+    return spark.createDataFrame(rows, "year_from int, year_to int, n_common int, ari_consecutive_refits double, membership_vs_centroid_agree double, composed_vs_centroid_agree double")
+
+
 @query()
 def classifier_in_reference_space(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of all yearly vectors in the space of the middle year, by the rotations of each rule chained into it; agreement by year."""

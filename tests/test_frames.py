@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliolens.operators import align, frames, sphere
+from foliolens.functions import stats
+from foliolens.operators import align, dynamics, frames, sphere
 
 D = 4
 
@@ -160,3 +161,84 @@ def test_kmeans_fills_a_cluster_that_empties(spark, monkeypatch):
         assert set(p.argmax(axis=1)) == {0, 1, 2}
     assert sphere.kmeans_by(df.where("false"), "g", "id", 3) == {}
     assert len(sphere.kmeans_by(df.where("id < 2"), "g", "id", 3)[1]) == 2
+
+
+def mixture_rows(spark, seed=0):
+    rng, rows = np.random.default_rng(seed), []
+    for g in (1, 2):
+        means = unit(rng.normal(size=(3, D)))
+        rows += [(g, k + 1000 * g, unit(means[k % 3][None] + rng.normal(size=(1, D)) * 0.2)[0].tolist()) for k in range(240)]
+    return rows, spark.createDataFrame(rows, "g int, id int, embedding array<double>").repartition(4)
+
+
+def test_stacked_fits_equal_single_ones(spark):
+    rows, df = mixture_rows(spark)
+    rng = np.random.default_rng(1)
+    starts = {(g, k, s): sphere.Mixture(unit(rng.normal(size=(k, D))), np.full(k, 0.4), np.full(k, 1 / k)) for g in (1, 2) for k in (2, 3) for s in range(3)}
+    fits = sphere.stacked_em(df, starts, "g", rounds=6, tol=0, floor=0.05)
+    for (g, k, s), m in fits.items():
+        x, own = np.array([r[2] for r in rows if r[0] == g]), starts[g, k, s]
+        one = sphere.Mixture(own.mu, own.rho, own.pi)
+        for _ in range(6):
+            sums, w, ll = sphere.em_sums(x, one.mu, one.rho, one.pi)
+            one = sphere.Mixture(*sphere.em_step(one.mu, one.rho, sums, w, len(x), 0.05), ll, len(x))
+        assert (m.k, m.n) == (one.k, 240) and m.loglik == pytest.approx(one.loglik)
+        assert np.allclose(m.mu, one.mu) and np.allclose(m.rho, one.rho) and np.allclose(m.pi, one.pi)
+
+
+def test_jobs_do_not_grow_with_starts(spark):
+    _, df = mixture_rows(spark)
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for restarts in (1, 6):
+        group = f"fits-{restarts}"
+        spark.sparkContext.setJobGroup(group, group)
+        sphere.fit_many(df, "id", [2, 3], restarts, by="g", rounds=4)
+        jobs.append(len(tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 1
+
+
+def test_free_refits_find_the_groups(spark):
+    rows, df = mixture_rows(spark)
+    best = sphere.best_of(sphere.fit_many(df, "id", [3], 4, by="g", rounds=40))
+    for g in (1, 2):
+        m, counts = best[g, 3]
+        assert counts["n_ok"] + counts["n_collapse"] == 4 and m.k == 3
+        x = np.array([r[2] for r in rows if r[0] == g])
+        label = sphere.posterior(x, m.mu, m.rho, m.pi)[0].argmax(axis=1)
+        table = np.zeros((3, 3))
+        np.add.at(table, (label, np.arange(240) % 3), 1)
+        assert stats.rand_index(table) > 0.8
+    assert sphere.fit_many(df.where("false"), "id", [3], by="g") == {}
+    m, counts = sphere.fit_mixture(df.where("id < 1002"), "id", 3)
+    assert m is None and counts["n_fail"] == 4
+
+
+def test_composed_and_direct_matching_can_differ():
+    eye = np.eye(3)
+    made = lambda mu: sphere.Mixture(mu, np.full(3, 0.5), np.full(3, 1 / 3))
+    reference = made(eye)
+    refits = {2001: made(eye), 2002: made(eye), 2003: made(eye[[1, 0, 2]])}
+    same, swapped = {(k, k): 10 for k in range(3)}, {(0, 1): 10, (1, 0): 10, (2, 2): 10}
+    rows = dynamics.chain_check(refits, reference, {(2001, 2002): swapped, (2002, 2003): swapped})
+    # members say that 0 and 1 changed places in the first step, which the centres deny; in the second both agree
+    assert rows == [(2001, 2002, 30, 1.0, pytest.approx(1 / 3), pytest.approx(1 / 3)), (2002, 2003, 30, 1.0, 1.0, pytest.approx(1 / 3))]
+    assert dynamics.chain_check(refits, reference, {(2001, 2002): same})[0][4:] == (1.0, 1.0)
+    more = {2001: sphere.Mixture(eye[:2], np.full(2, 0.5), np.full(2, 0.5)), 2002: made(eye)}
+    assert dynamics.chain_check(more, reference, {(2001, 2002): {(0, 0): 3, (1, 1): 3, (1, 2): 1}})[0][4:] == (None, None)
+
+
+def test_k_diagnostics(spark):
+    rows, df = mixture_rows(spark)
+    scan = sphere.scan_k(df.where("g = 1"), "id", ks=(3, 4, 5, 6), restarts=2, fits=4, rounds=20).cache()
+    by = {(r.method, r.k): r for r in scan.collect()}
+    assert by["mixture", 3].cross_ari == by["kmeans", 3].cross_ari > 0.7
+    assert by["mixture", 3].rho_median > 0 and by["kmeans", 3].rho_median is None
+    told = {r.method: r for r in sphere.k_summary(scan, 240, D).collect()}
+    for method in ("mixture", "kmeans"):
+        some = {k: by[method, k] for k in (4, 5, 6) if by[method, k].ari_mean is not None}
+        if some:
+            assert told[method].chosen_k == max(some, key=lambda k: some[k].ari_mean)
+            means = [r.ari_mean for r in some.values()]
+            assert told[method].flat == (max(means) - min(means) < np.median([r.ari_sd for r in some.values()]))
+    assert told["mixture"].bic_penalty == pytest.approx((D + 1) * np.log(240)) and told["kmeans"].bic_penalty is None
