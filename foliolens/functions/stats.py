@@ -6,6 +6,7 @@ import math
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,6 +199,45 @@ def chi2_sf(x: float, df: float) -> float:
     return 1 - _log_gamma_series(a, y) if y < a + 1 else _gamma_fraction(a, y)
 
 
+def beta_inc(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (the modified Lentz method)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_inc(b, a, 1 - x)
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    total = d
+    for m in range(1, 10_000):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + top * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + top / c
+            c = c if abs(c) > tiny else tiny
+            total *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return total * math.exp(front) / a
+
+
+def t_two_sided(t: float, df: float) -> float:
+    """The chance that a t statistic of df degrees of freedom is at least |t| away from zero."""
+    return beta_inc(df / 2, 0.5, df / (df + t * t))
+
+
+def with_p(correlations: DataFrame, n: str = "n", rho: str = "rho") -> DataFrame:
+    """correlations with the t statistic of rho against zero and its two-sided p; null where rho is, and below three pairs."""
+    names = correlations.columns
+
+    def run(batches):
+        for batch in batches:
+            rows = [(None, None) if r is None or k < 3 else (math.copysign(math.inf, r), 0.0) if abs(r) >= 1 else ((t := r * math.sqrt((k - 2) / (1 - r * r))), t_two_sided(t, k - 2)) for k, r in zip(batch.column(n).to_pylist(), batch.column(rho).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in rows], type=pa.float64()) for i in range(2))], names=[*names, "t", "p"])
+
+    return correlations.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in correlations.dtypes) + ", t double, p double")
+
+
 def chi_square(table: np.ndarray) -> tuple[float, int, float]:
     """Statistic, degrees of freedom and p of a contingency table without continuity correction."""
     t = np.asarray(table, dtype=float)

@@ -114,3 +114,16 @@ def preflight(seq: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataF
     ok_sum = (F.abs(F.col("weight_sum") - 1) <= tolerance) & ~F.isnan("weight_sum")
     ok_chunks = (F.col("first_chunk") == 1) & (F.col("last_chunk") == F.col("chunks")) & (F.col("chunks") == F.col("distinct_chunks"))
     return rows.select(*keys, (F.col("mismatch") == 0).alias("sizes_ok"), ok_sum.alias("weights_ok"), ok_chunks.alias("chunks_ok"), "weight_sum")
+
+
+def latest_in_window(prices: DataFrame, listing: str, day: str, snapshot: str, days: int, values: list[str]) -> DataFrame:
+    """listing, day and values of each listing's newest row within `days` days before the snapshot, that day included; rows without a value are
+    left out, and of one day's rows that of the largest values is taken.
+
+    The bounds are literals of the column's own type, so that the scan gets them; newest rows are picked by partial aggregation.
+    """
+    kind = dict(prices.dtypes)[day]
+    low, high = (F.expr(f"CAST(date_add(DATE'{snapshot}', {n}) AS {kind})") for n in (-days, 1))
+    rows = prices.where((F.col(day) >= low) & (F.col(day) < high)).dropna(subset=values)
+    newest = rows.groupBy(listing).agg(F.max(F.struct(day, *values)).alias("__r"))
+    return newest.select(listing, *[F.col(f"__r.{c}").alias(c) for c in (day, *values)])

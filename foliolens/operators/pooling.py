@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,44 +88,108 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).orderBy(key)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", block_rows: int = 32_768) -> DataFrame:
+#: Pivots of the layout, rows whose cosines bound each query's k-th neighbour from the start, and rows and queries of a tile.
+PIVOTS, BOUNDING, TILE = 64, 2048, 1024
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(column), -1)
+
+
+def by_pivots(base: DataFrame, pivots: np.ndarray, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """n, v, pivot, angle: each row with its nearest pivot, laid out and sorted by pivot and angle."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                cos = _matrix(batch.column("v")) @ pivots.T
+                best = cos.argmax(axis=1)
+                angle = np.arccos(np.clip(cos[np.arange(len(cos)), best], -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("n"), batch.column("v"), pa.array(best.astype(np.int32)), pa.array(angle)], names=["n", "v", "pivot", "angle"])
+
+    rows = base.select(F.col(key).cast("long").alias("n"), F.col(vec).cast("array<double>").alias("v")).mapInArrow(run, "n long, v array<double>, pivot int, angle double")
+    return stored(rows.repartitionByRange("pivot", "angle").sortWithinPartitions("pivot", "angle"), "by-pivot")
+
+
+def kept_best(cos: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest of each row (to 12 digits; of equal ones those of the smallest ids), largest first."""
+    cos = np.round(cos, 12)
+    if cos.shape[1] > k:
+        least = np.partition(cos, -k, axis=1)[:, -k]
+        wide = int((cos >= least[:, None]).sum(axis=1).max())  # k, and more where the last place is tied
+        some = np.argpartition(-cos, wide - 1, axis=1)[:, :wide]
+        cos, ids = np.take_along_axis(cos, some, 1), np.take_along_axis(ids, some, 1)
+    order = np.lexsort((ids, -cos), axis=1)[:, :k]
+    return np.take_along_axis(cos, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", block_rows: int = 32_768, pairs=None) -> DataFrame:
     """Exact k nearest by cosine of unit vectors, self left out: (query, neighbour, cos, nth).
 
-    A stated query set against all rows: base stays in its partitions; queries come to it as broadcast matrices of
-    about block_rows rows, a pass over base for each, and each task keeps its best k for each query, so that k rows
-    for each query and partition are shuffled. Query blocks are stored by number and read once each.
+    A stated query set against all rows. Base is laid out by nearest pivot and angle to it; queries come to it as broadcast matrices of
+    about block_rows rows. Rows are met in tiles of one pivot and a narrow range of angles: by the triangle inequality on the
+    sphere, a query's angle to a tile's rows is at least the distance of its own angle to the pivot from that range, and tiles
+    beyond the query's k-th neighbour so far are skipped; a sample of rows gives a first bound. A task holds a tile of
+    TILE x TILE and k neighbours for each query of a block, whatever the number of queries; k rows for each query and partition
+    are shuffled. pairs: an accumulator for the pairs whose cosine was taken.
     """
-    import numpy as np
-    import pandas as pd
-
+    spark = queries.sparkSession
     n = queries.count()
-    rows = queries.select(F.col(key).alias("q"), F.col(vec).cast("array<double>").alias("v"))
+    drawn = base.orderBy(F.xxhash64(F.col(key).cast("long"), F.lit(11)), key).limit(BOUNDING).select(F.col(key).cast("long"), F.col(vec).cast("array<double>")).collect()
+    if not drawn or not n:
+        return spark.createDataFrame([], "query long, neighbour long, cos double, nth int")
     blocks, out = max(1, -(-n // block_rows)), None
-    path = f"{shared_dir(queries.sparkSession)}/queries-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/queries-{uuid.uuid4().hex}"
+    rows = queries.select(F.col(key).cast("long").alias("q"), F.col(vec).cast("array<double>").alias("v"))
     rows.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))).repartition("b").write.partitionBy("b").parquet(path)
-    held = queries.sparkSession.read.parquet(path)
-    base = stored(base.select(F.col(key).alias("n"), F.col(vec).cast("array<double>").alias("v")), "base") if blocks > 1 else base.select(F.col(key).alias("n"), F.col(vec).cast("array<double>").alias("v"))
+    held = spark.read.parquet(path)
+    bound_ids, bound = np.array([r[0] for r in drawn]), np.array([r[1] for r in drawn], dtype=float)
+    pivots = bound[:PIVOTS]
+    laid = by_pivots(base, pivots, key, vec)
     for b in range(blocks):
-        part = held.where(F.col("b") == b).select("q", "v").toPandas()  # about block_rows queries of d numbers, from one folder
-        if part.empty:
+        part = held.where(F.col("b") == b).select("q", "v").toArrow()  # about block_rows queries of d numbers, from one folder
+        if not part.num_rows:
             continue
-        block = queries.sparkSession.sparkContext.broadcast((part["q"].to_numpy(), np.stack(part["v"].to_numpy())))
+        ids, m = part.column("q").to_numpy(), _matrix(part.column("v").combine_chunks())
+        first = np.full(len(ids), -np.inf)
+        for at in range(0, len(ids), TILE):
+            cos = np.where(ids[at : at + TILE, None] == bound_ids, -np.inf, m[at : at + TILE] @ bound.T)
+            if len(bound) > k:
+                first[at : at + TILE] = np.partition(cos, -k, axis=1)[:, -k]
+        block = spark.sparkContext.broadcast((ids, m, np.arccos(np.clip(m @ pivots.T, -1, 1)), first))
 
         def best(batches, block=block):
-            ids, m = block.value
-            top_s, top_i = np.full((len(ids), 0), -np.inf), np.empty((len(ids), 0), dtype=ids.dtype)
-            for pdf in batches:
-                if len(pdf):
-                    s = m @ np.stack(pdf["v"].to_numpy()).T
-                    other = pdf["n"].to_numpy()
-                    s[ids[:, None] == other[None, :]] = -np.inf
-                    s, i = np.hstack([top_s, s]), np.hstack([top_i, np.broadcast_to(other, (len(ids), len(other)))])
-                    keep = np.lexsort((i, -np.round(s, 12)), axis=1)[:, :k]
-                    top_s, top_i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-            q = np.repeat(ids, top_s.shape[1])
-            yield pd.DataFrame({"query": q, "neighbour": top_i.ravel(), "cos": top_s.ravel()})[lambda d: np.isfinite(d["cos"])]
-
-        found = base.mapInPandas(best, "query long, neighbour long, cos double")
+            ids, m, angles, first = block.value
+            top, who = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+            seen = 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, others, angle, pivot = _matrix(batch.column("v")), batch.column("n").to_numpy(), batch.column("angle").to_numpy(), batch.column("pivot").to_numpy()
+                edges = np.flatnonzero(np.diff(pivot)) + 1
+                for lo, hi in zip([0, *edges], [*edges, len(x)], strict=True):
+                    for a in range(lo, hi, TILE):
+                        tile = slice(a, min(a + TILE, hi))
+                        own = angles[:, pivot[a]]
+                        gap = np.maximum(angle[tile].min() - own, own - angle[tile].max())
+                        reach = np.arccos(np.clip(np.maximum(top[:, -1], first), -1, 1))
+                        near = np.flatnonzero(gap <= reach + 1e-6)
+                        for c in range(0, len(near), TILE):
+                            q = near[c : c + TILE]
+                            cos = m[q] @ x[tile].T
+                            cos[ids[q][:, None] == others[tile][None, :]] = -np.inf
+                            seen += cos.size
+                            better = np.flatnonzero(cos.max(axis=1) >= np.maximum(top[q, -1], first[q]) - 1e-11)
+                            if len(better):
+                                q, cos = q[better], cos[better]
+                                top[q], who[q] = kept_best(np.hstack([top[q], cos]), np.hstack([who[q], np.broadcast_to(others[tile], cos.shape)]), k)
+            if pairs is not None:
+                pairs.add(seen)
+            for c in range(0, len(ids), TILE):
+                full = np.isfinite(top[c : c + TILE])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[c : c + TILE], full.sum(axis=1))), pa.array(who[c : c + TILE][full]), pa.array(top[c : c + TILE][full])], names=["query", "neighbour", "cos"])
+
+        found = laid.select("n", "v", "pivot", "angle").mapInArrow(best, "query long, neighbour long, cos double")
         out = found if out is None else out.unionByName(found)
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.round("cos", 12).desc(), "neighbour"))
     return out.withColumn("nth", nth).where(F.col("nth") <= k)

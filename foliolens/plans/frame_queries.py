@@ -231,3 +231,11 @@ def classifier_in_reference_space(spark: SparkSession, sf: str) -> DataFrame:
     years = years_of(y, "year")
     into = {r: AL.chain({t: m for (name, t), m in rotations.items() if name == r}, years[len(years) // 2], years) for r in ("stable_strat", "all", "stable_thr")}
     return FR.agreement(FR.labelled_in(y, "year", ["investor_id", "year"], into, fixed_mixture(spark, sf)), "year", list(into))
+
+
+@query()
+def displacement_turnover_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Spearman's rho of turnover and rotated displacement in each step, for each rule, with interval, t statistic and p."""
+    moved = cached(spark, ("displaced", sf), lambda: displacement_by_rule(spark, sf))
+    long = moved.select("year", "turnover", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"disp_{r}").alias("disp")) for r in FR.RULES])).alias("d")).select("year", "turnover", "d.rule", "d.disp")
+    return stats.with_p(stats.spearman(long, "turnover", "disp", ["rule", "year"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliolens.functions import stats
 from foliolens.functions.stats import quantiles
+from foliolens.operators import holdings as H
 from foliolens.operators import lenses as L
 from foliolens.plans import adapters as A
 from foliolens.plans.adapters import CORE, INVESTORS, ISSUERS, KEYS, LABELS, POS, UNIVERSE
@@ -56,6 +57,25 @@ def market_caps(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("issuer_id", "listing", F.round("cap", 4).alias("market_cap"))
 
 
+#: Day of the market caps, and days before it of which a price may be.
+SNAPSHOT, LOOK_BACK = "1998-06-30", 45
+
+
+@query(
+    f"""WITH w AS (SELECT l_partkey AS listing, l_shipdate, l_extendedprice / l_quantity AS price, l_quantity AS shares FROM lineitem WHERE l_shipdate >= DATE '{SNAPSHOT}' - {LOOK_BACK} AND l_shipdate < DATE '{SNAPSHOT}' + 1),
+n AS (SELECT * FROM w WHERE price IS NOT NULL AND shares IS NOT NULL QUALIFY row_number() OVER (PARTITION BY listing ORDER BY l_shipdate DESC, price DESC, shares DESC) = 1)
+SELECT (listing % {UNIVERSE})::VARCHAR AS issuer_id, listing, l_shipdate::DATE AS price_date, round(price, 4) AS price, round(price * shares, 2) AS market_cap FROM n
+QUALIFY row_number() OVER (PARTITION BY listing % {UNIVERSE} ORDER BY price * shares DESC, listing) = 1"""
+)
+def latest_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Each issuer's largest listing by market cap, at the newest price of every listing in the days before the snapshot."""
+    rows = A.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("listing"), "l_shipdate", F.try_divide("l_extendedprice", "l_quantity").alias("price"), F.col("l_quantity").alias("shares"))
+    newest = H.latest_in_window(rows, "listing", "l_shipdate", SNAPSHOT, LOOK_BACK, ["price", "shares"])
+    cap = F.struct((F.col("price") * F.col("shares")).alias("cap"), (-F.col("listing")).alias("first"), "listing", "l_shipdate", "price")
+    best = newest.groupBy(A.issuer_of(spark, sf, "listing").cast("string").alias("issuer_id")).agg(F.max(cap).alias("b"))
+    return best.select("issuer_id", "b.listing", F.col("b.l_shipdate").cast("date").alias("price_date"), F.round("b.price", 4).alias("price"), F.round("b.cap", 2).alias("market_cap"))
+
+
 @query(
     f"""WITH {ISSUERS}, k AS (SELECT (p_partkey - 20)::VARCHAR AS issuer_id FROM part)
 SELECT k.issuer_id, coalesce(CASE WHEN k.issuer_id::INT % 3 <> 0 THEN name END, brand, 'unknown') AS name,

@@ -1,13 +1,15 @@
 """Anchor rules, leave-one-out checks and grouped k-means against separate fits in numpy."""
 
+import datetime
 import hashlib
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliolens.functions import stats
-from foliolens.operators import align, dynamics, frames, sphere
+from foliolens.operators import align, dynamics, frames, holdings, pooling, sphere
 
 D = 4
 
@@ -242,3 +244,69 @@ def test_k_diagnostics(spark):
             means = [r.ari_mean for r in some.values()]
             assert told[method].flat == (max(means) - min(means) < np.median([r.ari_sd for r in some.values()]))
     assert told["mixture"].bic_penalty == pytest.approx((D + 1) * np.log(240)) and told["kmeans"].bic_penalty is None
+
+
+def brute_nearest(rows, queries, k):
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    out = {}
+    for i, v in queries:
+        cos = np.round(x @ np.array(v), 12)
+        out[i] = [(int(j), float(c)) for c, j in sorted(((-c, j) for c, j in zip(cos, ids, strict=True) if j != i))[:k]]
+    return {i: [(j, -c) for j, c in v] for i, v in out.items()}
+
+
+@pytest.mark.parametrize(("groups", "block"), [(40, 32_768), (40, 50), (1, 70)])
+def test_pivots_and_tiles_find_the_exact_neighbours(spark, monkeypatch, groups, block):
+    """Tight groups, in which most tiles are skipped, and one broad one with repeated vectors, whose ties fall to the smaller id."""
+    monkeypatch.setattr(pooling, "TILE", 64)
+    monkeypatch.setattr(pooling, "BOUNDING", 200)
+    rng = np.random.default_rng(groups)
+    means = unit(rng.normal(size=(groups, 8)))
+    x = unit(means[np.arange(3000) % groups] + rng.normal(size=(3000, 8)) * (0.02 if groups > 1 else 2))
+    x[2500:2600] = x[:100]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>").repartition(5)
+    pairs = spark.sparkContext.accumulator(0)
+    got: dict = {}
+    for r in pooling.nearest(df.where("vec_id % 20 = 0"), df, 7, block_rows=block, pairs=pairs).orderBy("query", "nth").collect():
+        got.setdefault(r.query, []).append((r.neighbour, r.cos))
+    want = brute_nearest(rows, [r for r in rows if r[0] % 20 == 0], 7)
+    assert {q: [j for j, _ in v] for q, v in got.items()} == {q: [j for j, _ in v] for q, v in want.items()}
+    assert all(c == pytest.approx(d, abs=1e-11) for q in want for (_, c), (_, d) in zip(got[q], want[q], strict=True))
+    assert 0 < pairs.value <= (0.5 if groups > 1 else 1) * 150 * 3000
+
+
+def test_nearest_of_few_and_no_rows(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id int, embedding array<double>")
+    assert [(r.query, r.neighbour, r.cos) for r in pooling.nearest(df, df, 5).orderBy("query").collect()] == [(1, 2, 0.0), (2, 1, 0.0)]
+    assert pooling.nearest(df.where("false"), df, 5).count() == pooling.nearest(df, df.where("false"), 5).count() == 0
+
+
+@pytest.mark.parametrize(("t", "df"), [(0.0, 3), (1.0, 1), (2.0, 10), (-3.5, 30), (0.7, 598), (6.0, 4)])
+def test_t_tails_equal_the_integral(t, df):
+    """Simpson's rule over the density, and closed forms for few degrees of freedom."""
+    x = np.linspace(0, abs(t), 200_001)
+    y = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
+    h = x[1] - x[0]
+    inside = h / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum())
+    assert stats.t_two_sided(t, df) == pytest.approx(1 - 2 * inside, abs=1e-10)
+    if df == 1:
+        assert stats.t_two_sided(t, df) == pytest.approx(1 - 2 / math.pi * math.atan(abs(t)), abs=1e-12)
+
+
+def test_p_of_correlations(spark):
+    df = spark.createDataFrame([("a", 100, 0.3), ("b", 50, -1.0), ("c", 5, None)], "g string, n long, rho double")
+    got = {r.g: (r.t, r.p) for r in stats.with_p(df).collect()}
+    t = 0.3 * math.sqrt(98 / (1 - 0.09))
+    assert got == {"a": (pytest.approx(t), pytest.approx(stats.t_two_sided(t, 98))), "b": (-math.inf, 0.0), "c": (None, None)}
+
+
+def test_price_window_reaches_the_scan(spark, tmp_path):
+    days = ["2020-01-01", "2020-02-10", "2020-03-01", "2020-03-01", "2020-03-02", "2020-02-20"]
+    rows = [("x", datetime.datetime.fromisoformat(d), float(k), 2.0) for k, d in enumerate(days)] + [("y", datetime.datetime(2020, 2, 15), None, 1.0), ("y", datetime.datetime(2020, 1, 30), 5.0, 1.0), ("z", datetime.datetime(2020, 3, 1, 23, 59), 1.0, 1.0)]
+    path = str(tmp_path / "prices")
+    spark.createDataFrame(rows, "id string, day timestamp, price double, shares double").write.parquet(path)
+    got = holdings.latest_in_window(spark.read.parquet(path), "id", "day", "2020-03-01", 20, ["price", "shares"])
+    assert {(r.id, str(r.day)[:10], r.price) for r in got.collect()} == {("x", "2020-03-01", 3.0), ("z", "2020-03-01", 1.0)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(day,2020-02-10" in plan and "LessThan(day,2020-03-02" in plan
