@@ -10,8 +10,12 @@ and a content that occurs among its own wrappers ends that branch. Every charact
 original text that it came from, so a finding in any layer is reported as a span of the document.
 
 Compressed layers are read to their end, all members of them, in windows of WINDOW bytes which overlap; a window
-ends before an encoded run that goes on. Bytes after the last member, or from where a member is damaged, are
-scanned as they are. `n_cut` counts layers that are not read to their end: it is zero.
+ends before an encoded run that goes on, unless that fills half a window. Such a run is never held whole: a window is cut inside it, and the
+run is decoded as a stream, by each alignment and from each place where compressed data may begin, for which its
+layer is unpacked anew from the start; what comes out is read in windows again. So a worker's memory doesn't grow with a layer, only
+with the text itself. Bytes after the last member, or from where a member is damaged, are
+scanned as they are. `n_cut` counts layers that are not read to their end: it is zero. Raw deflate, xz and other formats
+are not unpacked.
 
 Defined cases: a null text is an empty one; an empty text has no span; repeated rows get a row each; other
 columns are ignored (`redact` passes them on); an empty table gives no rows.
@@ -69,10 +73,16 @@ def scan(text: str) -> list[Span]:
 class Layer:
     """A text, and for each of its characters the span of the original it came from (None: the original itself)."""
 
-    __slots__ = ("high", "low", "text", "within")
+    __slots__ = ("begun", "high", "low", "more", "text", "within")
 
-    def __init__(self, text: str, low: np.ndarray | None = None, high: np.ndarray | None = None, within: frozenset = frozenset()):
+    def __init__(self, text: str, low: np.ndarray | None = None, high: np.ndarray | None = None, within: frozenset = frozenset(), more: tuple | None = None, begun: bool = False):
         self.text, self.low, self.high, self.within = text, low, high, within
+        #: For a window cut inside a run: what makes its layer's bytes anew, and where the window is in them; whether it begins inside one.
+        self.more, self.begun = more, begun
+
+    def of_one_place(self) -> bool:
+        """Whether all characters came from the same span."""
+        return self.low is not None and self.low.strides == (0,)
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         return (start, end) if self.low is None else (int(self.low[start:end].min()), int(self.high[start:end].max()))
@@ -138,6 +148,18 @@ def _text(data: bytes) -> str | None:
     return None if not text or _BINARY.search(text) else text
 
 
+def _read_text(data: bytes) -> str:
+    """The text that _read gives."""
+    even = len(data) & ~1
+    for code, zeros in (("utf-16-le", data[1:even:2]), ("utf-16-be", data[0:even:2])):
+        if 4 * zeros.count(0) > len(zeros):
+            try:
+                return data[:even].decode(code, "surrogatepass")
+            except UnicodeDecodeError:
+                continue
+    return data.decode("utf-8", "surrogateescape")
+
+
 def _read(data: bytes) -> tuple[str, np.ndarray]:
     """data as text, whatever it holds, and the bytes of each character: UTF-16 where zeros alternate, else UTF-8 with odd bytes kept."""
     even = len(data) & ~1
@@ -224,27 +246,112 @@ def _again(data: bytes, size: int) -> Iterator[bytes]:
             break
 
 
-def _inflated(data: bytes) -> Iterator[bytes] | None:
-    """The windows of what data holds compressed; None if it isn't compressed."""
-    parts = _members(data)
-    first = next(parts, None) if _stream(data) is not None else None
-    return None if first is None or first is data else _windows(first, parts)
+def _members_in(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """As _members, of data that come in chunks."""
+    data = b""
+    while True:
+        while len(data) < 3 and (chunk := next(chunks, None)) is not None:
+            data += chunk
+        if (stream := _stream(data)) is None:
+            break
+        size, tail = 0, b""
+        try:
+            while not stream.eof:
+                feed = tail
+                if not tail and getattr(stream, "needs_input", True):
+                    data = data or next(chunks, b"")
+                    feed, data = data[: STEP // 16], data[STEP // 16 :]
+                new = stream.decompress(feed, STEP)
+                tail = getattr(stream, "unconsumed_tail", b"")
+                if new:
+                    size += len(new)
+                    yield new
+                elif not feed and not stream.eof:
+                    return
+        except (zlib.error, OSError, EOFError):
+            if size:
+                yield b"\n"
+                return
+            break
+        data = stream.unused_data + data
+    if data:
+        yield data
+    yield from chunks
+
+
+def _run_bytes(make, offset: int, urlsafe: bool, wrapped: bool) -> Iterator[bytes]:
+    """What the base64 run holds that begins at an offset of a layer, whose bytes `make` gives anew."""
+    letters = re.compile(rb"[A-Za-z0-9%s%s]*" % (b"_-" if urlsafe else b"+/", b"\r\n" if wrapped else b""))
+    decode = base64.urlsafe_b64decode if urlsafe else base64.b64decode
+    held = b""
+    for part in make():
+        if offset >= len(part):
+            offset -= len(part)
+            continue
+        part, offset = part[offset:], 0
+        end = letters.match(part).end()
+        held += part[:end].translate(None, b"\r\n")
+        cut = len(held) & ~3
+        if cut:
+            yield decode(held[:cut])
+            held = held[cut:]
+        if end < len(part):
+            break
+    if len(held) > 1:
+        yield decode(held + b"=" * (-len(held) % 4))
+
+
+def _inflated(data: bytes):
+    """What makes the bytes that data holds compressed; None if it isn't compressed."""
+    if _stream(data) is None:
+        return None
+    first = next(_members(data), None)
+    return None if first is None or first is data else lambda: _members(data)
 
 
-def _windows(first: bytes, parts: Iterator[bytes]) -> Iterator[bytes]:
-    """Windows of the joined parts: each begins OVERLAP before the end of the last, and ends before a run that goes on."""
-    held, most = bytearray(first), WINDOW
-    for part in parts:
+def _windows(make) -> Iterator[tuple[int, bytes, bool, bool]]:
+    """Windows of a layer's bytes: where each begins, and whether it begins or ends inside a run. Each begins OVERLAP before the
+    end of the last, and ends before a run that goes on, unless that fills half the window."""
+    held, offset, begun = bytearray(), 0, False
+    for part in make():
         held += part
-        if len(held) >= most:
-            end = len(held.rstrip(_ENCODED))
-            if end <= len(held) - most // 2:  # a run of half a window: more is needed to see its end
-                most *= 2
+        while len(held) >= WINDOW:
+            cut = not held[WINDOW // 2 : WINDOW].translate(None, _ENCODED)
+            end = WINDOW if cut else len(held[:WINDOW].rstrip(_ENCODED))
+            yield offset, bytes(held[:end]), begun, cut
+            step = max(1, end - OVERLAP)
+            del held[:step]
+            offset, begun = offset + step, cut
+    yield offset, bytes(held), begun, False
+
+
+def _layers(make, low: int, high: int, within: frozenset) -> Iterator[Layer]:
+    """The windows of a layer's bytes as layers that came from one span."""
+    known = set()
+    for offset, data, begun, cut in _windows(make):
+        if not cut or not any(h in data for h in (b"H4sI", b"Qlpo", b"e")):  # then equal windows hold equal things
+            digest = hashlib.blake2b(data, digest_size=16, salt=bytes([begun, cut])).digest()
+            if digest in known:
                 continue
-            yield bytes(held[:end])
-            del held[: max(0, end - OVERLAP)]
-            most = WINDOW + len(held)
-    yield bytes(held)
+            known.add(digest)
+        text = _read_text(data)
+        yield Layer(text, np.broadcast_to(low, len(text)), np.broadcast_to(high, len(text)), within, (make, offset) if cut else None, begun)
+
+
+def _streamed(layer: Layer, m: re.Match, urlsafe: bool, wrapped: bool) -> Iterator[Layer]:
+    """What a run holds that goes on behind its window, or began before it, by streams."""
+    make, offset = layer.more if layer.more else (None, 0)
+    low, high = layer.origin(m.start(), m.end())
+    if make is None:
+        return
+    at = offset + len(layer.text[: m.start()].encode("utf-8", "surrogateescape"))
+    decode = base64.urlsafe_b64decode if urlsafe else base64.b64decode
+    for h in _HEADS.finditer(m[0]):
+        if _stream(decode(m[0][h.start() : h.start() + 4].translate({13: None, 10: None}).ljust(4, "A"))) is not None:
+            yield from _layers(lambda k=h.start(): _members_in(_run_bytes(make, at + k, urlsafe, wrapped)), low, high, layer.within)
+    if not (layer.begun and not m.start()):  # else the window in which the run began has read it
+        for k in range(4):
+            yield from _layers(lambda k=k: _run_bytes(make, at + k, urlsafe, wrapped), low, high, layer.within)
 
 
 def _decoded(layer: Layer, run: str, at: np.ndarray, plus: bool) -> Iterator[Layer]:
@@ -258,6 +365,9 @@ def _decoded(layer: Layer, run: str, at: np.ndarray, plus: bool) -> Iterator[Lay
         return decode(part + "=" * (-len(part) % 4))
 
     def laid(data: bytes, k: int) -> Layer:
+        if layer.of_one_place():
+            text = _read_text(data)
+            return Layer(text, np.broadcast_to(layer.low[0], len(text)), np.broadcast_to(layer.high[0], len(text)), layer.within)
         text, size = _read(data)
         ends = np.cumsum(size)
         first, last = at[k + (ends - size) * 4 // 3], at[np.minimum(k - (-ends * 4 // 3), len(run)) - 1]
@@ -270,10 +380,8 @@ def _decoded(layer: Layer, run: str, at: np.ndarray, plus: bool) -> Iterator[Lay
         yield laid(whole, 0)
         return
     for k in sorted({0, *(m.start() for m in _HEADS.finditer(run))}):
-        if _stream(decode(run[k : k + 4])) is not None and (windows := _inflated(data_from(k))) is not None:
-            lo, hi = layer.origin(int(at[k]), int(at[-1]) + 1)
-            for text in (_read(w)[0] for w in windows):
-                yield Layer(text, np.broadcast_to(lo, len(text)), np.broadcast_to(hi, len(text)), layer.within)
+        if _stream(decode(run[k : k + 4])) is not None and (make := _inflated(data_from(k))) is not None:
+            yield from _layers(make, *layer.origin(int(at[k]), int(at[-1]) + 1), layer.within)
             if not k:
                 return
     for k in range(4):
@@ -288,6 +396,9 @@ def _unpacked(layer: Layer) -> Iterator[Layer]:
                 run = m[0]
                 if plus and "_" not in run and "-" not in run:
                     continue
+                if layer.more and m.end() >= len(layer.text) - 2:
+                    yield from _streamed(layer, m, plus, pattern is patterns[1])
+                    continue
                 at = np.arange(m.start(), m.end())
                 if pattern is patterns[1]:
                     at = at[[c not in "\r\n" for c in run]]

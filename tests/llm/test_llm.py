@@ -5,7 +5,10 @@ import bz2
 import gzip
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -350,6 +353,49 @@ def test_compressed_layers_are_read_to_their_end(monkeypatch, pack):
     assert found(bytes(spoiled)) and found(pack(secret + noise(1 << 20))[:-20_000])
 
 
+@pytest.mark.parametrize("filler", [b"a", b"0123456789", b"some words and others, "])
+def test_a_long_layer_is_read_in_bounded_memory(filler):
+    """A layer of 256 MB, most of it one run or spaced words, in a process of its own."""
+    code = f"""
+import base64, resource, sys, time, zlib
+from foliolens.llm import secrets
+c = zlib.compressobj(1, zlib.DEFLATED, 31)
+block = ({filler!r} * (1 << 20))[: 1 << 20]
+parts = [c.compress(b"token=abcdef123456 ")] + [c.compress(block) for _ in range(256)] + [c.compress(b" password: zyxwvu987654"), c.flush()]
+text = "x " + base64.b64encode(b"".join(parts)).decode() + " y"
+start, held = time.process_time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+base, spans, layers, cut = secrets.find(text)
+print(len(spans), cut, round(time.process_time() - start, 1), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    spans, cut, seconds, mb = map(float, done.stdout.split())
+    assert spans >= 1 and cut == 0
+    assert seconds < 40 and mb < 300  # 20 s on a quiet machine
+
+
+def test_a_run_longer_than_a_window_is_decoded_as_a_stream(monkeypatch):
+    """Secrets, nested runs and compressed data inside of runs that fill several windows, at every alignment and near the cuts."""
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 12)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 8)
+
+    def found(data):
+        spans = secrets.find(f"before {b64(gzip.compress(data))} after")[1]
+        return "assign" in secrets.written(spans)
+
+    secret = f" {SECRET} ".encode()
+    rng = np.random.default_rng(3)
+    filler = lambda n: bytes(rng.integers(0, 256, n, dtype=np.uint8))
+    for shift in range(4):
+        for place in (0, 3000, 9001, 20_000, 29_990):
+            body = filler(place) + secret + filler(30_000 - place)
+            assert found(b"word " * 10 + b"A" * shift + base64.b64encode(body) + b" word" * 900), (shift, place)
+    for size in (100, 20_000):
+        packed = gzip.compress(filler(size) + secret + filler(20_000))  # the inner stream ends far behind the window it begins in
+        assert found(b"x " + base64.b64encode(packed) + b" y")
+    wrapped = base64.encodebytes(gzip.compress(filler(20_000) + secret))
+    assert found(b"x\n" + wrapped + b"\ny")
+
+
 MIME = base64.encodebytes(b"f" * 50 + f" {SECRET} ".encode()).decode()
 
 
