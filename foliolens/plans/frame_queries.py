@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from foliolens.functions import stats
 from foliolens.operators import align as AL
+from foliolens.operators import contrastive as C
 from foliolens.operators import dynamics as DY
 from foliolens.operators import frames as FR
 from foliolens.operators import sphere as SP
+from foliolens.operators.pooling import hash_split
 from foliolens.plans import adapters as A
 from foliolens.plans import model_queries as M
 from foliolens.plans.adapters import INVESTORS, KEYS
@@ -239,3 +241,35 @@ def displacement_turnover_test(spark: SparkSession, sf: str) -> DataFrame:
     moved = cached(spark, ("displaced", sf), lambda: displacement_by_rule(spark, sf))
     long = moved.select("year", "turnover", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"disp_{r}").alias("disp")) for r in FR.RULES])).alias("d")).select("year", "turnover", "d.rule", "d.disp")
     return stats.with_p(stats.spearman(long, "turnover", "disp", ["rule", "year"]))
+
+
+#: Steps of contrastive training, each over all books.
+STEPS = 4
+
+
+def _books(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Batches of the books that are trained on, and of the tenth that is held out."""
+    rows = hash_split(C.halves_of(A.positions(spark, sf).where("n_assets_full >= 2"), KEYS, "issuer_id"), "book")
+    return tuple(stored(C.in_batches(rows.where(part).drop("is_train")), "books") for part in ("is_train", "NOT is_train"))
+
+
+def _trained(spark: SparkSession, sf: str) -> list:
+    train, held = _books(spark, sf)
+    tokens = A.token_vectors(spark, sf).withColumnRenamed("issuer_id", "token")
+    before = C.mean_loss(held, tokens)
+    return [before, *C.trained(train, tokens, STEPS, held=held)]
+
+
+@query()
+def contrastive_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss of the books trained on before each step, and of the held-out tenth before all and after each."""
+    before, *steps = _trained(spark, sf)
+    rows = [(0, None, before), *((k, float(loss), held) for k, (_, loss, held) in enumerate(steps, 1))]
+    return spark.createDataFrame(rows, "step int, train_loss double, held_out_loss double")
+
+
+@query()
+def contrastive_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Token vectors after contrastive training on both halves of each book."""
+    *_, (tokens, _, _) = _trained(spark, sf)
+    return tokens.select(F.col("token").alias("issuer_id"), F.col("vec").alias("embedding"))

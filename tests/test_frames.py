@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliolens.functions import stats
-from foliolens.operators import align, dynamics, frames, holdings, pooling, sphere
+from foliolens.operators import align, contrastive, dynamics, frames, holdings, pooling, sphere
+from foliolens.sources import panel_files
 
 D = 4
 
@@ -310,3 +311,68 @@ def test_price_window_reaches_the_scan(spark, tmp_path):
     assert {(r.id, str(r.day)[:10], r.price) for r in got.collect()} == {("x", "2020-03-01", 3.0), ("z", "2020-03-01", 1.0)}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(day,2020-02-10" in plan and "LessThan(day,2020-03-02" in plan
+
+
+def test_database_scan_is_pushed_down_and_partitioned(spark):
+    """A table in the embedded database that comes with Spark: filters and columns reach it, a partition for each predicate."""
+    url, props = "jdbc:derby:memory:foliolens;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(k, f"i{k % 7}", float(k)) for k in range(100)], "ID int, INVESTOR string, MV double")  # upper case, as the database folds names
+    rows.coalesce(1).write.jdbc(url, "holdings", mode="overwrite", properties=props)
+    predicates = panel_files.id_predicates("id", list(range(50)), 20, "mv >= 5")
+    got = panel_files.read_tables(spark, url, "holdings", predicates, props)
+    assert got.rdd.getNumPartitions() == len(predicates) == 3
+    some = got.where("mv < 30").select("id")
+    assert sorted(r[0] for r in some.collect()) == list(range(5, 30))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "JDBCRelation" in line)
+    assert "LessThan(" in scan and "30.0" in scan and "ReadSchema: struct<id:int>" in scan.replace("ID", "id")
+    whole = panel_files.read_tables(spark, url, "holdings", properties=props)
+    assert whole.count() == 100 and whole.rdd.getNumPartitions() == 1
+    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in rows.collect()}
+
+
+def test_contrastive_gradient_equals_finite_differences():
+    rng = np.random.default_rng(0)
+    e, w = rng.normal(size=(30, D)), rng.random(30) + 0.1
+    book, half = np.arange(30) % 5, (np.arange(30) // 5) % 2
+    _, g = contrastive.loss_and_gradient(e, w, book, half, 5)
+    for i, j in [(0, 0), (7, 2), (13, 3), (29, 1)]:
+        values = []
+        for step in (1e-6, -1e-6):
+            x = e.copy()
+            x[i, j] += step
+            values.append(contrastive.loss_and_gradient(x, w, book, half, 5)[0])
+        assert g[i, j] == pytest.approx((values[0] - values[1]) / 2e-6, rel=1e-5, abs=1e-9)
+
+
+def test_rates_rise_and_fall():
+    rates = [contrastive.rate_at(k, 100, 1.0, 10) for k in range(100)]
+    assert rates[0] == 0.1 and rates[9] == 1.0 == max(rates) and rates[10:] == sorted(rates[10:], reverse=True) and rates[-1] < 0.01
+
+
+def test_training_brings_halves_together(spark):
+    """Books of one of four topics, tokens with random vectors: the loss falls, on books held out too, and sums over batches are exact."""
+    rng, rows = np.random.default_rng(5), []
+    for b in range(200):
+        topic = b % 20
+        for k, t in enumerate(rng.choice(12, 8, replace=False)):
+            rows.append((f"b{b}", k % 2, f"t{topic}/{t}", float(rng.random() + 0.5)))
+    books = pooling.hash_split(spark.createDataFrame(rows, "book string, half int, token string, w double"), "book")
+    train, held = (contrastive.in_batches(books.where(p).drop("is_train"), 32).cache() for p in ("is_train", "NOT is_train"))
+    vectors = {t: rng.normal(size=8) for t in sorted({r[2] for r in rows})}
+    tokens = spark.createDataFrame([(t, v.tolist()) for t, v in vectors.items()], "token string, vec array<double>")
+    before = contrastive.mean_loss(held, tokens)
+    steps = list(contrastive.trained(train, tokens, 6, rate=0.1, held=held))
+    assert steps[-1][1] < steps[0][1] and steps[-1][2] < 0.9 * before
+    assert steps[-1][0].count() == len(vectors) and len(steps[-1][0].first().vec) == 8
+    want: dict = {}
+    for r in train.collect():
+        want.setdefault(r.batch, []).append(r)
+    total, n = 0.0, 0
+    for part in want.values():
+        names = sorted({r.book for r in part})
+        loss, _ = contrastive.loss_and_gradient(np.array([vectors[r.token] for r in part]), np.array([r.w for r in part]), np.array([names.index(r.book) for r in part]), np.array([r.half for r in part]), len(names))
+        total, n = total + loss * len(names), n + len(names)
+    assert steps[0][1] == pytest.approx(total / n)
+    alone = spark.createDataFrame([(0, "b", 0, "t0/1", 1.0)], "batch long, book string, half int, token string, w double")
+    assert contrastive.mean_loss(alone, tokens) is None and list(contrastive.trained(alone, tokens, 2)) == []
