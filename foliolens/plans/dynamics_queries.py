@@ -49,12 +49,12 @@ UNION ALL SELECT year, 'confident', count(*), sum(sw)::BIGINT, avg(sw) FROM s WH
 UNION ALL SELECT year, 'stayers', count(*), sum(sw)::BIGINT, avg(sw) FROM s WHERE wt_overlap >= {M.STAYS} GROUP BY year),
 c AS (SELECT year, 1 - sum(coalesce(pf * pt, 0)) AS chance FROM (SELECT year, f AS l, count(*) / sum(count(*)) OVER (PARTITION BY year) AS pf FROM s GROUP BY year, f)
 FULL JOIN (SELECT year, t AS l, count(*) / sum(count(*)) OVER (PARTITION BY year) AS pt FROM s GROUP BY year, t) USING (year, l) GROUP BY year)
-SELECT year, subset, n, switches, round(p, 6) AS rate, round({_WILSON.format("-")}, 6) AS low, round({_WILSON.format("+")}, 6) AS high, round(chance, 6) + 0.0 AS chance FROM r JOIN c USING (year)"""
+SELECT year, subset, n, switches, round(p, 6) AS rate, round({_WILSON.format("-")}, 6) + 0.0 AS low, round({_WILSON.format("+")}, 6) AS high, round(chance, 6) + 0.0 AS chance FROM r JOIN c USING (year)"""
 )
 def fixed_classifier_rates(spark: SparkSession, sf: str) -> DataFrame:
     sure = (F.col("max_post_from") >= CONFIG.confident) & (F.col("max_post_to") >= CONFIG.confident)
     r = DY.switch_rates(fixed_steps(spark, sf), {"confident": sure, "stayers": F.col("wt_overlap") >= M.STAYS})
-    return r.select("year", "subset", "n", "switches", *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")], (F.round("chance", 6) + F.lit(0.0)).alias("chance"))
+    return r.select("year", "subset", "n", "switches", F.round("rate", 6).alias("rate"), (F.round("low", 6) + F.lit(0.0)).alias("low"), F.round("high", 6).alias("high"), (F.round("chance", 6) + F.lit(0.0)).alias("chance"))
 
 
 @query(

@@ -201,7 +201,7 @@ def _rates_sql(where: str, name: str) -> str:
 @query(
     f"""WITH {POS}, {_OV}, {_STEPS}, s AS (SELECT * FROM steps JOIN ov USING (investor_id, year)), r AS ({_rates_sql("true", "all")} UNION ALL {_rates_sql(f"wt_overlap >= {STAYS}", "stayers")}),
 c AS (SELECT year, 1 - sum(pf * pt) AS chance FROM (SELECT year, f AS l, count(*) / sum(count(*)) OVER (PARTITION BY year) AS pf FROM s GROUP BY year, f) JOIN (SELECT year, t AS l, count(*) / sum(count(*)) OVER (PARTITION BY year) AS pt FROM s GROUP BY year, t) USING (year, l) GROUP BY year)
-SELECT year, subset, n, switches, round(p, 6) AS rate, round((p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 / (1 + 3.8416 / n) * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)), 6) AS low,
+SELECT year, subset, n, switches, round(p, 6) AS rate, round((p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 / (1 + 3.8416 / n) * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)), 6) + 0.0 AS low,
 round((p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 / (1 + 3.8416 / n) * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)), 6) AS high, round(chance, 6) AS chance FROM r JOIN c USING (year)"""
 )
 def switch_rates(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,7 +212,7 @@ def switch_rates(spark: SparkSession, sf: str) -> DataFrame:
     margin = lambda c, p: s.groupBy("year", F.col(c).alias("l")).agg(F.count(F.lit(1)).alias("k")).select("year", "l", (F.col("k") / F.sum("k").over(by)).alias(p))
     chance = margin("f", "pf").join(margin("t", "pt"), ["year", "l"]).groupBy("year").agg((1 - F.sum(F.col("pf") * F.col("pt"))).alias("chance"))
     low, high = stats.wilson(F.col("switches"), F.col("n"))
-    return r.join(chance, "year").select("year", "subset", "n", "switches", F.round(F.col("switches") / F.col("n"), 6).alias("rate"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), F.round("chance", 6).alias("chance"))
+    return r.join(chance, "year").select("year", "subset", "n", "switches", F.round(F.col("switches") / F.col("n"), 6).alias("rate"), (F.round(low, 6) + F.lit(0.0)).alias("low"), F.round(high, 6).alias("high"), F.round("chance", 6).alias("chance"))
 
 
 @query(
