@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolens.sources.durable import stored
@@ -40,29 +40,50 @@ def latest_report(df: DataFrame, keys: list[str], date_col: str, ties: list) ->
 
 
 def not_concentrated(df: DataFrame, keys: list[str], value: str = "mv", most: float = 0.75) -> DataFrame:
-    """Groups whose largest position is at most `most` of the whole, by a join with one row for each group."""
-    kept = df.groupBy(*keys).agg((F.max(value) / F.sum(value)).alias("share")).where(F.col("share") <= most).select(*keys)
-    return df.join(kept, keys, "left_semi")
+    """Groups whose largest position is at most `most` of the whole; a table that is dealt by the keys is not dealt again."""
+    book = Window.partitionBy(*keys)
+    rows = df.dropna(subset=keys).withColumn("__share", F.max(value).over(book) / F.sum(value).over(book))
+    return rows.where(F.col("__share") <= most).drop("__share")
+
 
+#: Nodes that go at once and are still broadcast to the edges.
+SENT = 500_000
 
-def _at_least(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    kept = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n).select(*keys)
-    return df.join(kept, keys, "left_semi")
+
+def _matching(edges: DataFrame, nodes: DataFrame, keys: list[str], rows: int, how: str) -> DataFrame:
+    return edges.join(F.broadcast(nodes.select(*keys)) if rows <= SENT else nodes.select(*keys), keys, how)
 
 
 def core(df: DataFrame, period: str = "period", investor: str = "investor_id", issuer: str = "issuer_id", min_issuers: int = 20, min_investors: int = 20) -> DataFrame:
     """The largest part of the bipartite graph in which each side keeps its least degree, all periods at once.
 
-    Each round counts degrees with partial aggregation and drops by semi joins; rounds are written to the shared
-    folder and end when no row goes.
+    Edges are dealt by book (investor and period) and stored once; a table that is dealt so already is not dealt again. Rounds hold
+    the degrees of the nodes only: nodes that go are looked up in the edges, and the edges found there lower the degrees of
+    their other ends, so that each edge is shuffled at most once from either end. It ends when no node goes; the edges of
+    all nodes that went are then left out in one pass.
     """
-    df = stored(df, "core")
-    n = df.count()
-    while True:
-        df = stored(_at_least(_at_least(df, [investor, period], min_issuers), [issuer, period], min_investors), "core")
-        if (m := df.count()) == n:
-            return df
-        n = m
+    book, other, n = [investor, period], [issuer, period], F.col("__n")
+    df = df.dropna(subset=[investor, issuer, period])
+    edges = stored(df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*book))).where(n >= min_issuers).drop("__n"), "edges")
+    degrees = {tuple(k): stored(edges.groupBy(*k).agg(F.count(F.lit(1)).alias("__n")), "degrees") for k in (book, other)}
+    gone: dict[tuple, list[tuple[DataFrame, int]]] = {tuple(book): [], tuple(other): []}
+    side, far, least, far_least = other, book, min_investors, min_issuers
+    while rows := (out := degrees[tuple(side)].where(n < least)).count():
+        gone[tuple(side)].append((out, rows))
+        lost = _matching(edges, out, side, rows, "left_semi").groupBy(*far).agg(F.count(F.lit(1)).alias("__lost"))
+        left = degrees[tuple(far)].where(n >= far_least).join(lost, far, "left")  # those that went before are not counted again
+        degrees[tuple(far)] = stored(left.select(*far, (n - F.coalesce("__lost", F.lit(0))).alias("__n")), "degrees")
+        side, far, least, far_least = far, side, far_least, least
+    if not any(gone.values()):
+        return edges
+    for keys in (other, book):
+        parts = gone[tuple(keys)]
+        if parts:
+            every = parts[0][0]
+            for part, _ in parts[1:]:
+                every = every.unionByName(part)
+            edges = _matching(edges, every, keys, sum(k for _, k in parts), "left_anti")
+    return stored(edges.select(*df.columns), "core")
 
 
 def positions(df: DataFrame, keys: list[str], context: int = 62) -> DataFrame:
@@ -82,12 +103,20 @@ def sequences(pos: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "chunk_id", F.col("items.issuer_id").alias("tokens"), F.col("items.w").alias("weights"), F.size("items").alias("n_tokens"), "n_assets_full")
 
 
+def _in_slice(context: int) -> Column:
+    return (F.col("chunk_id") <= 2) & (F.col("rank") <= context)
+
+
+def slice_weights(pos: DataFrame, keys: list[str], context: int = 62) -> DataFrame:
+    """pos with the weights of each book's first positions renormalised within that slice (uniform if they sum to nothing); others have none."""
+    book, inside = Window.partitionBy(*keys), _in_slice(context)
+    total, n = F.sum(F.when(inside, F.col("w"))).over(book), F.count(F.when(inside, 1)).over(book)
+    return pos.withColumn("pw", F.when(inside, F.when(total > 0, F.col("w") / total).otherwise(1.0 / n)))
+
+
 def top_slice(pos: DataFrame, keys: list[str], context: int = 62) -> DataFrame:
-    """The first positions of each book with weights renormalised within the slice (uniform if they sum to nothing)."""
-    top = pos.where((F.col("chunk_id") <= 2) & (F.col("rank") <= context))
-    total = F.sum("w").over(Window.partitionBy(*keys))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return top.withColumn("pw", F.when(total > 0, F.col("w") / total).otherwise(1.0 / n))
+    """The first positions of each book with slice_weights, which pos may have already."""
+    return (pos if "pw" in pos.columns else slice_weights(pos, keys, context)).where(_in_slice(context))
 
 
 def joined_books(seq: DataFrame, keys: list[str]) -> DataFrame:

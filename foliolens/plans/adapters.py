@@ -52,7 +52,8 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
 def holdings(spark: SparkSession, sf: str, unit: str = "year") -> DataFrame:
     d = F.col("report_date")
     period = F.year(d) if unit == "year" else F.last_day(F.add_months(F.date_trunc("quarter", d).cast("date"), 2))
-    return H.aggregate_holdings(raw(spark, sf).withColumn("period", period), ["investor_id", "issuer_id", "period"])
+    rows = raw(spark, sf).where("mv > 0").select("investor_id", "issuer_id", period.alias("period"), "mv")
+    return H.aggregate_holdings(rows.repartition(*KEYS), ["investor_id", "issuer_id", "period"])  # dealt by book once, for the sums and all that follows
 
 
 def panel(spark: SparkSession, sf: str, unit: str = "year") -> DataFrame:
@@ -61,7 +62,7 @@ def panel(spark: SparkSession, sf: str, unit: str = "year") -> DataFrame:
 
 
 def positions(spark: SparkSession, sf: str, unit: str = "year") -> DataFrame:
-    return cached(spark, ("positions", sf, unit), lambda: H.positions(panel(spark, sf, unit), KEYS, CONTEXT))
+    return cached(spark, ("positions", sf, unit), lambda: H.slice_weights(H.positions(panel(spark, sf, unit), KEYS, CONTEXT), KEYS, CONTEXT))
 
 
 def slices(spark: SparkSession, sf: str) -> DataFrame:
