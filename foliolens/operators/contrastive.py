@@ -1,7 +1,7 @@
 """Contrastive training of token vectors: the two halves of a book shall be nearer to one another than to other books'.
 
-A round takes all batches at once. Each batch of books (some thousand rows of token vectors) is a group: it pools its halves, takes the
-symmetric InfoNCE loss and carries its gradient back to the tokens, summed by token in the batch and then in the shuffle. The
+A round takes all batches at once. Each batch of books (some thousand rows of token vectors) pools its halves, takes the
+symmetric InfoNCE loss and carries its gradient back to the tokens, summed by token over a pack of batches and then in the shuffle. The
 update (Adam with decoupled weight decay, warm-up, cosine decay, a clipped gradient) is an expression over the token table, which is stored each round.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolens.operators.pooling import BATCH, batched
+from foliolens.operators.pooling import BATCH, asked, batched, group_codes, matrix_of, meeting, packed, places
 from foliolens.sources.durable import stored
 
 
@@ -46,29 +46,48 @@ def loss_and_gradient(e: np.ndarray, w: np.ndarray, book: np.ndarray, half: np.n
 _GRADIENT = pa.schema([("token", pa.string()), ("g", pa.list_(pa.float64())), ("loss", pa.float64()), ("n", pa.int64())])
 
 
-def gradients(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """token, g, loss, n: what each batch adds to its tokens' gradients; one row of a batch has its loss times its books, and their number.
-    rows: batch, book, half, token, w; tokens: token, vec."""
+#: Rows that one task takes, at most: it holds its tokens' vectors and their gradients as doubles.
+PACK = 1_000_000
 
-    def one(table: pa.Table) -> pa.Table:
-        book = np.unique(np.array(table.column("book").to_pylist(), dtype=object), return_inverse=True)[1]
-        half = table.column("half").to_numpy().astype(np.int64)
-        both = np.isin(book, np.intersect1d(book[half == 0], book[half == 1]))  # a half without known tokens pairs with nothing
-        table, half = table.filter(pa.array(both)), half[both]
-        if not table.num_rows:
+
+def gradients(rows: DataFrame, tokens: DataFrame, wanted: DataFrame | None = None, loss_only: bool = False) -> DataFrame:
+    """token, g, loss, n: what each pack of batches adds to its tokens' gradients; one row of a pack has the losses of its batches times
+    their books, and the number of books. rows: batch, book, half, token, w, perhaps pack; tokens: token, vec; wanted: `asked(rows, "token")`, if stored.
+
+    A token's vector goes once to each pack that holds it, and its gradient comes back once from there.
+    """
+    rows = rows if "pack" in rows.columns else packed(rows, ["batch"], PACK)
+
+    def one(table: pa.Table, vectors: pa.Table) -> pa.Table:
+        at = places(table, vectors, "token")
+        table, at = table.filter(pa.array(at >= 0)), at[at >= 0]
+        if not len(at):
+            return _GRADIENT.empty_table()
+        x, w = matrix_of(vectors.column("vec"), vectors.num_rows).astype(float), table.column("w").to_numpy()
+        book, half = group_codes(table, ["batch", "book"]), table.column("half").to_numpy().astype(np.int64)
+        halves = np.zeros((int(book.max()) + 1, 2), dtype=bool)
+        halves[book, half] = True
+        both = halves.all(axis=1)[book]  # a half without known tokens pairs with nothing
+        batch = table.column("batch").to_numpy()
+        order = np.flatnonzero(both)[np.argsort(batch[both], kind="stable")]
+        total, used, loss, books = np.zeros_like(x), np.zeros(len(x), dtype=bool), 0.0, 0
+        for part in np.split(order, np.flatnonzero(np.diff(batch[order])) + 1):
+            if len(part):
+                own = np.unique(book[part], return_inverse=True)[1]
+                n = int(own.max()) + 1
+                l, g = loss_and_gradient(x[at[part]], w[part], own, half[part], n)
+                np.add.at(total, at[part], g * n)
+                used[at[part]] = True
+                loss, books = loss + l * n, books + n
+        some = np.flatnonzero(used)
+        if not len(some):
             return _GRADIENT.empty_table()
-        book = np.unique(book[both], return_inverse=True)[1]
-        e = np.asarray(table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(table.num_rows, -1)
-        n = int(book.max()) + 1
-        loss, g = loss_and_gradient(e, table.column("w").to_numpy(), book, half, n)
-        names, at = np.unique(np.array(table.column("token").to_pylist(), dtype=object), return_inverse=True)
-        total = np.zeros((len(names), e.shape[1]))
-        np.add.at(total, at, g * n)
-        first = np.zeros(len(names))
-        first[0] = 1
-        return pa.table([pa.array(names.tolist(), type=pa.string()), pa.array(list(total)), pa.array(first * loss * n), pa.array((first * n).astype(np.int64))], schema=_GRADIENT)
+        some = some[:1] if loss_only else some
+        first = np.arange(len(some)) == 0
+        return pa.table([vectors.column("token").take(pa.array(some)), pa.array(list(total[some])), pa.array(first * loss), pa.array(first * books)], schema=_GRADIENT)
 
-    return rows.join(tokens.select("token", "vec"), "token").groupBy("batch").applyInArrow(one, "token string, g array<double>, loss double, n long")
+    vectors = (asked(rows, "token") if wanted is None else wanted).join(tokens.select("token", "vec").where("vec IS NOT NULL"), "token")
+    return meeting(rows, vectors, one, "token string, g array<double>, loss double, n long")
 
 
 def rate_at(step: int, steps: int, base: float, warm: int) -> float:
@@ -77,7 +96,7 @@ def rate_at(step: int, steps: int, base: float, warm: int) -> float:
 
 
 def mean_loss(rows: DataFrame, tokens: DataFrame) -> float | None:
-    return gradients(rows, tokens).agg(F.sum("loss") / F.sum("n")).first()[0]
+    return gradients(rows, tokens, loss_only=True).agg(F.sum("loss") / F.sum("n")).first()[0]
 
 
 def halves_of(positions: DataFrame, keys: list[str], item: str, weight: str = "w", rank: str = "rank", most: int = 124) -> DataFrame:
@@ -87,9 +106,9 @@ def halves_of(positions: DataFrame, keys: list[str], item: str, weight: str = "w
 
 
 def in_batches(rows: DataFrame, size: int = BATCH) -> DataFrame:
-    """rows of books dealt into batches of about `size` books by hash."""
+    """rows of books dealt into batches of about `size` books by hash, and the batches into packs."""
     books = batched(rows.select("book").distinct().withColumn("all", F.lit(0)), "all", "book", size).select("book", "batch")
-    return rows.join(books, "book")
+    return packed(rows.join(books, "book"), ["batch"], PACK)
 
 
 def trained(rows: DataFrame, tokens: DataFrame, steps: int = 10, rate: float = 0.02, warm_share: float = 0.1, decay: float = 0.01, most: float = 1.0, held: DataFrame | None = None) -> Iterator[tuple[DataFrame, float, float | None]]:
@@ -97,16 +116,19 @@ def trained(rows: DataFrame, tokens: DataFrame, steps: int = 10, rate: float = 0
     state = tokens.select("token", F.col("vec").cast("array<double>").alias("vec"))
     zero = F.transform("vec", lambda _: F.lit(0.0))
     state = stored(state.withColumns({"m": zero, "v": zero}), "tokens")
-    for k in range(steps):
-        parts = stored(gradients(rows, state), "gradients")
-        d = len(state.select("vec").first()[0])
-        loss, n = parts.agg(F.sum("loss"), F.sum("n")).first()
+    first = state.select("vec").first()
+    rows = rows if "pack" in rows.columns else packed(rows, ["batch"], PACK)
+    wanted = stored(asked(rows, "token"), "asked")
+    for k in range(steps if first else 0):
+        parts = gradients(rows, state, wanted)
+        sums = F.array(*[F.sum(F.get("g", j)) for j in range(len(first[0]))])
+        g = stored(parts.groupBy("token").agg(sums.alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n")), "gradient")
+        loss, n, square = g.agg(F.sum("loss"), F.sum("n"), F.sum(F.aggregate("g", F.lit(0.0), lambda a, x: a + x * x))).first()
         if not n:
             return
-        g = stored(parts.groupBy("token").agg(F.array(*[F.sum(F.get("g", j)) / F.lit(float(n)) for j in range(d)]).alias("g")), "gradient")
-        norm = math.sqrt(g.agg(F.sum(F.aggregate("g", F.lit(0.0), lambda a, x: a + x * x))).first()[0])
+        norm = math.sqrt(square) / n
         shrink, now = min(1.0, most / max(norm, 1e-12)), rate_at(k, steps, rate, max(1, round(warm_share * steps)))
-        new = state.join(g, "token", "left").withColumn("g", F.coalesce(F.transform("g", lambda x: x * shrink), F.transform("vec", lambda _: F.lit(0.0))))
+        new = state.join(g.select("token", "g"), "token", "left").withColumn("g", F.coalesce(F.transform("g", lambda x: x / float(n) * shrink), F.transform("vec", lambda _: F.lit(0.0))))
         new = new.withColumns({"m": F.zip_with("m", "g", lambda m, x: 0.9 * m + 0.1 * x), "v": F.zip_with("v", "g", lambda v, x: 0.999 * v + 0.001 * x * x)})
         step = F.zip_with("m", "v", lambda m, v: m / (1 - 0.9 ** (k + 1)) / (F.sqrt(v / (1 - 0.999 ** (k + 1))) + 1e-8))
         state = stored(new.select("token", F.zip_with("vec", step, lambda x, s: x * (1 - now * decay) - now * s).alias("vec"), "m", "v"), "tokens")

@@ -86,7 +86,7 @@ def issuers(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").cast("string").alias("issuer_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return e.select(F.col("vec_id").cast("string").alias("issuer_id"), F.col("embedding").alias("vec"))  # summed as doubles
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:

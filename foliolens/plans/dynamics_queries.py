@@ -180,7 +180,7 @@ def noise_floor(spark: SparkSession, sf: str) -> DataFrame:
     unweighted vectors of the last year stand in for a second model's."""
     y = M.yearly(spark, sf)
     last = y.agg(F.max("period")).first()[0]
-    other = P.pooled(M.token_positions(spark, sf).where(F.col("period") == last), KEYS)
+    other = P.pooled_tokens(A.slices(spark, sf).where(F.col("period") == last), A.token_vectors(spark, sf), KEYS)
     first = y.where(F.col("period") == last)
     _, d = AL.noise_floor(first, other, "investor_id")
     q = stats.quantiles(stored(d, "noise"), "displacement", [0.25, 0.5, 0.75, 0.9])

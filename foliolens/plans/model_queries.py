@@ -35,13 +35,9 @@ _MU = f"mu AS (SELECT vec_id AS k, unnest(embedding)::DOUBLE AS m, generate_subs
 _LD = f"""ld AS (SELECT investor_id, period, k, 63 * (ln(1 - {RHO_FIXED} * {RHO_FIXED}) - ln(1 + {RHO_FIXED} * {RHO_FIXED} - 2 * {RHO_FIXED} * sum(x * m))) AS l FROM pu JOIN mu USING (i) GROUP BY ALL)"""
 
 
-def token_positions(spark: SparkSession, sf: str) -> DataFrame:
-    return A.slices(spark, sf).join(A.token_vectors(spark, sf), "issuer_id")
-
-
 def yearly(spark: SparkSession, sf: str) -> DataFrame:
     """One unit vector for each investor and year, by weighted pooling."""
-    return cached(spark, ("yearly", sf), lambda: P.pooled(token_positions(spark, sf), KEYS, weight="pw"))
+    return cached(spark, ("yearly", sf), lambda: P.pooled_tokens(A.slices(spark, sf), A.token_vectors(spark, sf), KEYS, weight="pw"))
 
 
 def overlaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,7 +88,7 @@ def weighted_pooling(spark: SparkSession, sf: str) -> DataFrame:
 SELECT investor_id, period, i::INT AS i, round(s / sqrt(sum(s * s) OVER (PARTITION BY investor_id, period)), 4) + 0.0 AS x FROM mv"""
 )
 def mean_pooling(spark: SparkSession, sf: str) -> DataFrame:
-    return _long(P.pooled(token_positions(spark, sf), KEYS))
+    return _long(P.pooled_tokens(A.slices(spark, sf), A.token_vectors(spark, sf), KEYS))
 
 
 @query(
@@ -101,7 +97,7 @@ q AS (SELECT investor_id, period, chunk_id, sum(w) AS mass FROM pos GROUP BY ALL
 SELECT investor_id, period, i::INT AS i, round(s / sqrt(sum(s * s) OVER (PARTITION BY investor_id, period)), 4) + 0.0 AS x FROM s"""
 )
 def all_chunks_pooling(spark: SparkSession, sf: str) -> DataFrame:
-    return _long(P.all_chunks(A.positions(spark, sf).join(A.token_vectors(spark, sf), "issuer_id"), KEYS))
+    return _long(P.pooled_tokens(A.positions(spark, sf), A.token_vectors(spark, sf), KEYS, weight="w", chunk="chunk_id"))
 
 
 @query(f"WITH {_VEC}, {_DISP} SELECT investor_id, year, round(1 - disp, 6) AS cos FROM dsp")
@@ -139,8 +135,8 @@ l AS (SELECT period, p AS r, ln(sum(z)) - ln(max(z) FILTER (p = q)) AS l FROM sc
 SELECT period, round(avg(l), 6) AS loss, (count(*) / 2)::BIGINT AS n FROM l GROUP BY period"""
 )
 def infonce_loss(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.positions(spark, sf).where("rank <= 124 AND n_assets_full >= 2").join(A.token_vectors(spark, sf), "issuer_id").withColumn("half", F.col("rank") % 2)
-    h = P.pooled(rows, [*KEYS, "half"], weight="w")
+    rows = A.positions(spark, sf).where("rank <= 124 AND n_assets_full >= 2").withColumn("half", F.col("rank") % 2)
+    h = stored(P.pooled_tokens(rows, A.token_vectors(spark, sf), [*KEYS, "half"], weight="w"), "halves")
     pairs = h.where("half = 1").select(*KEYS, F.col("embedding").alias("a")).join(h.where("half = 0").select(*KEYS, F.col("embedding").alias("b")), KEYS)
     pairs = P.batched(pairs, "period", "investor_id").withColumn("batch", F.struct("period", "batch"))
     each = P.info_nce(pairs, "batch", "investor_id", "a", "b")

@@ -2,6 +2,10 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from foliolens.operators import contrastive, pooling
 from foliolens.operators import holdings as H
 
 
@@ -13,7 +17,7 @@ def stage_sums(spark, run) -> dict[str, int]:
     def total() -> dict[str, int]:
         stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
         found = [stages.apply(i) for i in range(stages.size())]
-        return {"records": sum(x.shuffleWriteRecords() for x in found), "bytes": sum(x.shuffleWriteBytes() + x.outputBytes() for x in found)}
+        return {"records": sum(x.shuffleWriteRecords() + x.outputRecords() for x in found), "bytes": sum(x.shuffleWriteBytes() + x.outputBytes() for x in found)}
 
     before = total()
     run()
@@ -40,7 +44,7 @@ def test_rounds_of_the_core_do_not_shuffle_all_edges(spark):
     got = []
     sums = stage_sums(spark, lambda: got.extend(H.core(df, min_issuers=2, min_investors=2).collect()))
     assert {(r.investor_id, r.issuer_id, r.period) for r in got} == pruned(set(edges), 2, 2) == set(edges[:3600])
-    assert sums["records"] < 3 * len(edges)
+    assert sums["records"] < 5 * len(edges)
 
 
 def test_core_is_the_pruned_graph(spark):
@@ -51,3 +55,37 @@ def test_core_is_the_pruned_graph(spark):
     for least in ((6, 7), (7, 8), (30, 30)):
         got = H.core(df, min_issuers=least[0], min_investors=least[1]).collect()
         assert len(got) == len({tuple(r) for r in got}) and {(r.investor_id, r.issuer_id, r.period) for r in got} == pruned(edges, *least)
+
+
+def books(spark, n: int = 120, tokens: int = 40, d: int = 6):
+    """Rows of books dealt into chunks and halves, some of unknown tokens and without positive weights, and token vectors."""
+    draw = random.Random(5)
+    rows = [(f"b{b}", b % 3, f"t{t}", k % 2, k // 4, draw.choice([None, -1.0, 0.0, 0.5, 2.0]) if b % 7 else 0.0, b % 20) for b in range(n) for k, t in enumerate(draw.sample(range(tokens + 3), 12))]
+    df = spark.createDataFrame(rows, "book string, period int, token string, half int, chunk_id int, w double, batch long")
+    return df, spark.createDataFrame([(f"t{t}", [draw.gauss(0, 1) for _ in range(d)]) for t in range(tokens)], "token string, vec array<float>")
+
+
+def test_books_that_meet_their_tokens_in_packs_are_pooled_alike(spark):
+    rows, tokens = books(spark)
+    wide, keys = rows.join(tokens, "token"), ["book", "period"]
+
+    def vectors(df):
+        return {(r.book, r.period): pytest.approx(list(r.embedding)) for r in df.collect()}
+
+    pooled = lambda **more: vectors(pooling.pooled_tokens(rows, tokens, keys, "token", **more))
+    got = {k: list(v.expected) for k, v in pooled(weight="w").items()}
+    assert len(got) == 120 and got == vectors(pooling.pooled(wide, keys, weight="w", d=6))
+    assert {k: v.expected for k, v in pooled(weight="w", rows_at_once=5).items()} == vectors(pooling.pooled(wide, keys, weight="w", d=6))
+    assert {k: v.expected for k, v in pooled().items()} == vectors(pooling.pooled(wide, keys, d=6))
+    chunks = rows.withColumn("w", F.lit(1.5) + F.col("chunk_id"))
+    got = vectors(pooling.pooled_tokens(chunks, tokens, keys, "token", weight="w", chunk="chunk_id"))
+    assert {k: v.expected for k, v in got.items()} == vectors(pooling.all_chunks(chunks.join(tokens, "token"), keys, d=6))
+    assert not pooling.pooled_tokens(rows.where("book = 'none'"), tokens, keys, "token").count() and not pooling.pooled_tokens(rows, tokens.limit(0), keys, "token").count()
+
+
+def test_gradients_come_back_once_for_each_token_and_pack(spark):
+    rows, tokens = books(spark)
+    rows = rows.withColumn("w", F.lit(1.0))
+    assert contrastive.gradients(rows, tokens).count() == 40  # of 20 batches, each with most tokens
+    assert contrastive.gradients(rows, tokens, loss_only=True).count() == 1
+    assert pooling.asked(pooling.packed(rows, ["batch"], 500), "token").count() <= 43 * 3
