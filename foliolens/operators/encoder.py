@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliolens.functions.sequences import CONTEXT, chunks
+from foliolens.sources.durable import stored
 
 
 class TokenEncoder(Protocol):
@@ -27,18 +28,26 @@ class TableEncoder:
 
 
 class Word2VecEncoder:
-    """Vectors trained on token order, in place of the small transformer of the original pipeline."""
+    """Vectors trained on token order, in place of the small transformer of the original pipeline.
 
-    def __init__(self, d: int = 64, min_count: int = 1, rounds: int = 1, window: int = 5, seed: int = 42):
+    Tasks of about per_task sequences, no more than there are cores, train from the same start in each round; a token's vectors are averaged.
+    """
+
+    def __init__(self, d: int = 64, min_count: int = 1, rounds: int = 1, window: int = 5, seed: int = 42, per_task: int = 5_000):
+        self.per_task = per_task
         self.settings = {"vectorSize": d, "minCount": min_count, "maxIter": rounds, "windowSize": window, "seed": seed}
 
     def vectors(self, sequences: DataFrame) -> DataFrame:
         from pyspark.ml.feature import Word2Vec
         from pyspark.ml.functions import vector_to_array
 
-        model = Word2Vec(inputCol="tokens", outputCol="v", **self.settings).fit(sequences.select(real_tokens(F.col("tokens")).alias("tokens")))
+        rows = stored(sequences.select(real_tokens(F.col("tokens")).alias("tokens")), "sentences")
+        model = Word2Vec(inputCol="tokens", outputCol="v", numPartitions=self.tasks(rows.count(), rows.sparkSession.sparkContext.defaultParallelism), **self.settings).fit(rows)
         return model.getVectors().select(F.col("word").alias("issuer_id"), vector_to_array("vector").alias("vec"))
 
+    def tasks(self, sequences: int, cores: int) -> int:
+        return max(1, min(cores, sequences // self.per_task))
+
 
 def real_tokens(tokens: Column) -> Column:
     """Tokens without the special ones, which begin with a bracket."""

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliolens.operators import contrastive, pooling
+from foliolens.operators import contrastive, encoder, pooling
 from foliolens.operators import holdings as H
 
 
@@ -89,3 +89,11 @@ def test_gradients_come_back_once_for_each_token_and_pack(spark):
     assert contrastive.gradients(rows, tokens).count() == 40  # of 20 batches, each with most tokens
     assert contrastive.gradients(rows, tokens, loss_only=True).count() == 1
     assert pooling.asked(pooling.packed(rows, ["batch"], 500), "token").count() <= 43 * 3
+
+
+def test_word2vec_trains_in_several_tasks(spark):
+    rows = spark.createDataFrame([([f"t{(i + k) % 30}" for k in range(6)],) for i in range(200)], "tokens array<string>")
+    e = encoder.Word2VecEncoder(d=4, per_task=40)
+    assert [e.tasks(n, 8) for n in (0, 39, 80, 200, 10_000)] == [1, 1, 2, 5, 8]
+    got = e.vectors(rows).collect()
+    assert len(got) == 30 and all(len(r.vec) == 4 and any(r.vec) for r in got)
