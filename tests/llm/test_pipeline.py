@@ -101,3 +101,13 @@ def test_stages_of_hard_rows(spark):
 def test_stages_of_an_empty_table(spark, name):
     empty = spark.createDataFrame([], SCHEMA)
     assert dict(corpus_pipeline.STAGES)[name](spark, empty, SF).count() == 0
+
+
+def test_fingerprints_within_two_bits_are_candidates(spark):
+    from foliolens.llm import neardup
+
+    prints = {1: 0, 2: 1, 3: 3 << 40, 4: 0, 5: 0x0F0F0F0F0F0F0F0F, 6: (1 << 63) - 1, 7: -1}
+    rows = [(c, fp, 100, [0] * neardup.STRIPES) for c, fp in prints.items()] + [(8, 1, 300, [0] * neardup.STRIPES)]
+    classes = spark.createDataFrame(rows, "class long, fp long, n long, parity array<long>")
+    pairs = {(r.u, r.v) for r in neardup._print_pairs(classes, 0.8).collect()}
+    assert {(1, 2), (1, 3), (1, 4), (6, 7)} == pairs
