@@ -114,6 +114,30 @@ def slice_weights(pos: DataFrame, keys: list[str], context: int = 62) -> DataFra
     return pos.withColumn("pw", F.when(inside, F.when(total > 0, F.col("w") / total).otherwise(1.0 / n)))
 
 
+def totalled(df: DataFrame, keys: list[str], context: int = 62) -> DataFrame:
+    """df with the size of the book and the rank of each position, and what `weighed` makes all weights of: the book's sum, and the weight and
+    the number of its first positions. Sums are the same all over a book, so that they take hardly any room in a sorted file."""
+    from foliolens.functions.sequences import chunk_of
+
+    book = Window.partitionBy(*keys)
+    out = df.withColumns({"__book": F.sum("mv").over(book), "n_assets_full": F.count(F.lit(1)).over(book).cast("int")})
+    out = out.withColumn("rank", F.row_number().over(book.orderBy(F.col("mv").desc(), "issuer_id")).cast("int"))
+    out = out.withColumn("chunk_id", chunk_of(F.col("rank"), F.col("n_assets_full"), context))
+    inside = _in_slice(context)
+    sums = {"__slice": F.sum(F.when(inside, F.col("mv") / F.col("__book"))).over(book), "__places": F.count(F.when(inside, 1)).over(book)}
+    return out.withColumns(sums).drop("chunk_id")
+
+
+def weighed(rows: DataFrame, context: int = 62) -> DataFrame:
+    """rows of `totalled` with `positions`' and `slice_weights`' columns."""
+    from foliolens.functions.sequences import chunk_of
+
+    out = rows.withColumns({"w": F.col("mv") / F.col("__book"), "chunk_id": chunk_of(F.col("rank"), F.col("n_assets_full"), context)})
+    out = out.withColumn("pw", F.when(_in_slice(context), F.when(F.col("__slice") > 0, F.col("w") / F.col("__slice")).otherwise(1.0 / F.col("__places"))))
+    kept = [c for c in rows.columns if c not in ("__book", "__slice", "__places", "n_assets_full", "rank")]
+    return out.select(*kept, "w", "n_assets_full", "rank", "chunk_id", "pw")
+
+
 def top_slice(pos: DataFrame, keys: list[str], context: int = 62) -> DataFrame:
     """The first positions of each book with slice_weights, which pos may have already."""
     return (pos if "pw" in pos.columns else slice_weights(pos, keys, context)).where(_in_slice(context))

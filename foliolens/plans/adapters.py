@@ -62,7 +62,7 @@ def panel(spark: SparkSession, sf: str, unit: str = "year") -> DataFrame:
 
 
 def positions(spark: SparkSession, sf: str, unit: str = "year") -> DataFrame:
-    return cached(spark, ("positions", sf, unit), lambda: H.slice_weights(H.positions(panel(spark, sf, unit), KEYS, CONTEXT), KEYS, CONTEXT))
+    return H.weighed(cached(spark, ("positions", sf, unit), lambda: H.totalled(panel(spark, sf, unit), KEYS, CONTEXT)), CONTEXT)
 
 
 def slices(spark: SparkSession, sf: str) -> DataFrame:

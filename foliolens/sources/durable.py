@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+import weakref
 import zlib
 from collections.abc import Callable
 
@@ -22,10 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_STORED: weakref.WeakSet = weakref.WeakSet()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED.add(found)
+    return found
 
 
 _NAMED: dict[tuple, DataFrame] = {}
@@ -45,10 +51,12 @@ def input_state(spark: SparkSession, path: str) -> int:
 
 
 def cached(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """A stored table, made once for each application, key and state of its input; key: a name, the input's folder, and more."""
+    """A stored table, made once for each application, key and state of its input; key: a name, the input's folder, and more. What make()
+    has stored itself is not written again."""
     held = (spark.sparkContext.applicationId, *key, input_state(spark, key[1]))
     if held not in _NAMED:
-        _NAMED[held] = stored(make(), "-".join(str(k).split("/")[-1] for k in key))
+        made = make()
+        _NAMED[held] = made if made in _STORED else stored(made, "-".join(str(k).split("/")[-1] for k in key))
     return _NAMED[held]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliolens.operators import contrastive, encoder, pooling
 from foliolens.operators import holdings as H
+from foliolens.sources import durable
 
 
 def stage_sums(spark, run) -> dict[str, int]:
@@ -97,3 +98,38 @@ def test_word2vec_trains_in_several_tasks(spark):
     assert [e.tasks(n, 8) for n in (0, 39, 80, 200, 10_000)] == [1, 1, 2, 5, 8]
     got = e.vectors(rows).collect()
     assert len(got) == 30 and all(len(r.vec) == 4 and any(r.vec) for r in got)
+
+
+def test_tokens_that_all_packs_hold_are_sent_without_being_asked_for(spark, monkeypatch):
+    rows, tokens = books(spark, 400)  # 4,800 rows of 43 tokens, in 8 packs
+    monkeypatch.setattr(pooling, "LEAST_PACK", 400)
+    rows, tokens = durable.stored(rows, "rows"), durable.stored(tokens, "tokens")
+    got = []
+    sums = stage_sums(spark, lambda: got.extend(pooling.pooled_tokens(rows, tokens, ["book", "period"], "token", weight="w").collect()))
+    want = {(r.book, r.period): list(r.embedding) for r in pooling.pooled(rows.join(tokens, "token"), ["book", "period"], weight="w", d=6).collect()}
+    assert len(got) == len(want) == 400 and all(list(r.embedding) == pytest.approx(want[r.book, r.period]) for r in got)
+    assert sums["records"] < 4800 + 8 * 43 + 100
+    few = rows.where("book IN ('b1', 'b2')")  # more packs than books
+    monkeypatch.setattr(pooling, "LEAST_PACK", 1)
+    assert {(r.book, r.period) for r in pooling.pooled_tokens(few, tokens.limit(1), ["book", "period"], "token", weight="w").collect()} <= set(want)
+    assert pooling.pooled_tokens(rows.where("book IN ('b1', 'b2', 'b3')"), tokens.limit(2), ["book", "period"], "token").count() <= 3
+
+
+def test_a_stored_table_is_not_written_again(spark):
+    df, path = spark.range(1000), "/root/testdata/sf0.001"
+    sums = stage_sums(spark, lambda: durable.cached(spark, ("once", path), lambda: durable.stored(df, "own")))
+    assert sums["records"] == 1000 and durable.cached(spark, ("once", path), lambda: df).count() == 1000
+
+
+def test_weights_are_made_of_sums_of_the_book(spark):
+    draw = random.Random(9)
+    rows = [(f"a{i}", f"s{j}", 2000, draw.choice([1.5, draw.random(), 40 * draw.random()])) for i in range(200) for j in range(draw.randrange(1, 200))]
+    df = spark.createDataFrame(rows, "investor_id string, issuer_id string, period int, mv double").repartition(4, "investor_id")
+    keys, out = ["investor_id", "period"], {}
+    plain = stage_sums(spark, lambda: out.update(plain=durable.stored(H.slice_weights(H.positions(df, keys), keys), "plain")))
+    short = stage_sums(spark, lambda: out.update(short=durable.stored(H.totalled(df, keys), "short")))
+    got, want = H.weighed(out["short"]), out["plain"]
+    assert got.dtypes == want.dtypes
+    for a, b in zip(*(d.orderBy("investor_id", "rank").collect() for d in (got, want)), strict=True):
+        assert [pytest.approx(x) if isinstance(x, float) else x for x in a] == list(b)
+    assert short["bytes"] < 0.8 * plain["bytes"]
