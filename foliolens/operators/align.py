@@ -27,6 +27,18 @@ def holdings_overlap(a: DataFrame, b: DataFrame, keys: list[str], item: str = "i
     return both.join(shared, keys, "left").select(*keys, F.coalesce("s", F.lit(0.0)).alias("wt_overlap"))
 
 
+def overlap_with_next(rows: DataFrame, key: str, item: str, year: str, weight: str) -> DataFrame:
+    """key, year, wt_overlap: `holdings_overlap` of each key's items in a year and the next one, for keys present in both. Rows are dealt by
+    key once; a row finds the same item's next year beside it, so that nothing is shuffled for the second side."""
+    w = rows.select(key, item, year, weight).dropna(subset=[key, year]).repartition(key).groupBy(key, item, year).agg(F.sum(weight).alias("w"))
+    later = F.lead(F.struct(F.col(year).alias("y"), "w")).over(Window.partitionBy(key, item).orderBy(year))
+    w = w.withColumn("__next", later)
+    shared = F.when(F.col(item).isNotNull() & (F.col("__next.y") == F.col(year) + 1), F.least("w", "__next.w"))
+    books = w.groupBy(key, year).agg(F.coalesce(F.sum(shared), F.lit(0.0)).alias("wt_overlap"))
+    books = books.withColumn("__next", F.lead(year).over(Window.partitionBy(key).orderBy(year)))
+    return books.where(F.col("__next") == F.col(year) + 1).select(key, year, "wt_overlap")
+
+
 def anchors(overlap: DataFrame, rule: str, year: str, key: str, stratum: str | None = None, least: int = 200, at: float = STAYER) -> DataFrame:
     """Anchor rows of each year: `all`, `stable_thr` (or the least most stable ones where too few pass), `stable_strat` (top quarter of each stratum, ties kept)."""
     if rule == "all":

@@ -36,18 +36,19 @@ def memberships(pairs: DataFrame, year: str, key: str, stratum: str, least: int
     rows that are not held out; and a year's fallback_all, fallback_pool: whether too few rows were stable for `stable_thr`,
     which then takes the `least` most stable ones.
 
-    Ranks of a year are kept up to `least` only, by each task before they meet; quantiles come from ranges.
+    Ranks of a year are kept up to `least` only, by each task before they meet; quantiles come from ranges. Both go to the rows, so that
+    vectors among their columns stay where they are.
     """
     rows = pairs.withColumns({"held_out": drawn(key, year, of) if held_out is None else held_out, "stable": is_stayer(F.col("wt_overlap"), at)})
     counts = rows.groupBy(year).agg(F.sum(F.col("stable").cast("int")).alias("__all"), F.sum((F.col("stable") & ~F.col("held_out")).cast("int")).alias("__pool"))
     counts = counts.select(year, (F.col("__all") < least).alias("fallback_all"), (F.col("__pool") < least).alias("fallback_pool"))
     rows = rows.join(F.broadcast(counts), year)  # a row for each year
-    bits = []
-    for name, some in (("all", rows), ("pool", rows.where("NOT held_out"))):
+    bits, whole = [], rows
+    for name, some in (("all", whole), ("pool", whole.where("NOT held_out"))):
         nth = F.row_number().over(Window.partitionBy(year).orderBy(F.col("wt_overlap").desc(), key))
         best = some.where(F.col(f"fallback_{name}")).select(year, key, "wt_overlap").withColumn("__nth", nth).where(F.col("__nth") <= least).select(year, key, F.lit(True).alias(f"__best_{name}"))
         cut = quantiles(some, "wt_overlap", [1 - top], [year, stratum], f"__q_{name}")
-        rows = rows.join(best, [year, key], "left").join(cut, [year, stratum], "left")
+        rows = rows.join(F.broadcast(best), [year, key], "left").join(F.broadcast(cut), [year, stratum], "left")  # `least` rows a year, and one for each stratum
         inside = F.lit(True) if name == "all" else ~F.col("held_out")
         thr = F.when(F.col(f"fallback_{name}"), F.coalesce(f"__best_{name}", F.lit(False))).otherwise(F.col("stable"))
         strat = F.coalesce(F.col("wt_overlap") >= F.get(f"__q_{name}", F.lit(0)), F.lit(False))
@@ -61,6 +62,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(column), -1)
 
 
+def few(pairs: DataFrame) -> DataFrame:
+    """pairs in no more tasks than cores, as each task of the cube sends all its cells: what is shuffled does not grow with the table."""
+    return pairs.coalesce(max(1, pairs.sparkSession.sparkContext.defaultParallelism))
+
+
 def cube(pairs: DataFrame, by: list[str], null: dict[str, int] | None = None, times: int = 0, seed: int = 0) -> tuple[dict, dict]:
     """{cell: (n, sum of a a', sum of a b')}, cells by the values of `by`; and {(year, rule): [sum of a b' with b dealt anew]}.
 
@@ -150,7 +156,7 @@ def by_rule(rows: DataFrame, year: str, times: int = 20, seed: int = 0) -> tuple
     """{(rule, year): rotation} of all anchors, and a row for each year and rule: anchors and whether they are a fallback, effective
     rank, and, for rotations fitted without the rows held out, those rows' mean cosine (of all, of the stable ones where
     there are five) and what anchors paired at random give. rows: of memberships(); read once."""
-    cells, deals = cube(rows, [year, "mem", "held_out", "stable", "fallback_all"], {r: k + 3 for k, r in enumerate(RULES)}, times, seed)
+    cells, deals = cube(few(rows), [year, "mem", "held_out", "stable", "fallback_all"], {r: k + 3 for k, r in enumerate(RULES)}, times, seed)
     rotations, out = {}, []
     for y in sorted({k[0] for k in cells}):
         own = {k: v for k, v in cells.items() if k[0] == y}
@@ -239,7 +245,7 @@ def without_each(rows: DataFrame, year: str, group: str, at: float = STAYER, top
     cut = quantiles(rows, "wt_overlap", [1 - top], [year, group], "__q")
     strat = F.coalesce(F.col("wt_overlap") >= F.get("__q", F.lit(0)), F.lit(False))
     rows = rows.join(cut, [year, group]).withColumn("mem", (F.lit(1) + is_stayer(F.col("wt_overlap"), at).cast("int") * 2 + strat.cast("int") * 4).cast("int")).drop("__q")
-    cells, _ = cube(rows, [year, group, "mem"])
+    cells, _ = cube(few(rows), [year, group, "mem"])
     names = {"thr": 1, "strat": 2, "all": 0}
     rotations: dict[str, dict] = {n: {} for n in names}
     for y, g in {k[:2] for k in cells}:

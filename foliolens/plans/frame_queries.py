@@ -46,7 +46,7 @@ def clustered(spark: SparkSession, sf: str) -> DataFrame:
     def make() -> DataFrame:
         p = paired(spark, sf)
         centres = SP.kmeans_by(p, "year", "investor_id", STRATA, vec="b")
-        return p.join(SP.nearest_centre(p, "year", centres, ["investor_id", "year"], "stratum", vec="b"), ["investor_id", "year"])
+        return SP.nearest_centre(p, "year", centres, p.columns, "stratum", vec="b")
 
     return cached(spark, ("clustered", sf), make)
 
@@ -103,7 +103,7 @@ def held_out_given(spark: SparkSession, sf: str) -> DataFrame:
     """From the cube alone: mean cosine of the rows held out, under a given rotation, and the effective rank of the anchors that
     `stable_strat` has without them."""
     rows = FR.memberships(paired(spark, sf), "year", "investor_id", "investor_type", LEAST, STAYS)
-    cells, _ = FR.cube(rows, ["year", "mem", "held_out", "stable"])
+    cells, _ = FR.cube(FR.few(rows), ["year", "mem", "held_out", "stable"])
     years = sorted({int(k[0]) for k in cells})
     turn, out = reflections(spark, sf, years, 3), []
     for y in years:
@@ -153,7 +153,7 @@ def fixed_mixture(spark: SparkSession, sf: str) -> SP.Mixture:
 
 
 def ruled(spark: SparkSession, sf: str) -> tuple[dict, list[dict]]:
-    return FR.by_rule(stored(FR.memberships(clustered(spark, sf), "year", "investor_id", "stratum", LEAST, STAYS), "members"), "year", PERMUTED)
+    return FR.by_rule(FR.memberships(clustered(spark, sf), "year", "investor_id", "stratum", LEAST, STAYS), "year", PERMUTED)
 
 
 @query()

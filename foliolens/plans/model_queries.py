@@ -41,9 +41,7 @@ def yearly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    s = A.slices(spark, sf).select("investor_id", "issuer_id", "period", "pw")
-    a, b = s.withColumnRenamed("period", "year"), s.withColumn("year", F.col("period") - 1).drop("period")
-    return AL.holdings_overlap(a, b, ["investor_id", "year"])
+    return AL.overlap_with_next(A.slices(spark, sf).withColumnRenamed("period", "year"), "investor_id", "issuer_id", "year", "pw")
 
 
 def year_pairs(spark: SparkSession, sf: str) -> DataFrame:

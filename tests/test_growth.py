@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliolens.operators import contrastive, encoder, pooling
+from foliolens.operators import align, contrastive, encoder, frames, pooling
 from foliolens.operators import holdings as H
 from foliolens.sources import durable
 
@@ -133,3 +133,31 @@ def test_weights_are_made_of_sums_of_the_book(spark):
     for a, b in zip(*(d.orderBy("investor_id", "rank").collect() for d in (got, want)), strict=True):
         assert [pytest.approx(x) if isinstance(x, float) else x for x in a] == list(b)
     assert short["bytes"] < 0.8 * plain["bytes"]
+
+
+def test_overlap_of_years_deals_the_holdings_once(spark):
+    draw = random.Random(4)
+    rows = [(f"a{i}", f"s{j}", y, draw.random()) for i in range(60) for y in draw.sample(range(2000, 2006), 4) for j in draw.sample(range(30), 12)] + [("a1", "s1", 2001, 0.5), ("a1", None, 2001, 0.5), ("a1", None, 2002, 0.5)]
+    df = durable.stored(spark.createDataFrame(rows, "investor_id string, issuer_id string, year int, pw double"), "slices")
+    a, b = df, df.withColumn("year", F.col("year") - 1)
+    want = {(r.investor_id, r.year): pytest.approx(r.wt_overlap) for r in align.holdings_overlap(a, b, ["investor_id", "year"]).collect()}
+    got = []
+    sums = stage_sums(spark, lambda: got.extend(align.overlap_with_next(df, "investor_id", "issuer_id", "year", "pw").collect()))
+    assert len(want) > 50 and {(r.investor_id, r.year): r.wt_overlap for r in got} == want
+    assert sums["records"] <= len(rows)
+
+
+def test_memberships_leave_vectors_where_they_are_and_tasks_of_the_cube_are_few(spark):
+    draw = random.Random(6)
+    rows = [(f"a{i}", 2000 + i % 3, f"g{i % 4}", draw.random(), [draw.gauss(0, 1) for _ in range(64)], [draw.gauss(0, 1) for _ in range(64)]) for i in range(600)]
+    df = durable.stored(spark.createDataFrame(rows, "investor_id string, year int, g string, wt_overlap double, a array<double>, b array<double>").repartition(40), "pairs")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    try:
+        sums = stage_sums(spark, lambda: frames.memberships(df, "year", "investor_id", "g", 20, 0.95).write.format("noop").mode("overwrite").save())
+        assert sums["bytes"] < 600 * 128 * 8 / 2
+        sums = stage_sums(spark, lambda: frames.by_rule(frames.memberships(df, "year", "investor_id", "g", 20, 0.95), "year", times=1))
+        cores, cells = spark.sparkContext.defaultParallelism, 3 * (4 * 2 * 2 + 3)  # 40 files would send up to as many as there are rows
+        assert sums["records"] <= 64 * cells * cores + 4 * 600
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
