@@ -134,12 +134,8 @@ SELECT period, round(avg(l), 6) AS loss, (count(*) / 2)::BIGINT AS n FROM l GROU
 )
 def infonce_loss(spark: SparkSession, sf: str) -> DataFrame:
     rows = A.positions(spark, sf).where("rank <= 124 AND n_assets_full >= 2").withColumn("half", F.col("rank") % 2)
-    h = stored(P.pooled_tokens(rows, A.token_vectors(spark, sf), [*KEYS, "half"], weight="w"), "halves")
-    pairs = h.where("half = 1").select(*KEYS, F.col("embedding").alias("a")).join(h.where("half = 0").select(*KEYS, F.col("embedding").alias("b")), KEYS)
-    pairs = P.batched(pairs, "period", "investor_id").withColumn("batch", F.struct("period", "batch"))
-    each = P.info_nce(pairs, "batch", "investor_id", "a", "b")
-    loss = F.sum(F.col("loss") * F.col("n")) / F.sum("n")
-    return each.groupBy(F.col("batch.period").alias("period")).agg(F.round(loss, 6).alias("loss"), F.sum("n").alias("n"))
+    each = P.half_losses(rows, A.token_vectors(spark, sf), "period", "investor_id")
+    return each.select("period", F.round("loss", 6).alias("loss"), "n")
 
 
 @query(f"WITH {POS}, {_OV} SELECT investor_id, year, round(wt_overlap, 6) AS wt_overlap FROM ov")

@@ -1,12 +1,15 @@
 """Work that must not grow faster than the input."""
 
+import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from foliolens.operators import align, contrastive, encoder, frames, pooling
 from foliolens.operators import holdings as H
+from foliolens.plans import adapters, model_queries, registry  # noqa: F401  they fill the registry
 from foliolens.sources import durable
 
 
@@ -161,3 +164,45 @@ def test_memberships_leave_vectors_where_they_are_and_tasks_of_the_cube_are_few(
         assert sums["records"] <= 64 * cells * cores + 4 * 600
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_losses_of_halves_shuffle_no_vectors_of_books(spark):
+    draw = random.Random(8)
+    tokens = spark.createDataFrame([(f"t{t}", [draw.gauss(0, 1) for _ in range(64)]) for t in range(40)], "issuer_id string, vec array<float>")
+    rows = [(f"b{b}", y, f"t{t}", k % 2, 0.1 + draw.random()) for b in range(300) for y in (2000, 2001) for k, t in enumerate(draw.sample(range(40), 8))]
+    rows, tokens = durable.stored(spark.createDataFrame(rows, "investor_id string, period int, issuer_id string, half int, w double"), "rows"), durable.stored(tokens, "tokens")
+    got = []
+    sums = stage_sums(spark, lambda: got.extend(pooling.half_losses(rows, tokens, "period", "investor_id").collect()))
+    assert sums["bytes"] < 600 * 64 * 8  # less than one vector for each book
+    h = pooling.pooled(rows.join(tokens, "issuer_id"), ["investor_id", "period", "half"], weight="w")
+    pairs = h.where("half = 1").withColumnRenamed("embedding", "a").join(h.where("half = 0").withColumnRenamed("embedding", "b"), ["investor_id", "period"]).select("investor_id", "period", "a", "b")
+    each = pooling.info_nce(pooling.batched(pairs, "period", "investor_id").withColumn("batch", F.struct("period", "batch")), "batch", "investor_id", "a", "b")
+    want = each.groupBy("batch.period").agg(F.sum(F.col("loss") * F.col("n")) / F.sum("n"), F.sum("n")).collect()
+    assert sorted(got) == [(p, pytest.approx(loss), n) for p, loss, n in sorted(want)] and [r.n for r in got] == [300, 300]
+    assert not pooling.half_losses(rows, tokens.limit(0), "period", "investor_id").count() and not pooling.half_losses(rows.limit(0), tokens, "period", "investor_id").count()
+    few = tokens.where("issuer_id IN ('t1', 't2', 't3')")
+    assert 0 < pooling.known_books(rows, few.withColumnRenamed("issuer_id", "token"), ["investor_id", "period"]).count() == rows.join(few, "issuer_id").select("investor_id", "period").distinct().count() < 600
+
+
+def test_the_loss_query_shuffles_no_vectors_of_books(spark):
+    sf = "/root/testdata/sf0.01"
+    positions = adapters.positions(spark, sf)
+    rows, books = positions.where("rank <= 124 AND n_assets_full >= 2").count(), positions.select(*adapters.KEYS).distinct().count()
+    tokens = adapters.token_vectors(spark, sf).count()
+    sums = stage_sums(spark, lambda: registry.QUERIES["infonce_loss"](spark, sf).collect())
+    assert sums["bytes"] < 40 * rows + 2 * 256 * tokens * pooling.packs_of(rows, pooling.PACK, 8) + 64 * books
+
+
+def test_books_with_unknown_tokens_have_the_loss_of_the_sql(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    for f in os.listdir(sf):
+        os.symlink(f"{sf}/{f}", tmp_path / f)
+    os.unlink(tmp_path / "embeddings.parquet")
+    drawn = "hash(vec_id) % 16 = 0"  # few books have known tokens in both halves, some in one
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT vec_id, CASE WHEN {drawn} THEN embedding END AS embedding, label FROM '{sf}/embeddings.parquet') TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    for f in os.listdir(tmp_path):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{tmp_path}/{f}'")
+    want = sorted(con.sql(f"SELECT period, loss, n FROM ({registry.ORACLES['infonce_loss']})").fetchall())
+    got = registry.QUERIES["infonce_loss"](spark, str(tmp_path)).select("period", "loss", "n").collect()
+    assert want and sorted(map(tuple, got)) == [(p, loss if loss is None else pytest.approx(loss, abs=2e-6), n) for p, loss, n in want]
