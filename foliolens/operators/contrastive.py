@@ -87,7 +87,8 @@ def gradients(rows: DataFrame, tokens: DataFrame, wanted: DataFrame | None = Non
         return pa.table([vectors.column("token").take(pa.array(some)), pa.array(list(total[some])), pa.array(first * loss), pa.array(first * books)], schema=_GRADIENT)
 
     vectors = (asked(rows, "token") if wanted is None else wanted).join(tokens.select("token", "vec").where("vec IS NOT NULL"), "token")
-    return meeting(rows, vectors, one, "token string, g array<double>, loss double, n long")
+    packs = (rows.agg(F.max("pack")).first()[0] or 0) + 1
+    return meeting(rows, vectors, packs, ["pack"], one, "token string, g array<double>, loss double, n long")
 
 
 def rate_at(step: int, steps: int, base: float, warm: int) -> float:

@@ -217,3 +217,23 @@ def test_vectors_of_a_pack_are_not_copied():
     for rows, books in ((table, ["a", "b"]), (table.slice(0, 3), ["a", "b"]), (table.slice(3), [])):  # with and without unknown tokens, nothing else
         first, x = pooling.unit_sums(rows, pa.table({"token": ["s", "t"], "vec": column}), ["book"], "token", "w")
         assert first.column("book").to_pylist() == books and x.tolist() == [pytest.approx([4 / 52**0.5, 6 / 52**0.5]), pytest.approx([0.6, 0.8])][: len(books)]
+
+
+def test_packs_are_read_in_windows_of_whole_groups(spark):
+    rows, tokens = books(spark, 400)  # 4,800 rows of 12 for each book
+    rows = pooling.dealt(rows.select("book", "token"), ["book"], 3)
+    vectors = tokens.select(F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("of"), "token", "vec")
+
+    def run(table, vectors):
+        return pa.table([pa.array([k], pa.int64()) for k in (table.num_rows, len(table.column("book").unique()), vectors.num_rows)], names=["rows", "books", "tokens"])
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = pooling.meeting(rows, vectors, 3, ["book"], run, "rows long, books long, tokens long", window=200).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r.rows for r in got) == 4800 and sum(r.books for r in got) == 400 and {r.tokens for r in got} == {40}
+    assert len(got) > 15 and max(r.rows for r in got) <= 200 + 100
+    parts = [pa.record_batch({"g": [g] * 30}) for g in (None, 1, 1, 1, 2, 3, 3)][1:]
+    assert [t.column("g").unique().to_pylist() for t in pooling.windows(iter(parts), "g", 50)] == [[1], [2], [3]]
+    assert [t.num_rows for t in pooling.windows(iter(parts), "g", 50)] == [90, 30, 60] and not list(pooling.windows(iter([]), "g"))
