@@ -247,24 +247,17 @@ def displacement_turnover_test(spark: SparkSession, sf: str) -> DataFrame:
 STEPS = 4
 
 
-def _books(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Batches of the books that are trained on, and of the tenth that is held out."""
-    rows = hash_split(C.halves_of(A.positions(spark, sf).where("n_assets_full >= 2"), KEYS, "issuer_id"), "book")
-    return tuple(stored(C.in_batches(rows.where(part).drop("is_train")), "books") for part in ("is_train", "NOT is_train"))
-
-
 def _trained(spark: SparkSession, sf: str) -> list:
-    train, held = _books(spark, sf)
-    tokens = A.token_vectors(spark, sf).withColumnRenamed("issuer_id", "token")
-    before = C.mean_loss(held, tokens)
-    return [before, *C.trained(train, tokens, STEPS, held=held)]
+    """`rounds` over batches of the books that are trained on, and of the tenth that is held out."""
+    rows = hash_split(C.halves_of(A.positions(spark, sf).where("n_assets_full >= 2"), KEYS, "issuer_id"), "book")
+    train, held = (C.in_batches(rows.where(part).drop("is_train")) for part in ("is_train", "NOT is_train"))
+    return list(C.rounds(train, A.token_vectors(spark, sf).withColumnRenamed("issuer_id", "token"), STEPS, held=held))
 
 
 @query()
 def contrastive_losses(spark: SparkSession, sf: str) -> DataFrame:
     """Loss of the books trained on before each step, and of the held-out tenth before all and after each."""
-    before, *steps = _trained(spark, sf)
-    rows = [(0, None, before), *((k, float(loss), held) for k, (_, loss, held) in enumerate(steps, 1))]
+    rows = [(k, loss, held) for k, (_, loss, held) in enumerate(_trained(spark, sf))]
     return spark.createDataFrame(rows, "step int, train_loss double, held_out_loss double")
 
 

@@ -7,8 +7,12 @@ import tempfile
 import uuid
 import weakref
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,11 +31,32 @@ _STORED: weakref.WeakSet = weakref.WeakSet()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The stored table and its path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     _STORED.add(found)
-    return found
+    return found, path
+
+
+#: Names of Hadoop's file systems that are others in Arrow.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs"}
+
+
+def read_in_task(path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """A stored table as a task reads it from the shared folder, batch by batch."""
+    at = urlsplit(path)
+    if at.scheme in ("", "file"):
+        files, root = fs.LocalFileSystem(), unquote(at.path) if at.scheme else path
+    else:
+        files, root = fs.FileSystem.from_uri(path.replace(at.scheme, _SCHEMES.get(at.scheme, at.scheme), 1))
+    for part in sorted(f.path for f in files.get_file_info(fs.FileSelector(root)) if f.base_name.startswith("part-")):
+        with files.open_input_file(part) as f:
+            yield from pq.ParquetFile(f).iter_batches(10_000, columns=columns)
 
 
 _NAMED: dict[tuple, DataFrame] = {}

@@ -237,3 +237,19 @@ def test_packs_are_read_in_windows_of_whole_groups(spark):
     parts = [pa.record_batch({"g": [g] * 30}) for g in (None, 1, 1, 1, 2, 3, 3)][1:]
     assert [t.column("g").unique().to_pylist() for t in pooling.windows(iter(parts), "g", 50)] == [[1], [2], [3]]
     assert [t.num_rows for t in pooling.windows(iter(parts), "g", 50)] == [90, 30, 60] and not list(pooling.windows(iter([]), "g"))
+
+
+def test_training_leaves_the_batches_where_they_are(spark):
+    draw = random.Random(12)
+    rows = [(f"b{b}", k % 2, f"t{t}", 0.1 + draw.random()) for b in range(600) for k, t in enumerate(draw.sample(range(43), 16))]  # t40 to t42 are unknown
+    df = durable.stored(spark.createDataFrame(rows, "book string, half int, token string, w double"), "rows")
+    train, held = (contrastive.in_batches(df.where(p)) for p in ("book NOT LIKE '%7'", "book LIKE '%7'"))
+    vectors = {f"t{t}": [draw.gauss(0, 1) for _ in range(8)] if t else None for t in range(40)}  # t0 has no vector
+    tokens = durable.stored(spark.createDataFrame(list(vectors.items()), "token string, vec array<float>"), "tokens")
+    got = []
+    sums = stage_sums(spark, lambda: got.extend(contrastive.trained(train, tokens, 4, held=held)))
+    assert len(got) == 4 and sums["records"] < 2 * len(rows)
+    assert got[-1][2] == pytest.approx(contrastive.mean_loss(held, got[-1][0]), rel=1e-6) and got[1][1] == pytest.approx(contrastive.mean_loss(train, got[0][0]), rel=1e-6)
+    final = {r.token: r.vec for r in got[-1][0].collect()}
+    assert final.keys() == vectors.keys() and final["t0"] is None and all(len(v) == 8 for t, v in final.items() if t != "t0")
+    assert list(contrastive.trained(train, tokens.limit(0), 2)) == [] and contrastive.mean_loss(train.limit(0), tokens) is None
